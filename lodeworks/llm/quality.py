@@ -80,7 +80,7 @@ def _jensen_shannon(p: list[Column], q: list[Column]) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), total))
 
 
-def judge(docs: DataFrame, most_chars: float = 0.25, most_words: float = 0.6, least_chars: int = 200, least_words: int = 40, full: bool = False) -> DataFrame:
+def judge(docs: DataFrame, most_chars: float = 0.2, most_words: float = 0.24, least_chars: int = 200, least_words: int = 40, full: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept.
 
     A document that passes the base rules is kept unless its character-class histogram lies further than
