@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, mixing, quality, sharding
+from . import html_text, licenses, lines, mixing, packing, quality, sharding
 from .common import table
 
 
@@ -21,9 +21,23 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_licenses": op2_licenses, "op3_quality": op3_quality, "op7_sharding": op7_sharding}
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_mixing": op1_mixing, "op2_licenses": op2_licenses, "op3_quality": op3_quality, "op6_packing": op6_packing, "op7_sharding": op7_sharding, "op8_html_text": op8_html_text, "op9_lines": op9_lines}
 ORACLES: dict[str, str] = {}
