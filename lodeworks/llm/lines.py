@@ -51,7 +51,8 @@ def near_pairs(docs: DataFrame, lines: DataFrame, least: int) -> DataFrame:
     """
     spread = lines.where("keys is not null").select("h", "g", F.explode("keys").alias("key"))
     shared = spread.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.min("g").alias("low_g"), F.max("g").alias("high_g")).where("low <> high or low_g <> high_g")
-    some = spread.join(shared.select("key"), "key", "left_semi").select("h", "g").distinct()
+    # written out, so that the join below has two plain shuffles, whose hot keys Spark can split
+    some = spread.join(cut(shared.select("key")), "key", "left_semi").select("h", "g").distinct()
     some = lines.join(some, ["h", "g"], "left_semi")
     wanted = some.groupBy("first.doc_id").agg(F.collect_set("first.at").alias("ats"))  # at most the lines of one document
     texts = docs.select("doc_id", "text").join(wanted, "doc_id")
@@ -77,7 +78,7 @@ def near_pairs(docs: DataFrame, lines: DataFrame, least: int) -> DataFrame:
     first = lambda role: F.min(F.when(F.col("role") == role, F.col("place")))
     groups = variants.groupBy("key").agg(first(0).alias("gap"), first(1).alias("shorter"), first(2).alias("full"), F.min("place").alias("low"), F.max("place").alias("high")).where("low <> high").drop("low", "high")
     other = F.when(F.col("role") == 0, F.col("gap")).when(F.col("role") == 1, F.col("full")).otherwise(F.col("shorter"))
-    pairs = variants.join(groups, "key").select("place", other.alias("earlier")).where("earlier < place").distinct()
+    pairs = variants.join(cut(groups), "key").select("place", other.alias("earlier")).where("earlier < place").distinct()
 
     text = held.select(place.alias("place"), "w")
     both = pairs.join(text, "place").withColumnRenamed("w", "a").join(text.select(F.col("place").alias("earlier"), F.col("w").alias("b")), "earlier")
@@ -106,10 +107,10 @@ def dropped_lines(docs: DataFrame, least: int = 5) -> DataFrame:
     """
     lines = cut(_lines(docs, least))
     place = F.struct("doc_id", "at")
-    distinct = lines.groupBy("h", "g").agg(F.min(place).alias("first"), F.first("keys").alias("keys"))
+    distinct = lines.groupBy("h", "g").agg(F.min(place).alias("first"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("times"))
     near = near_pairs(docs, distinct, least)
-    verdict = distinct.select("h", "g", "first").join(near, ["h", "g"], "left")
-    gone = lines.select("doc_id", "at", "h", "g", place.alias("place")).join(verdict, ["h", "g"]).where("near or first < place")
+    verdict = distinct.select("h", "g", "first", "times").join(near, ["h", "g"], "left").where("near or times > 1")
+    gone = lines.select("doc_id", "at", "h", "g", place.alias("place")).join(cut(verdict), ["h", "g"]).where("near or first < place")
     return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("at")).alias("dropped"))
 
 
