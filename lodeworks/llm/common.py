@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,13 +16,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders written by cut, by session; see forget.
+_WRITTEN: list[str] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder of spark.checkpoint.dir (a temporary one only where none is set)."""
+    """The same rows, written as Parquet to the shared folder and read again.
+
+    The folder is that of spark.checkpoint.dir (a temporary one only where none is set). Unlike checkpoint(),
+    the files are compressed and later reads take just the columns they need. The shuffle files of the jobs
+    that made the rows are of no more use; a collection lets the driver drop them at once.
+    """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodeworks-"))
-    return df.checkpoint()
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        base = _WRITTEN[0].rpartition("/")[0] if _WRITTEN else tempfile.mkdtemp(prefix="lodeworks-")
+    path = f"{base}/lodeworks-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _WRITTEN.append(path)
+    schema = df.schema
+    del df
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
+
+
+def forget(spark: SparkSession) -> None:
+    """Deletes what cut has written so far; for use between jobs whose results are written elsewhere."""
+    jvm = spark.sparkContext._jvm
+    for path in _WRITTEN:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    _WRITTEN.clear()
 
 
 def word_count(text: Column) -> Column:

@@ -15,27 +15,26 @@ def _words(line: Column) -> Column:
     return F.regexp_extract_all(line, F.lit(WORD), F.lit(0))
 
 
+def _cut_length(n: Column) -> Column:
+    """The largest of 2, 3, 4, 6, 8, 12, ... that is at most half of n (n >= 4)."""
+    power = F.pow(F.lit(2), F.floor(F.log2(F.floor(n / 2) + 0.5))).cast("int")
+    return F.when(3 * power <= n, power + F.shiftright(power, 1)).otherwise(power)
+
+
 def _lines(docs: DataFrame, least: int) -> DataFrame:
-    """doc_id, at (line number from 0), n words, two hashes of the words, and the four segment keys of a line.
+    """doc_id, at (line number from 0), two hashes of the words, and two to four segment keys of a line.
 
-    If two lines differ by one word, they agree on all words before the middle or on all after it, where the
-    middle is that of the longer line. A line of n words is cut at n/2 against lines of up to n words and at
-    (n+1)/2 against those of n+1; so two near lines share one of their keys.
+    If two lines differ by one word, they agree on all words before the middle or on all after it. A key holds
+    the first or last words of a line, in number at most half of the longer line's (_cut_length); where that
+    number changes from n - 1 to n, a line of n words has the keys for n - 1, too. So two near lines share one.
     """
     rows = docs.select("doc_id", F.posexplode(F.split(F.coalesce(F.col("text"), F.lit("")), "\n")).alias("at", "line"))
     rows = rows.select("doc_id", "at", _words(F.col("line")).alias("w")).where(F.size("w") > 0)
     n = F.size("w")
-    keys = []
-    for longer in (0, 1):
-        size = n + longer
-        half = F.floor(size / 2).cast("int")
-        tail = size - half  # words after the middle in the longer line
-        keys.append(F.xxhash64(F.lit(0), size, F.slice("w", 1, half)))
-        keys.append(F.xxhash64(F.lit(1), size, F.slice("w", F.greatest(F.lit(1), n - tail + 1), F.least(tail, n))))
-    return rows.select(
-        "doc_id", "at", n.alias("n"), F.xxhash64("w").alias("h"), F.xxhash64(F.lit(1), "w").alias("g"),
-        F.when(n >= least, F.array(*keys)).alias("keys"),
-    )
+    long, short = _cut_length(n), _cut_length(n - 1)
+    ends = lambda k: [F.xxhash64(F.lit(0), F.slice("w", 1, k)), F.xxhash64(F.lit(1), F.slice("w", -k, k))]
+    keys = F.when(long == short, F.array(*ends(long))).otherwise(F.array(*ends(long), *ends(short)))
+    return rows.select("doc_id", "at", F.xxhash64("w").alias("h"), F.xxhash64(F.lit(1), "w").alias("g"), F.when(n >= least, keys).alias("keys"))
 
 
 def near_pairs(docs: DataFrame, lines: DataFrame, least: int) -> DataFrame:
@@ -107,7 +106,7 @@ def dropped_lines(docs: DataFrame, least: int = 5) -> DataFrame:
     """
     lines = cut(_lines(docs, least))
     place = F.struct("doc_id", "at")
-    distinct = lines.groupBy("h", "g").agg(F.min(place).alias("first"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("times"))
+    distinct = cut(lines.groupBy("h", "g").agg(F.min(place).alias("first"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("times")))
     near = near_pairs(docs, distinct, least)
     verdict = distinct.select("h", "g", "first", "times").join(near, ["h", "g"], "left").where("near or times > 1")
     gone = lines.select("doc_id", "at", "h", "g", place.alias("place")).join(cut(verdict), ["h", "g"]).where("near or first < place")

@@ -7,19 +7,23 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 
-#: Python splits at these separators too, which the tokenizer takes for symbols.
-SEPARATORS = re.compile(r"[\x1c-\x1f]")
+#: Letters below U+0180 once lower-cased, texts beyond that, and separators that Python alone takes for space.
+LETTERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff\u0101-\u017f"
+PIECES = re.compile(rf"[{LETTERS}]+|[^{LETTERS}\s]\S*")
+BEYOND = re.compile("[^\x00-\x1b\x20-\u017f]")
 PLAIN = re.compile(r"[^ \t\n\r\x0b\x0c]+")
 COLUMNS = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
 class WordIds(dict):
-    """Ids of white-space-delimited words as little-endian uint32 bytes, encoded when first asked for.
+    """Ids of pieces of text as little-endian uint32 bytes, encoded when first asked for.
 
-    Holds for tokenizers that drop white space and never join across it, so a text's ids are its words' ids.
+    Holds for tokenizers that lower-case, drop white space and part a run of letters from a symbol after it, so
+    that a text's ids are its pieces' ids. Latin text is lower-cased first and cut after each run of letters,
+    which leaves far fewer pieces; any other text is cut at ASCII white space alone.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 500_000):
         super().__init__()
         from tokenizers import Tokenizer
 
@@ -27,18 +31,27 @@ class WordIds(dict):
         self.tokenizer.encode_special_tokens = True
         self.most = most
 
-    def __missing__(self, word: str) -> bytes:
+    def __missing__(self, piece: str) -> bytes:
         import numpy as np
 
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes()
         if len(self) >= self.most:
-            self.clear()  # bounds the memory; words come back when next met
-        if len(word) <= 64:
-            self[word] = ids
+            self.clear()  # bounds the memory; pieces come back when next met
+        if len(piece) <= 64:
+            self[piece] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, PLAIN.findall(text) if SEPARATORS.search(text) else text.split()))
+        return b"".join(map(self.__getitem__, PLAIN.findall(text) if BEYOND.search(text) else PIECES.findall(text.lower())))
+
+
+def word_ids(path: str) -> WordIds:
+    """The process's WordIds for a tokenizer, kept from task to task."""
+    import sys
+    import types
+
+    held = sys.modules.setdefault("lodeworks_word_ids", types.ModuleType("lodeworks_word_ids")).__dict__
+    return held.get(path) or held.setdefault(path, WordIds(path))
 
 
 class Packer:
@@ -117,7 +130,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2) -
         import pyarrow as pa
         from pyspark import TaskContext
 
-        words, end = WordIds(tokenizer), np.array([end_id], dtype="<u4").tobytes()
+        words, end = word_ids(tokenizer), np.array([end_id], dtype="<u4").tobytes()
         packer = Packer(window, 0)
         base = TaskContext.get().partitionId() << 40
         state = {"n": 0, "key": 0}

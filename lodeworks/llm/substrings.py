@@ -15,6 +15,28 @@ CHUNK = 1 << 20  # bytes handled at once
 OCCURRENCE = "h bigint, c bigint, t bigint, pos bigint"
 
 
+def _packed():
+    """Column function that compresses texts before they are shuffled."""
+
+    @F.pandas_udf("binary")
+    def pack(data):
+        import zstandard
+
+        return data.map(zstandard.ZstdCompressor(level=1).compress)
+
+    return pack
+
+
+def _unpacked():
+    @F.pandas_udf("binary")
+    def unpack(data):
+        import zstandard
+
+        return data.map(zstandard.ZstdDecompressor().decompress)
+
+    return unpack
+
+
 # ---------------------------------------------------------------------------------------------- anchors
 
 
@@ -303,16 +325,16 @@ def repeated(texts: DataFrame, length: int = 200, heavy: int = 1000) -> DataFram
        fingerprinted with 128 bits and counted, with partial sums before the shuffle.
     """
     runs = texts.mapInArrow(_occurrences(length), OCCURRENCE)
-    contents = runs.groupBy("h", "c").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("t", "pos")).alias("one"))
-    anchors = cut(contents.groupBy("h").agg(F.sum("times").alias("all_times"), F.count(F.lit(1)).alias("kinds")).where("all_times > 1"))
-    known = cut(contents.join(anchors, "h").select("h", "c", "times", "kinds", "one"))
+    anchors = cut(runs.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"))
+    runs = cut(runs.join(anchors, "h"))
+    contents = cut(runs.groupBy("h", "c").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("t", "pos")).alias("one")))
     low, wide, inner = (F.shiftright("pos", 16), F.shiftright("pos", 8).bitwiseAND(255), F.col("pos").bitwiseAND(255))
-    equal = cut(known.where("times > 1").select("h", "c"))
-    whole = runs.join(equal, ["h", "c"]).select("t", low.alias("first"), (low + wide).alias("last"))
+    whole = runs.join(contents.where("times > 1").select("h", "c"), ["h", "c"]).select("t", low.alias("first"), (low + wide).alias("last"))
 
-    single = known.where("kinds > 1").select("h", "times", F.col("one.t").alias("t"), F.col("one.pos").alias("pos"))
+    several = cut(contents.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("h"))
+    single = contents.join(several, "h").select("h", "times", F.col("one.t").alias("t"), F.col("one.pos").alias("pos"))
     wanted = cut(single.groupBy("t").agg(F.collect_list(F.struct("h", "pos", "times")).alias("runs")))
-    cutout = texts.dropDuplicates(["t"]).join(wanted, "t").select("t", "data", F.explode("runs").alias("r")).select("t", "data", "r.*")
+    cutout = texts.select("t", _packed()("data").alias("z")).dropDuplicates(["t"]).join(wanted, "t").select("t", _unpacked()("z").alias("data"), F.explode("runs").alias("r")).select("t", "data", "r.*")
     middle = (length - ANCHOR) // 2
     contexts = cutout.select("h", "t", "times", low.alias("low"), wide.cast("int").alias("wide"), inner.cast("int").alias("inner"), F.expr(f"substring(data, cast(shiftright(pos, 16) as int) + 1, cast(shiftright(pos, 8) & 255 as int) + {length})").alias("data"))
     # d runs from inner - wide to inner
@@ -348,10 +370,12 @@ def remove_repeats(docs: DataFrame, length: int = 200, heavy: int = 1000) -> Dat
 
     def apply(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        import zstandard
 
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             out = []
-            for ranges, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for ranges, data in zip(batch.column(1).to_pylist(), map(unpack, batch.column(2).to_pylist()), strict=True):
                 kept, spans, to = [], 0, 0
                 end = 0  # of the present removed run
                 for r in ranges or ():
@@ -365,6 +389,6 @@ def remove_repeats(docs: DataFrame, length: int = 200, heavy: int = 1000) -> Dat
             cols = list(zip(*out, strict=True)) if out else [[]] * 4
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    both = rows.join(ranges, "t", "left").select("doc_id", "ranges", "data")
+    both = rows.select("doc_id", "t", _packed()("data").alias("z")).join(ranges, "t", "left").select("doc_id", "ranges", "z")
     kind = dict(docs.dtypes)["doc_id"]
     return both.mapInArrow(apply, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
