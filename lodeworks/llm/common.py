@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -16,22 +18,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Folders written by cut, by session; see forget.
+#: Folders written by cut (see forget), and the temporary folder of a session that names none.
 _WRITTEN: list[str] = []
+_OWN: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a temporary one, for tests, only where none is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not _OWN:
+            _OWN.append(tempfile.mkdtemp(prefix="lodeworks-"))
+            atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
+        base = _OWN[0]
+    return base
 
 
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, written as Parquet to the shared folder and read again.
 
-    The folder is that of spark.checkpoint.dir (a temporary one only where none is set). Unlike checkpoint(),
-    the files are compressed and later reads take just the columns they need. The shuffle files of the jobs
-    that made the rows are of no more use; a collection lets the driver drop them at once.
+    Unlike checkpoint(), the files are compressed and later reads take just the columns they need. The shuffle
+    files of the jobs that made the rows are of no more use; a collection lets the driver drop them at once.
     """
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        base = _WRITTEN[0].rpartition("/")[0] if _WRITTEN else tempfile.mkdtemp(prefix="lodeworks-")
-    path = f"{base}/lodeworks-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/lodeworks-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _WRITTEN.append(path)
     schema = df.schema

@@ -53,12 +53,12 @@ def repeated_words(words: Column, n: int) -> Column:
 def counts(docs: DataFrame) -> DataFrame:
     """doc_id, lang, the base counts and the two histograms of every row, from its whole text."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    out = docs.select("doc_id", "lang", text.alias("text"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("words"))
+    out = docs.select("doc_id", "lang", F.xxhash64("text").alias("mark"), text.alias("text"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("words"))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     size = lambda kind: F.size(F.filter("lower", lambda w: w.isin(COMMON[kind]))).cast("long")
     out = out.withColumn("lower", F.transform("words", lambda w: F.lower(F.regexp_replace(w, r"[.,;:!?]+$", ""))))
     return out.select(
-        "doc_id", "lang",
+        "doc_id", "lang", "mark",
         F.size("words").cast("long").alias("n_words"),
         F.length(F.translate("text", " \t\n\x0b\f\r", "")).cast("long").alias("word_chars"),
         F.length("text").cast("long").alias("n_chars"),
@@ -111,4 +111,4 @@ def judge(docs: DataFrame, most_chars: float = 0.2, most_words: float = 0.24, le
     both = both.withColumn("char_distance", distance(CHARACTERS, "c", least_chars)).withColumn("word_distance", distance(WORDS, "w", least_words))
     both = both.withColumn("kept", ~F.col("base_failed") & (F.col("char_distance") <= most_chars) & (F.col("word_distance") <= most_words))
     out = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
-    return both.select(*out, *(["char_distance", "word_distance", "lang"] if full else []))
+    return both.select(*out, *(["char_distance", "word_distance", "lang", "mark"] if full else []))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, jaccard, licenses, lines, mixing, packing, quality, sharding, substrings
+from . import html_text, jaccard, licenses, lines, mixing, packing, quality, sharding, substrings, vectors
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
 
 
+def op5_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near(table(spark, sf_dir, "embeddings"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -49,5 +53,5 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_licenses": op2_licenses, "op3_quality": op3_quality, "op4_jaccard": op4_jaccard, "op6_packing": op6_packing, "op7_sharding": op7_sharding, "op8_html_text": op8_html_text, "op9_lines": op9_lines, "op10_substrings": op10_substrings}
+QUERIES = {"op1_mixing": op1_mixing, "op2_licenses": op2_licenses, "op3_quality": op3_quality, "op4_jaccard": op4_jaccard, "op5_vectors": op5_vectors, "op6_packing": op6_packing, "op7_sharding": op7_sharding, "op8_html_text": op8_html_text, "op9_lines": op9_lines, "op10_substrings": op10_substrings}
 ORACLES: dict[str, str] = {}
