@@ -28,8 +28,8 @@ def _lines(docs: DataFrame, least: int) -> DataFrame:
     the first or last words of a line, in number at most half of the longer line's (_cut_length); where that
     number changes from n - 1 to n, a line of n words has the keys for n - 1, too. So two near lines share one.
     """
-    rows = docs.select("doc_id", F.posexplode(F.split(F.coalesce(F.col("text"), F.lit("")), "\n")).alias("at", "line"))
-    rows = rows.select("doc_id", "at", _words(F.col("line")).alias("w")).where(F.size("w") > 0)
+    # words are found below the explode, whose output is evaluated once
+    rows = docs.select("doc_id", F.posexplode(F.transform(F.split(F.coalesce(F.col("text"), F.lit("")), "\n"), _words)).alias("at", "w")).where(F.size("w") > 0)
     n = F.size("w")
     long, short = _cut_length(n), _cut_length(n - 1)
     ends = lambda k: [F.xxhash64(F.lit(0), F.slice("w", 1, k)), F.xxhash64(F.lit(1), F.slice("w", -k, k))]
