@@ -37,11 +37,28 @@ def _lines(docs: DataFrame, least: int) -> DataFrame:
     return rows.select("doc_id", "at", F.xxhash64("w").alias("h"), F.xxhash64(F.lit(1), "w").alias("g"), F.when(n >= least, keys).alias("keys"))
 
 
+def _but_a_quarter(w: Column) -> Column:
+    """Keys of a line's words without one of four segments, two near lines share one of them.
+
+    A line of n words is cut against lines of up to n words and against those of n + 1: the segments before the
+    one with the edit agree from the front, those after it from the back.
+    """
+    keys = []
+    for longer in (0, 1):
+        size = F.size(w) + longer
+        ends = [F.floor(size * k / 4).cast("int") for k in range(5)]
+        for k in range(4):
+            back = size - ends[k + 1]
+            keys.append(F.xxhash64(F.lit(k), size, F.slice(w, 1, ends[k]), F.slice(w, F.size(w) - back + 1, back)))
+    return F.array(*keys)
+
+
 def near_pairs(docs: DataFrame, lines: DataFrame, least: int) -> DataFrame:
     """Distinct lines (h, g) that have a line one word edit away whose first place is earlier.
 
     lines: one row per distinct line with its first place. Only lines that share a segment key with another
-    line take part in the deletion-neighbourhood join: for each of their words, the line with that word
+    line are looked up in their texts, and only those that agree with another but for a quarter of their words
+    take part in the deletion-neighbourhood join: for each of their words, the line with that word
     replaced by a gap, and the line without it. Hashes of words by position are summed, so all variants of a
     line come from running sums, in time linear in its words. Lines with the same gapped variant are one
     replacement apart; a line and the lines that lose one word to become it are one insertion apart. Either
@@ -58,6 +75,12 @@ def near_pairs(docs: DataFrame, lines: DataFrame, least: int) -> DataFrame:
     cutout = texts.select("doc_id", F.explode("ats").alias("at"), F.split("text", "\n").alias("l"))
     held = cut(cutout.select("doc_id", "at", _words(F.get("l", F.col("at"))).alias("w")).dropDuplicates(["doc_id", "at"]))
 
+    place = F.struct("doc_id", F.col("at").cast("int").alias("at"))
+    quarters = held.select(place.alias("place"), F.explode(_but_a_quarter(F.col("w"))).alias("key"))
+    alike = quarters.groupBy("key").agg(F.min("place").alias("low"), F.max("place").alias("high")).where("low <> high").select("key")
+    alike = quarters.join(cut(alike), "key", "left_semi").select("place.*").distinct()
+    held = cut(held.join(alike, ["doc_id", "at"], "left_semi"))
+
     words = held.select("doc_id", "at", F.size("w").alias("n"), F.posexplode("w").alias("j", "word"))
     part = W.partitionBy("doc_id", "at")
     upto = part.orderBy("j").rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -69,11 +92,11 @@ def near_pairs(docs: DataFrame, lines: DataFrame, least: int) -> DataFrame:
         words = words.withColumns({f"own{k}": own, f"moved{k}": moved})
         words = words.withColumns({f"all{k}": F.sum(f"own{k}").over(whole), f"till{k}": F.sum(f"own{k}").over(upto), f"after{k}": F.sum(f"moved{k}").over(whole) - F.sum(f"moved{k}").over(upto)})
         sums.append((F.col(f"all{k}"), F.col(f"all{k}") - F.col(f"own{k}"), F.col(f"till{k}") - F.col(f"own{k}") + F.col(f"after{k}")))
-    place = F.struct("doc_id", F.col("at").cast("int").alias("at"))
     gap = F.struct(F.xxhash64(F.lit("gap"), "n", "j", sums[0][1], sums[1][1]).alias("key"), F.lit(0).alias("role"))
     shorter = F.struct(F.xxhash64(F.lit("cut"), F.col("n") - 1, sums[0][2], sums[1][2]).alias("key"), F.lit(1).alias("role"))
     full = F.struct(F.xxhash64(F.lit("cut"), F.col("n"), sums[0][0], sums[1][0]).alias("key"), F.lit(2).alias("role"))
     variants = words.select(place.alias("place"), F.explode(F.when(F.col("j") == 0, F.array(gap, shorter, full)).otherwise(F.array(gap, shorter))).alias("v")).select("place", "v.*")
+    variants = cut(variants)
     first = lambda role: F.min(F.when(F.col("role") == role, F.col("place")))
     groups = variants.groupBy("key").agg(first(0).alias("gap"), first(1).alias("shorter"), first(2).alias("full"), F.min("place").alias("low"), F.max("place").alias("high")).where("low <> high").drop("low", "high")
     other = F.when(F.col("role") == 0, F.col("gap")).when(F.col("role") == 1, F.col("full")).otherwise(F.col("shorter"))
