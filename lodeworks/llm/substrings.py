@@ -12,29 +12,60 @@ from .common import cut
 ANCHOR = 48  # bytes of an anchor
 BITS = 24  # of a position within a chunk
 CHUNK = 1 << 20  # bytes handled at once
+CONTEXT = "g bigint, t bigint, times bigint, a bigint, inner int, least int, most int, data binary"
 OCCURRENCE = "h bigint, c bigint, t bigint, pos bigint"
 
 
-def _packed():
-    """Column function that compresses texts before they are shuffled."""
+def _packed(batches: Iterator) -> Iterator:
+    """Compresses the last column of Arrow batches, texts that are to be shuffled."""
+    import pyarrow as pa
+    import zstandard
 
-    @F.pandas_udf("binary")
-    def pack(data):
-        import zstandard
+    pack = zstandard.ZstdCompressor(level=1).compress
+    for batch in batches:
+        z = pa.array([pack(x.as_buffer()) for x in batch.column(batch.num_columns - 1)], pa.binary())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], z], [*batch.schema.names[:-1], "z"])
 
-        return data.map(zstandard.ZstdCompressor(level=1).compress)
 
-    return pack
+def _contexts(length: int):
+    """Arrow batches of (t, z, runs) to the runs' bytes, filed by what their starts share on either side.
 
+    A run's starts are split at the middle of the possible distances d between start and anchor: strings with
+    the larger d share a long piece left of the anchor, the others right of it. g names such a piece.
+    """
+    middle = (length - ANCHOR) // 2
 
-def _unpacked():
-    @F.pandas_udf("binary")
-    def unpack(data):
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        import xxhash
         import zstandard
 
-        return data.map(zstandard.ZstdDecompressor().decompress)
+        unpack, digest = zstandard.ZstdDecompressor().decompress, xxhash.xxh3_64_intdigest
+        names = [x.split()[0] for x in CONTEXT.split(", ")]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
 
-    return unpack
+        def flush(out: list) -> pa.RecordBatch:
+            columns = list(zip(*out, strict=True)) if out else [[]] * 8
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+        for batch in batches:
+            out = []
+            for t, z, runs in zip(*(batch.column(k) for k in range(3)), strict=True):
+                t, data = t.as_py(), unpack(z.as_buffer())
+                for r in runs.as_py():
+                    low, wide, inner = r["pos"] >> 16, r["pos"] >> 8 & 255, r["pos"] & 255
+                    part = data[low : low + wide + length]
+                    for side, least, most in ((0, max(inner - wide, middle), inner), (1, inner - wide, min(inner, middle - 1))):
+                        if least <= most:
+                            piece = part[inner - middle : inner + ANCHOR] if side == 0 else part[inner : inner + length - middle + 1]
+                            g = digest(piece, r["h"] * 2 + side & (1 << 64) - 1)
+                            out.append((g - (1 << 64) if g >> 63 else g, t, r["times"], low + inner, inner, least, most, part))
+                if len(out) >= 5000:
+                    yield flush(out)
+                    out = []
+            yield flush(out)
+
+    return run
 
 
 # ---------------------------------------------------------------------------------------------- anchors
@@ -317,9 +348,8 @@ def repeated(texts: DataFrame, length: int = 200, heavy: int = 1000) -> DataFram
 
     1. Every start is filed under its string's anchor; consecutive starts with one anchor form a run, about
        one in 75 starts. Runs are hashed whole. Equal runs are counted: all their starts are repeated.
-    2. Anchors met once end there. For the others, one run of each content is cut out of its text and split
-       at the middle of the possible distances d between start and anchor: strings with the larger d share a
-       long piece left of the anchor, the others right of it, so both kinds are filed again under that piece.
+    2. Anchors met once end there. For the others, one run of each content is cut out of its text and filed
+       again under a longer piece that its strings share (_contexts).
     3. Groups of two or more are sorted by anchor suffixes and reversed prefixes (repeated_starts), each in
        one task. Groups of over `heavy` runs are spread over all tasks instead: each start's string is
        fingerprinted with 128 bits and counted, with partial sums before the shuffle.
@@ -334,23 +364,15 @@ def repeated(texts: DataFrame, length: int = 200, heavy: int = 1000) -> DataFram
     several = cut(contents.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("h"))
     single = contents.join(several, "h").select("h", "times", F.col("one.t").alias("t"), F.col("one.pos").alias("pos"))
     wanted = cut(single.groupBy("t").agg(F.collect_list(F.struct("h", "pos", "times")).alias("runs")))
-    cutout = texts.select("t", _packed()("data").alias("z")).dropDuplicates(["t"]).join(wanted, "t").select("t", _unpacked()("z").alias("data"), F.explode("runs").alias("r")).select("t", "data", "r.*")
-    middle = (length - ANCHOR) // 2
-    contexts = cutout.select("h", "t", "times", low.alias("low"), wide.cast("int").alias("wide"), inner.cast("int").alias("inner"), F.expr(f"substring(data, cast(shiftright(pos, 16) as int) + 1, cast(shiftright(pos, 8) & 255 as int) + {length})").alias("data"))
-    # d runs from inner - wide to inner
-    left = F.struct(F.lit(0).alias("side"), F.greatest(F.col("inner") - F.col("wide"), F.lit(middle)).alias("least"), F.col("inner").alias("most"), F.expr(f"substring(data, inner - {middle} + 1, {middle + ANCHOR})").alias("piece"))
-    right = F.struct(F.lit(1).alias("side"), (F.col("inner") - F.col("wide")).alias("least"), F.least(F.col("inner"), F.lit(middle - 1)).alias("most"), F.expr(f"substring(data, inner + 1, {length - middle + 1})").alias("piece"))
-    sides = contexts.select("*", F.explode(F.array(left, right)).alias("s")).select("h", "t", "times", "low", "inner", "data", "s.*").where("least <= most")
-    sides = sides.withColumn("g", F.xxhash64("h", "side", "piece")).drop("piece", "side")
-    sides = cut(sides)
-    sizes = cut(sides.groupBy("g").agg(F.count(F.lit(1)).alias("size"), F.min("times").alias("fewest")).where("size > 1 and fewest = 1"))
+    cutout = texts.select("t", "data").mapInArrow(_packed, "t bigint, z binary").dropDuplicates(["t"]).join(wanted, "t").select("t", "z", "runs")
+    sides = cut(cutout.mapInArrow(_contexts(length), CONTEXT))
+    sizes = cut(sides.groupBy("g").agg(F.count(F.lit(1)).alias("size"), F.min("times").alias("fewest")).where("size > 1 and fewest = 1").select("g", "size"))
     filed = sides.join(sizes, "g")
-    place = F.col("low") + F.col("inner")
-    small = filed.where(F.col("size") <= heavy).select("g", F.col("t"), place.alias("a"), F.col("inner"), "least", "most", "data")
+    small = filed.where(F.col("size") <= heavy).select("g", "t", "a", "inner", "least", "most", "data")
     small = small.repartition("g").sortWithinPartitions("g").mapInArrow(_sort_groups(length), "t bigint, first bigint, last bigint")
-    large = filed.where(F.col("size") > heavy).select("t", "low", "inner", "data", F.explode(F.sequence("least", "most")).alias("d"))
+    large = filed.where(F.col("size") > heavy).select("t", "a", "inner", "data", F.explode(F.sequence("least", "most")).alias("d"))
     string = F.expr(f"substring(data, inner - d + 1, {length})")
-    large = large.select(F.col("t"), (place - F.col("d")).alias("p"), F.xxhash64(string).alias("x"), F.xxhash64(F.lit(1), string).alias("y"))
+    large = large.select("t", (F.col("a") - F.col("d")).alias("p"), F.xxhash64(string).alias("x"), F.xxhash64(F.lit(1), string).alias("y"))
     twice = cut(large.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("x", "y"))
     spread = large.join(twice, ["x", "y"]).select("t", F.col("p").alias("first"), F.col("p").alias("last"))
     return whole.union(small).union(spread)
@@ -389,6 +411,6 @@ def remove_repeats(docs: DataFrame, length: int = 200, heavy: int = 1000) -> Dat
             cols = list(zip(*out, strict=True)) if out else [[]] * 4
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    both = rows.select("doc_id", "t", _packed()("data").alias("z")).join(ranges, "t", "left").select("doc_id", "ranges", "z")
     kind = dict(docs.dtypes)["doc_id"]
+    both = rows.select("doc_id", "t", "data").mapInArrow(_packed, f"doc_id {kind}, t bigint, z binary").join(ranges, "t", "left").select("doc_id", "ranges", "z")
     return both.mapInArrow(apply, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
