@@ -310,7 +310,8 @@ def components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, chunk:
     groups = connected_components(near).withColumnRenamed("component", "g")
     sizes = groups.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / chunk).alias("chunks"))
     groups = cut(groups.join(cut(sizes), "g").join(classes.select(F.col("rep").alias("node"), "times"), "node"))
-    fetched = docs.select(F.col("doc_id").alias("node"), text.alias("data")).join(groups, "node").dropDuplicates(["node"])
+    # candidates grow with the corpus, so this join shuffles at every size
+    fetched = docs.select(F.col("doc_id").alias("node"), text.alias("data")).join(groups.hint("merge"), "node").dropDuplicates(["node"])
     own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     others = F.transform(F.sequence(F.lit(0), (F.col("chunks") - 1).cast("int")), lambda k: F.struct(F.least(own, k).alias("x"), F.greatest(own, k).alias("y"), (own > k).cast("int").alias("side")))
     dealt = fetched.select("g", "node", "times", "data", F.explode(others).alias("o")).select("g", "o.x", "o.y", "o.side", "node", "times", "data")
