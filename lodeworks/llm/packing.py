@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -19,11 +20,11 @@ class WordIds(dict):
     """Ids of pieces of text as little-endian uint32 bytes, encoded when first asked for.
 
     Holds for tokenizers that lower-case, drop white space and part a run of letters from a symbol after it, so
-    that a text's ids are its pieces' ids. Latin text is lower-cased first and cut after each run of letters,
+    that a text's ids are its pieces' ids. At most `most` pieces are kept, about 200 bytes each. Latin text is lower-cased first and cut after each run of letters,
     which leaves far fewer pieces; any other text is cut at ASCII white space alone.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 1_200_000):
         super().__init__()
         from tokenizers import Tokenizer
 
@@ -32,9 +33,8 @@ class WordIds(dict):
         self.most = most
 
     def __missing__(self, piece: str) -> bytes:
-        import numpy as np
-
-        ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
+        ids = struct.pack(f"<{len(ids)}I", *ids)
         if len(self) >= self.most:
             self.clear()  # bounds the memory; pieces come back when next met
         if len(piece) <= 64:
