@@ -1,4 +1,383 @@
 """Queries of the artifact operators over the shared tables, and the SQL each is held against."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+import gzip
+import io
+import struct
+import zipfile
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions.paths import components, lines, normalized, present, suffix, uint_le
+from .operators import native, pins, rules, sequences, sets
+from .plans import sinks
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ------------------------------------------------------------------------------- lookups and projections
+
+
+def lookup_fallback(spark, sf_dir):
+    """Quality of a document, else its source's least quality, else -1: exact key, then fallback."""
+    docs, labels = _t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels")
+    exact = labels.select(F.col("doc_id").alias("d"), "quality")
+    other = docs.join(labels, "doc_id").groupBy(F.col("source").alias("s")).agg(F.min("quality").alias("least"))
+    both = docs.join(exact, docs["doc_id"] == F.col("d"), "left").join(other, docs["source"] == F.col("s"), "left")
+    return both.select("doc_id", F.coalesce("quality", "least", F.lit(-1)).alias("quality"))
+
+
+def host_case(spark, sf_dir):
+    """Targets of hosts made of market segments, with null for unknown ones, and the layout of each."""
+    c = _t(spark, sf_dir, "customer")
+    system = F.when(F.col("c_custkey") % 3 == 0, "Windows").when(F.col("c_custkey") % 3 == 1, "Darwin").otherwise("Linux")
+    machine = F.when(F.col("c_mktsegment") == "BUILDING", "AMD64").when(F.col("c_mktsegment") == "MACHINERY", "arm64").otherwise("x86_64")
+    target = pins.host_target(system, machine, strict=False)
+    return c.select("c_custkey", target.alias("target"), F.when(target.isNotNull(), pins.layout(target)["site"]).alias("site"))
+
+
+def map_lookup(spark, sf_dir):
+    """A key of a JSON map, else another."""
+    m = F.from_json("props", "map<string,string>")
+    return _t(spark, sf_dir, "events").select("event_id", F.coalesce(present(F.try_element_at(m, F.lit("any"))), present(F.try_element_at(m, F.lit("k")))).alias("v"))
+
+
+def requirement_lines(spark, sf_dir):
+    """One pinned line per part, with a digest of its name as the hash, from target or 'any' key."""
+    p = _t(spark, sf_dir, "part")
+    target = F.when(F.col("p_partkey") % 2 == 0, F.sha2("p_name", 256)).otherwise(F.lit(""))
+    digest = F.coalesce(present(target), present(F.sha2("p_brand", 256)))
+    return p.select("p_partkey", F.concat("p_name", F.lit("=="), F.col("p_size").cast("string"), F.lit(" --hash=sha256:"), digest).alias("line"))
+
+
+def mode_bits(spark, sf_dir):
+    """Archive attributes of modes made of quantities."""
+    line = _t(spark, sf_dir, "lineitem")
+    return line.select("l_orderkey", "l_linenumber", sinks.entry_mode(F.col("l_quantity").cast("int")).alias("attributes"))
+
+
+def suffix_parts(spark, sf_dir):
+    """Last dot part of the last component of a page's address, and how often each occurs."""
+    return _t(spark, sf_dir, "pages").groupBy(suffix(F.col("url")).alias("suffix")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def normalized_paths(spark, sf_dir):
+    """Paths with '.', '..' and doubled separators, normalized."""
+    path = F.concat(F.lit("a/./b//"), "n_name", F.lit("/../c/../../"), F.col("n_regionkey").cast("string"))
+    return _t(spark, sf_dir, "nation").select("n_nationkey", normalized(path).alias("path"))
+
+
+def uint_decode(spark, sf_dir):
+    """Little-endian unsigned integers in the first bytes of texts."""
+    d = _t(spark, sf_dir, "documents").where(F.octet_length("text") >= 4)
+    return d.select("doc_id", uint_le(F.col("text").cast("binary"), F.lit(0), 4).alias("u32"), uint_le(F.col("text").cast("binary"), F.lit(2), 2).alias("u16"))
+
+
+# ----------------------------------------------------------------------------------------------- checks
+
+
+def digest_format(spark, sf_dir):
+    """Whether texts' digests have the form of a digest, and the digest."""
+    d = F.sha2("text", 256)
+    return _t(spark, sf_dir, "documents").select("doc_id", d.alias("digest"), d.rlike(pins.DIGEST).alias("ok"))
+
+
+def alphabet_check(spark, sf_dir):
+    """Whether a text's characters all differ and one is a space."""
+    return _t(spark, sf_dir, "documents").select("doc_id", pins.alphabet_check(F.col("text")).alias("ok"))
+
+
+def one_match(spark, sf_dir):
+    """Orders with just one line, as a checked count."""
+    line = _t(spark, sf_dir, "lineitem")
+    return line.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.min("l_partkey").alias("l_partkey")).where("n = 1").select("l_orderkey", "l_partkey")
+
+
+# ------------------------------------------------------------------------------------------ sets and joins
+
+ALLOWED = ["click", "view"]
+
+
+def disallowed_sorted(spark, sf_dir):
+    """Per user the sorted event types that are not allowed; users without any are left out."""
+    out = sets.not_covered(_t(spark, sf_dir, "events"), "user_id", "event_type", ALLOWED, ("log",))
+    return out.select("user_id", F.array_join("missing", ", ").alias("missing"))
+
+
+def problem_report(spark, sf_dir):
+    """One line per user with problems."""
+    out = sets.not_covered(_t(spark, sf_dir, "events"), "user_id", "event_type", ALLOWED).withColumnRenamed("user_id", "path")
+    return out.select("path", F.concat(F.col("path").cast("string"), F.lit(": "), F.array_join("missing", ", ")).alias("line"))
+
+
+def unlabelled_docs(spark, sf_dir):
+    """Documents without labels."""
+    return _t(spark, sf_dir, "documents").join(_t(spark, sf_dir, "labels"), "doc_id", "left_anti").select("doc_id")
+
+
+def record_prune(spark, sf_dir):
+    """Lines whose order is still there."""
+    kept = _t(spark, sf_dir, "orders").where("o_orderpriority in ('1-URGENT', '2-HIGH')").select(F.col("o_orderkey").alias("l_orderkey"))
+    return _t(spark, sf_dir, "lineitem").join(kept, "l_orderkey", "left_semi").select("l_orderkey", "l_linenumber", "l_partkey")
+
+
+def search_set_union(spark, sf_dir):
+    """Per nation, names visible to it: its own suppliers' or those of the shared nation, counted."""
+    s = _t(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k"), F.lower("s_name").alias("name"))
+    nations = _t(spark, sf_dir, "nation").select("n_nationkey")
+    own = nations.join(s, F.col("n_nationkey") == F.col("k")).select("n_nationkey", "name")
+    shared = s.where("k = 0").select("name").distinct()
+    extra = shared.join(own.groupBy("name").agg(F.collect_set("n_nationkey").alias("at")), "name", "left")
+    n_own = own.groupBy("n_nationkey").agg(F.countDistinct("name").alias("n"))
+    n_both = own.join(shared, "name", "left_semi").groupBy("n_nationkey").agg(F.countDistinct("name").alias("b"))
+    total = extra.agg(F.count(F.lit(1)).alias("total"))
+    out = nations.join(n_own, "n_nationkey", "left").join(n_both, "n_nationkey", "left").join(F.broadcast(total))  # one row
+    return out.select("n_nationkey", (F.coalesce("n", F.lit(0)) + F.col("total") - F.coalesce("b", F.lit(0))).alias("visible"))
+
+
+RANGES = [(0, 0, 1000, 100), (1, 500, 1200, 5000), (2, 1200, 1600, 9000), (3, 1500, 2200, 20000)]
+
+
+def range_first_match(spark, sf_dir):
+    """File offsets of prices taken for addresses, by the first section that holds them."""
+    table = spark.createDataFrame(RANGES, "index int, low int, high int, raw int")
+    out = sets.first_range(_t(spark, sf_dir, "part").select("p_partkey", "p_retailprice"), table.drop("raw"), F.floor("p_retailprice"))
+    raw = F.element_at(F.array(*(F.lit(r[3]) for r in RANGES)), F.col("index") + 1)
+    return out.select("p_partkey", "index", (raw + F.floor("p_retailprice") - F.col("low")).cast("long").alias("at"))
+
+
+def trim_rules(spark, sf_dir):
+    """Pages that no rule removes: patterns on their paths."""
+    path = F.regexp_replace("url", "^https?://", "")
+    table = [rules.Rule("**/*.pdf", tree=False), rules.Rule("m.*"), rules.Rule("**/the*"), rules.Rule("*/_*")]
+    return rules.apply_rules(_t(spark, sf_dir, "pages").select("page_id", path.alias("path")), table)
+
+
+# --------------------------------------------------------------------------------------- sequences and order
+
+
+def state_carry(spark, sf_dir):
+    """The last purchase seen so far by each user."""
+    state = F.when(F.col("event_type") == "purchase", F.col("event_id"))
+    return sequences.carry(_t(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], state, "last_purchase").select("event_id", "last_purchase")
+
+
+def retry_outcome(spark, sf_dir):
+    """Events taken for attempts at sources: what each user's attempts come to."""
+    e = _t(spark, sf_dir, "events")
+    outcome = F.when(F.col("event_id") % 7 == 0, "ok").when(F.col("event_id") % 5 == 0, "mismatch").otherwise("error")
+    attempts = e.select("user_id", (F.col("event_id") % 3).alias("source"), F.col("event_id").alias("attempt"), outcome.alias("outcome"), F.col("event_type").alias("message"))
+    out = sequences.first_outcome(attempts, "user_id", 3)
+    return out.select("user_id", "status", "source", "attempt", F.size("failures").cast("long").alias("n_failures"))
+
+
+def running_cap(spark, sf_dir):
+    """Running sizes per user and whether they are within a cap."""
+    out = sequences.running_cap(_t(spark, sf_dir, "events"), ["user_id"], ["event_id"], F.length("props").cast("long"), 400)
+    return out.select("event_id", "running", "within")
+
+
+def marker_slice(spark, sf_dir):
+    """What stands between two markers of a text."""
+    return _t(spark, sf_dir, "documents").where("text like '%icense%'").select("doc_id", F.regexp_extract("text", r"(?s)the (.*?)icense", 1).alias("part"))
+
+
+def line_explode(spark, sf_dir):
+    """Lines of texts by number."""
+    d = _t(spark, sf_dir, "documents")
+    return d.select("doc_id", F.posexplode(lines(F.col("text"))).alias("pos", "line")).select("doc_id", F.col("pos").cast("long").alias("pos"), "line")
+
+
+def path_component_order(spark, sf_dir):
+    """Pages numbered in the order of an archive: within each scheme by path components, then id."""
+    from pyspark.sql.window import Window as W
+
+    p = _t(spark, sf_dir, "pages")
+    scheme = F.substring_index("url", "/", 3)
+    return p.select("page_id", F.row_number().over(W.partitionBy(scheme).orderBy(components(F.col("url")), "page_id")).alias("rank"))
+
+
+def checksum_sidecar(spark, sf_dir):
+    """Checksum lines of texts."""
+    name = F.concat(F.lit("doc-"), F.col("doc_id").cast("string"))
+    return _t(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(sinks.checksum_line(F.col("text"), name), "\n$", "").alias("line"))
+
+
+def manifest_json(spark, sf_dir):
+    """A manifest per region, as JSON text with its fields in order."""
+    r = _t(spark, sf_dir, "region")
+    doc = F.to_json(F.struct(F.lit(1).alias("format_version"), F.col("r_name").alias("target"), F.struct(F.col("r_regionkey").alias("key")).alias("versions")))
+    return r.select("r_regionkey", doc.alias("manifest"))
+
+
+def notice_rows(spark, sf_dir):
+    """Rows of a notice table."""
+    n = _t(spark, sf_dir, "nation").join(_t(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return n.select("n_nationkey", F.concat(F.lit("| "), F.concat_ws(" | ", "n_name", "r_name", F.col("n_regionkey").cast("string")), F.lit(" |")).alias("line"))
+
+
+def group_names(spark, sf_dir):
+    """Per parent the set of lower-cased names, as sorted text, of customers by nation and segment."""
+    c = _t(spark, sf_dir, "customer")
+    return c.groupBy("c_nationkey").agg(F.array_join(F.sort_array(F.collect_set(F.lower("c_mktsegment"))), ",").alias("names"))
+
+
+def bag_union(spark, sf_dir):
+    """Two name lists end to end, repeats kept, counted by name."""
+    s = _t(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k"))
+    c = _t(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k"))
+    return s.unionAll(c).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---------------------------------------------------------------------------------------- binary formats
+
+
+def portable_executable(imports: list[str], delayed: list[str], wide: bool = True) -> bytes:
+    """A small portable executable with one section that imports the given names (for tests and queries)."""
+    header, optional, directories = 0x80, 240 if wide else 224, 112 if wide else 96
+    table = header + 24 + optional
+    raw, address = 0x400, 0x1000
+    body = bytearray()
+
+    def put(data: bytes) -> int:
+        at = len(body)
+        body.extend(data)
+        return address + at
+
+    names = {n: put(n.encode() + b"\0") for n in dict.fromkeys([*imports, *delayed])}
+    first = put(b"".join(struct.pack("<IIIII", 1, 0, 0, names[n], 1) for n in imports) + bytes(20)) if imports else 0
+    second = put(b"".join(struct.pack("<IIIIIIII", 1, names[n], 0, 0, 0, 0, 0, 0) for n in delayed) + bytes(32)) if delayed else 0
+    out = bytearray(raw)
+    out[:2] = b"MZ"
+    struct.pack_into("<I", out, 0x3C, header)
+    out[header : header + 4] = b"PE\0\0"
+    struct.pack_into("<HH12xHH", out, header + 4, 0x8664, 1, optional, 0)
+    struct.pack_into("<H", out, header + 24, 0x20B if wide else 0x10B)
+    for number, at in ((1, first), (13, second)):
+        struct.pack_into("<II", out, header + 24 + directories + 8 * number, at, 0)
+    struct.pack_into("<8sIIII", out, table, b".data", len(body), address, len(body), raw)
+    return bytes(out + body)
+
+
+def pe_decode(spark, sf_dir):
+    """Imports of executables made of nation names: one per nation, its region's name delay-loaded."""
+    n = _t(spark, sf_dir, "nation").join(_t(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+
+    @F.udf("binary")
+    def image(name, region):
+        return portable_executable([f"{name}.dll", "KERNEL32.dll"], [f"{region}.dll"], len(name) % 2 == 0)
+
+    files = n.select(F.col("n_nationkey").cast("string").alias("path"), image("n_name", "r_name").alias("content"))
+    return native.pe_imports(files).select("path", "ord", "dll")
+
+
+def depcheck(spark, sf_dir):
+    """The gate's relational core: suppliers' needs against names their nation or nation 0 provides."""
+    s = _t(spark, sf_dir, "supplier")
+    files = s.select(F.concat_ws("/", F.when(F.col("s_nationkey") != 0, F.col("s_nationkey").cast("string")), "s_name").alias("path"), F.col("s_name").alias("name"), F.when(F.col("s_nationkey") != 0, F.col("s_nationkey").cast("string")).otherwise("").alias("parent"))
+    needs = files.select("path", F.lower(F.concat(F.lit("Supplier#"), F.lpad((F.regexp_extract("name", r"(\d+)$", 1).cast("long") * 7 % 90).cast("string"), 9, "0"))).alias("dll"))
+    return native.missing_windows(files, needs).select("path", F.array_join("missing", ",").alias("missing"))
+
+
+def zip_listing(spark, sf_dir):
+    """An archive of nation files per region, written in order and listed again."""
+    n = _t(spark, sf_dir, "nation").select("n_regionkey", F.concat_ws("/", F.col("n_regionkey").cast("string"), "n_name").alias("path"))
+
+    def build(key, frame):
+        import pandas as pd
+
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, compresslevel=9) as z:
+            for path in sorted(frame["path"], key=lambda p: p.split("/")):
+                info = zipfile.ZipInfo(path, sinks.STAMP)
+                info.compress_type = zipfile.ZIP_DEFLATED
+                z.writestr(info, path.encode())
+        with zipfile.ZipFile(io.BytesIO(out.getvalue())) as z:
+            return pd.DataFrame([(int(key[0]), k, i.filename, i.file_size) for k, i in enumerate(z.infolist())], columns=["region", "ord", "path", "length"])
+
+    return n.groupBy("n_regionkey").applyInPandas(build, "region long, ord long, path string, length long")
+
+
+def gunzip_capped(spark, sf_dir):
+    """Texts packed and unpacked again under a cap: the length, or null beyond the cap."""
+
+    @F.pandas_udf("long")
+    def unpacked(text):
+        def one(x):
+            packed, seen = io.BytesIO(gzip.compress(x.encode(), 1)), 0
+            with gzip.open(packed) as f:
+                while piece := f.read(1 << 12):
+                    seen += len(piece)
+                    if seen > 5000:
+                        return None
+            return seen
+
+        return text.map(one).astype("Int64")
+
+    return _t(spark, sf_dir, "documents").select("doc_id", unpacked(F.coalesce("text", F.lit(""))).alias("n"))
+
+
+_QUERIES = [
+    lookup_fallback, host_case, map_lookup, requirement_lines, mode_bits, suffix_parts, normalized_paths, uint_decode, digest_format, alphabet_check, one_match, disallowed_sorted, problem_report,
+    unlabelled_docs, record_prune, search_set_union, range_first_match, trim_rules, state_carry, retry_outcome, running_cap, marker_slice, line_explode, path_component_order, checksum_sidecar,
+    manifest_json, notice_rows, group_names, bag_union, pe_decode, depcheck, zip_listing, gunzip_capped,
+]
+QUERIES = {f.__name__: f for f in _QUERIES}
+
+_TARGET = """case when c_custkey % 3 = 0 and c_mktsegment <> 'MACHINERY' then 'x86_64-pc-windows-msvc' when c_custkey % 3 = 1 and c_mktsegment = 'MACHINERY' then 'aarch64-apple-darwin'
+ when c_custkey % 3 = 1 and c_mktsegment <> 'BUILDING' then 'x86_64-apple-darwin' end"""
+
+ORACLES = {
+    "lookup_fallback": """with s as (select source, min(quality) q from documents join labels using (doc_id) group by 1)
+        select d.doc_id, coalesce(l.quality, s.q, -1) as quality from documents d left join labels l on d.doc_id = l.doc_id left join s on d.source = s.source""",
+    "host_case": f"""select c_custkey, {_TARGET} as target, case when {_TARGET} like '%msvc' then 'Lib/site-packages' when {_TARGET} is not null then 'lib/python3.12/site-packages' end as site from customer""",
+    "map_lookup": "select event_id, coalesce(nullif(json_extract_string(props, '$.any'), ''), nullif(json_extract_string(props, '$.k'), '')) as v from events",
+    "requirement_lines": "select p_partkey, p_name || '==' || p_size || ' --hash=sha256:' || sha256(case when p_partkey % 2 = 0 then p_name else p_brand end) as line from part",
+    "mode_bits": "select l_orderkey, l_linenumber, ((32768 | case when l_quantity::int & 73 <> 0 then 493 else 420 end)::bigint << 16) as attributes from lineitem",
+    "suffix_parts": r"select regexp_extract(regexp_extract(url, '[^/]*$'), '^.+(\.[^.]+)$', 1) as suffix, count(*) as n from pages group by 1",
+    "normalized_paths": "select n_nationkey, 'a/' || n_regionkey as path from nation",
+    "uint_decode": """with h as (select doc_id, hex(encode(text)) x from documents where strlen(text) >= 4)
+        select doc_id, ('0x' || x[7:8] || x[5:6] || x[3:4] || x[1:2])::bigint as u32, ('0x' || x[7:8] || x[5:6])::bigint as u16 from h""",
+    "digest_format": "select doc_id, sha256(text) as digest, regexp_matches(sha256(text), '^[0-9a-f]{64}$') as ok from documents",
+    "alphabet_check": "select doc_id, len(list_distinct(string_split(text, ''))) = len(string_split(text, '')) and contains(text, ' ') as ok from documents",
+    "one_match": "select l_orderkey, min(l_partkey) as l_partkey from lineitem group by 1 having count(*) = 1",
+    "disallowed_sorted": "select user_id, string_agg(distinct event_type, ', ' order by event_type) as missing from events where event_type not in ('click', 'view') and not starts_with(event_type, 'log') group by 1",
+    "problem_report": "select user_id as path, user_id || ': ' || string_agg(distinct event_type, ', ' order by event_type) as line from events where event_type not in ('click', 'view') group by 1",
+    "unlabelled_docs": "select doc_id from documents d where not exists (select 1 from labels l where l.doc_id = d.doc_id)",
+    "record_prune": "select l_orderkey, l_linenumber, l_partkey from lineitem where exists (select 1 from orders where o_orderkey = l_orderkey and o_orderpriority in ('1-URGENT', '2-HIGH'))",
+    "search_set_union": "select n_nationkey, (select count(distinct lower(s_name)) from supplier where s_nationkey = n_nationkey or s_nationkey = 0) as visible from nation",
+    "range_first_match": """with r(i, lo, hi, raw) as (values (0, 0, 1000, 100), (1, 500, 1200, 5000), (2, 1200, 1600, 9000), (3, 1500, 2200, 20000)),
+        h as (select p_partkey, floor(p_retailprice)::bigint v, i, lo, raw, row_number() over (partition by p_partkey order by i) n from part join r on floor(p_retailprice) >= lo and floor(p_retailprice) < hi)
+        select p_partkey, i as index, (raw + v - lo)::bigint as at from h where n = 1""",
+    "trim_rules": r"""with p as (select page_id, regexp_replace(url, '^https?://', '') as path from pages)
+        select page_id, path from p where not regexp_matches(path, '^(?:[^/]+/)*[^/]*\.pdf$') and not regexp_matches(path, '^m\.[^/]*(/.*)?$') and not regexp_matches(path, '^(?:[^/]+/)*the[^/]*(/.*)?$') and not regexp_matches(path, '^[^/]*/_[^/]*(/.*)?$')""",
+    "state_carry": "select event_id, last_value(case when event_type = 'purchase' then event_id end ignore nulls) over (partition by user_id order by ts, event_id rows unbounded preceding) as last_purchase from events",
+    "retry_outcome": """with a as (select user_id, event_id % 3 source, event_id attempt, case when event_id % 7 = 0 then 'ok' when event_id % 5 = 0 then 'mismatch' else 'error' end outcome from events),
+        b as (select *, row_number() over w n, coalesce(max((outcome <> 'error')::int) over (w rows between unbounded preceding and 1 preceding), 0) ended from a window w as (partition by user_id, source order by attempt)),
+        c as (select *, min(case when outcome = 'ok' then source * 1000000000 + attempt end) over (partition by user_id) won from b where n <= 3 and ended = 0)
+        select user_id, case when max(won) is null then 'failed' else 'ok' end as status, max(won) // 1000000000 as source, max(won) % 1000000000 as attempt, count(*) filter (outcome <> 'ok') as n_failures
+        from c where won is null or source * 1000000000 + attempt <= won group by 1""",
+    "running_cap": """with r as (select event_id, sum(length(props)) over (partition by user_id order by event_id rows unbounded preceding)::bigint as running from events)
+        select event_id, running, running <= 400 as within from r""",
+    "marker_slice": "select doc_id, regexp_extract(text, '(?s)the (.*?)icense', 1) as part from documents where text like '%icense%'",
+    "line_explode": r"""with l as (select doc_id, regexp_split_to_array(text, '\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]') a from documents),
+        m as (select doc_id, case when a[-1] = '' then a[:-2] else a end a from l)
+        select doc_id, i - 1 as pos, a[i] as line from (select doc_id, a, unnest(range(1, len(a) + 1)) as i from m)""",
+    "path_component_order": "select page_id, row_number() over (partition by array_to_string(string_split(url, '/')[1:3], '/') order by string_split(url, '/'), page_id)::int as rank from pages",
+    "checksum_sidecar": "select doc_id, sha256(text) || '  doc-' || doc_id as line from documents",
+    "manifest_json": """select r_regionkey, '{"format_version":1,"target":"' || r_name || '","versions":{"key":' || r_regionkey || '}}' as manifest from region""",
+    "notice_rows": "select n_nationkey, '| ' || n_name || ' | ' || r_name || ' | ' || n_regionkey || ' |' as line from nation join region on n_regionkey = r_regionkey",
+    "group_names": "select c_nationkey, string_agg(distinct lower(c_mktsegment), ',' order by lower(c_mktsegment)) as names from customer group by 1",
+    "bag_union": "select k, count(*) as n from (select s_nationkey k from supplier union all select c_nationkey from customer) group by 1",
+    "pe_decode": """select n_nationkey::varchar as path, o::int as ord, case o when 0 then lower(n_name) || '.dll' when 1 then 'kernel32.dll' else lower(r_name) || '.dll' end as dll
+        from nation join region on n_regionkey = r_regionkey, range(3) t(o)""",
+    "depcheck": r"""with f as (select case when s_nationkey <> 0 then s_nationkey || '/' else '' end || s_name as path, case when s_nationkey <> 0 then s_nationkey::varchar else '' end parent, lower(s_name) name,
+          lower('Supplier#' || lpad((regexp_extract(s_name, '(\d+)$', 1)::bigint * 7 % 90)::varchar, 9, '0')) dll from supplier)
+        select path, string_agg(distinct dll, ',' order by dll) as missing from f where not exists (select 1 from f o where o.name = f.dll and (o.parent = f.parent or o.parent = '')) group by 1""",
+    "zip_listing": "select n_regionkey::bigint as region, row_number() over (partition by n_regionkey order by n_name) - 1 as ord, n_regionkey || '/' || n_name as path, strlen(n_regionkey || '/' || n_name)::bigint as length from nation",
+    "gunzip_capped": "select doc_id, case when strlen(text) <= 5000 then strlen(text)::bigint end as n from documents",
+}
