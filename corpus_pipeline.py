@@ -23,8 +23,8 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     forget(spark)
-    kept = quality.judge(docs, full=True).where("kept").select(F.col("doc_id").alias("of"), "mark").distinct()
-    same = docs["doc_id"].eqNullSafe(F.col("of")) & (F.xxhash64("text") == F.col("mark"))
+    kept = quality.judge(docs, full=True).where("kept").select(F.col("doc_id").alias("_lw_of"), F.col("mark").alias("_lw_mark")).distinct()
+    same = docs["doc_id"].eqNullSafe(F.col("_lw_of")) & (F.xxhash64("text") == F.col("_lw_mark"))
     return docs.join(kept, same, "left_semi")
 
 
@@ -38,19 +38,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of each group of documents linked by word 5-grams at Jaccard similarity 0.8, the one of the smallest id."""
     forget(spark)
     groups = jaccard.components(docs, n=5, num=8, den=10)
-    kept = groups.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("of")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("of")), "left_semi")
+    kept = groups.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_lw_of")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_lw_of")), "left_semi")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; the last, unfinished copy has the text's first words alone."""
     forget(spark)
-    taken = mixing.mix(docs).where("taken > 0").select(F.col("doc_id").alias("of"), "copies", "part").distinct()
-    both = docs.join(taken, docs["doc_id"].eqNullSafe(F.col("of")))
-    copies = both.withColumn("copy", F.explode(F.sequence(F.lit(1), (F.col("copies") + (F.col("part") > 0).cast("long")).cast("int"))))
+    taken = mixing.mix(docs).where("taken > 0").select(F.col("doc_id").alias("_lw_of"), F.col("copies").alias("_lw_copies"), F.col("part").alias("_lw_part")).distinct()
+    both = docs.join(taken, docs["doc_id"].eqNullSafe(F.col("_lw_of")))
+    copies = both.withColumn("_lw_copy", F.explode(F.sequence(F.lit(1), (F.col("_lw_copies") + (F.col("_lw_part") > 0).cast("long")).cast("int"))))
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    cut_off = F.array_join(F.slice(words, 1, F.col("part").cast("int")), " ")
-    text = F.when(F.col("copy") > F.col("copies"), cut_off).otherwise(F.col("text"))
+    cut_off = F.array_join(F.slice(words, 1, F.col("_lw_part").cast("int")), " ")
+    text = F.when(F.col("_lw_copy") > F.col("_lw_copies"), cut_off).otherwise(F.col("text"))
     return copies.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

@@ -138,18 +138,18 @@ def dropped_lines(docs: DataFrame, least: int = 5) -> DataFrame:
 
 def report(docs: DataFrame, least: int = 5) -> DataFrame:
     """One row per row of docs: doc_id, n_lines, n_dropped, dropped (line numbers from 0, comma-joined)."""
-    gone = dropped_lines(docs, least)
+    gone = dropped_lines(docs, least).withColumnRenamed("doc_id", "of")
     count = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n")))
-    return docs.select("doc_id", count.cast("long").alias("n_lines")).join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left").select(
-        docs["doc_id"], "n_lines", F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce(F.array_join("dropped", ","), F.lit("")).alias("dropped")
+    return docs.select("doc_id", count.cast("long").alias("n_lines")).join(gone, F.col("doc_id").eqNullSafe(F.col("of")), "left").select(
+        "doc_id", "n_lines", F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce(F.array_join("dropped", ","), F.lit("")).alias("dropped")
     )
 
 
 def clean(docs: DataFrame, least: int = 5) -> DataFrame:
     """docs without the dropped lines; a document all of whose lines with words are dropped goes."""
-    gone = dropped_lines(docs, least).withColumnRenamed("doc_id", "of")
-    both = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("of")), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("dropped", i)), "\n")
-    text = F.when(F.col("dropped").isNull(), F.col("text")).otherwise(kept)
-    out = both.withColumn("text", text).where(F.col("dropped").isNull() | F.col("text").rlike(WORD))
+    gone = dropped_lines(docs, least).select(F.col("doc_id").alias("_lw_of"), F.col("dropped").alias("_lw_dropped"))
+    both = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_lw_of")), "left")
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_lw_dropped", i)), "\n")
+    text = F.when(F.col("_lw_dropped").isNull(), F.col("text")).otherwise(kept)
+    out = both.withColumn("text", text).where(F.col("_lw_dropped").isNull() | F.col("text").rlike(WORD))
     return out.select(*docs.columns)
