@@ -11,8 +11,15 @@ from .common import WORD, cut
 RANGE = 1 << 40
 
 
-def _words(line: Column) -> Column:
-    return F.regexp_extract_all(line, F.lit(WORD), F.lit(0))
+def _plain(line: Column) -> Column:
+    """A line's words with one space between them; most lines are so already."""
+    odd = line.rlike("[\\x09-\\x0D]|^ | $|  ")
+    return F.when(odd, F.trim(F.regexp_replace(line, "[\\x20\\x09-\\x0D]+", " "))).otherwise(line)
+
+
+def _size(plain: Column) -> Column:
+    """Words of a plain line."""
+    return F.octet_length(plain) - F.octet_length(F.replace(plain, F.lit(" "), F.lit(""))) + 1
 
 
 def _cut_length(n: Column) -> Column:
@@ -28,28 +35,28 @@ def _lines(docs: DataFrame, least: int) -> DataFrame:
     the first or last words of a line, in number at most half of the longer line's (_cut_length); where that
     number changes from n - 1 to n, a line of n words has the keys for n - 1, too. So two near lines share one.
     """
-    # words are found below the explode, whose output is evaluated once
-    rows = docs.select("doc_id", F.posexplode(F.transform(F.split(F.coalesce(F.col("text"), F.lit("")), "\n"), _words)).alias("at", "w")).where(F.size("w") > 0)
-    n = F.size("w")
-    long, short = _cut_length(n), _cut_length(n - 1)
-    ends = lambda k: [F.xxhash64(F.lit(0), F.slice("w", 1, k)), F.xxhash64(F.lit(1), F.slice("w", -k, k))]
+    # lines are made plain below the explode, whose output is evaluated once
+    rows = docs.select("doc_id", F.posexplode(F.transform(F.split(F.coalesce(F.col("text"), F.lit("")), "\n"), _plain)).alias("at", "s")).where("s <> ''")
+    rows = rows.select("doc_id", "at", "s", _size(F.col("s")).alias("n"))
+    long, short = _cut_length(F.col("n")), _cut_length(F.col("n") - 1)
+    ends = lambda k: [F.xxhash64(F.lit(0), F.call_function("substring_index", F.col("s"), F.lit(" "), k)), F.xxhash64(F.lit(1), F.call_function("substring_index", F.col("s"), F.lit(" "), -k))]
     keys = F.when(long == short, F.array(*ends(long))).otherwise(F.array(*ends(long), *ends(short)))
-    return rows.select("doc_id", "at", F.xxhash64("w").alias("h"), F.xxhash64(F.lit(1), "w").alias("g"), F.when(n >= least, keys).alias("keys"))
+    return rows.select("doc_id", "at", F.xxhash64("s").alias("h"), F.xxhash64(F.lit(1), "s").alias("g"), F.when(F.col("n") >= least, keys).alias("keys"))
 
 
-def _but_a_quarter(w: Column) -> Column:
-    """Keys of a line's words without one of four segments, two near lines share one of them.
+def _but_a_quarter(s: Column, n: Column) -> Column:
+    """Keys of a plain line of n words without one of four segments; two near lines share one of them.
 
     A line of n words is cut against lines of up to n words and against those of n + 1: the segments before the
     one with the edit agree from the front, those after it from the back.
     """
     keys = []
     for longer in (0, 1):
-        size = F.size(w) + longer
+        size = n + longer
         ends = [F.floor(size * k / 4).cast("int") for k in range(5)]
         for k in range(4):
-            back = size - ends[k + 1]
-            keys.append(F.xxhash64(F.lit(k), size, F.slice(w, 1, ends[k]), F.slice(w, F.size(w) - back + 1, back)))
+            front, back = (F.call_function("substring_index", s, F.lit(" "), x) for x in (ends[k], ends[k + 1] - size))
+            keys.append(F.xxhash64(F.lit(k), size, front, back))
     return F.array(*keys)
 
 
@@ -73,13 +80,14 @@ def near_pairs(docs: DataFrame, lines: DataFrame, least: int) -> DataFrame:
     wanted = some.groupBy("first.doc_id").agg(F.collect_set("first.at").alias("ats"))  # at most the lines of one document
     texts = docs.select("doc_id", "text").join(wanted, "doc_id")
     cutout = texts.select("doc_id", F.explode("ats").alias("at"), F.split("text", "\n").alias("l"))
-    held = cut(cutout.select("doc_id", "at", _words(F.get("l", F.col("at"))).alias("w")).dropDuplicates(["doc_id", "at"]))
+    held = cut(cutout.select("doc_id", "at", _plain(F.get("l", F.col("at"))).alias("s")).dropDuplicates(["doc_id", "at"]))
 
     place = F.struct("doc_id", F.col("at").cast("int").alias("at"))
-    quarters = held.select(place.alias("place"), F.explode(_but_a_quarter(F.col("w"))).alias("key"))
+    quarters = held.select("doc_id", "at", "s", _size(F.col("s")).alias("n")).select(place.alias("place"), F.explode(_but_a_quarter(F.col("s"), F.col("n"))).alias("key"))
+    quarters = cut(quarters)
     alike = quarters.groupBy("key").agg(F.min("place").alias("low"), F.max("place").alias("high")).where("low <> high").select("key")
     alike = quarters.join(cut(alike), "key", "left_semi").select("place.*").distinct()
-    held = cut(held.join(alike, ["doc_id", "at"], "left_semi"))
+    held = cut(held.join(alike, ["doc_id", "at"], "left_semi").select("doc_id", "at", F.split("s", " ").alias("w")))
 
     words = held.select("doc_id", "at", F.size("w").alias("n"), F.posexplode("w").alias("j", "word"))
     part = W.partitionBy("doc_id", "at")
