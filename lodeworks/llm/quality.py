@@ -24,17 +24,22 @@ def _chars(text: Column, kind: str) -> Column:
     return F.length(F.regexp_replace(text, f"[^{kind}]+", "")).cast("long")
 
 
-def repeated_words(words: Column, n: int) -> Column:
+def window_hashes(words: Column, n: int) -> Column:
+    """Hashes of the n-word windows of an array of words; a single, meaningless one where there is no window."""
+    hashed = F.transform(words, lambda w: F.xxhash64(w))  # windows of these: far quicker than windows of strings
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(words) - n))
+    return F.get(F.transform(F.array(hashed), lambda a: F.transform(starts, lambda i: F.xxhash64(*(F.get(a, i + k) for k in range(n))))), F.lit(0))
+
+
+def repeated_words(words: Column, hashes: Column, n: int) -> Column:
     """Words in n-word windows found twice or more in words, first included.
 
     A text whose window hashes are all distinct (nearly every one) has none. Otherwise the windows are sorted
-    by their text, those equal to a neighbour are kept, and the union of their spans is measured: n log n.
+    by hash, those equal to a neighbour are kept, and the union of their spans is measured: n log n.
     """
-    spans = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - (n - 1)))
-    hashes = F.transform(spans, lambda i: F.xxhash64(F.slice(words, i, n)))
     enough = F.size(words) > n
     alike = enough & (F.size(F.array_distinct(hashes)) < F.size(hashes))
-    windows = F.transform(spans, lambda i: F.struct(F.xxhash64(F.slice(words, i, n)).alias("h"), i.alias("i")))
+    windows = F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i")))
 
     def union(a: Column) -> Column:
         twice = F.filter(a, lambda x, k: ((k > 0) & (F.get(a, k - 1)["h"] == x["h"])) | ((k + 1 < F.size(a)) & (F.get(a, k + 1)["h"] == x["h"])))
@@ -56,7 +61,7 @@ def counts(docs: DataFrame) -> DataFrame:
     out = docs.select("doc_id", "lang", F.xxhash64("text").alias("mark"), text.alias("text"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("words"))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     size = lambda kind: F.size(F.filter("lower", lambda w: w.isin(COMMON[kind]))).cast("long")
-    out = out.withColumn("lower", F.transform("words", lambda w: F.lower(F.regexp_replace(w, r"[.,;:!?]+$", ""))))
+    out = out.withColumn("lower", F.transform("words", lambda w: F.lower(F.rtrim(w, F.lit(".,;:!?"))))).withColumn("windows", window_hashes(F.col("words"), 8))
     return out.select(
         "doc_id", "lang", "mark",
         F.size("words").cast("long").alias("n_words"),
@@ -64,7 +69,7 @@ def counts(docs: DataFrame) -> DataFrame:
         F.length("text").cast("long").alias("n_chars"),
         _chars(F.col("text"), r"#*$%&|<>").alias("n_symbols"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("words"), 8).alias("n_repeat_words"),
+        repeated_words(F.col("words"), F.col("windows"), 8).alias("n_repeat_words"),
         _chars(F.col("text"), "A-Z").alias("c_upper"), _chars(F.col("text"), "0-9").alias("c_digit"), _chars(F.col("text"), ".,;:!?").alias("c_stop"),
         (F.octet_length("text") - F.length("text")).cast("long").alias("c_accent"),
         *(size(kind).alias(f"w_{kind}") for kind in COMMON),
