@@ -65,12 +65,16 @@ def scan(docs: DataFrame, rare: int = 12, least: float = 0.75, notices: list = N
     """
     vocabulary, postings = _index(notices)
     rank = {w: k for k, w in enumerate(vocabulary)}
-    keys = sorted({p.split()[-1] for p in base} | {p.split()[-1] for *_, ps in notices for p in ps})
+    keys = sorted({max(p.split(), key=len) for p in base} | {max(p.split(), key=len) for *_, ps in notices for p in ps})
     text = F.coalesce(F.col("text"), F.lit(""))
-    maybe = text.rlike("(?i)" + "|".join(keys))
-    # only files that hold the last word of some phrase can have a base place or a verified notice
-    words = F.when(maybe, F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.translate(w, UPPER, LOWER))).otherwise(F.array().cast("array<string>"))
-    out = docs.select("doc_id", F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_words"), words.alias("words"))
+    # a base place or a verified notice needs the longest word of some phrase; lower() may only add matches
+    maybe = F.lit(False)
+    for k in keys:
+        maybe = maybe | F.contains("low", F.lit(k))
+    words = F.when(maybe, F.transform(F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0)), lambda w: F.translate(w, UPPER, LOWER))).otherwise(F.array().cast("array<string>"))
+    out = docs.select("doc_id", text.alias("text"), F.lower(text).alias("low"))
+    text = F.col("text")
+    out = out.select("doc_id", F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_words"), words.alias("words"))
     known = F.filter(F.transform(F.col("words"), lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: x["w"].isin(vocabulary))
     out = out.withColumn("known", known)
 
