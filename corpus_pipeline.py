@@ -37,7 +37,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by word 5-grams at Jaccard similarity 0.8, the one of the smallest id."""
     forget(spark)
-    groups = jaccard.components(docs, n=5, num=8, den=10)
+    groups = jaccard.components(docs, n=5, num=8, den=10, passes=4)
     kept = groups.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_lw_of")).distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_lw_of")), "left_semi")
 

@@ -282,7 +282,7 @@ def _joined(n: int, num: int, den: int):
     return run
 
 
-def components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, chunk: int = 3000) -> DataFrame:
+def components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, chunk: int = 3000, passes: int = 1) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable by links), n_links.
 
     A document's set holds its distinct n-word shingles (A-Z lower-cased; words are runs of other than ASCII
@@ -291,6 +291,7 @@ def components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, chunk:
     one class and are joined once; n_links is how many other documents a document links with.
 
     1. Sets are filed under keys (class Sizes) such that linked classes share one; keys met once end there.
+       The keys are shuffled in `passes` parts of their range, one after the other, to bound the disk in use.
     2. Classes that share a key, directly or through others, make a candidate group; texts are fetched only
        for classes in groups of two or more, whose sets are joined exactly within tasks (join_block). A group
        is dealt to chunks of at most about `chunk` classes, and each pair of chunks is one task's work, so that no task
@@ -303,13 +304,21 @@ def components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, chunk:
     """
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     filed = cut(docs.select(F.col("doc_id").cast("long"), text.alias("data")).mapInArrow(_filed(n, num, den), "t bigint, n bigint, s1 bigint, s2 bigint, keys array<bigint>").withColumnRenamed("t", "doc_id"))
-    classes = filed.where("n > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("times"), F.first("keys").alias("keys"))
-    spread = classes.select("rep", F.explode("keys").alias("key"))
-    heads = cut(spread.groupBy("key").agg(F.min("rep").alias("head"), F.max("rep").alias("tail")).where("head <> tail").select("key", "head"))
-    near = spread.join(heads, "key").select(F.col("rep").alias("a"), F.col("head").alias("b")).where("a <> b").distinct()
-    groups = connected_components(near).withColumnRenamed("component", "g")
-    sizes = groups.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / chunk).alias("chunks"))
-    groups = cut(groups.join(cut(sizes), "g").join(classes.select(F.col("rep").alias("node"), "times"), "node"))
+    known = filed.where("n > 0 and doc_id is not null")
+    classes = cut(known.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("times")))
+    edges = None
+    for k in range(passes):
+        spread = known.select("doc_id", F.explode("keys").alias("key"))
+        if passes > 1:
+            spread = spread.where(F.pmod("key", F.lit(passes)) == k)
+        heads = cut(spread.groupBy("key").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("tail")).where("head <> tail").select("key", "head"))
+        met = cut(spread.join(heads, "key").select(F.col("doc_id").alias("a"), F.col("head").alias("b")).where("a <> b").distinct())
+        edges = met if edges is None else edges.union(met)
+    # copies of a class share all keys; one of each is enough to fetch
+    groups = connected_components(edges).withColumnRenamed("component", "g").join(classes.select(F.col("rep").alias("node"), "times"), "node")
+    groups = cut(groups)
+    sizes = groups.groupBy("g").agg(F.count(F.lit(1)).alias("held")).where("held > 1").select("g", F.ceil(F.col("held") / chunk).alias("chunks"))
+    groups = cut(groups.join(cut(sizes), "g"))
     # candidates grow with the corpus, so this join shuffles at every size
     fetched = docs.select(F.col("doc_id").alias("node"), text.alias("data")).join(groups.hint("merge"), "node").dropDuplicates(["node"])
     own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
@@ -320,12 +329,11 @@ def components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, chunk:
     whole = connected_components(links.select("a", "b"))
     counts = links.groupBy(F.col("a").alias("rep")).agg(F.sum("links").cast("long").alias("others"))
     found = counts.join(whole.withColumnRenamed("node", "rep"), "rep")
-    same = filed.where("n > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("times"))
-    verdict = same.join(found, "rep", "left").where("times > 1 or component is not null")
+    verdict = classes.join(found, "rep", "left").where("times > 1 or component is not null")
     verdict = verdict.select("s1", "s2", F.coalesce("component", "rep").alias("component"), (F.coalesce("others", F.lit(0)) + F.col("times") - 1).alias("n_links"))
     out = filed.join(cut(verdict), ["s1", "s2"], "left")
-    known = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    sound = (F.col("n") > 0) & F.col("doc_id").isNotNull()
     return out.select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce(F.when(known, F.col("component")), F.col("doc_id")).alias("component_id"),
-        F.coalesce(F.when(known, F.col("n_links")), F.lit(0)).cast("long").alias("n_links"),
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce(F.when(sound, F.col("component")), F.col("doc_id")).alias("component_id"),
+        F.coalesce(F.when(sound, F.col("n_links")), F.lit(0)).cast("long").alias("n_links"),
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import html_text, jaccard, licenses, lines, mixing, packing, quality, sharding, substrings, vectors
 from .common import table
+from .oracles import ORACLES
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,4 +55,4 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_mixing": op1_mixing, "op2_licenses": op2_licenses, "op3_quality": op3_quality, "op4_jaccard": op4_jaccard, "op5_vectors": op5_vectors, "op6_packing": op6_packing, "op7_sharding": op7_sharding, "op8_html_text": op8_html_text, "op9_lines": op9_lines, "op10_substrings": op10_substrings}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
