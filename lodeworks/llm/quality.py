@@ -76,12 +76,11 @@ def counts(docs: DataFrame) -> DataFrame:
     )
 
 
-def _jensen_shannon(p: list[Column], q: list[Column]) -> Column:
-    """Jensen-Shannon distance (root of the divergence in bits), 0 to 1."""
+def _jensen_shannon(p: Column, q: Column) -> Column:
+    """Jensen-Shannon distance (root of the divergence in bits) of two arrays of shares, 0 to 1."""
     part = lambda a, b: F.when(a > 0, a * F.log2(2 * a / (a + b))).otherwise(0.0)
-    total = F.lit(0.0)
-    for a, b in zip(p, q, strict=True):
-        total = total + part(a, b) / 2 + part(b, a) / 2
+    pairs = F.zip_with(p, q, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    total = F.aggregate(pairs, F.lit(0.0), lambda t, x: t + part(x["a"], x["b"]) / 2 + part(x["b"], x["a"]) / 2)
     return F.sqrt(F.greatest(F.lit(0.0), total))
 
 
@@ -111,7 +110,7 @@ def judge(docs: DataFrame, most_chars: float = 0.2, most_words: float = 0.24, le
     def distance(kinds: list[str], mark: str, least: int) -> Column:
         own, ref = ([F.col(f"{r}{mark}_{x}").cast("double") for x in kinds] for r in ("", "r_"))
         n, m = sum(own, F.lit(0.0)), sum(ref, F.lit(0.0))
-        return F.when((n >= least) & (m >= least), _jensen_shannon([x / n for x in own], [x / m for x in ref])).otherwise(0.0)
+        return F.when((n >= least) & (m >= least), _jensen_shannon(F.array(*(x / n for x in own)), F.array(*(x / m for x in ref)))).otherwise(0.0)
 
     both = both.withColumn("char_distance", distance(CHARACTERS, "c", least_chars)).withColumn("word_distance", distance(WORDS, "w", least_words))
     both = both.withColumn("kept", ~F.col("base_failed") & (F.col("char_distance") <= most_chars) & (F.col("word_distance") <= most_words))
