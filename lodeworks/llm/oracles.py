@@ -148,16 +148,16 @@ select doc_id, size, text_crc32, 'rows' as law, (p % {shards})::int as shard, (p
 
 LINES = r"""
 with d as (select doc_id, string_split(text, chr(10)) as l from documents),
-a as (select doc_id, unnest(range(0, len(l))) as at, regexp_extract_all(unnest(l), '[^\x20\x09-\x0D]+') as w from d),
-b as (select doc_id, at, array_to_string(w, ' ') as s, len(w) as n, w from a where len(w) > 0),
-f as (select s, any_value(n) as n, any_value(w) as w, min((doc_id, at)) as first from b group by 1),
+a as (select doc_id, unnest(range(0, len(l))) as pos, regexp_extract_all(unnest(l), '[^\x20\x09-\x0D]+') as w from d),
+b as (select doc_id, pos, array_to_string(w, ' ') as s, len(w) as n, w from a where len(w) > 0),
+f as (select s, any_value(n) as n, any_value(w) as w, min((doc_id, pos)) as first from b group by 1),
 v as (select s, n, first, i, array_to_string(list_concat(w[1:i - 1], w[i + 1:]), ' ') as x from (select *, unnest(range(1, n + 1)) as i from f where n >= 5)),
 near as (
   select p.s from v p join v q on p.n = q.n and p.i = q.i and p.x = q.x and q.first < p.first
   union select p.s from v p join f q on q.s = p.x and q.n >= 5 and q.first < p.first
   union select p.s from f p join v q on q.x = p.s and p.n >= 5 and q.first < p.first),
-g as (select b.doc_id, b.at from b join f using (s) where (b.doc_id, b.at) > f.first or s in (select s from near)),
-k as (select doc_id, count(distinct at) as n, string_agg(distinct at, ',' order by at) as dropped from g group by 1)
+g as (select b.doc_id, b.pos from b join f using (s) where (b.doc_id, b.pos) > f.first or s in (select s from near)),
+k as (select doc_id, count(distinct pos) as n, string_agg(distinct pos, ',' order by pos) as dropped from g group by 1)
 select d.doc_id, coalesce(len(d.l), 0)::bigint as n_lines, coalesce(k.n, 0)::bigint as n_dropped, coalesce(k.dropped, '') as dropped from d left join k using (doc_id)
 """
 
