@@ -12,8 +12,10 @@ RANGE = 1 << 40
 
 
 def _plain(line: Column) -> Column:
-    """A line's words with one space between them; most lines are so already."""
-    odd = line.rlike("[\\x09-\\x0D]|^ | $|  ")
+    """A line's words with one space between them; most lines are so already, which plain searches tell."""
+    odd = line.startswith(" ") | line.endswith(" ")
+    for space in ("  ", "\t", "\r", "\x0b", "\x0c"):
+        odd = odd | F.contains(line, F.lit(space))
     return F.when(odd, F.trim(F.regexp_replace(line, "[\\x20\\x09-\\x0D]+", " "))).otherwise(line)
 
 
@@ -38,33 +40,34 @@ def _lines(docs: DataFrame, least: int) -> DataFrame:
     # lines are made plain below the explode, whose output is evaluated once
     rows = docs.select("doc_id", F.posexplode(F.transform(F.split(F.coalesce(F.col("text"), F.lit("")), "\n"), _plain)).alias("at", "s")).where("s <> ''")
     rows = rows.select("doc_id", "at", "s", _size(F.col("s")).alias("n"))
-    long, short = _cut_length(F.col("n")), _cut_length(F.col("n") - 1)
+    rows = rows.withColumns({"long": _cut_length(F.col("n")), "short": _cut_length(F.col("n") - 1)})
     ends = lambda k: [F.xxhash64(F.lit(0), F.call_function("substring_index", F.col("s"), F.lit(" "), k)), F.xxhash64(F.lit(1), F.call_function("substring_index", F.col("s"), F.lit(" "), -k))]
-    keys = F.when(long == short, F.array(*ends(long))).otherwise(F.array(*ends(long), *ends(short)))
+    keys = F.when(F.col("long") == F.col("short"), F.array(*ends(F.col("long")))).otherwise(F.array(*ends(F.col("long")), *ends(F.col("short"))))
     return rows.select("doc_id", "at", F.xxhash64("s").alias("h"), F.xxhash64(F.lit(1), "s").alias("g"), F.when(F.col("n") >= least, keys).alias("keys"))
 
 
-def _but_a_quarter(s: Column, n: Column) -> Column:
-    """Keys of a plain line of n words without one of four segments; two near lines share one of them.
+def _but_one(s: Column, n: Column, segments: int = 8) -> Column:
+    """Keys of a plain line of n words without one of its segments; two near lines share one of them.
 
     A line of n words is cut against lines of up to n words and against those of n + 1: the segments before the
     one with the edit agree from the front, those after it from the back.
     """
-    keys = []
-    for longer in (0, 1):
-        size = n + longer
-        ends = [F.floor(size * k / 4).cast("int") for k in range(5)]
-        for k in range(4):
-            front, back = (F.call_function("substring_index", s, F.lit(" "), x) for x in (ends[k], ends[k + 1] - size))
-            keys.append(F.xxhash64(F.lit(k), size, front, back))
-    return F.array(*keys)
+
+    def key(i: Column) -> Column:
+        size, k = n + F.floor(i / segments).cast("int"), i % segments
+        end = lambda k: F.floor(size * k / segments).cast("int")
+        front, back = (F.call_function("substring_index", s, F.lit(" "), x) for x in (end(k), end(k + 1) - size))
+        return F.xxhash64(k, size, front, back)
+
+    # an array function, not an expression per key: generated code stays small
+    return F.transform(F.sequence(F.lit(0), F.lit(2 * segments - 1)), key)
 
 
 def near_pairs(docs: DataFrame, lines: DataFrame, least: int) -> DataFrame:
     """Distinct lines (h, g) that have a line one word edit away whose first place is earlier.
 
     lines: one row per distinct line with its first place. Only lines that share a segment key with another
-    line are looked up in their texts, and only those that agree with another but for a quarter of their words
+    line are looked up in their texts, and only those that agree with another but for an eighth of their words
     take part in the deletion-neighbourhood join: for each of their words, the line with that word
     replaced by a gap, and the line without it. Hashes of words by position are summed, so all variants of a
     line come from running sums, in time linear in its words. Lines with the same gapped variant are one
@@ -73,7 +76,7 @@ def near_pairs(docs: DataFrame, lines: DataFrame, least: int) -> DataFrame:
     pairs found are verified word by word.
     """
     spread = lines.where("keys is not null").select("h", "g", F.explode("keys").alias("key"))
-    shared = spread.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.min("g").alias("low_g"), F.max("g").alias("high_g")).where("low <> high or low_g <> high_g")
+    shared = spread.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high")
     # written out, so that the join below has two plain shuffles, whose hot keys Spark can split
     some = spread.join(cut(shared.select("key")), "key", "left_semi").select("h", "g").distinct()
     some = lines.join(some, ["h", "g"], "left_semi")
@@ -83,10 +86,10 @@ def near_pairs(docs: DataFrame, lines: DataFrame, least: int) -> DataFrame:
     held = cut(cutout.select("doc_id", "at", _plain(F.get("l", F.col("at"))).alias("s")).dropDuplicates(["doc_id", "at"]))
 
     place = F.struct("doc_id", F.col("at").cast("int").alias("at"))
-    quarters = held.select("doc_id", "at", "s", _size(F.col("s")).alias("n")).select(place.alias("place"), F.explode(_but_a_quarter(F.col("s"), F.col("n"))).alias("key"))
-    quarters = cut(quarters)
-    alike = quarters.groupBy("key").agg(F.min("place").alias("low"), F.max("place").alias("high")).where("low <> high").select("key")
-    alike = quarters.join(cut(alike), "key", "left_semi").select("place.*").distinct()
+    parts = held.select("doc_id", "at", "s", _size(F.col("s")).alias("n")).select(place.alias("place"), F.explode(_but_one(F.col("s"), F.col("n"))).alias("key"))
+    parts = cut(parts)
+    alike = parts.groupBy("key").agg(F.min("place").alias("low"), F.max("place").alias("high")).where("low <> high").select("key")
+    alike = parts.join(cut(alike), "key", "left_semi").select("place.*").distinct()
     held = cut(held.join(alike, ["doc_id", "at"], "left_semi").select("doc_id", "at", F.split("s", " ").alias("w")))
 
     words = held.select("doc_id", "at", F.size("w").alias("n"), F.posexplode("w").alias("j", "word"))
