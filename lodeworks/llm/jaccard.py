@@ -62,28 +62,32 @@ class Sizes:
     Small: a pair with b up to `boundary` shares a subset of exactly need(a, b) elements. Each set lists its
     subsets of that size for each size that a partner may have.
     Large: sizes fall into bands that grow by half. A set is filed in its band, and near the upper end in the
-    next one as well, so two linked sets meet in some band. A band allows at most `band.most` elements that are in just
-    one of two linked sets; its elements are dealt by hash to that many + 1 + SPARE parts, so at least 1 + SPARE
-    parts agree. Each set has an entry in the inverted list of every non-empty part. If more than SPARE parts are empty
-    in both sets the agreeing ones may all be empty: such sets add the elements of their prefix (the least
-    hashes, of which linked sets share one).
+    next one as well, so two linked sets meet in some band. A band allows at most D elements that are in just
+    one of two linked sets; its elements are dealt by hash to D + spare(D) parts, so at least spare(D) parts
+    agree. Each set has an entry in the inverted list of every non-empty part. Of a set with f non-empty parts
+    and any set it links with, at least f - D non-empty parts agree: that many of a set's lists must hold
+    another set, or it has no link in the band. If f - D < 1 in both sets, the agreeing parts may all be empty: such sets add
+    the elements of their prefix (the least hashes, of which linked sets share one).
 
     The boundary is the largest size up to which a set's subsets cost less than its parts would. A subset key
     costs one row, a part `dearer` times as much: parts of a few elements are shared by unlinked sets, too,
     whose texts then are fetched and joined.
     """
 
-    SPARE = 2
     GROWTH = 1.5
 
     def __init__(self, num: int, den: int, dearer: int = 8):
         self.num, self.den = num, den
         self.known: dict[tuple, tuple] = {}
         size = 1
-        while size < 200 and self.subsets(size + 1) <= dearer * (self.odd(2 * (size + 2)) + 1 + self.SPARE):
+        while size < 200 and self.subsets(size + 1) <= dearer * self.parts(self.odd(2 * (size + 2))):
             size += 1
         self.boundary = size
 
+    @staticmethod
+    def parts(odd: int) -> int:
+        return odd + 3 + (odd + 1) * 15 // 100
+
     def need(self, a: int, b: int) -> int:
         return -(-self.num * (a + b) // (self.num + self.den))
 
@@ -114,7 +118,7 @@ class Sizes:
         return tuple(out)
 
     def large(self, n: int) -> tuple:
-        """((band, parts, prefix), ...) of a set of n elements: none if all its partners and it are small."""
+        """((band, D, prefix), ...) of a set of n elements: none if all its partners and it are small."""
         top = self.den * n // self.num
         if top <= self.boundary:
             return ()
@@ -124,19 +128,23 @@ class Sizes:
             reach = self.den * (high - 1) // self.num  # the largest partner of the band's sets
             # a set is filed where it or a smaller partner is
             if n >= low and n <= reach:
-                out.append((band, self.odd(2 * reach) + 1 + self.SPARE, n - self.need(-(-self.num * n // self.den), n) + 1))
+                out.append((band, self.odd(2 * reach), n - self.need(-(-self.num * n // self.den), n) + 1))
             low, band = high, band + 1
         return tuple(out)
 
 
-def keys(s, sizes: Sizes):
-    """The int64 keys under which a set (sorted uint64 array) is filed."""
+def keys(s, sizes: Sizes) -> list[tuple]:
+    """(want, int64 keys), ...: the lists in which a set (sorted uint64 array) is filed, by pair sizes or band.
+
+    The set can only have links there if `want` of the lists, at least, hold another set; want also names the
+    band, in its upper bits.
+    """
     import numpy as np
 
     n = len(s)
-    out = []
+    out: list[tuple] = []
     if n == 0:
-        return np.empty(0, np.int64)
+        return out
     small, large = sizes.of(n)
     if small:
         mixed = [int(x) for x in _mix(s)]
@@ -144,23 +152,24 @@ def keys(s, sizes: Sizes):
             tag = sum(mixed) + (a * 1000 + b) * 0xD1B54A32D192ED03
             # subsets as what is left out of the whole
             sums = [(tag - sum(mixed[i] for i in gone)) & MASK for gone in combinations(range(n), n - c)]
-            out.append(_mix(np.array(sums, np.uint64)))
-    for band, parts, prefix in large:
+            out.append((((a * 1000 + b) << 32) + 1, _mix(np.array(sums, np.uint64)).view(np.int64)))
+    for band, odd, prefix in large:
+        parts = sizes.parts(odd)
         spread = _mix(s + np.uint64(band + 1))
         part = ((spread >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
         part = part.astype(np.int64)
         sums = np.zeros(parts, np.uint64)
         np.add.at(sums, part, spread)
         full = np.flatnonzero(np.bincount(part, minlength=parts))
-        tag = 1_000_003 * (band + 1)
-        out.append(_mix(sums[full] + full.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(tag)))
-        if parts - len(full) > sizes.SPARE:
-            out.append(_mix(s[:prefix] + np.uint64((tag * 0xA24BAED4963EE407) & MASK)))
-    return np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64)
+        tag, name = 1_000_003 * (band + 1), (1 << 24) + 2 * band
+        out.append(((name << 32) + max(1, len(full) - odd), _mix(sums[full] + full.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(tag)).view(np.int64)))
+        if len(full) - odd < 1:
+            out.append((((name + 1) << 32) + 1, _mix(s[:prefix] + np.uint64((tag * 0xA24BAED4963EE407) & MASK)).view(np.int64)))
+    return out
 
 
 def _filed(n: int, num: int, den: int):
-    """Arrow batches of (t, data) to (t, n_shingles, class key s1, s2, keys)."""
+    """Arrow batches of (t, data) to (t, n_shingles, class key s1, s2, bands)."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -178,9 +187,11 @@ def _filed(n: int, num: int, den: int):
                 s1.append(int.from_bytes(digest[:8], "little", signed=True))
                 s2.append(int.from_bytes(digest[8:], "little", signed=True))
                 lists.append(keys(s, sizes))
-            offsets = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32)
-            flat = np.concatenate(lists) if lists else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(t, pa.int64()), pa.array(size, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["t", "n", "s1", "s2", "keys"])
+            flat = [x for bands in lists for x in bands]
+            ends = lambda sizes: pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
+            held = pa.ListArray.from_arrays(ends([len(k) for _, k in flat]), pa.array(np.concatenate([k for _, k in flat]) if flat else np.empty(0, np.int64)))
+            bands = pa.StructArray.from_arrays([pa.array([w for w, _ in flat], pa.int64()), held], ["want", "keys"])
+            yield pa.RecordBatch.from_arrays([pa.array(t, pa.int64()), pa.array(size, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.ListArray.from_arrays(ends([len(x) for x in lists]), bands)], ["t", "n", "s1", "s2", "bands"])
 
     return run
 
@@ -290,7 +301,8 @@ def components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, chunk:
     similarity of their sets is at least num / den; sets without elements link with nothing. Equal sets are
     one class and are joined once; n_links is how many other documents a document links with.
 
-    1. Sets are filed under keys (class Sizes) such that linked classes share one; keys met once end there.
+    1. Sets are filed under keys (class Sizes) such that linked classes share enough of them; keys met once end
+       there, and so do sets that share fewer than any link would need.
        The keys are shuffled in `passes` parts of their range, one after the other, to bound the disk in use.
     2. Classes that share a key, directly or through others, make a candidate group; texts are fetched only
        for classes in groups of two or more, whose sets are joined exactly within tasks (join_block). A group
@@ -303,17 +315,23 @@ def components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, chunk:
     an empty table gives none; only doc_id and text are read.
     """
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    filed = cut(docs.select(F.col("doc_id").cast("long"), text.alias("data")).mapInArrow(_filed(n, num, den), "t bigint, n bigint, s1 bigint, s2 bigint, keys array<bigint>").withColumnRenamed("t", "doc_id"))
+    filed = cut(docs.select(F.col("doc_id").cast("long"), text.alias("data")).mapInArrow(_filed(n, num, den), "t bigint, n bigint, s1 bigint, s2 bigint, bands array<struct<want: bigint, keys: array<bigint>>>").withColumnRenamed("t", "doc_id"))
     known = filed.where("n > 0 and doc_id is not null")
     classes = cut(known.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("times")))
-    edges = None
+    live = None
     for k in range(passes):
-        spread = known.select("doc_id", F.explode("keys").alias("key"))
+        spread = known.select("doc_id", F.explode("bands").alias("b")).select("doc_id", "b.want", F.explode("b.keys").alias("key"))
         if passes > 1:
             spread = spread.where(F.pmod("key", F.lit(passes)) == k)
-        heads = cut(spread.groupBy("key").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("tail")).where("head <> tail").select("key", "head"))
-        met = cut(spread.join(heads, "key").select(F.col("doc_id").alias("a"), F.col("head").alias("b")).where("a <> b").distinct())
-        edges = met if edges is None else edges.union(met)
+        shared = cut(spread.groupBy("key").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("tail")).where("head <> tail").select("key"))
+        met = cut(spread.join(shared, "key"))
+        live = met if live is None else live.union(met)
+    for _ in range(2):  # what goes takes others with it; two rounds catch most
+        enough = live.groupBy("doc_id", "want").agg(F.count(F.lit(1)).alias("lists")).where("lists >= want & 4294967295").select("doc_id", "want")
+        live = live.join(cut(enough), ["doc_id", "want"])
+        heads = live.groupBy("key").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("tail")).where("head <> tail").select("key", "head")
+        live = cut(live.drop("head").join(cut(heads), "key"))
+    edges = live.select(F.col("doc_id").alias("a"), F.col("head").alias("b")).where("a <> b").distinct()
     # copies of a class share all keys; one of each is enough to fetch
     groups = connected_components(edges).withColumnRenamed("component", "g").join(classes.select(F.col("rep").alias("node"), "times"), "node")
     groups = cut(groups)
