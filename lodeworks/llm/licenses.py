@@ -58,7 +58,7 @@ def scan(docs: DataFrame, rare: int = 12, least: float = 0.75, notices: list = N
     would start, and for each notice the start that most postings agree on is verified: its mandatory phrases
     must stand there in full, and score is the share of the notice's words found in place. A notice of at
     least the share least gives its label. Each row is decided from its own text and the constant index, so
-    there is no shuffle and no join. Files without any index word or base phrase skip the word list.
+    there is no shuffle and no join. Files that hold no phrase's longest word are only counted.
 
     Null or empty text: no words, counts 0, null positions, empty labels, score 0. Equal rows give equal rows;
     an empty table gives none; only doc_id and text are read.
@@ -71,10 +71,14 @@ def scan(docs: DataFrame, rare: int = 12, least: float = 0.75, notices: list = N
     maybe = F.lit(False)
     for k in keys:
         maybe = maybe | F.contains("low", F.lit(k))
-    words = F.when(maybe, F.transform(F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0)), lambda w: F.translate(w, UPPER, LOWER))).otherwise(F.array().cast("array<string>"))
-    out = docs.select("doc_id", text.alias("text"), F.lower(text).alias("low"))
-    text = F.col("text")
-    out = out.select("doc_id", F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_words"), words.alias("words"))
+    words = F.transform(F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0)), lambda w: F.translate(w, UPPER, LOWER))
+    every_file = docs.select("doc_id", text.alias("text"), F.lower(text).alias("low"))
+    count = F.regexp_count(F.col("text"), F.lit(WORD)).cast("long").alias("n_words")
+    none, empty = F.lit(None).cast("long"), F.lit("")
+    plain = every_file.where(~maybe).select(
+        "doc_id", count, F.lit(0).cast("long").alias("n_base"), none.alias("first_word"), none.alias("last_word"), empty.alias("base_labels"), empty.alias("labels"), F.lit(0.0).alias("score")
+    )
+    out = every_file.where(maybe).select("doc_id", count, words.alias("words"))
     known = F.filter(F.transform(F.col("words"), lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: x["w"].isin(vocabulary))
     out = out.withColumn("known", known)
 
@@ -123,9 +127,10 @@ def scan(docs: DataFrame, rare: int = 12, least: float = 0.75, notices: list = N
         scores.append(F.when(start.isNotNull() & firm, same / F.lit(float(len(here)))).otherwise(F.lit(0.0)))
     out = out.withColumn("scores", F.array(*scores))
     found = F.filter(F.array(*(F.when(F.get("scores", F.lit(n)) >= least, F.lit(label)) for n, (label, *_) in enumerate(notices))), lambda x: x.isNotNull())
-    plain = F.filter(F.array(*(F.when(F.size(f"at_{x}") > 0, F.lit(x)) for x in places)), lambda x: x.isNotNull())
+    own = F.filter(F.array(*(F.when(F.size(f"at_{x}") > 0, F.lit(x)) for x in places)), lambda x: x.isNotNull())
     line = lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")
-    return out.select(
+    scanned = out.select(
         "doc_id", "n_words", F.size(every).cast("long").alias("n_base"), F.array_min(every).cast("long").alias("first_word"), F.array_max(every).cast("long").alias("last_word"),
-        line(plain).alias("base_labels"), line(F.concat(plain, found)).alias("labels"), F.array_max("scores").alias("score"),
+        line(own).alias("base_labels"), line(F.concat(own, found)).alias("labels"), F.array_max("scores").alias("score"),
     )
+    return scanned.union(plain)
