@@ -68,11 +68,15 @@ def scan(docs: DataFrame, rare: int = 12, least: float = 0.75, notices: list = N
     keys = sorted({max(p.split(), key=len) for p in base} | {max(p.split(), key=len) for *_, ps in notices for p in ps})
     text = F.coalesce(F.col("text"), F.lit(""))
     # a base place or a verified notice needs the longest word of some phrase; lower() may only add matches
-    maybe = F.lit(False)
-    for k in keys:
-        maybe = maybe | F.contains("low", F.lit(k))
+    def holds(low: Column) -> Column:
+        out = F.lit(False)
+        for k in keys:
+            out = out | F.contains(low, F.lit(k))
+        return out
+
+    maybe = F.exists(F.array(F.lower("text")), holds)  # an array function lower-cases the text once for all keys
     words = F.transform(F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0)), lambda w: F.translate(w, UPPER, LOWER))
-    every_file = docs.select("doc_id", text.alias("text"), F.lower(text).alias("low"))
+    every_file = docs.select("doc_id", text.alias("text"))
     count = F.regexp_count(F.col("text"), F.lit(WORD)).cast("long").alias("n_words")
     none, empty = F.lit(None).cast("long"), F.lit("")
     plain = every_file.where(~maybe).select(
