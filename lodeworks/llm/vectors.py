@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from .common import connected_components, cut
 
+#: Fixed value: how many cosines are taken to cost as much as moving a vector to a cell.
+MOVE = 1500
+
 
 def unit(x):
     """Rows of a float array scaled to length 1 in double precision."""
@@ -66,34 +69,84 @@ class MultiIndex:
         near = [np.take_along_axis(y, r, axis=1) for y, r in zip(d, rank, strict=True)]
         ij = [(i, j) for i in range(min(self.k, visits)) for j in range(min(self.k, visits // (i + 1)))]
         i, j = np.array(ij).T
-        order = np.argsort(near[0][:, i] + near[1][:, j], axis=1, kind="stable")[:, :visits]
-        return np.take_along_axis(rank[0], i[order], axis=1) * self.k + np.take_along_axis(rank[1], j[order], axis=1)
+        out = np.empty((len(x), visits), np.int64)
+        step = max(1, 4_000_000 // len(i))  # bounds the memory, whatever the number of visits
+        for lo in range(0, len(x), step):
+            at = slice(lo, lo + step)
+            order = np.argsort(near[0][at][:, i] + near[1][at][:, j], axis=1, kind="stable")[:, :visits]
+            out[at] = np.take_along_axis(rank[0][at], i[order], axis=1) * self.k + np.take_along_axis(rank[1][at], j[order], axis=1)
+        return out
+
+    def ranks(self, x, cells):
+        """How many cells each row of x visits before the given one, ties counted in full."""
+        import numpy as np
+
+        parts = [x[:, : self.half], x[:, self.half :]] if x.shape[1] > 1 else [x, x]
+        d = [distances(p, b) for p, b in zip(parts, self.books, strict=True)]
+        out = np.empty(len(x), np.int64)
+        step = max(1, 8_000_000 // (self.k * self.k))
+        for lo in range(0, len(x), step):
+            at = slice(lo, lo + step)
+            grid = (d[0][at][:, :, None] + d[1][at][:, None, :]).reshape(-1, self.k * self.k)
+            out[at] = (grid <= np.take_along_axis(grid, cells[at, None], axis=1)).sum(axis=1) - 1
+        return out
+
+
+def turned(x, least: float, seed: int = 7):
+    """Rows at cosine least exactly to those of x, each in a random direction; x itself in one dimension."""
+    import numpy as np
 
+    if x.shape[1] < 2:
+        return x
+    z = np.random.default_rng(seed).normal(size=x.shape)
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    return least * x + np.sqrt(max(0.0, 1 - least * least)) * unit(z)
 
-def visits_for(index: MultiIndex, sample, least: float, recall: float, queries: int = 1500, most: int = 256) -> int:
-    """How many cells to visit so that the given share of the sample's links is found from either end."""
+
+def visits_for(index: MultiIndex, sample, least: float, recall: float, queries: int = 1500, turns: int = 4000) -> int:
+    """How many cells to visit so that the given share of links is found from either end, up to all cells.
+
+    A sample of a large table may hold hardly any of its links. So vectors of the sample are also turned to cosine
+    `least`, the farthest a link can be, at least `turns` times in all; the worse of these pairs and of the
+    sample's own links counts.
+    """
     import numpy as np
 
+    def need(x, y) -> int:
+        ranks = np.sort(np.minimum(index.ranks(x, index.cells(y, 1)[:, 0]), index.ranks(y, index.cells(x, 1)[:, 0])))
+        return int(ranks[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))))]) + 1
+
     q = sample[:queries]
+    x = np.tile(q, (-(-turns // len(q)), 1))
+    out = need(x, turned(x, least))
     a, b = np.nonzero(q @ sample.T >= least)
     keep = a != b
     a, b = a[keep], b[keep]
-    if not len(a):
-        return min(16, most)
-    pick = np.random.default_rng(9).permutation(len(a))[:20_000]
-    a, b = a[pick], b[pick]
-    rows = np.unique(np.concatenate([a, b]))
-    cells = index.cells(sample[rows], most)
-    place = {int(r): n for n, r in enumerate(rows)}
-    ia, ib = np.array([place[int(x)] for x in a]), np.array([place[int(x)] for x in b])
+    if len(a):
+        pick = np.random.default_rng(9).permutation(len(a))[:20_000]
+        out = max(out, need(sample[a[pick]], sample[b[pick]]))
+    return out
 
-    def rank(of, own):
-        hit = cells[of] == own[:, None]
-        return np.where(hit.any(axis=1), hit.argmax(axis=1), cells.shape[1])
 
-    ranks = np.minimum(rank(ia, cells[ib, 0]), rank(ib, cells[ia, 0]))
-    need = np.sort(ranks)[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))))]
-    return int(min(most, need + 1))
+def fitted(sample, n: int, least: float, recall: float, fill: int, most_centres: int, queries: int = 1500) -> tuple[MultiIndex, int]:
+    """The index for n vectors and its number of visits: of the finest grid and its halvings, the one of least cost.
+
+    If the sample is only a part of the table, its queries are kept out of the codebooks, as most vectors are.
+    """
+    import numpy as np
+
+    rest = sample[min(queries, len(sample) // 4) :] if n > len(sample) else sample
+    k = int(min(most_centres, len(rest), max(2, np.ceil(np.sqrt(n / fill)))))
+    best = None
+    while True:
+        index = MultiIndex(rest, k)
+        visits = visits_for(index, sample, least, recall, min(queries, max(1, len(sample) // 4)) if n > len(sample) else queries)
+        cost = visits * (n / (k * k) + MOVE)
+        if best is None or cost < best[0]:
+            best = cost, index, visits
+        if k <= 2:
+            return best[1:]
+        k = max(2, k // 2)
 
 
 def _matrix(column, n: int):
@@ -147,8 +200,9 @@ def _linked(index: MultiIndex, visits: int, least: float):
             targets, back = np.unique(j, return_inverse=True)
             visited = index.cells(x[targets], visits)
             mutual = np.empty(len(i), bool)
-            for lo in range(0, len(i), 200_000):
-                mutual[lo : lo + 200_000] = (visited[back[lo : lo + 200_000]] == own[i[lo : lo + 200_000], None]).any(axis=1)
+            step = max(1, 20_000_000 // visited.shape[1])
+            for lo in range(0, len(i), step):
+                mutual[lo : lo + step] = (visited[back[lo : lo + step]] == own[i[lo : lo + step], None]).any(axis=1)
             keep = ~mutual | (ids[i] < ids[j])
             i, j = i[keep], j[keep]
             names, place = np.unique(ids, return_inverse=True)
@@ -190,8 +244,9 @@ def near(vectors: DataFrame, least: float = 0.9, recall: float = 0.995, fill: in
     joined once and counted as often as they occur.
 
     Index: two codebooks are fitted by k-means on at most sample_rows classes (the least hashes of their ids),
-    each of sqrt(classes / fill) centres, most_centres at most. Every class lies in the cell of its nearest centres
-    and visits the cells nearest to it; their number is the least that finds `recall` of the sample's links.
+    each of sqrt(classes / fill) centres, most_centres at most, or a halving of that if it costs less (see fitted).
+    Every class lies in the cell of its nearest centres and visits the cells nearest to it; their number is the
+    least that finds `recall` of the sample's links and of pairs at cosine `least` exactly, all cells if need be.
     All pairs of a cell's vectors and visitors are verified. A cell is dealt to chunks of about `chunk`
     vectors and visitors, each pair of chunks one task's work, so cells may grow without bound.
 
@@ -216,9 +271,7 @@ def near(vectors: DataFrame, least: float = 0.9, recall: float = 0.995, fill: in
     same = classes.where(F.size("v") == length).select("id", "times", "v")
     if length:
         x = unit(np.array([v for v in sample if len(v) == length]))
-        k = int(min(most_centres, len(x), max(2, np.ceil(np.sqrt(n / fill)))))
-        index = MultiIndex(x, k)
-        visits = visits_for(index, x, least, recall)
+        index, visits = fitted(x, n, least, recall, fill, most_centres)
     kind = dict(classes.dtypes)["v"]
     if length:
         assigned = cut(same.mapInArrow(_assigned(index, visits), f"id bigint, times bigint, v {kind}, cell int, cells array<int>"))

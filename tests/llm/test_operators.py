@@ -241,6 +241,18 @@ def test_vectors(spark):
     assert sum(have[i].n_links for i in ids) >= 0.9 * want.sum()
 
 
+def test_vector_pairs(spark):
+    """Pairs just within the limit, in a table far larger than the sample, which holds hardly any of them."""
+    g = np.random.default_rng(4)
+    x = vectors.unit(g.normal(size=(3000, 64)))
+    x = np.concatenate([x, vectors.turned(x, 0.901, seed=12)]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    out = vectors.near(df, fill=4, sample_rows=300).where("n_links > 0").count()
+    assert out >= 0.99 * len(x)
+    index = vectors.MultiIndex(x[:500].astype(float), 9)
+    assert all((index.ranks(x.astype(float), index.cells(x.astype(float), v)[:, -1]) == v - 1).all() for v in (1, 20, 81))
+
+
 def test_vector_traversal():
     """The traversal visits the very cells that sorting the whole grid would."""
     g = np.random.default_rng(8)
