@@ -50,21 +50,34 @@ def _index(notices: list) -> tuple[list[str], dict[str, list[int]]]:
     return vocabulary, {w: [n * STEP + ZERO - k for n, t in enumerate(texts) for k, x in enumerate(t) if x == w] for w in vocabulary}
 
 
-def scan(docs: DataFrame, rare: int = 12, least: float = 0.75, notices: list = NOTICES, base: dict[str, str] = BASE) -> DataFrame:
+def _anchor(notice: str, phrases: list[str], df: dict[str, int]) -> tuple[str, int]:
+    """The rarest word of a notice's mandatory phrases (the longest of equals), and its place in the notice."""
+    here, places = notice.split(), []
+    for p in (x.split() for x in phrases):
+        k = next(k for k in range(len(here)) if here[k : k + len(p)] == p)
+        places += [(df[w], -len(w), k + i, w) for i, w in enumerate(p)]
+    *_, k, word = min(places)
+    return word, k
+
+
+def scan(docs: DataFrame, least: float = 0.75, notices: list = NOTICES, base: dict[str, str] = BASE) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    Base: all places where a phrase's words stand consecutively. Index: of each file's words that occur in any
-    notice, the rare highest-IDF ones are looked up; each posting names a notice and the file position where it
-    would start, and for each notice the start that most postings agree on is verified: its mandatory phrases
-    must stand there in full, and score is the share of the notice's words found in place. A notice of at
-    least the share least gives its label. Each row is decided from its own text and the constant index, so
+    Base: all places where a phrase's words stand consecutively. Index: each notice is filed under the
+    rarest word of its mandatory phrases, by its document frequency over the notices. Every place of such a word in a
+    file names a notice and the position where it would start, and every such start is verified: the mandatory
+    phrases must stand there in full, and score is the share of the notice's words found in place, the best of all
+    starts. As no notice counts without its phrases, no start is missed. A notice of at least the share least gives
+    its label. Each row is decided from its own text and the constant index, so
     there is no shuffle and no join. Files without any index word or base phrase skip the word list.
 
     Null or empty text: no words, counts 0, null positions, empty labels, score 0. Equal rows give equal rows;
     an empty table gives none; only doc_id and text are read.
     """
     vocabulary, postings = _index(notices)
-    rank = {w: k for k, w in enumerate(vocabulary)}
+    anchors = [_anchor(t, ps, {w: len({p // STEP for p in postings[w]}) for w in vocabulary}) for _, t, ps in notices]
+    ends = sorted({p.split()[-1] for p in base})
+    index = sorted({w for w, _ in anchors} | set(ends))
     keys = sorted({max(p.split(), key=len) for p in base} | {max(p.split(), key=len) for *_, ps in notices for p in ps})
     text = F.coalesce(F.col("text"), F.lit(""))
     # a base place or a verified notice needs the longest word of some phrase; lower() may only add matches
@@ -75,13 +88,11 @@ def scan(docs: DataFrame, rare: int = 12, least: float = 0.75, notices: list = N
     out = docs.select("doc_id", text.alias("text"), F.lower(text).alias("low"))
     text = F.col("text")
     out = out.select("doc_id", F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_words"), words.alias("words"))
-    known = F.filter(F.transform(F.col("words"), lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: x["w"].isin(vocabulary))
+    known = F.filter(F.transform(F.col("words"), lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: x["w"].isin(index))
     out = out.withColumn("known", known)
 
-    ends = sorted({p.split()[-1] for p in base})
-    lasts = F.filter("known", lambda x: x["w"].isin(ends)) if set(ends) <= set(vocabulary) else None
-    if lasts is None:
-        raise ValueError("the last word of each base phrase must occur in a notice")
+    lasts = F.filter("known", lambda x: x["w"].isin(ends))
+
     def standing(phrase: list[str]) -> Column:
         """The starts of all places of a phrase, found by its last word."""
         back = len(phrase) - 1
@@ -93,34 +104,28 @@ def scan(docs: DataFrame, rare: int = 12, least: float = 0.75, notices: list = N
         out = out.withColumn(f"at_{label}", at)
     every = F.concat(*(F.col(f"at_{x}") for x in places))
 
-    order = F.create_map(*(F.lit(x) for w in vocabulary for x in (w, rank[w])))
-    looked_up = F.slice(F.array_sort(F.array_distinct(F.transform("known", lambda x: order[x["w"]]))), 1, rare)
-    post = F.array(*(F.array(*(F.lit(p).cast("long") for p in postings[w])) for w in vocabulary))
-    out = out.withColumn("ranks", looked_up)
-    hits = F.flatten(F.transform(F.filter("known", lambda x: F.array_contains("ranks", order[x["w"]])), lambda x: F.transform(F.get(post, order[x["w"]]), lambda p: p + x["i"].cast("long"))))
-    out = out.withColumn("hits", F.sort_array(hits))
-
-    def best(n: int) -> Column:
-        """The start that most postings of notice n agree on (the first of equals), as (count, start)."""
-        own = F.filter("hits", lambda h: (h >= n * STEP) & (h < (n + 1) * STEP))
-        null = F.struct(F.lit(-1).cast("long").alias("h"), F.lit(0).alias("c"), F.lit(-1).cast("long").alias("top"), F.lit(0).alias("most"))
-
-        def step(a: Column, h: Column) -> Column:
-            c = F.when(a["h"] == h, a["c"] + 1).otherwise(1)
-            return F.struct(h.alias("h"), c.alias("c"), F.when(c > a["most"], h).otherwise(a["top"]).alias("top"), F.greatest(c, a["most"]).alias("most"))
-
-        return F.aggregate(own, null, step, lambda a: F.when(a["most"] > 0, a["top"] - (n * STEP + ZERO)).cast("int"))
-
-    scores = []
-    for n, (_, notice, phrases) in enumerate(notices):
-        out = out.withColumn(f"start_{n}", best(n))
-        start, here = F.col(f"start_{n}"), notice.split()
-        same = F.size(F.filter(F.array(*(F.struct(F.lit(w).alias("w"), F.lit(k).alias("k")) for k, w in enumerate(here))), lambda x: (start + x["k"] >= 0) & (F.get("words", start + x["k"]) == x["w"])))
-        firm = F.lit(True)
-        for p in (x.split() for x in phrases):
-            k = next(k for k in range(len(here)) if here[k : k + len(p)] == p)
-            firm = firm & (start + k >= 0) & _at(F.col("words"), start + k, p)
-        scores.append(F.when(start.isNotNull() & firm, same / F.lit(float(len(here)))).otherwise(F.lit(0.0)))
+    def score(n: int) -> Column:
+        """The best score of notice n over all starts that its anchor names, 0 without a firm one."""
+        (_, notice, phrases), (word, back) = notices[n], anchors[n]
+        here = notice.split()
+
+        def firm(start: Column) -> Column:
+            out = F.lit(True)
+            for p in (x.split() for x in phrases):
+                k = next(k for k in range(len(here)) if here[k : k + len(p)] == p)
+                out = out & (start + k >= 0) & _at(F.col("words"), start + k, p)
+            return out
+
+        def share(start: Column) -> Column:
+            same = F.lit(0)
+            for k, w in enumerate(here):
+                same = same + F.when((start + k >= 0) & (F.get("words", start + k) == w), 1).otherwise(0)
+            return same / F.lit(float(len(here)))
+
+        starts = F.transform(F.filter("known", lambda x: x["w"] == word), lambda x: x["i"] - back)
+        return F.coalesce(F.array_max(F.transform(F.filter(starts, firm), share)), F.lit(0.0))
+
+    scores = [score(n) for n in range(len(notices))]
     out = out.withColumn("scores", F.array(*scores))
     found = F.filter(F.array(*(F.when(F.get("scores", F.lit(n)) >= least, F.lit(label)) for n, (label, *_) in enumerate(notices))), lambda x: x.isNotNull())
     plain = F.filter(F.array(*(F.when(F.size(f"at_{x}") > 0, F.lit(x)) for x in places)), lambda x: x.isNotNull())

@@ -139,6 +139,18 @@ def test_license_notices(spark):
     assert broken.labels == ""
 
 
+def test_license_notices_in_long_texts(spark):
+    """Each notice after every index word, stray uses of its phrases and a broken copy, among ordinary words."""
+    vocabulary, _ = licenses._index(licenses.NOTICES)
+    plain = "In 2 of 3 cases you can use it for files in code form and 0 are into " * 40
+    texts = []
+    for _, notice, phrases in licenses.NOTICES:
+        texts.append(f"{plain} {' '.join(vocabulary)} {' and '.join(phrases)} {plain} {' '.join(vocabulary[::-1])} {notice.split()[0]} {notice} {plain} {phrases[0]}")
+    out = by_id(licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")))
+    for i, (label, *_) in enumerate(licenses.NOTICES):
+        assert label in out[i]["labels"].split(",") and out[i]["score"] == 1.0, licenses.NOTICES[i]
+
+
 def quality_base(text):
     w = WORD.findall(text)
     windows = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
