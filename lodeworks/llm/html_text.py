@@ -31,10 +31,14 @@ STOPS = re.compile(r"[.,;:!?、。，！？；]")
 
 
 class Block:
-    __slots__ = ("path", "spine", "bits", "linked", "dropped", "heading", "text")
+    __slots__ = ("path", "spine", "tags", "bits", "linked", "dropped", "heading", "text")
 
-    def __init__(self, path, spine, dropped, heading):
-        self.path, self.spine, self.dropped, self.heading, self.bits, self.linked, self.text = path, spine, dropped, heading, [], 0, ""
+    def __init__(self, path, spine, tags, dropped, heading):
+        self.path, self.spine, self.tags, self.dropped, self.heading, self.bits, self.linked, self.text = path, spine, tags, dropped, heading, [], 0, ""
+
+    def links(self) -> bool:
+        """Whether most of the text stands in links."""
+        return 2 * self.linked > len(self.text)
 
 
 def _marked(tag: str, attributes: str, in_article: bool) -> bool:
@@ -81,7 +85,7 @@ def blocks(page: str) -> list[Block]:
                 return
             at = next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] not in INLINE)
             holder = stack[at]
-            now = Block(holder[2], [s[3] for s in stack[: at + 1]], holder[1] or (holder[6] and holder[0] not in HEADINGS), holder[0] in HEADINGS)
+            now = Block(holder[2], [s[3] for s in stack[: at + 1]], [s[0] for s in stack[: at + 1]], holder[1] or (holder[6] and holder[0] not in HEADINGS), holder[0] in HEADINGS)
             out.append(now)
         if top[1] and not now.dropped:
             return  # an inline element that is dropped
@@ -159,6 +163,32 @@ def _smooth(x: list[float], radius: int = 1) -> list[float]:
     return out
 
 
+def _whole(found: list[Block], chosen: set[str], spine: list[int], tags: list[str], depth: int) -> list[Block]:
+    """The article around the element at this depth of a spine: what the narrowest element of the content leaves out.
+
+    The element widens to the article or main around it, then to its parents below body while they add no block
+    of links. Beside it, elements that hold content come whole, and so does what follows the heading before it: an
+    h1, or any heading that stands beside one of the elements around the content.
+    """
+    common = [next((k for k, (m, n) in enumerate(zip(b.spine, spine, strict=False)) if m != n), min(len(b.spine), len(spine))) for b in found]
+    linked = {c for b, c in zip(found, common, strict=True) if b.links()}  # a block with c elements in common joins at the element c - 1
+    depth = max((k for k in range(depth + 1) if tags[k] in ("article", "main")), default=depth)
+    while depth > 1 and tags[depth - 1] not in ("html", "body") and depth not in linked:
+        depth -= 1
+    branches = [b.spine[c] if c <= depth and c < len(b.spine) else -1 for b, c in zip(found, common, strict=True)]
+    held = {n for b, n in zip(found, branches, strict=True) if b.path in chosen} - {-1}
+    taken = [b.path in chosen or not b.links() and (c > depth or n in held) for b, c, n in zip(found, common, branches, strict=True)]
+    around = set(spine[: depth + 1])
+    first = taken.index(True)
+    for k in range(first - 1, -1, -1):
+        if found[k].links():
+            break
+        if found[k].heading and (found[k].tags[-1] == "h1" or found[k].spine[-2] in around):
+            taken[k:first] = [True] * (first - k)
+            first = k
+    return [b for b, t in zip(found, taken, strict=True) if t]
+
+
 def main_text(page: str | None, level: float = 0.5, share: float = 0.8) -> str:
     """The article of a page, its blocks joined by two newlines; empty if there is none.
 
@@ -166,7 +196,7 @@ def main_text(page: str | None, level: float = 0.5, share: float = 0.8) -> str:
     and punctuation are summed and divided by the path's blocks; both ratios are smoothed over the page and
     fused by product, and blocks of at least level times the fused series' standard deviation are content. All
     of a content path's blocks are content, and so is what else stands in the innermost element that holds at
-    least the given share of the content's characters (headings, short paragraphs, lists).
+    least the given share of the content's characters (headings, short paragraphs, lists), widened by _whole.
     """
     found = blocks(page or "")
     if not found:
@@ -195,11 +225,11 @@ def main_text(page: str | None, level: float = 0.5, share: float = 0.8) -> str:
             for n in b.spine:
                 weight[n] = weight.get(n, 0) + len(b.text)
     holder = max((n for n, x in weight.items() if x >= share * total), default=0)  # inner elements have higher numbers
-    by_number = next(b.spine for b in found if b.path in chosen and holder in b.spine)
-    depth = by_number.index(holder)
-    lone = depth == len(by_number) - 1 and depth > 0  # one single block: what stands beside it may belong to it
-    holder = by_number[depth - 1] if lone else holder
-    return "\n\n".join(b.text for b in found if (holder in b.spine and (2 * b.linked <= len(b.text) or b.path in chosen)) or b.path in chosen)
+    inside = next(b for b in found if b.path in chosen and holder in b.spine)
+    depth = inside.spine.index(holder)
+    if depth == len(inside.spine) - 1 and depth > 0:
+        depth -= 1  # one single block: what stands beside it may belong to it
+    return "\n\n".join(b.text for b in _whole(found, chosen, inside.spine, inside.tags, depth))
 
 
 def extract(pages: DataFrame) -> DataFrame:

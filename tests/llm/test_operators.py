@@ -443,6 +443,25 @@ def test_html(spark):
     assert out[98].text == out[99].text == "" and out[100].text == "deep."
 
 
+def test_html_around_the_content():
+    """What stands beside the innermost element of the content belongs to the article, boilerplate does not."""
+    p = "This is a sentence of the article, with some words in it; and a few more. "
+    three = f"<p>{p * 3}</p><p>{p * 2}</p><p>{p * 3}</p>"
+    body = [(p * 3).strip(), (p * 2).strip(), (p * 3).strip()]
+    nav, links = "<nav><a href=x>Home</a></nav>", "<ul><li><a href=a>one thing</a></li><li><a href=b>two</a></li></ul>"
+    unequal = f"<section><h2>Large</h2>{three * 3}</section><section><h2>Small</h2><p>Short.</p><p>{p}</p></section>"
+    sections = ["Large", *body * 3, "Small", "Short.", p.strip()]
+    cases = [
+        (f"<body>{nav}<article><h1>Title</h1><p>By me</p><div class=content>{three}</div><ul><li>a point</li></ul></article></body>", ["Title", "By me", *body, "a point"]),
+        (f"<body>{nav}<div><h1>Title</h1><p>By me</p><div class=content>{three}</div></div>{links}</body>", ["Title", "By me", *body]),
+        (f"<body>{links}<h1>Title</h1><div class=content>{three}</div><div><div>All rights reserved</div></div></body>", ["Title", *body]),
+        (f"<body>{nav}<article>{unequal}</article></body>", sections),
+        (f"<body>{nav}{unequal}{links}</body>", sections),
+    ]
+    for page, want in cases:
+        assert html_text.main_text(page) == "\n\n".join(want), page
+
+
 def test_queries_on_small_tables(spark, sf_dir):
     from lodeworks.llm import queries
 
