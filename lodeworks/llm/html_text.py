@@ -15,6 +15,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 DROPPED = frozenset("head script style noscript template nav footer aside form button select option textarea iframe object svg math canvas audio video dialog menu input fieldset title".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+IN_HEAD = frozenset("base basefont bgsound link meta title style script noscript noframes template".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # Parts of class, id and role names that mark what is not the article.
 MARKS = frozenset(
@@ -68,7 +69,7 @@ def _marked(tag: str, attributes: str, in_article: bool) -> bool:
 
 
 def blocks(page: str) -> list[Block]:
-    """Text blocks in page order: runs of text not broken by a block-level element."""
+    """Text blocks in page order: runs of text not broken by a block-level element. An open head ends where HTML ends it."""
     # stack entries: tag, dropped, path, own number, inside an article, inside a link, inside a header of an article
     stack = [("", False, "", 0, False, False, False)]
     out: list[Block] = []
@@ -79,6 +80,9 @@ def blocks(page: str) -> list[Block]:
         nonlocal now
         if not piece:
             return
+        if stack[-1][0] == "head" and not piece.isspace():
+            stack.pop()
+            now = None
         top = stack[-1]
         if now is None:
             if piece.isspace():
@@ -112,6 +116,10 @@ def blocks(page: str) -> list[Block]:
                 now = None
         elif tag:
             tag = tag.lower()
+            if stack[-1][0] == "head" and tag not in IN_HEAD or tag == "body" and any(s[0] == "head" for s in stack):
+                # the end tag of a head may be left out: what cannot stand in it closes it
+                del stack[next(k for k, s in enumerate(stack) if s[0] == "head") :]
+                now = None
             if tag == "br":
                 text(" ")
                 continue

@@ -462,6 +462,17 @@ def test_html_around_the_content():
         assert html_text.main_text(page) == "\n\n".join(want), page
 
 
+def test_html_open_head():
+    """A page may leave out </head>: body, text or a tag that cannot stand in a head ends it."""
+    p = "This is a sentence of the article, with some words in it; and a few more. "
+    body = f"<h1>Title</h1><p>{p * 3}</p><p>{p * 2}</p>"
+    head = "<html><head><meta charset=utf-8><title>No title</title><style>p{margin:0}</style><noscript><img src=x>nothing</noscript>"
+    want = "\n\n".join(["Title", (p * 3).strip(), (p * 2).strip()])
+    for page in (f"{head}<body>{body}</body></html>", f"{head}\n{body}", f"{head}</head><body>{body}", f"{head}<noscript><body>{body}", f"{head}<div>{body}</div>"):
+        assert html_text.main_text(page) == want, page
+    assert html_text.main_text(f"{head} {p}") == html_text.main_text(f"{head}<b>{p[:9]}</b>{p[9:]}") == p.strip()
+
+
 def test_queries_on_small_tables(spark, sf_dir):
     from lodeworks.llm import queries
 
