@@ -21,7 +21,8 @@ class WordIds(dict):
 
     Holds for tokenizers that lower-case, drop white space and part a run of letters from a symbol after it, so
     that a text's ids are its pieces' ids. At most `most` pieces are kept, about 200 bytes each. Latin text is lower-cased first and cut after each run of letters,
-    which leaves far fewer pieces; any other text is cut at ASCII white space alone.
+    which leaves far fewer pieces; any other text is cut at ASCII white space alone. Special tokens that stand in a text
+    are cut out first, as the tokenizer does, and have their own ids.
     """
 
     def __init__(self, path: str, most: int = 1_200_000):
@@ -29,8 +30,13 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = True  # for the pieces, which hold none
         self.most = most
+        special = {t.content: (k, t) for k, t in self.tokenizer.get_added_tokens_decoder().items() if t.special}
+        if any(t.lstrip or t.rstrip or t.normalized or t.single_word for _, t in special.values()):
+            raise ValueError("special tokens that take in or look at the text around them are not handled")
+        self.special = {content: struct.pack("<I", k) for content, (k, _) in special.items()}
+        self.cuts = re.compile(f"({'|'.join(map(re.escape, sorted(special, key=len, reverse=True)))})") if special else None
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
@@ -42,6 +48,11 @@ class WordIds(dict):
         return ids
 
     def encode(self, text: str) -> bytes:
+        if self.cuts and self.cuts.search(text):
+            return b"".join(self.special[x] if k % 2 else self._plain(x) for k, x in enumerate(self.cuts.split(text)))
+        return self._plain(text)
+
+    def _plain(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, PLAIN.findall(text) if BEYOND.search(text) else PIECES.findall(text.lower())))
 
 

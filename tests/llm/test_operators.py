@@ -308,6 +308,21 @@ def test_packing(docs):
         assert at <= window and at & (at - 1) == 0  # whole, or a power of two: no padding
 
 
+def test_special_tokens_in_texts(spark):
+    """Ids are those of the tokenizer at its defaults, special tokens written in a text included."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    texts = ["one <|endoftext|> two", "É<|startoftext|>a<|endoftext|><|endoftext|>!", "<|ENDOFTEXT|> x<|endoftext", "e<|endoftext|>\u0301 中<|startoftext|>", "<|endoftext|>"]
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1), path, window=1).collect()
+    for i, text in enumerate(texts):
+        ids = [*t.encode(text, add_special_tokens=False).ids, 2]
+        mine = sorted((r for r in rows if r.doc_id == i), key=lambda r: r.start)
+        assert [r.ids_crc32 for r in mine] == [zlib.crc32(np.array([x], "<u4").tobytes()) for x in ids] and mine[0].doc_tokens == len(ids), text
+
+
 def test_sum_of_squares():
     """Each placement is the one of least sum of squared counts."""
     r = random.Random(2)
