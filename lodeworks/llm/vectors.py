@@ -237,26 +237,43 @@ def _linked(index: MultiIndex, visits: int, least: float):
     return run
 
 
+def _links(classes: DataFrame, n: int, least: float, recall: float, fill: int, most_centres: int, sample_rows: int, chunk: int) -> DataFrame:
+    """(a, b, links) of n classes (id, times, v) of one length: what the blocks of their index find, see _linked."""
+    import numpy as np
+
+    sample = [r[0] for r in classes.orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("v").collect()]  # at most sample_rows
+    index, visits = fitted(unit(np.array(sample)), n, least, recall, fill, most_centres)
+    kind = dict(classes.dtypes)["v"]
+    assigned = cut(classes.mapInArrow(_assigned(index, visits), f"id bigint, times bigint, v {kind}, cell int, cells array<int>"))
+    asked = assigned.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("ys"))
+    filled = assigned.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("xs"))
+    grid = F.broadcast(cut(filled.join(asked, "cell")))  # at most most_centres ** 2 rows
+    all_of = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    one_of = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
+    held = assigned.join(grid, "cell").select("cell", one_of("xs").alias("x"), all_of("ys").alias("y"), F.lit(0).alias("side"), "id", "times", F.col("cell").alias("own"), "v")
+    asks = assigned.select("id", "times", F.col("cell").alias("own"), "v", F.explode("cells").alias("cell")).join(grid, "cell")
+    asks = asks.select("cell", all_of("xs").alias("x"), one_of("ys").alias("y"), F.lit(1).alias("side"), "id", "times", "own", "v")
+    blocks = held.union(asks).repartition("cell", "x", "y").sortWithinPartitions("cell", "x", "y")
+    return cut(blocks.mapInArrow(_linked(index, visits, least), "a bigint, b bigint, links bigint"))
+
+
 def near(vectors: DataFrame, least: float = 0.9, recall: float = 0.995, fill: int = 128, most_centres: int = 256, sample_rows: int = 20_000, chunk: int = 1500) -> DataFrame:
     """One row per row of vectors (vec_id, embedding): vec_id, n_links, component_id, kept.
 
     Two vectors link when their cosine in double precision is at least `least`. Equal vectors are one class,
     joined once and counted as often as they occur.
 
-    Index: two codebooks are fitted by k-means on at most sample_rows classes (the least hashes of their ids),
-    each of sqrt(classes / fill) centres, most_centres at most, or a halving of that if it costs less (see fitted).
+    Index of the vectors of a length: two codebooks are fitted by k-means on at most sample_rows classes (the least
+    hashes of their ids), each of sqrt(classes / fill) centres, most_centres at most, or a halving of that if it costs less (see fitted).
     Every class lies in the cell of its nearest centres and visits the cells nearest to it; their number is the
     least that finds `recall` of the sample's links and of pairs at cosine `least` exactly, all cells if need be.
     All pairs of a cell's vectors and visitors are verified. A cell is dealt to chunks of about `chunk`
     vectors and visitors, each pair of chunks one task's work, so cells may grow without bound.
 
-    Vectors that are null, empty, zero or hold null or non-finite components, and those of another length than
-    most of the sample's, link with nothing: n_links 0, a component of their own. The same goes for rows
-    with a null vec_id, whose component is null. vec_id names a vector: rows of equal id must be equal, and
-    count as copies. An empty table gives no rows; only vec_id and embedding are read.
+    Vectors of each length have an index of their own. Vectors that are null, empty, zero or hold null or non-finite
+    components link with nothing: n_links 0, a component of their own. The same goes for rows with a null vec_id,
+    whose component is null. vec_id names a vector: rows of equal id must be equal, and count as copies. An empty table gives no rows; only vec_id and embedding are read.
     """
-    import numpy as np
-
     spark = vectors.sparkSession
     e = F.col("embedding")
     sound = F.col("vec_id").isNotNull() & e.isNotNull() & ~F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(e, lambda x: x != 0)
@@ -264,29 +281,11 @@ def near(vectors: DataFrame, least: float = 0.9, recall: float = 0.995, fill: in
     marks = [F.xxhash64("v"), F.xxhash64(F.lit(1), "v")]
     rows = cut(rows.select("id", F.when(F.col("sound"), F.col("v")).alias("v"), "sound", *(m.alias(n) for m, n in zip(marks, ("h", "g"), strict=True))))
     classes = cut(rows.where("sound").groupBy("h", "g").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("times"), F.first("v").alias("v")))
-    n = classes.count()
-    sample = [r[0] for r in classes.orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("v").collect()]  # at most sample_rows
-    lengths = [len(v) for v in sample]
-    length = max(set(lengths), key=lambda x: (lengths.count(x) if len(set(lengths)) > 1 else 0, x), default=0)
-    same = classes.where(F.size("v") == length).select("id", "times", "v")
-    if length:
-        x = unit(np.array([v for v in sample if len(v) == length]))
-        index, visits = fitted(x, n, least, recall, fill, most_centres)
-    kind = dict(classes.dtypes)["v"]
-    if length:
-        assigned = cut(same.mapInArrow(_assigned(index, visits), f"id bigint, times bigint, v {kind}, cell int, cells array<int>"))
-        asked = assigned.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("ys"))
-        filled = assigned.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("xs"))
-        grid = F.broadcast(cut(filled.join(asked, "cell")))  # at most most_centres ** 2 rows
-        all_of = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-        one_of = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
-        held = assigned.join(grid, "cell").select("cell", one_of("xs").alias("x"), all_of("ys").alias("y"), F.lit(0).alias("side"), "id", "times", F.col("cell").alias("own"), "v")
-        asks = assigned.select("id", "times", F.col("cell").alias("own"), "v", F.explode("cells").alias("cell")).join(grid, "cell")
-        asks = asks.select("cell", all_of("xs").alias("x"), one_of("ys").alias("y"), F.lit(1).alias("side"), "id", "times", "own", "v")
-        blocks = held.union(asks).repartition("cell", "x", "y").sortWithinPartitions("cell", "x", "y")
-        links = cut(blocks.mapInArrow(_linked(index, visits, least), "a bigint, b bigint, links bigint"))
-    else:
-        links = spark.createDataFrame([], "a bigint, b bigint, links bigint")
+    # one index for each length: vectors of different lengths have no cosine
+    links = spark.createDataFrame([], "a bigint, b bigint, links bigint")
+    for length, n in sorted(tuple(r) for r in classes.groupBy(F.size("v")).count().collect()):
+        if n > 1:
+            links = links.union(_links(classes.where(F.size("v") == length).select("id", "times", "v"), n, least, recall, fill, most_centres, sample_rows, chunk))
     whole = connected_components(links.select("a", "b")).withColumnRenamed("node", "id")
     counts = links.groupBy(F.col("a").alias("id")).agg(F.sum("links").cast("long").alias("others"))
     found = classes.select("h", "g", "id", "times").join(counts, "id", "left").join(whole, "id", "left").where("times > 1 or component is not null")

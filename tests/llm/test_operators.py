@@ -265,6 +265,19 @@ def test_vector_pairs(spark):
     assert all((index.ranks(x.astype(float), index.cells(x.astype(float), v)[:, -1]) == v - 1).all() for v in (1, 20, 81))
 
 
+def test_vectors_of_several_lengths(spark):
+    """Near-equal vectors link whatever the length most vectors have."""
+    g = np.random.default_rng(6)
+    data = [v.tolist() for n, k in ((16, 200), (5, 40), (1, 3), (7, 1)) for v in g.normal(size=(k, n)).astype(np.float32)]
+    near = [[x * 2 + 0.001 for x in v] for v in data if len(v) != 7]
+    out = {r.vec_id: r for r in vectors.near(spark.createDataFrame(list(enumerate(data + near)), "vec_id bigint, embedding array<float>"), fill=16).collect()}
+    for n in {len(v) for v in data}:
+        ids = [i for i, v in enumerate(data + near) if len(v) == n]
+        m = vectors.unit(np.array([(data + near)[i] for i in ids], np.float32))
+        want = (m @ m.T >= 0.9).sum(axis=1) - 1
+        assert sum(out[i].n_links for i in ids) >= 0.99 * want.sum() and all(out[i].n_links <= w for i, w in zip(ids, want, strict=True)), n
+
+
 def test_vector_traversal():
     """The traversal visits the very cells that sorting the whole grid would."""
     g = np.random.default_rng(8)
