@@ -6,6 +6,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,15 +21,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Folders written by cut (see forget), and the temporary folder of a session that names none.
-_WRITTEN: list[str] = []
+#: The list that notes what cut writes (see noted), and the temporary folder of a local session that names none.
+_NOTES: ContextVar[list[str] | None] = ContextVar("notes", default=None)
 _OWN: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one, for tests, only where none is set."""
+    """The folder of spark.checkpoint.dir; a temporary one only where none is set and the master is local."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         if not _OWN:
             _OWN.append(tempfile.mkdtemp(prefix="lodeworks-"))
             atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
@@ -39,24 +45,47 @@ def cut(df: DataFrame) -> DataFrame:
 
     Unlike checkpoint(), the files are compressed and later reads take just the columns they need. The shuffle
     files of the jobs that made the rows are of no more use; a collection lets the driver drop them at once.
+    The files stay until whoever has noted them drops them: a lazy result needs them.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/lodeworks-{uuid.uuid4().hex}"
+    if (notes := _NOTES.get()) is not None:
+        notes.append(path)
     df.write.parquet(path)
-    _WRITTEN.append(path)
     schema = df.schema
     del df
     spark.sparkContext._jvm.System.gc()
     return spark.read.schema(schema).parquet(path)
 
 
-def forget(spark: SparkSession) -> None:
-    """Deletes what cut has written so far; for use between jobs whose results are written elsewhere."""
+@contextmanager
+def noted() -> Iterator[list[str]]:
+    """Notes the folders that cut writes inside the block, and only those."""
+    token = _NOTES.set([])
+    try:
+        yield _NOTES.get()
+    finally:
+        _NOTES.reset(token)
+
+
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes folders in the shared folder; call it when the results that read them are written."""
     jvm = spark.sparkContext._jvm
-    for path in _WRITTEN:
+    for path in paths:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    _WRITTEN.clear()
+
+
+def shared_keys(rows: DataFrame, key: Column, value: Column) -> DataFrame:
+    """(_lw_key): the keys, null among them, that stand with more than one value."""
+    ends = rows.select(key.alias("_lw_key"), value.alias("v")).groupBy("_lw_key").agg(F.min("v").alias("low"), F.max("v").alias("high"))
+    return cut(ends.where("low <> high").select("_lw_key"))
+
+
+def with_shared(rows: DataFrame, key: str, shared: DataFrame, out: str) -> DataFrame:
+    """rows with `out`, whether the key is among shared_keys. Spark broadcasts these by their measured size."""
+    both = rows.join(shared.withColumn("_lw_is", F.lit(True)), rows[key].eqNullSafe(shared["_lw_key"]), "left")
+    return both.withColumn(out, F.coalesce("_lw_is", F.lit(False))).drop("_lw_key", "_lw_is")
 
 
 def word_count(text: Column) -> Column:
@@ -64,11 +93,6 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def columns_or(df: DataFrame, *names: str) -> DataFrame:
-    """Just these columns, whatever else the table carries."""
-    return df.select(*(F.col(f"`{n}`") for n in names))
-
-
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) of an undirected graph given as long columns (a, b); component is the smallest node.
 

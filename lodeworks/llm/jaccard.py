@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import combinations
 from math import comb
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut
+from .common import connected_components, cut, shared_keys, with_shared
 
 MASK = (1 << 64) - 1
 
@@ -69,20 +70,14 @@ class Sizes:
     another set, or it has no link in the band. If f - D < 1 in both sets, the agreeing parts may all be empty: such sets add
     the elements of their prefix (the least hashes, of which linked sets share one).
 
-    The boundary is the largest size up to which a set's subsets cost less than its parts would. A subset key
-    costs one row, a part `dearer` times as much: parts of a few elements are shared by unlinked sets, too,
-    whose texts then are fetched and joined.
+    Any boundary gives the same links; which one costs least depends on the sets, see cheapest.
     """
 
     GROWTH = 1.5
 
-    def __init__(self, num: int, den: int, dearer: int = 8):
-        self.num, self.den = num, den
+    def __init__(self, num: int, den: int, boundary: int = 0):
+        self.num, self.den, self.boundary = num, den, boundary
         self.known: dict[tuple, tuple] = {}
-        size = 1
-        while size < 200 and self.subsets(size + 1) <= dearer * self.parts(self.odd(2 * (size + 2))):
-            size += 1
-        self.boundary = size
 
     @staticmethod
     def parts(odd: int) -> int:
@@ -100,7 +95,8 @@ class Sizes:
         return range(-(-self.num * n // self.den), self.den * n // self.num + 1)
 
     def subsets(self, n: int) -> int:
-        return sum(comb(n, self.need(min(n, b), max(n, b))) for b in self.partners(n) if b <= n) + n
+        """Keys that a set of n elements lists if it and all its partners are small."""
+        return sum(comb(n, self.need(n, b)) for b in self.partners(n) if self.need(n, b) <= min(n, b))
 
     def of(self, n: int) -> tuple:
         """What small and large say of n, worked out once."""
@@ -168,21 +164,49 @@ def keys(s, sizes: Sizes) -> list[tuple]:
     return out
 
 
-def _filed(n: int, num: int, den: int):
-    """Arrow batches of (t, data) to (t, n_shingles, class key s1, s2, bands)."""
+def cheapest(sets: list, total: int, num: int, den: int, fetch: int = 40, most_keys: int = 400) -> int:
+    """The boundary of least cost for `total` sets, of which these are a sample.
+
+    The cost of a boundary is the keys that the sample files under it, plus `fetch` for each set that meets a
+    different one in a list, as its text then has to be fetched and compared. Lists grow with the number of
+    sets, so meetings in the sample are scaled to the whole. Sizes whose sets would list more than most_keys
+    subsets are always large.
+    """
+    sets = list({s.tobytes(): s for s in sets if len(s)}.values())
+    top = 0
+    while Sizes(num, den).subsets(top + 1) <= most_keys:
+        top += 1
+    best = None
+    for boundary in sorted({round(top * k / 5) for k in range(6)}):
+        sizes = Sizes(num, den, boundary)
+        filed, lists = 0, defaultdict(list)
+        for i, s in enumerate(sets):
+            if len(s) * num <= top * den:  # larger sets file the same under every boundary
+                for want, held in keys(s, sizes):
+                    filed += len(held)
+                    for k in held.tolist():
+                        lists[want >> 32, k].append(i)
+        met = Counter(i for held in lists.values() if len(held) > 1 for i in held)
+        cost = filed + fetch * sum(min(1.0, n * total / len(sets)) for n in met.values())
+        if best is None or cost < best[0]:
+            best = cost, boundary
+    return best[1]
+
+
+def _filed(n: int, num: int, den: int, boundary: int):
+    """Arrow batches of (doc_id, k1, k2, data) to (doc_id, k1, k2, n_shingles, hashes of the set s1, s2, bands)."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
         import xxhash
 
-        sizes = Sizes(num, den)
+        sizes = Sizes(num, den, boundary)
         for batch in batches:
-            t, size, s1, s2, lists = [], [], [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            size, s1, s2, lists = [], [], [], []
+            for text in batch.column(3):
                 s = shingle_set(text.as_py(), n)
                 digest = xxhash.xxh3_128_digest(s.tobytes())
-                t.append(doc)
                 size.append(len(s))
                 s1.append(int.from_bytes(digest[:8], "little", signed=True))
                 s2.append(int.from_bytes(digest[8:], "little", signed=True))
@@ -191,7 +215,8 @@ def _filed(n: int, num: int, den: int):
             ends = lambda sizes: pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
             held = pa.ListArray.from_arrays(ends([len(k) for _, k in flat]), pa.array(np.concatenate([k for _, k in flat]) if flat else np.empty(0, np.int64)))
             bands = pa.StructArray.from_arrays([pa.array([w for w, _ in flat], pa.int64()), held], ["want", "keys"])
-            yield pa.RecordBatch.from_arrays([pa.array(t, pa.int64()), pa.array(size, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.ListArray.from_arrays(ends([len(x) for x in lists]), bands)], ["t", "n", "s1", "s2", "bands"])
+            longs = [pa.array(x, pa.int64()) for x in (size, s1, s2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *longs, pa.ListArray.from_arrays(ends([len(x) for x in lists]), bands)], ["doc_id", "k1", "k2", "n", "s1", "s2", "bands"])
 
     return run
 
@@ -293,65 +318,107 @@ def _joined(n: int, num: int, den: int):
     return run
 
 
-def components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, chunk: int = 3000, passes: int = 1) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable by links), n_links.
+def row_keys(text: Column) -> list[Column]:
+    """k1, k2: 128 bits that name a row by its doc_id and text; equal rows share them."""
+    return [F.xxhash64("doc_id", text).alias("k1"), F.xxhash64(F.lit(1), "doc_id", text).alias("k2")]
 
-    A document's set holds its distinct n-word shingles (A-Z lower-cased; words are runs of other than ASCII
-    white space; with fewer words the whole sequence is one shingle). Two documents link when the Jaccard
-    similarity of their sets is at least num / den; sets without elements link with nothing. Equal sets are
-    one class and are joined once; n_links is how many other documents a document links with.
 
-    1. Sets are filed under keys (class Sizes) such that linked classes share enough of them; keys met once end
-       there, and so do sets that share fewer than any link would need.
-       The keys are shuffled in `passes` parts of their range, one after the other, to bound the disk in use.
-    2. Classes that share a key, directly or through others, make a candidate group; texts are fetched only
-       for classes in groups of two or more, whose sets are joined exactly within tasks (join_block). A group
-       is dealt to chunks of at most about `chunk` classes, and each pair of chunks is one task's work, so that no task
-       holds more than two chunks.
-    3. A spanning forest of the links gives the components.
+def _text() -> Column:
+    return F.coalesce(F.col("text"), F.lit("")).cast("binary")
+
+
+def filed(docs: DataFrame, n: int, num: int, den: int, sample_rows: int = 500) -> DataFrame:
+    """(node, doc_id, k1, k2, n, s1, s2, bands), one row per row of docs, written out.
+
+    node names a set: the row's doc_id, or a hash of the set where the doc_id is null or stands with several
+    sets. The boundary between small and large sets is chosen on at most sample_rows short texts; it changes
+    the cost and nothing else.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select("doc_id", *row_keys(F.col("text")), _text().alias("data"))
+    # short texts have few shingles, and only such sets may count as small: at most sample_rows texts of 4 KB
+    short = [bytes(r[0]) for r in rows.select("data").where(F.length("data") <= 4096).limit(sample_rows).collect()]
+    boundary = cheapest([shingle_set(x, n) for x in short], docs.count() if short else 0, num, den)
+    out = cut(rows.mapInArrow(_filed(n, num, den, boundary), "doc_id bigint, k1 bigint, k2 bigint, n bigint, s1 bigint, s2 bigint, bands array<struct<want: bigint, keys: array<bigint>>>"))
+    several = shared_keys(out.where("doc_id is not null"), F.col("doc_id"), F.col("s1"))
+    named = F.col("doc_id").isNotNull() & ~F.col("_lw_many")
+    return with_shared(out, "doc_id", several, "_lw_many").withColumn("node", F.when(named, F.col("doc_id")).otherwise(F.xxhash64("s1", "s2"))).drop("_lw_many")
+
 
-    Null text has no words: n_shingles 0, and the row is a component of its own, as is any empty set's. Rows
-    with a null doc_id have no place in links and come back with a null component. Equal rows give equal rows;
-    an empty table gives none; only doc_id and text are read.
+def joined(docs: DataFrame, n: int, num: int, den: int, chunk: int = 3000, chunk_shingles: int = 4_000_000, passes: int = 1) -> DataFrame:
+    """One row per row of docs: doc_id, k1, k2 (see row_keys), n_shingles, group, component_id, n_links; see components.
+
+    group names the component, and is null for a row whose set is empty.
     """
-    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    filed = cut(docs.select(F.col("doc_id").cast("long"), text.alias("data")).mapInArrow(_filed(n, num, den), "t bigint, n bigint, s1 bigint, s2 bigint, bands array<struct<want: bigint, keys: array<bigint>>>").withColumnRenamed("t", "doc_id"))
-    known = filed.where("n > 0 and doc_id is not null")
-    classes = cut(known.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("times")))
+    rows = filed(docs, n, num, den)
+    known = rows.where("n > 0")
+    classes = known.groupBy("s1", "s2").agg(F.min(F.struct("node", "k1", "k2")).alias("one"), F.min("doc_id").alias("least"), F.first("n").alias("n"), F.count(F.lit(1)).alias("times"))
+    classes = cut(classes.select("s1", "s2", F.col("one.node").alias("rep"), "one.k1", "one.k2", "least", "n", "times"))
     live = None
     for k in range(passes):
-        spread = known.select("doc_id", F.explode("bands").alias("b")).select("doc_id", "b.want", F.explode("b.keys").alias("key"))
+        spread = known.select("node", F.explode("bands").alias("b")).select("node", "b.want", F.explode("b.keys").alias("key"))
         if passes > 1:
             spread = spread.where(F.pmod("key", F.lit(passes)) == k)
-        shared = cut(spread.groupBy("key").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("tail")).where("head <> tail").select("key"))
+        shared = cut(spread.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("tail")).where("head <> tail").select("key"))
         met = cut(spread.join(shared, "key"))
         live = met if live is None else live.union(met)
     for _ in range(2):  # what goes takes others with it; two rounds catch most
-        enough = live.groupBy("doc_id", "want").agg(F.count(F.lit(1)).alias("lists")).where("lists >= want & 4294967295").select("doc_id", "want")
-        live = live.join(cut(enough), ["doc_id", "want"])
-        heads = live.groupBy("key").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("tail")).where("head <> tail").select("key", "head")
+        enough = live.groupBy("node", "want").agg(F.count(F.lit(1)).alias("lists")).where("lists >= want & 4294967295").select("node", "want")
+        live = live.join(cut(enough), ["node", "want"])
+        heads = live.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("tail")).where("head <> tail").select("key", "head")
         live = cut(live.drop("head").join(cut(heads), "key"))
-    edges = live.select(F.col("doc_id").alias("a"), F.col("head").alias("b")).where("a <> b").distinct()
+    edges = live.select(F.col("node").alias("a"), F.col("head").alias("b")).where("a <> b").distinct()
     # copies of a class share all keys; one of each is enough to fetch
-    groups = connected_components(edges).withColumnRenamed("component", "g").join(classes.select(F.col("rep").alias("node"), "times"), "node")
-    groups = cut(groups)
-    sizes = groups.groupBy("g").agg(F.count(F.lit(1)).alias("held")).where("held > 1").select("g", F.ceil(F.col("held") / chunk).alias("chunks"))
-    groups = cut(groups.join(cut(sizes), "g"))
+    reps = classes.select(F.col("rep").alias("node"), "k1", "k2", "n", "times")
+    groups = cut(connected_components(edges).withColumnRenamed("component", "g").join(reps, "node"))
+    # a chunk holds about `chunk` sets and chunk_shingles shingles at most, whichever are reached first
+    share = F.ceil(F.greatest(F.count(F.lit(1)) / chunk, F.sum("n") / chunk_shingles))
+    sizes = groups.groupBy("g").agg(F.count(F.lit(1)).alias("held"), share.alias("chunks")).where("held > 1").select("g", "chunks")
+    groups = cut(groups.join(cut(sizes), "g").select("g", "node", "k1", "k2", "times", "chunks"))
     # candidates grow with the corpus, so this join shuffles at every size
-    fetched = docs.select(F.col("doc_id").alias("node"), text.alias("data")).join(groups.hint("merge"), "node").dropDuplicates(["node"])
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select(*row_keys(F.col("text")), _text().alias("data"))
+    fetched = texts.join(groups.hint("merge"), ["k1", "k2"]).dropDuplicates(["k1", "k2"])
     own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     others = F.transform(F.sequence(F.lit(0), (F.col("chunks") - 1).cast("int")), lambda k: F.struct(F.least(own, k).alias("x"), F.greatest(own, k).alias("y"), (own > k).cast("int").alias("side")))
     dealt = fetched.select("g", "node", "times", "data", F.explode(others).alias("o")).select("g", "o.x", "o.y", "o.side", "node", "times", "data")
     links = dealt.repartition("g", "x", "y").sortWithinPartitions("g", "x", "y").mapInArrow(_joined(n, num, den), "a bigint, b bigint, links bigint")
     links = cut(links)
-    whole = connected_components(links.select("a", "b"))
+    whole = connected_components(links.select("a", "b")).withColumnRenamed("node", "rep")
     counts = links.groupBy(F.col("a").alias("rep")).agg(F.sum("links").cast("long").alias("others"))
-    found = counts.join(whole.withColumnRenamed("node", "rep"), "rep")
-    verdict = classes.join(found, "rep", "left").where("times > 1 or component is not null")
-    verdict = verdict.select("s1", "s2", F.coalesce("component", "rep").alias("component"), (F.coalesce("others", F.lit(0)) + F.col("times") - 1).alias("n_links"))
-    out = filed.join(cut(verdict), ["s1", "s2"], "left")
-    sound = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    found = cut(classes.select("s1", "s2", "rep", "least", "times").join(counts, "rep", "left").join(whole, "rep", "left").where("times > 1 or component is not null"))
+    low = found.where("component is not null").groupBy("component").agg(F.min("least").alias("lowest"))
+    verdict = found.join(cut(low), "component", "left").select(
+        "s1", "s2", F.coalesce("component", "rep").alias("group"), F.coalesce("lowest", "least").alias("component_id"), (F.coalesce("others", F.lit(0)) + F.col("times") - 1).alias("n_links"))
+    out = rows.select("node", "doc_id", "k1", "k2", "n", "s1", "s2").join(cut(verdict), ["s1", "s2"], "left")
+    full = F.col("n") > 0
     return out.select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce(F.when(sound, F.col("component")), F.col("doc_id")).alias("component_id"),
-        F.coalesce(F.when(sound, F.col("n_links")), F.lit(0)).cast("long").alias("n_links"),
+        "doc_id", "k1", "k2", F.col("n").alias("n_shingles"), F.when(full, F.coalesce("group", "node")).alias("group"),
+        F.when(full & F.col("group").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(full, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"),
     )
+
+
+def components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, chunk: int = 3000, chunk_shingles: int = 4_000_000, passes: int = 1) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable by links), n_links.
+
+    A document's set holds its distinct n-word shingles (A-Z lower-cased; words are runs of other than ASCII
+    white space; with fewer words the whole sequence is one shingle). Two documents link when the Jaccard
+    similarity of their sets is at least num / den; sets without elements link with nothing. Equal sets are
+    one class and are joined once; n_links is how many other documents a document links with.
+
+    1. Sets are filed under keys (class Sizes) such that linked classes share enough of them; keys met once end
+       there, and so do sets that share fewer than any link would need.
+       The keys are shuffled in `passes` parts of their range, one after the other, to bound the disk in use.
+    2. Classes that share a key, directly or through others, make a candidate group; texts are fetched only
+       for classes in groups of two or more, whose sets are joined exactly within tasks (join_block). A group
+       is dealt to chunks of about `chunk` classes or chunk_shingles shingles, whichever is less, and each pair of chunks
+       is one task's work, so that no task holds more than two chunks.
+    3. A spanning forest of the links gives the components.
+
+    Documents are rows: rows of one doc_id with different texts are told apart by their sets, each has its own
+    links, and rows of equal text link with each other. Rows with a null doc_id take part; a component's id is
+    the smallest doc_id in it that is not null, and null if there is none. Null text has no words: n_shingles 0, and such a row
+    comes back with its own doc_id and no links, as does any empty set's. Equal rows give equal rows; an empty table gives none; only doc_id
+    and text are read. The names of sets without a doc_id of their own are 64-bit hashes: two of a
+    billion such sets meet by chance with a probability of 3 %.
+    """
+    return joined(docs, n, num, den, chunk, chunk_shingles, passes).select("doc_id", "n_shingles", "component_id", "n_links")

@@ -6,11 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import WORD, cut
+from .common import WORD, cut, shared_keys, with_shared
 
 RANGE = 1 << 40
 
 
+def _place() -> Column:
+    """Where a line stands; the order of places is which line is earlier. Null doc_ids come first."""
+    return F.struct("doc_id", "tie", F.col("at").cast("int").alias("at"))
+
+
 def _plain(line: Column) -> Column:
     """A line's words with one space between them; most lines are so already, which plain searches tell."""
     odd = line.startswith(" ") | line.endswith(" ")
@@ -30,20 +35,27 @@ def _cut_length(n: Column) -> Column:
     return F.when(3 * power <= n, power + F.shiftright(power, 1)).otherwise(power)
 
 
-def _lines(docs: DataFrame, least: int) -> DataFrame:
-    """doc_id, at (line number from 0), two hashes of the words, and two to four segment keys of a line.
+def _rows(docs: DataFrame) -> DataFrame:
+    """docs with tie: 0, or a hash of the text where rows of one doc_id have different texts."""
+    own = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    held = with_shared(docs, "doc_id", shared_keys(docs, F.col("doc_id"), own), "_lw_many")
+    return held.withColumn("_lw_tie", F.when(F.col("_lw_many"), own).otherwise(F.lit(0).cast("long"))).drop("_lw_many")
+
+
+def _lines(rows: DataFrame, least: int) -> DataFrame:
+    """place (doc_id, tie, line number from 0), two hashes of the words, and two to four segment keys of a line.
 
     If two lines differ by one word, they agree on all words before the middle or on all after it. A key holds
     the first or last words of a line, in number at most half of the longer line's (_cut_length); where that
     number changes from n - 1 to n, a line of n words has the keys for n - 1, too. So two near lines share one.
     """
     # lines are made plain below the explode, whose output is evaluated once
-    rows = docs.select("doc_id", F.posexplode(F.transform(F.split(F.coalesce(F.col("text"), F.lit("")), "\n"), _plain)).alias("at", "s")).where("s <> ''")
-    rows = rows.select("doc_id", "at", "s", _size(F.col("s")).alias("n"))
+    rows = rows.select("doc_id", F.col("_lw_tie").alias("tie"), F.posexplode(F.transform(F.split(F.coalesce(F.col("text"), F.lit("")), "\n"), _plain)).alias("at", "s")).where("s <> ''")
+    rows = rows.select("doc_id", "tie", "at", "s", _size(F.col("s")).alias("n"))
     rows = rows.withColumns({"long": _cut_length(F.col("n")), "short": _cut_length(F.col("n") - 1)})
     ends = lambda k: [F.xxhash64(F.lit(0), F.call_function("substring_index", F.col("s"), F.lit(" "), k)), F.xxhash64(F.lit(1), F.call_function("substring_index", F.col("s"), F.lit(" "), -k))]
     keys = F.when(F.col("long") == F.col("short"), F.array(*ends(F.col("long")))).otherwise(F.array(*ends(F.col("long")), *ends(F.col("short"))))
-    return rows.select("doc_id", "at", F.xxhash64("s").alias("h"), F.xxhash64(F.lit(1), "s").alias("g"), F.when(F.col("n") >= least, keys).alias("keys"))
+    return rows.select("doc_id", "tie", "at", F.xxhash64("s").alias("h"), F.xxhash64(F.lit(1), "s").alias("g"), F.when(F.col("n") >= least, keys).alias("keys"))
 
 
 def _but_one(s: Column, n: Column, segments: int = 8) -> Column:
@@ -63,10 +75,10 @@ def _but_one(s: Column, n: Column, segments: int = 8) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(2 * segments - 1)), key)
 
 
-def near_pairs(docs: DataFrame, lines: DataFrame, least: int) -> DataFrame:
+def near_pairs(rows: DataFrame, lines: DataFrame, least: int) -> DataFrame:
     """Distinct lines (h, g) that have a line one word edit away whose first place is earlier.
 
-    lines: one row per distinct line with its first place. Only lines that share a segment key with another
+    rows: see _rows; lines: one row per distinct line with its first place. Only lines that share a segment key with another
     line are looked up in their texts, and only those that agree with another but for an eighth of their words
     take part in the deletion-neighbourhood join: for each of their words, the line with that word
     replaced by a gap, and the line without it. Hashes of words by position are summed, so all variants of a
@@ -80,20 +92,20 @@ def near_pairs(docs: DataFrame, lines: DataFrame, least: int) -> DataFrame:
     # written out, so that the join below has two plain shuffles, whose hot keys Spark can split
     some = spread.join(cut(shared.select("key")), "key", "left_semi").select("h", "g").distinct()
     some = lines.join(some, ["h", "g"], "left_semi")
-    wanted = some.groupBy("first.doc_id").agg(F.collect_set("first.at").alias("ats"))  # at most the lines of one document
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id")
-    cutout = texts.select("doc_id", F.explode("ats").alias("at"), F.split("text", "\n").alias("l"))
-    held = cut(cutout.select("doc_id", "at", _plain(F.get("l", F.col("at"))).alias("s")).dropDuplicates(["doc_id", "at"]))
+    wanted = some.groupBy(F.col("first.doc_id").alias("_lw_of"), F.col("first.tie").alias("tie")).agg(F.collect_set("first.at").alias("ats"))  # at most the lines of one document
+    texts = rows.select("doc_id", "_lw_tie", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_lw_of")) & (F.col("_lw_tie") == F.col("tie")))
+    cutout = texts.select("doc_id", "tie", F.explode("ats").alias("at"), F.split("text", "\n").alias("l"))
+    # equal rows give equal lines
+    held = cut(cutout.select(_place().alias("place"), _plain(F.get("l", F.col("at"))).alias("s")).dropDuplicates(["place"]))
 
-    place = F.struct("doc_id", F.col("at").cast("int").alias("at"))
-    parts = held.select("doc_id", "at", "s", _size(F.col("s")).alias("n")).select(place.alias("place"), F.explode(_but_one(F.col("s"), F.col("n"))).alias("key"))
+    parts = held.select("place", F.explode(_but_one(F.col("s"), _size(F.col("s")))).alias("key"))
     parts = cut(parts)
     alike = parts.groupBy("key").agg(F.min("place").alias("low"), F.max("place").alias("high")).where("low <> high").select("key")
-    alike = parts.join(cut(alike), "key", "left_semi").select("place.*").distinct()
-    held = cut(held.join(alike, ["doc_id", "at"], "left_semi").select("doc_id", "at", F.split("s", " ").alias("w")))
+    alike = parts.join(cut(alike), "key", "left_semi").select("place").distinct()
+    held = cut(held.join(alike, "place", "left_semi").select("place", F.split("s", " ").alias("w")))
 
-    words = held.select("doc_id", "at", F.size("w").alias("n"), F.posexplode("w").alias("j", "word"))
-    part = W.partitionBy("doc_id", "at")
+    words = held.select("place", F.size("w").alias("n"), F.posexplode("w").alias("j", "word"))
+    part = W.partitionBy("place")
     upto = part.orderBy("j").rowsBetween(W.unboundedPreceding, W.currentRow)
     whole = part.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     sums = []
@@ -106,15 +118,14 @@ def near_pairs(docs: DataFrame, lines: DataFrame, least: int) -> DataFrame:
     gap = F.struct(F.xxhash64(F.lit("gap"), "n", "j", sums[0][1], sums[1][1]).alias("key"), F.lit(0).alias("role"))
     shorter = F.struct(F.xxhash64(F.lit("cut"), F.col("n") - 1, sums[0][2], sums[1][2]).alias("key"), F.lit(1).alias("role"))
     full = F.struct(F.xxhash64(F.lit("cut"), F.col("n"), sums[0][0], sums[1][0]).alias("key"), F.lit(2).alias("role"))
-    variants = words.select(place.alias("place"), F.explode(F.when(F.col("j") == 0, F.array(gap, shorter, full)).otherwise(F.array(gap, shorter))).alias("v")).select("place", "v.*")
+    variants = words.select("place", F.explode(F.when(F.col("j") == 0, F.array(gap, shorter, full)).otherwise(F.array(gap, shorter))).alias("v")).select("place", "v.*")
     variants = cut(variants)
     first = lambda role: F.min(F.when(F.col("role") == role, F.col("place")))
     groups = variants.groupBy("key").agg(first(0).alias("gap"), first(1).alias("shorter"), first(2).alias("full"), F.min("place").alias("low"), F.max("place").alias("high")).where("low <> high").drop("low", "high")
     other = F.when(F.col("role") == 0, F.col("gap")).when(F.col("role") == 1, F.col("full")).otherwise(F.col("shorter"))
     pairs = variants.join(cut(groups), "key").select("place", other.alias("earlier")).where("earlier < place").distinct()
 
-    text = held.select(place.alias("place"), "w")
-    both = pairs.join(text, "place").withColumnRenamed("w", "a").join(text.select(F.col("place").alias("earlier"), F.col("w").alias("b")), "earlier")
+    both = pairs.join(held, "place").withColumnRenamed("w", "a").join(held.select(F.col("place").alias("earlier"), F.col("w").alias("b")), "earlier")
     size = lambda c: F.size(c)
     # equal words from the front, then from the back
     differ = lambda a, b: F.filter(F.sequence(F.lit(0), F.least(size(a), size(b)) - 1), lambda i: F.get(a, i) != F.get(b, i))
@@ -127,7 +138,7 @@ def near_pairs(docs: DataFrame, lines: DataFrame, least: int) -> DataFrame:
 
 
 def dropped_lines(docs: DataFrame, least: int = 5) -> DataFrame:
-    """(doc_id, dropped): the numbers of the lines of each document that repeat an earlier line.
+    """(doc_id, tie, dropped): the numbers of the lines of each document that repeat an earlier line.
 
     Lines are split at \\n and compared by their words (runs of non-white-space); a line without words is never
     dropped. The earliest of equal lines is kept, by doc_id, then line number. A line of at least `least` words
@@ -135,32 +146,41 @@ def dropped_lines(docs: DataFrame, least: int = 5) -> DataFrame:
     (one word replaced, inserted or deleted), so 4 words of 5 agree at least. Links are not followed further:
     what counts is the line itself, kept or not.
 
-    Null text has no lines; documents without dropped lines do not occur in the result. Rows of equal doc_id
-    share their line numbers: a line at the same place is not earlier. Null doc_ids come first.
+    Null text has no lines; documents without dropped lines do not occur in the result. Null doc_ids come first.
+    Rows of one doc_id with different texts are told apart by a hash of the text (tie, else 0), and come in its
+    order; rows equal in both are one document, whose lines are at the same places.
     """
-    lines = cut(_lines(docs, least))
-    place = F.struct("doc_id", "at")
-    distinct = cut(lines.groupBy("h", "g").agg(F.min(place).alias("first"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("times")))
-    near = near_pairs(docs, distinct, least)
+    return _dropped(_rows(docs), least)
+
+
+def _dropped(rows: DataFrame, least: int) -> DataFrame:
+    lines = cut(_lines(rows, least))
+    distinct = cut(lines.groupBy("h", "g").agg(F.min(_place()).alias("first"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("times")))
+    near = near_pairs(rows, distinct, least)
     verdict = distinct.select("h", "g", "first", "times").join(near, ["h", "g"], "left").where("near or times > 1")
-    gone = lines.select("doc_id", "at", "h", "g", place.alias("place")).join(cut(verdict), ["h", "g"]).where("near or first < place")
-    return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("at")).alias("dropped"))
+    gone = lines.select(_place().alias("place"), "h", "g").join(cut(verdict), ["h", "g"]).where("near or first < place")
+    return gone.groupBy("place.doc_id", "place.tie").agg(F.array_sort(F.collect_set("place.at")).alias("dropped"))
+
+
+def _joined(docs: DataFrame, least: int) -> DataFrame:
+    """docs with _lw_dropped: the numbers of a row's dropped lines, or null."""
+    rows = _rows(docs)
+    gone = _dropped(rows, least).select(F.col("doc_id").alias("_lw_of"), F.col("tie").alias("_lw_its"), F.col("dropped").alias("_lw_dropped"))
+    return rows.join(gone, F.col("doc_id").eqNullSafe(F.col("_lw_of")) & (F.col("_lw_tie") == F.col("_lw_its")), "left")
 
 
 def report(docs: DataFrame, least: int = 5) -> DataFrame:
     """One row per row of docs: doc_id, n_lines, n_dropped, dropped (line numbers from 0, comma-joined)."""
-    gone = dropped_lines(docs, least).withColumnRenamed("doc_id", "of")
     count = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n")))
-    return docs.select("doc_id", count.cast("long").alias("n_lines")).join(gone, F.col("doc_id").eqNullSafe(F.col("of")), "left").select(
-        "doc_id", "n_lines", F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce(F.array_join("dropped", ","), F.lit("")).alias("dropped")
+    gone = F.col("_lw_dropped")
+    return _joined(docs.select("doc_id", "text"), least).select(
+        "doc_id", count.cast("long").alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce(F.array_join(gone, ","), F.lit("")).alias("dropped")
     )
 
 
 def clean(docs: DataFrame, least: int = 5) -> DataFrame:
     """docs without the dropped lines; a document all of whose lines with words are dropped goes."""
-    gone = dropped_lines(docs, least).select(F.col("doc_id").alias("_lw_of"), F.col("dropped").alias("_lw_dropped"))
-    both = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_lw_of")), "left")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_lw_dropped", i)), "\n")
     text = F.when(F.col("_lw_dropped").isNull(), F.col("text")).otherwise(kept)
-    out = both.withColumn("text", text).where(F.col("_lw_dropped").isNull() | F.col("text").rlike(WORD))
-    return out.select(*docs.columns)
+    out = _joined(docs, least).withColumn("text", text).where(F.col("_lw_dropped").isNull() | F.col("text").rlike(WORD))
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -179,13 +179,17 @@ def test_quality_divergence(spark):
     assert not out[99]["kept"]
 
 
-def jaccard_brute(n, num, den):
-    sets = {}
-    for i, text, *_ in rows():
+def jaccard_brute(table, n, num, den):
+    sets = []
+    for _, text, *_ in table:
         w = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
-        sets[i] = frozenset(tuple(w[k : k + n]) for k in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else [])
-    ids = [r[0] for r in rows() if r[0] is not None]
-    links, up = Counter(), {i: i for i in ids}
+        sets.append(frozenset(tuple(w[k : k + n]) for k in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else []))
+    return linked_rows([r[0] for r in table], sets, lambda x, y: x and y and den * len(x & y) >= num * len(x | y))
+
+
+def linked_rows(ids, things, near):
+    """(size, component_id, n_links) of each row: components by rows, their id the smallest doc_id that is not null."""
+    links, up = Counter(), list(range(len(ids)))
 
     def root(i):
         while up[i] != i:
@@ -193,28 +197,33 @@ def jaccard_brute(n, num, den):
         return i
 
     for a in range(len(ids)):
-        for b in range(len(ids)):
-            x, y = sets[ids[a]], sets[ids[b]]
-            if a != b and x and y and den * len(x & y) >= num * len(x | y):
+        for b in range(a):
+            if near(things[a], things[b]):
                 links[a] += 1
-                u, v = root(ids[a]), root(ids[b])
-                up[max(u, v)] = min(u, v)
-    return {ids[a]: (len(sets[ids[a]]), root(ids[a]), links[a]) for a in range(len(ids))}
+                links[b] += 1
+                up[root(a)] = root(b)
+    low = defaultdict(list)
+    for k, i in enumerate(ids):
+        low[root(k)] += [i] if i is not None else []
+    return [(len(things[k]), min(low[root(k)], default=None) if things[k] else ids[k], links[k]) for k in range(len(ids))]
 
 
 @pytest.mark.parametrize("n, num, den", [(3, 90, 100), (5, 8, 10), (1, 1, 2)])
-def test_jaccard(docs, n, num, den):
-    out, want = by_id(jaccard.components(docs, n, num, den, chunk=3)), jaccard_brute(n, num, den)
-    for i, (size, component, links) in want.items():
-        assert (out[i]["n_shingles"], out[i]["component_id"], out[i]["n_links"]) == (size, component, links), i
-    assert out[None]["component_id"] is None
-
-
-@pytest.mark.parametrize("num, den", [(9, 10), (8, 10), (1, 2)])
-def test_jaccard_keys(num, den):
+def test_jaccard(spark, docs, n, num, den):
+    """Rows of one doc_id with different texts, equal rows and null ids included."""
+    say = lambda k: " ".join(f"w{k}x{j}" for j in range(40))
+    more = [(5, say(1)), (5, say(2)), (1000, say(2) + " end"), (1001, say(1) + " end"), (5, say(2)), (None, say(3)), (None, say(3) + " end"), (1002, "one " + say(3)), (None, say(4)), (None, say(4)), (None, None)]
+    table = [(r[0], r[1]) for r in rows()] + more
+    df = docs.select("doc_id", "text").unionAll(spark.createDataFrame(more, "doc_id bigint, text string"))
+    for chunks in ({"chunk": 3}, {"chunk_shingles": 100, "passes": 2}):
+        out = Counter((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in jaccard.components(df, n, num, den, **chunks).collect())
+        assert out == Counter((i, *x) for (i, _), x in zip(table, jaccard_brute(table, n, num, den), strict=True))
+
+
+@pytest.mark.parametrize("num, den, boundary", [(9, 10, 0), (9, 10, 12), (9, 10, 22), (8, 10, 0), (8, 10, 9), (1, 2, 6)])
+def test_jaccard_keys(num, den, boundary):
     """Linked sets of all sizes share a key, in either regime and at its boundary."""
-    r, sizes = random.Random(1), jaccard.Sizes(num, den)
-    assert 1 < sizes.boundary < 60
+    r, sizes = random.Random(1), jaccard.Sizes(num, den, boundary)
     for _ in range(1500):
         n = r.choice([*range(1, 30), 100, 300])
         a = {r.getrandbits(64) for _ in range(n)}
@@ -231,6 +240,16 @@ def test_jaccard_keys(num, den):
             assert any(n >= need for n, need in met), (len(a), len(b), met)
 
 
+def test_jaccard_boundary():
+    """Few strangers in the lists of small parts make large sets cheap; many make subsets worth their rows."""
+    r = random.Random(3)
+    sets = lambda pool, n: [np.array(sorted(r.sample(pool, n)), np.uint64) for _ in range(150)]
+    apart, mixed = list(range(10**6)), list(range(30))
+    low, high = jaccard.cheapest(sets(apart, 12), 150, 9, 10), jaccard.cheapest(sets(mixed, 12), 10**6, 9, 10)
+    assert low < 13 <= high
+    assert jaccard.cheapest([], 0, 9, 10) >= 0
+
+
 def test_vectors(spark):
     g = np.random.default_rng(3)
     centres = g.normal(size=(30, 16))
@@ -369,15 +388,20 @@ def test_feistel():
 
 
 def lines_brute(docs, least=5):
+    """Dropped line numbers by (doc_id, text); docs of one id come in the order of their texts' hashes."""
+    import xxhash
+
+    texts = defaultdict(set)
+    for i, text in docs:
+        texts[i].add(text or "")
     first, seen = {}, []
-    for i, text in sorted(docs, key=lambda r: (r[0] is not None, r[0] or 0)):
+    for i, text in set(docs):
+        tie = int.from_bytes(xxhash.xxh64_digest((text or "").encode(), 42), "big", signed=True) if len(texts[i]) > 1 else 0
         for k, x in enumerate(text.split("\n") if text is not None else []):
-            w = tuple(WORD.findall(x))
-            if w:
-                seen.append((i, k, w))
-    key = lambda i, k: (i is not None, i or 0, k)
-    for i, k, w in seen:
-        first[w] = min(first.get(w, key(i, k)), key(i, k))
+            if w := tuple(WORD.findall(x)):
+                seen.append(((i is not None, i or 0, tie, k), (i, text), w))
+    for key, _, w in seen:
+        first[w] = min(first.get(w, key), key)
 
     def near(a, b):
         m = min(len(a), len(b))
@@ -388,24 +412,38 @@ def lines_brute(docs, least=5):
     every = [w for w in first if len(w) >= least]
     gone = {a for a in every for b in every if first[b] < first[a] and near(a, b)}
     out = defaultdict(set)
-    for i, k, w in seen:
-        if key(i, k) > first[w] or w in gone:
-            out[i].add(k)
+    for key, row, w in seen:
+        if key > first[w] or w in gone:
+            out[row].add(key[-1])
     return out
 
 
+def test_lines_of_shared_and_null_ids(spark):
+    line = "a line of quite a few words number {}"
+    docs = [
+        (2, f"{line.format(1)}\nmine alone, all of this one here"), (2, f"precious line of its own here\n{line.format(1)}"), (1, line.format(1)), (2, f"precious line of its own here\n{line.format(1)}"),
+        (None, "some words that a document without an id has"), (None, f"{line.format(2)}\nother"), (7, "some words that a document without any id has"), (7, None), (7, ""),
+    ]
+    want = lines_brute(docs)
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    assert Counter((r.doc_id, r.n_lines, r.dropped) for r in lines.report(df).collect()) == Counter((i, 0 if x is None else x.count("\n") + 1, ",".join(map(str, sorted(want.get((i, x), ()))))) for i, x in docs)
+    kept = Counter((r.doc_id, r.text) for r in lines.clean(df).collect())
+    assert kept[2, "precious line of its own here"] == 2 and kept[2, "mine alone, all of this one here"] == 1
+    assert all(r[0] != 7 or not r[1] for r in kept)
+
+
 def test_lines(docs):
     want = lines_brute([(r[0], r[1]) for r in rows()])
     out = by_id(lines.report(docs))
     for i, text, *_ in rows():
-        assert out[i]["dropped"] == ",".join(map(str, sorted(want.get(i, ())))), i
+        assert out[i]["dropped"] == ",".join(map(str, sorted(want.get((i, text), ())))), i
         assert out[i]["n_lines"] == (0 if text is None else text.count("\n") + 1)
     clean = lines.clean(docs)
     assert clean.columns == docs.columns
     kept = {r.doc_id: r.text for r in clean.collect()}
     for i, text, *_ in rows():
-        if i in want:
-            rest = "\n".join(x for k, x in enumerate(text.split("\n")) if k not in want[i])
+        if (i, text) in want:
+            rest = "\n".join(x for k, x in enumerate(text.split("\n")) if k not in want[i, text])
             assert kept.get(i) == (rest if WORD.search(rest) else None)
         else:
             assert kept[i] == text
@@ -423,7 +461,7 @@ def test_near_lines(spark):
         docs += [(len(docs) + k, " ".join(v)) for k, v in enumerate(variants)]
     want = lines_brute(docs)
     out = by_id(lines.report(spark.createDataFrame(docs, "doc_id bigint, text string")))
-    assert all(out[i]["dropped"] == ",".join(map(str, sorted(want.get(i, ())))) for i, _ in docs)
+    assert all(out[i]["dropped"] == ",".join(map(str, sorted(want.get((i, x), ())))) for i, x in docs)
 
 
 @pytest.mark.parametrize("heavy", [1000, 2])
