@@ -320,7 +320,8 @@ def _joined(n: int, num: int, den: int):
 
 def row_keys(text: Column) -> list[Column]:
     """k1, k2: 128 bits that name a row by its doc_id and text; equal rows share them."""
-    return [F.xxhash64("doc_id", text).alias("k1"), F.xxhash64(F.lit(1), "doc_id", text).alias("k2")]
+    of = F.col("doc_id").cast("long")
+    return [F.xxhash64(of, text).alias("k1"), F.xxhash64(F.lit(1), of, text).alias("k2")]
 
 
 def _text() -> Column:
@@ -334,7 +335,7 @@ def filed(docs: DataFrame, n: int, num: int, den: int, sample_rows: int = 500) -
     sets. The boundary between small and large sets is chosen on at most sample_rows short texts; it changes
     the cost and nothing else.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select("doc_id", *row_keys(F.col("text")), _text().alias("data"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_keys(F.col("text")), _text().alias("data"))
     # short texts have few shingles, and only such sets may count as small: at most sample_rows texts of 4 KB
     short = [bytes(r[0]) for r in rows.select("data").where(F.length("data") <= 4096).limit(sample_rows).collect()]
     boundary = cheapest([shingle_set(x, n) for x in short], docs.count() if short else 0, num, den)
@@ -375,7 +376,7 @@ def joined(docs: DataFrame, n: int, num: int, den: int, chunk: int = 3000, chunk
     sizes = groups.groupBy("g").agg(F.count(F.lit(1)).alias("held"), share.alias("chunks")).where("held > 1").select("g", "chunks")
     groups = cut(groups.join(cut(sizes), "g").select("g", "node", "k1", "k2", "times", "chunks"))
     # candidates grow with the corpus, so this join shuffles at every size
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select(*row_keys(F.col("text")), _text().alias("data"))
+    texts = docs.select(*row_keys(F.col("text")), _text().alias("data"))
     fetched = texts.join(groups.hint("merge"), ["k1", "k2"]).dropDuplicates(["k1", "k2"])
     own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     others = F.transform(F.sequence(F.lit(0), (F.col("chunks") - 1).cast("int")), lambda k: F.struct(F.least(own, k).alias("x"), F.greatest(own, k).alias("y"), (own > k).cast("int").alias("side")))

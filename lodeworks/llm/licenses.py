@@ -11,20 +11,47 @@ from pyspark.sql import functions as F
 # Phrases of the base scan and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-# Customary licence notices, and per notice the phrases that must stand in it.
+# Customary licence notices (phrases that name a licence, passages of their texts, identifier tags), and
+# per notice the phrases that must stand in it.
 NOTICES = [
     ("mit", "released under the mit license", ["mit license"]),
     ("mit", "licensed under the mit license", ["mit license"]),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ["permission is hereby granted", "free of charge"]),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", ["permission notice shall be included"]),
+    ("mit", "spdx license identifier mit", ["spdx license identifier mit"]),
     ("apache", "licensed under the apache license version 2 0", ["apache license"]),
+    ("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at", ["except in compliance with the license"]),
+    ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis", ["required by applicable law or agreed to in writing"]),
+    ("apache", "spdx license identifier apache 2 0", ["spdx license identifier apache"]),
     ("gpl", "this work is licensed under the gnu general public license version 3", ["general public license"]),
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", ["gnu general public license"]),
+    ("gpl", "without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details", ["gnu general public license for more details"]),
+    ("gpl", "the gnu general public license is a free copyleft license for software and other kinds of works", ["free copyleft license"]),
+    ("gpl", "spdx license identifier gpl 3 0 or later", ["spdx license identifier gpl"]),
     ("lgpl", "licensed under the gnu lesser general public license", ["lesser general public license"]),
+    ("lgpl", "under the terms of the gnu lesser general public license as published by the free software foundation", ["lesser general public license"]),
+    ("lgpl", "spdx license identifier lgpl 2 1 or later", ["spdx license identifier lgpl"]),
+    ("agpl", "under the terms of the gnu affero general public license as published by the free software foundation", ["affero general public license"]),
+    ("agpl", "spdx license identifier agpl 3 0 or later", ["spdx license identifier agpl"]),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", ["source and binary forms"]),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", ["redistributions of source code must retain"]),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer", ["redistributions in binary form must reproduce"]),
+    ("bsd", "may be used to endorse or promote products derived from this software without specific prior written permission", ["endorse or promote products derived"]),
+    ("bsd", "spdx license identifier bsd 3 clause", ["spdx license identifier bsd"]),
     ("mpl", "this source code form is subject to the terms of the mozilla public license", ["mozilla public license"]),
+    ("mpl", "if a copy of the mpl was not distributed with this file you can obtain one at", ["copy of the mpl was not distributed"]),
+    ("mpl", "spdx license identifier mpl 2 0", ["spdx license identifier mpl"]),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ["with or without fee"]),
+    ("isc", "spdx license identifier isc", ["spdx license identifier isc"]),
     ("cc", "licensed under a creative commons attribution license", ["creative commons"]),
+    ("cc", "licensed under a creative commons attribution sharealike 4 0 international license", ["creative commons attribution sharealike"]),
+    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights", ["waived all copyright and related"]),
+    ("epl", "made available under the terms of the eclipse public license", ["eclipse public license"]),
+    ("boost", "distributed under the boost software license version 1 0", ["boost software license"]),
+    ("zlib", "in no event will the authors be held liable for any damages arising from the use of this software", ["authors be held liable for any damages"]),
     ("unlicense", "this is free and unencumbered software released into the public domain", ["public domain"]),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software", ["anyone is free to copy modify publish"]),
+    ("artistic", "licensed under the terms of the artistic license", ["artistic license"]),
 ]
 
 #: A word once A-Z are lower case; the scan runs on the text as it is, so it takes A-Z too.

@@ -64,8 +64,8 @@ def sainte_lague(parties: DataFrame, group: str | None, votes: str, seats: str,
     return won.groupBy(*keys).agg((F.first("base") + F.sum("won")).alias("quota"))
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int = 3, block_tokens: int = 16, shard_rows: int = 100_000, least_shards: int = 64, seed: int = 20) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, source, copies, part) for every row of docs.
+def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int = 3, block_tokens: int = 16, shard_rows: int = 100_000, least_shards: int = 64, seed: int = 20, full: bool = False) -> DataFrame:
+    """(doc_id, size, source_size, target, taken, source, copies, part) for every row of docs; full adds row, all its columns.
 
     Tokens are words. Targets: see source_targets. The blocks of block_tokens words that the targets come to
     are apportioned to sources, and each source's quota to its shards by their words, both by Sainte-Lague.
@@ -76,10 +76,12 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int = 3, block
 
     Null text has size 0 and takes nothing; a null source is a source of its own, last in order; an empty table
     gives no rows; equal rows are ordered arbitrarily among themselves, which changes nothing but which of the
-    equals is cut. Only doc_id, text and source are read.
+    equals is cut. Only doc_id, text and source are read, unless full. Shares are worked out over one row per source, in one
+    task: sources are meant to be tens or thousands, not one per document.
     """
+    row = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_lw_row")] if full else []
     key = F.when(F.col("source").isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), F.col("source").cast("string")))
-    sized = cut(docs.select("doc_id", "source", key.alias("key"), word_count(F.col("text")).alias("size"), seeded(F.col("doc_id"), seed).alias("draw")))
+    sized = cut(docs.select("doc_id", "source", key.alias("key"), word_count(F.col("text")).alias("size"), seeded(F.col("doc_id"), seed).alias("draw"), *row))
     shards = max(least_shards, -(-sized.count() // shard_rows))
     # the first nine hex digits of the draw deal the shards, the whole draw orders a shard
     sized = sized.withColumn("shard", F.conv(F.substring("draw", 1, 9), 16, 10).cast("long") % shards)
@@ -103,5 +105,5 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int = 3, block
         .join(cells, ["key", "shard"])
         .withColumn("copies", passes)
         .withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), rest)))
-        .select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies") + F.col("part")).alias("taken"), "source", "copies", "part")
+        .select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies") + F.col("part")).alias("taken"), "source", "copies", "part", *([F.col("_lw_row").alias("row")] if full else []))
     )

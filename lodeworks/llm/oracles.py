@@ -45,11 +45,12 @@ select doc_id, size, source_size, target, (size * copies + greatest(0, least(siz
 """
 
 
-def licence_sql(rare: int = 12, least: float = 0.75) -> str:
-    vocabulary, _ = licenses._index(licenses.NOTICES)
-    rank = {w: k for k, w in enumerate(vocabulary)}
+def licence_sql(least: float = 0.75) -> str:
+    vocabulary, postings = licenses._index(licenses.NOTICES)
+    df = {w: len({x // licenses.STEP for x in postings[w]}) for w in vocabulary}
     notices = ", ".join(f"({n}, '{label}', {len(t.split())})" for n, (label, t, _) in enumerate(licenses.NOTICES))
-    words = ", ".join(f"({n}, {k}, '{w}', {rank[w]})" for n, (_, t, _) in enumerate(licenses.NOTICES) for k, w in enumerate(t.split()))
+    anchors = ", ".join("({}, '{}', {})".format(n, *licenses._anchor(t, ps, df)) for n, (_, t, ps) in enumerate(licenses.NOTICES))
+    words = ", ".join(f"({n}, {k}, '{w}')" for n, (_, t, _) in enumerate(licenses.NOTICES) for k, w in enumerate(t.split()))
     must = ", ".join(
         f"({n}, {next(k for k in range(len(t.split())) if t.split()[k : k + len(p.split())] == p.split()) + i}, '{w}')"
         for n, (_, t, ps) in enumerate(licenses.NOTICES) for p in ps for i, w in enumerate(p.split())
@@ -64,13 +65,12 @@ w as (select doc_id, unnest(a) as w, unnest(range(0, len(a))) as i from d),
 b as ({base}),
 base as (select doc_id, count(*) as n, min(i) as lo, max(i) as hi, list(distinct label) as labels from b group by 1),
 notice(n, label, size) as (values {notices}),
-nw(n, k, w, r) as (values {words}),
+anchor(n, w, back) as (values {anchors}),
+nw(n, k, w) as (values {words}),
 must(n, k, w) as (values {must}),
-ranks as (select doc_id, r from (select doc_id, r, row_number() over (partition by doc_id order by r) z from (select distinct doc_id, r from w join nw using (w))) where z <= {rare}),
-hits as (select w.doc_id, nw.n, w.i - nw.k as start from w join nw using (w) join ranks on ranks.doc_id = w.doc_id and ranks.r = nw.r),
-best as (select doc_id, n, start from (select doc_id, n, start, row_number() over (partition by doc_id, n order by count(*) desc, start) z from hits group by 1, 2, 3) where z = 1),
-firm as (select best.doc_id, best.n, best.start from best join must using (n) left join w on w.doc_id = best.doc_id and w.i = best.start + must.k and w.w = must.w group by 1, 2, 3 having count(*) = count(w.w)),
-scored as (select f.doc_id, f.n, count(w.w) / any_value(notice.size) as score from firm f join nw on nw.n = f.n join notice on notice.n = f.n left join w on w.doc_id = f.doc_id and w.i = f.start + nw.k and w.w = nw.w group by 1, 2),
+hits as (select w.doc_id, anchor.n, w.i - anchor.back as start from w join anchor using (w)),
+firm as (select h.doc_id, h.n, h.start from hits h join must using (n) left join w on w.doc_id = h.doc_id and w.i = h.start + must.k and w.w = must.w group by 1, 2, 3 having count(*) = count(w.w)),
+scored as (select f.doc_id, f.n, f.start, count(w.w) / any_value(notice.size) as score from firm f join nw on nw.n = f.n join notice on notice.n = f.n left join w on w.doc_id = f.doc_id and w.i = f.start + nw.k and w.w = nw.w group by 1, 2, 3),
 own as (select doc_id, max(score) as score, coalesce(list(distinct label) filter (score >= {least}), []) as labels from scored join notice using (n) group by 1)
 select d.doc_id, len(d.a)::bigint as n_words, coalesce(base.n, 0) as n_base, base.lo::bigint as first_word, base.hi::bigint as last_word,
   coalesce(array_to_string(list_sort(base.labels), ','), '') as base_labels,
@@ -79,35 +79,37 @@ from d left join base using (doc_id) left join own using (doc_id)
 """
 
 
-def quality_sql(most_chars: float = 0.2, most_words: float = 0.24, least_chars: int = 200, least_words: int = 40) -> str:
-    names = [*(f"c_{x}" for x in quality.CHARACTERS), *(f"w_{x}" for x in quality.WORDS)]
-    lists = ", ".join(f"len(list_filter(l, lambda x: list_contains({v!r}, x)))::bigint as w_{k}" for k, v in quality.COMMON.items())
-    sums = ", ".join(f"sum({n})::double as r_{n}" for n in names)
+def quality_sql(most_chars: float = 0.25, most_words: float = 0.2, least_chars: int = 200, least_words: int = 40) -> str:
+    k, bins = len(quality.CHARACTERS), quality.BINS
 
-    def distance(mark: str, kinds: list[str], least: int) -> str:
-        own, ref = [f"{mark}_{k}::double" for k in kinds], [f"r_{mark}_{k}" for k in kinds]
-        n, m = "(" + " + ".join(own) + ")", "(" + " + ".join(ref) + ")"
+    def distance(own: str, n: str, reference: str, m: str, least: int) -> str:
         part = lambda a, b: f"(case when {a} > 0 then {a} * log2(2 * {a} / ({a} + {b})) else 0 end)"
-        terms = " + ".join(f"{part(f'({o} / {n})', f'({r} / {m})')} / 2 + {part(f'({r} / {m})', f'({o} / {n})')} / 2" for o, r in zip(own, ref, strict=True))
-        return f"case when {n} >= {least} and {m} >= {least} then sqrt(greatest(0, {terms})) else 0 end"
+        p, q = f"(x[1] / {n})", f"(x[2] / {m})"
+        terms = f"list_sum(list_transform(list_zip({own}, {reference}), lambda x: {part(p, q)} / 2 + {part(q, p)} / 2))"
+        chance = f"(len(list_filter({reference}, lambda b: b > 0)) - 1) / ({n} * 8 * ln(2))"
+        return f"case when {n} >= {least} and {m} >= {least} then sqrt(greatest(0, {terms} - {chance})) else 0 end"
 
     count = lambda kind: f"length(regexp_replace(text, '[^{kind}]+', '', 'g'))::bigint"
     return rf"""
 with d as (select doc_id, lang, coalesce(text, '') as text, {WORDS} as w from documents),
-l as (select *, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as ls, list_transform(w, lambda x: lower(rtrim(x, '.,;:!?'))) as l from d),
+l as (select *, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as ls,
+  list_filter(list_transform(w, lambda x: lower(rtrim(x, '.,;:!?'))), lambda x: list_contains({bins}, x)) as l, regexp_replace(text, '[\x00-\x7F]+', '', 'g') as beyond from d),
 g as (select doc_id, i, array_to_string(w[i:i + 7], ' ') as x from (select doc_id, w, unnest(range(1, len(w) - 6)) as i from d)),
 t as (select doc_id, i, count(*) over (partition by doc_id, x) as n from g),
 c as (select doc_id, least(8, coalesce(lead(i) over (partition by doc_id order by i) - i, 8)) as n from t where n > 1),
 r as (select doc_id, sum(n)::bigint as n_repeat_words from c group by 1),
 a as (select doc_id, coalesce('=' || lang, 'null') as key, len(w)::bigint as n_words, length(translate(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), ''))::bigint as word_chars, length(text)::bigint as n_chars,
   {count('#*$%&|<>')} as n_symbols, (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines, coalesce(n_repeat_words, 0)::bigint as n_repeat_words,
-  {count('A-Z')} as c_upper, {count('0-9')} as c_digit, {count('.,;:!?')} as c_stop, (strlen(text) - length(text))::bigint as c_accent, {lists} from l left join r using (doc_id)),
-b as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed, n_symbols as c_symbol, n_chars - word_chars as c_space,
-  greatest(0, word_chars - c_upper - c_digit - n_symbols - c_stop - c_accent) as c_other, greatest(0, n_words - {' - '.join(f'w_{k}' for k in quality.COMMON)}) as w_rest from a),
-ref as (select key, {sums} from b where not base_failed group by 1)
+  {count('A-Z')} as upper, {count('0-9')} as digit, {count('.,;:!?')} as stop, length(beyond)::bigint as beyond, length(regexp_replace(beyond, '[\x{{00C0}}-\x{{024F}}]+', '', 'g'))::bigint as wide,
+  list_transform({bins}, lambda b: len(list_filter(l, lambda x: x = b))::bigint) as own from l left join r using (doc_id)),
+b as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed,
+  [upper, digit, n_symbols, stop, n_chars - word_chars, beyond - wide, wide, word_chars - upper - digit - n_symbols - stop - beyond]::double[] as hc, list_append(own, n_words - list_sum(own))::double[] as hw from a),
+bins as (select key, pos, sum(n) as n from (select key, unnest(list_concat(hc, hw)) as n, unnest(range({k + len(bins) + 1})) as pos from b where not base_failed) group by 1, 2),
+ref as (select key, list(n order by pos) as r from bins group by 1),
+e as (select b.*, r[:{k}] as rc, r[{k + 1}:] as rw, list_sum(r[:{k}]) as mc, list_sum(r[{k + 1}:]) as mw, n_chars::double as nc, n_words::double as nw from b left join ref using (key))
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  not base_failed and ({distance('c', quality.CHARACTERS, least_chars)}) <= {most_chars} and ({distance('w', quality.WORDS, least_words)}) <= {most_words} as kept
-from (select b.*, ref.* exclude (key) from b left join ref using (key))
+  not base_failed and ({distance('hc', 'nc', 'rc', 'mc', least_chars)}) <= {most_chars} and ({distance('hw', 'nw', 'rw', 'mw', least_words)}) <= {most_words} as kept
+from e
 """
 
 
@@ -136,7 +138,8 @@ def sharding_sql(shards: int = 8, seed: int = 7, rounds: int = 6) -> str:
     return f"""
 with recursive t as (select doc_id, hex(encode(coalesce(text, ''))) as h, {table} as crc from documents),
 u as (select doc_id, crc, length(h) // 2 + 1 as size, list_transform(range(length(h) // 2), lambda i: ('0x' || h[2 * i + 1:2 * i + 2])::bigint) as bytes from t),
-v as (select doc_id, size::bigint as size, xor({crc}, 4294967295) as text_crc32, ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 3))::int as bucket from u),
+c as (select doc_id, size::bigint as size, xor({crc}, 4294967295) as text_crc32 from u),
+v as (select *, ('0x' || substr(md5(coalesce(doc_id::varchar, '') || ':' || text_crc32::varchar), 1, 3))::int as bucket from c),
 n as (select count(*) as n, greatest(1, (case when count(*) > 1 then ceil(log2(count(*)))::int else 1 end + 1) // 2) as half from v),
 m as (select *, (1::bigint << half) - 1 as mask, {a} as a, {b} as b from n),
 w as (select doc_id, size, text_crc32, row_number() over (order by bucket, doc_id nulls first, text_crc32, size) - 1 as p, false as done from v),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,13 +17,43 @@ COMMON = {
     "es": ["de", "la", "que", "el", "en", "y", "a", "los", "se", "del", "las", "un", "por", "con", "no", "una", "su", "para", "es", "al"],
 }
 
-CHARACTERS = ["upper", "digit", "symbol", "stop", "accent", "space", "other"]
-WORDS = [*COMMON, "rest"]
+#: Classes of characters; each character is in one. wide: beyond ASCII and Latin letters; other: the rest of ASCII.
+CHARACTERS = ["upper", "digit", "symbol", "stop", "space", "accent", "wide", "other"]
+#: The bins of the word histogram: one for each common word of any language, and one for all other words.
+BINS = sorted({w for words in COMMON.values() for w in words})
+
+
+def _let(x: Column, f) -> Column:
+    """f(x) with x worked out once: a one-element array names a result inside an expression."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def _without(text: Column, kind: str) -> Column:
+    """Characters that are left when runs of a class are taken away."""
+    return F.length(F.regexp_replace(text, f"[{kind}]+", "")).cast("long")
+
+
+def character_bins(text: Column, n_chars: Column, word_chars: Column, n_symbols: Column) -> Column:
+    """Counts of a text's characters by class, in the order of CHARACTERS; they add up to all its characters."""
+    upper, digit, stop = (_without(text, f"^{kind}") for kind in ("A-Z", "0-9", ".,;:!?"))
+    beyond = F.regexp_replace(text, r"[\x00-\x7F]+", "")
 
+    def of(x: Column) -> Column:
+        known = x["upper"] + x["digit"] + x["stop"] + n_symbols + x["beyond"] + n_chars - word_chars
+        return F.array(x["upper"], x["digit"], n_symbols, x["stop"], n_chars - word_chars, x["beyond"] - x["wide"], x["wide"], n_chars - known)
 
-def _chars(text: Column, kind: str) -> Column:
-    """Characters of a class, counted by taking away all others in runs."""
-    return F.length(F.regexp_replace(text, f"[^{kind}]+", "")).cast("long")
+    ends = _let(beyond, lambda b: F.struct(F.length(b).cast("long").alias("beyond"), _without(b, r"\u00C0-\u024F").alias("wide")))
+    return _let(F.struct(upper.alias("upper"), digit.alias("digit"), stop.alias("stop"), ends["beyond"].alias("beyond"), ends["wide"].alias("wide")), of)
+
+
+def word_bins(words: Column, n_words: Column) -> Column:
+    """Counts of an array of lower-case words by BINS, then of all others.
+
+    The common words are joined to one short string; how much shorter it gets without a word tells its count.
+    """
+    said = F.concat(F.lit(" "), F.array_join(F.filter(words, lambda w: w.isin(BINS)), "  "), F.lit(" "))
+    own = lambda s: F.transform(F.array(*map(F.lit, BINS)), lambda w: F.floor((F.octet_length(s) - F.octet_length(F.replace(s, F.concat(F.lit(" "), w, F.lit(" ")), F.lit("")))) / (F.octet_length(w) + 2)))
+    return _let(_let(said, own), lambda a: F.concat(a, F.array(n_words - F.aggregate(a, F.lit(0).cast("long"), lambda t, x: t + x))))
 
 
 def window_hashes(words: Column, n: int) -> Column:
@@ -50,69 +82,73 @@ def repeated_words(words: Column, hashes: Column, n: int) -> Column:
         step = lambda a, s: F.struct((s + n).alias("to"), (a["n"] + n - F.greatest(F.lit(0), a["to"] - s)).alias("n"))
         return F.aggregate(starts, zero, step, lambda a: a["n"])
 
-    # let: a one-element array names an intermediate result inside an expression
-    let = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))
-    return F.when(alike, let(F.sort_array(windows), lambda a: let(union(a), measure))).otherwise(0).cast("long")
+    return F.when(alike, _let(F.sort_array(windows), lambda a: _let(union(a), measure))).otherwise(0).cast("long")
 
 
-def counts(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, the base counts and the two histograms of every row, from its whole text."""
+def counts(docs: DataFrame, carried: list[Column]) -> DataFrame:
+    """doc_id, lang, the base counts, the two histograms (c, w) and carried columns of every row, from its whole text."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    out = docs.select("doc_id", "lang", F.xxhash64("text").alias("mark"), text.alias("text"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("words"))
+    names = [f"_lw_carried{k}" for k in range(len(carried))]
+    out = docs.select("doc_id", "lang", text.alias("text"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("words"), *(c.alias(n) for c, n in zip(carried, names, strict=True)))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    size = lambda kind: F.size(F.filter("lower", lambda w: w.isin(COMMON[kind]))).cast("long")
-    out = out.withColumn("lower", F.transform("words", lambda w: F.lower(F.rtrim(w, F.lit(".,;:!?"))))).withColumn("windows", window_hashes(F.col("words"), 8))
-    return out.select(
-        "doc_id", "lang", "mark",
+    lower = F.transform("words", lambda w: F.lower(F.rtrim(w, F.lit(".,;:!?"))))
+    out = out.withColumn("windows", window_hashes(F.col("words"), 8))
+    out = out.select(
+        "doc_id", "lang", *names, "text",
         F.size("words").cast("long").alias("n_words"),
         F.length(F.translate("text", " \t\n\x0b\f\r", "")).cast("long").alias("word_chars"),
         F.length("text").cast("long").alias("n_chars"),
-        _chars(F.col("text"), r"#*$%&|<>").alias("n_symbols"),
+        _without(F.col("text"), r"^#*$%&|<>").alias("n_symbols"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("words"), F.col("windows"), 8).alias("n_repeat_words"),
-        _chars(F.col("text"), "A-Z").alias("c_upper"), _chars(F.col("text"), "0-9").alias("c_digit"), _chars(F.col("text"), ".,;:!?").alias("c_stop"),
-        (F.octet_length("text") - F.length("text")).cast("long").alias("c_accent"),
-        *(size(kind).alias(f"w_{kind}") for kind in COMMON),
+        word_bins(lower, F.size("words").cast("long")).alias("w"),
     )
+    return out.withColumn("c", character_bins(F.col("text"), F.col("n_chars"), F.col("word_chars"), F.col("n_symbols"))).drop("text", "n_chars")
 
 
-def _jensen_shannon(p: Column, q: Column) -> Column:
-    """Jensen-Shannon distance (root of the divergence in bits) of two arrays of shares, 0 to 1."""
+def excess(own: Column, n: Column, reference: Column, m: Column) -> Column:
+    """Jensen-Shannon distance (0 to 1) of a histogram of n from a reference of m, without what chance accounts for.
+
+    A sample of n from the reference itself diverges by about (bins - 1) / (8 n ln 2) bits; only bins that the
+    reference has count. The distance is the root of the divergence in bits.
+    """
     part = lambda a, b: F.when(a > 0, a * F.log2(2 * a / (a + b))).otherwise(0.0)
-    pairs = F.zip_with(p, q, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    total = F.aggregate(pairs, F.lit(0.0), lambda t, x: t + part(x["a"], x["b"]) / 2 + part(x["b"], x["a"]) / 2)
-    return F.sqrt(F.greatest(F.lit(0.0), total))
+    pairs = F.zip_with(own, reference, lambda a, b: F.struct((a / n).alias("p"), (b / m).alias("q")))
+    total = F.aggregate(pairs, F.lit(0.0), lambda t, x: t + part(x["p"], x["q"]) / 2 + part(x["q"], x["p"]) / 2)
+    chance = (F.size(F.filter(reference, lambda b: b > 0)) - 1) / (n * F.lit(8 * math.log(2)))
+    return F.sqrt(F.greatest(F.lit(0.0), total - chance))
 
 
-def judge(docs: DataFrame, most_chars: float = 0.2, most_words: float = 0.24, least_chars: int = 200, least_words: int = 40, full: bool = False) -> DataFrame:
+def judge(docs: DataFrame, most_chars: float = 0.25, most_words: float = 0.2, least_chars: int = 200, least_words: int = 40, full: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept.
 
     A document that passes the base rules is kept unless its character-class histogram lies further than
     most_chars, or its common-word histogram further than most_words, from the reference of its language by
-    Jensen-Shannon distance. The references are the pooled histograms of all documents of the language that
-    pass the base rules. Guards: a histogram over fewer than least_chars characters or least_words words is
-    not judged, and a language whose reference is that short judges nothing.
+    Jensen-Shannon distance (see excess). The references are the pooled histograms of all documents of the
+    language that pass the base rules. Guards: a histogram over fewer than least_chars characters or least_words
+    words is not judged, and a language whose reference is that short judges nothing. Words of a language
+    without common words of its own here all lie in the last bin, so its documents are judged by characters.
+
+    full adds char_distance, word_distance, and row: all columns of the row.
 
-    Null text counts as empty and fails the base rules; a null lang is a language of its own. Equal rows give
-    equal rows; an empty table gives none; only doc_id, text and lang are read.
+    Null text counts as empty and fails the base rules; a null lang is a language of its own. Each row is judged by
+    itself, so equal rows give equal rows; an empty table gives none; only doc_id, text and lang are read, unless full.
     """
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    slim = counts(docs).withColumn("base_failed", failed).withColumn("key", F.coalesce(F.concat(F.lit("="), "lang"), F.lit("null")))
-    known = F.col("c_upper") + F.col("c_digit") + F.col("n_symbols") + F.col("c_stop") + F.col("c_accent")
-    space = F.col("n_chars") - F.col("word_chars")
-    slim = slim.withColumns({"c_symbol": F.col("n_symbols"), "c_space": space, "c_other": F.greatest(F.lit(0), F.col("word_chars") - known), "w_rest": F.greatest(F.lit(0), F.col("n_words") - sum((F.col(f"w_{x}") for x in COMMON), F.lit(0)))})
-    slim = cut(slim)
-    names = [*(f"c_{x}" for x in CHARACTERS), *(f"w_{x}" for x in WORDS)]
-    reference = slim.where(~F.col("base_failed")).groupBy("key").agg(*(F.sum(n).alias(f"r_{n}") for n in names))
-    # languages are few, yet nothing bounds them: a plain join, which Spark broadcasts by measured size
+    slim = counts(docs, [F.struct(*(F.col(f"`{c}`") for c in docs.columns))] if full else [])
+    slim = cut(slim.withColumn("base_failed", failed).withColumn("key", F.coalesce(F.concat(F.lit("="), "lang"), F.lit("null"))).drop("lang"))
+    # a row for each language and bin; languages are few, yet nothing bounds them: a plain join, which Spark broadcasts by measured size
+    bins = slim.where(~F.col("base_failed")).select("key", F.posexplode(F.concat("c", "w")).alias("at", "n")).groupBy("key", "at").agg(F.sum("n").alias("n"))
+    whole = bins.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "n"))), lambda x: x["n"]).alias("r"))
+    reference = whole.select("key", F.slice("r", 1, len(CHARACTERS)).alias("rc"), F.slice("r", len(CHARACTERS) + 1, len(BINS) + 1).alias("rw"))
     both = slim.join(reference, "key", "left")
+    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda t, x: t + x)
+    both = both.withColumns({"mc": total("rc"), "mw": total("rw"), "nc": total("c")})
 
-    def distance(kinds: list[str], mark: str, least: int) -> Column:
-        own, ref = ([F.col(f"{r}{mark}_{x}").cast("double") for x in kinds] for r in ("", "r_"))
-        n, m = sum(own, F.lit(0.0)), sum(ref, F.lit(0.0))
-        return F.when((n >= least) & (m >= least), _jensen_shannon(F.array(*(x / n for x in own)), F.array(*(x / m for x in ref)))).otherwise(0.0)
+    def distance(own: str, n: str, reference: str, m: str, least: int) -> Column:
+        return F.when((F.col(n) >= least) & (F.col(m) >= least), excess(F.col(own), F.col(n), F.col(reference), F.col(m))).otherwise(0.0)
 
-    both = both.withColumn("char_distance", distance(CHARACTERS, "c", least_chars)).withColumn("word_distance", distance(WORDS, "w", least_words))
+    both = both.withColumn("char_distance", distance("c", "nc", "rc", "mc", least_chars)).withColumn("word_distance", distance("w", "n_words", "rw", "mw", least_words))
     both = both.withColumn("kept", ~F.col("base_failed") & (F.col("char_distance") <= most_chars) & (F.col("word_distance") <= most_words))
     out = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
-    return both.select(*out, *(["char_distance", "word_distance", "lang", "mark"] if full else []))
+    return both.select(*out, *(["char_distance", "word_distance", F.col("_lw_carried0").alias("row")] if full else []))

@@ -45,25 +45,27 @@ def permute(numbers, n: int, seed: int = 7, rounds: int = 6):
 def shard(docs: DataFrame, shards: int = 8, seed: int = 7, digits: int = 3) -> DataFrame:
     """One row per row of docs: doc_id, size, text_crc32, law 'rows', shard, slot, grown_shard (null).
 
-    Rows are numbered 0..n-1 without gaps: by hash bucket of doc_id, then doc_id, checksum and size within the
+    Rows are numbered 0..n-1 without gaps: by hash bucket of doc_id and checksum, then doc_id, checksum and size within the
     bucket, with the bucket's first number from the counts of the buckets before it (16 ** digits of them, so
     the counts are a table of bounded size; a bucket is sorted by one task, which may spill). The Feistel
     permutation sends a row number to p; its shard is p mod shards and its slot p div shards, so the shards'
     counts differ by one at most, slots have no gaps, and both can be computed from the row number alone.
 
     size is the UTF-8 bytes of the text (null: none) plus 1, the checksum of a null text is 0. Rows that are
-    equal in doc_id and text take neighbouring numbers in any order, which cannot be told apart. An empty table
+    equal in doc_id and text take neighbouring numbers in any order, which cannot be told apart; they share a bucket,
+    while rows that share only a doc_id (null, say) or only a text are spread. An empty table
     gives no rows; only doc_id and text are read.
     """
     from pyspark.sql.functions import pandas_udf
 
-    named = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    crc = F.crc32(text.cast("binary"))
+    named = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), crc.cast("string")).cast("binary"))
     bucket = F.conv(F.substring(named, 1, digits), 16, 10).cast("int")
     counts = docs.select(bucket.alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"))
     before = F.coalesce(F.sum("rows").over(W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     firsts = counts.select("bucket", before.alias("first"), F.sum("rows").over(W.partitionBy(F.lit(0))).alias("n"))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", bucket.alias("bucket"), (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    rows = docs.select("doc_id", bucket.alias("bucket"), (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), crc.alias("text_crc32"))
     order = W.partitionBy("bucket").orderBy("doc_id", "text_crc32", "size")
     numbered = rows.withColumn("rank", F.row_number().over(order) - 1).join(F.broadcast(firsts), "bucket")  # at most 16 ** digits rows
 
