@@ -1,79 +1,7 @@
-"""A corpus pipeline: quality rules, line dedup, near duplicates, mixing, packing.
-
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the
-next stage's docs. All but the last return the columns of documents. A stage begins by dropping what the stage
-before it left in the shared folder, so its predecessor's result must have been written by then.
-"""
-
-from __future__ import annotations
-
-import uuid
-
-import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from lodeworks.llm import jaccard, lines, mixing, packing, quality
-from lodeworks.llm.common import forget, shared_folder, table
-
-#: The file of the tokenizer that packing counts tokens with.
-TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
-
-
-def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    forget(spark)
-    kept = quality.judge(docs, full=True).where("kept").select(F.col("doc_id").alias("_lw_of"), F.col("mark").alias("_lw_mark")).distinct()
-    same = docs["doc_id"].eqNullSafe(F.col("_lw_of")) & (F.xxhash64("text") == F.col("_lw_mark"))
-    return docs.join(kept, same, "left_semi")
-
-
-def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that repeat or nearly repeat an earlier one; those left without words go."""
-    forget(spark)
-    return lines.clean(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by word 5-grams at Jaccard similarity 0.8, the one of the smallest id."""
-    forget(spark)
-    groups = jaccard.components(docs, n=5, num=8, den=10, passes=4)
-    kept = groups.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_lw_of")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_lw_of")), "left_semi")
-
-
-def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; the last, unfinished copy has the text's first words alone."""
-    forget(spark)
-    taken = mixing.mix(docs).where("taken > 0").select(F.col("doc_id").alias("_lw_of"), F.col("copies").alias("_lw_copies"), F.col("part").alias("_lw_part")).distinct()
-    both = docs.join(taken, docs["doc_id"].eqNullSafe(F.col("_lw_of")))
-    copies = both.withColumn("_lw_copy", F.explode(F.sequence(F.lit(1), (F.col("_lw_copies") + (F.col("_lw_part") > 0).cast("long")).cast("int"))))
-    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    cut_off = F.array_join(F.slice(words, 1, F.col("_lw_part").cast("int")), " ")
-    text = F.when(F.col("_lw_copy") > F.col("_lw_copies"), cut_off).otherwise(F.col("text"))
-    return copies.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
-
-
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of 4096 tokens."""
-    forget(spark)
-    return packing.pack(docs, TOKENIZER)
-
-
-STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("near duplicates", near_duplicates), ("mixing", mix), ("packing", pack)]
-
-#: Packing by a tokenizer can't be put in SQL; tests hold each stage against brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        path = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-    return STAGES[-1][1](spark, docs, sf_dir)
+"""The corpus pipeline's stages; they are written in lodeworks.llm.pipeline."""
 
+from lodeworks.llm.pipeline import ORACLE_SQL, STAGES, run
 
 QUERIES = {"pipeline": run}
 ORACLES = {} if ORACLE_SQL is None else {"pipeline": ORACLE_SQL}
+__all__ = ["ORACLES", "ORACLE_SQL", "QUERIES", "STAGES", "run"]
