@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, shared_keys, with_shared
 
 ANCHOR = 48  # bytes of an anchor
 BITS = 24  # of a position within a chunk
@@ -113,7 +113,10 @@ def anchor_runs(data, ends, length: int):
 
 
 def _occurrences(length: int):
-    """Arrow batches of (t, text bytes) to runs: anchor hash h, content hash c, text t, and low, high, anchor in pos."""
+    """Arrow batches of (t, text bytes) to runs: anchor hash h, content hash c, text t, and low, high, anchor in pos.
+
+    A task takes each text once, however many copies it meets: a third of all rows may be one text.
+    """
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -135,9 +138,12 @@ def _occurrences(length: int):
             pos = ((lo + shift) << 16) | ((hi - lo) << 8) | (a - lo)
             return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(np.array([p[0] for p in parts], np.int64)[of]), pa.array(pos.astype(np.int64))], names)
 
-        parts, total = [], 0
+        parts, total, seen = [], 0, set()
         for batch in batches:
             for t, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if t in seen:
+                    continue
+                seen.add(t)  # one number per text of a split
                 text = text.as_py()
                 for first in range(0, max(1, len(text) - length + 1), CHUNK):
                     piece = text[first : first + CHUNK + length - 1]
@@ -344,8 +350,9 @@ def _sort_groups(length: int, batch_items: int = 20_000):
 def repeated(texts: DataFrame, length: int = 200, heavy: int = 1000) -> DataFrame:
     """(t, first, last): ranges of starts in text t whose length-byte string also starts elsewhere.
 
-    texts: (t, data) with t a hash of the bytes; equal texts may occur any number of times.
+    texts: (t, data) with t the name of the bytes; equal texts may occur any number of times.
 
+    0. All starts of a text that occurs more than once are repeated.
     1. Every start is filed under its string's anchor; consecutive starts with one anchor form a run, about
        one in 75 starts. Runs are hashed whole. Equal runs are counted: all their starts are repeated.
     2. Anchors met once end there. For the others, one run of each content is cut out of its text and filed
@@ -354,6 +361,8 @@ def repeated(texts: DataFrame, length: int = 200, heavy: int = 1000) -> DataFram
        one task. Groups of over `heavy` runs are spread over all tasks instead: each start's string is
        fingerprinted with 128 bits and counted, with partial sums before the shuffle.
     """
+    copied = texts.groupBy("t").agg(F.count(F.lit(1)).alias("n"), F.min(F.length("data")).alias("size")).where("n > 1")
+    copied = copied.select("t", F.lit(0).cast("long").alias("first"), (F.col("size") - length).cast("long").alias("last"))
     runs = texts.mapInArrow(_occurrences(length), OCCURRENCE)
     anchors = cut(runs.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"))
     runs = cut(runs.join(anchors, "h"))
@@ -375,7 +384,46 @@ def repeated(texts: DataFrame, length: int = 200, heavy: int = 1000) -> DataFram
     large = large.select("t", (F.col("a") - F.col("d")).alias("p"), F.xxhash64(string).alias("x"), F.xxhash64(F.lit(1), string).alias("y"))
     twice = cut(large.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("x", "y"))
     spread = large.join(twice, ["x", "y"]).select("t", F.col("p").alias("first"), F.col("p").alias("last"))
-    return whole.union(small).union(spread)
+    return copied.union(whole).union(small).union(spread)
+
+
+def _spans(length: int):
+    """Arrow batches of (t, first, last), sorted by the first two, to (t, removed spans as (first, end) in order).
+
+    Ranges of starts are merged as they come, so a text's array has at most a span for every length + 1 bytes.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        kind = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
+        now, spans, names, held = None, [], [], []
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([[{"first": a, "end": b} for a, b in x] for x in held], kind)], ["t", "spans"])
+            names.clear()
+            held.clear()
+            return out
+
+        for batch in batches:
+            for t, first, last in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if t != now:
+                    if spans:
+                        names.append(now)
+                        held.append(spans)
+                    now, spans = t, []
+                if spans and first <= spans[-1][1]:
+                    spans[-1][1] = max(spans[-1][1], last + length)
+                else:
+                    spans.append([first, last + length])
+            if len(names) >= 2000:
+                yield flush()
+        if spans:
+            names.append(now)
+            held.append(spans)
+        yield flush()
+
+    return run
 
 
 def remove_repeats(docs: DataFrame, length: int = 200, heavy: int = 1000) -> DataFrame:
@@ -386,9 +434,13 @@ def remove_repeats(docs: DataFrame, length: int = 200, heavy: int = 1000) -> Dat
     empty table gives no rows; only doc_id and text are read.
     """
     data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    rows = docs.select("doc_id", data.alias("data")).withColumn("t", F.xxhash64("data"))
-    ranges = repeated(rows.where(F.length("data") >= length).select("t", "data"), length, heavy)
-    ranges = cut(ranges.distinct().groupBy("t").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("ranges")))
+    rows = docs.select("doc_id", data.alias("data"))
+    # a text's name is a 64-bit hash, and another one where that stands for several texts: 128 bits tell these apart
+    one, two = F.xxhash64("data"), F.xxhash64(F.lit(1), "data")
+    rows = with_shared(rows.withColumn("t", one), "t", shared_keys(rows, one, two), "_lw_many")
+    rows = rows.select("doc_id", "data", F.when(F.col("_lw_many"), F.xxhash64("t", two)).otherwise(F.col("t")).alias("t"))
+    ranges = repeated(rows.where(F.length("data") >= length).select("t", "data"), length, heavy).distinct()
+    spans = cut(ranges.repartition("t").sortWithinPartitions("t", "first").mapInArrow(_spans(length), "t bigint, spans array<struct<first: bigint, end: bigint>>"))
 
     def apply(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -397,20 +449,17 @@ def remove_repeats(docs: DataFrame, length: int = 200, heavy: int = 1000) -> Dat
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             out = []
-            for ranges, data in zip(batch.column(1).to_pylist(), map(unpack, batch.column(2).to_pylist()), strict=True):
-                kept, spans, to = [], 0, 0
-                end = 0  # of the present removed run
-                for r in ranges or ():
-                    if r["first"] > end or not spans:
-                        kept.append(data[end : r["first"]])
-                        spans += 1
-                    end = max(end, r["last"] + length)
+            for spans, data in zip(batch.column(1).to_pylist(), map(unpack, batch.column(2).to_pylist()), strict=True):
+                kept, end = [], 0
+                for x in spans or ():
+                    kept.append(data[end : x["first"]])
+                    end = x["end"]
                 kept.append(data[end:])
                 rest = b"".join(kept)
-                out.append((len(data), len(data) - len(rest), spans, rest))
+                out.append((len(data), len(data) - len(rest), len(spans or ()), rest))
             cols = list(zip(*out, strict=True)) if out else [[]] * 4
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    both = rows.select("doc_id", "t", "data").mapInArrow(_packed, f"doc_id {kind}, t bigint, z binary").join(ranges, "t", "left").select("doc_id", "ranges", "z")
+    both = rows.select("doc_id", "t", "data").mapInArrow(_packed, f"doc_id {kind}, t bigint, z binary").join(spans, "t", "left").select("doc_id", "spans", "z")
     return both.mapInArrow(apply, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")

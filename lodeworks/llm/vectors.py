@@ -84,11 +84,10 @@ class MultiIndex:
         parts = [x[:, : self.half], x[:, self.half :]] if x.shape[1] > 1 else [x, x]
         d = [distances(p, b) for p, b in zip(parts, self.books, strict=True)]
         out = np.empty(len(x), np.int64)
-        step = max(1, 8_000_000 // (self.k * self.k))
-        for lo in range(0, len(x), step):
-            at = slice(lo, lo + step)
-            grid = (d[0][at][:, :, None] + d[1][at][:, None, :]).reshape(-1, self.k * self.k)
-            out[at] = (grid <= np.take_along_axis(grid, cells[at, None], axis=1)).sum(axis=1) - 1
+        for k, (near, far, cell) in enumerate(zip(*d, cells, strict=True)):
+            limit = near[cell // self.k] + far[cell % self.k]
+            # cells (i, j) with near[i] + far[j] <= limit, counted without listing the grid
+            out[k] = np.searchsorted(np.sort(far), limit - near + 1e-12 * max(1.0, abs(limit)), side="right").sum() - 1
         return out
 
 
@@ -128,15 +127,16 @@ def visits_for(index: MultiIndex, sample, least: float, recall: float, queries:
     return out
 
 
-def fitted(sample, n: int, least: float, recall: float, fill: int, most_centres: int, queries: int = 1500) -> tuple[MultiIndex, int]:
+def fitted(sample, n: int, least: float, recall: float, fill: int, queries: int = 1500) -> tuple[MultiIndex, int]:
     """The index for n vectors and its number of visits: of the finest grid and its halvings, the one of least cost.
 
-    If the sample is only a part of the table, its queries are kept out of the codebooks, as most vectors are.
+    The finest grid has a cell for every `fill` vectors, as far as a codebook has four sampled vectors for each
+    centre. If the sample is only a part of the table, its queries are kept out of the codebooks, as most vectors are.
     """
     import numpy as np
 
     rest = sample[min(queries, len(sample) // 4) :] if n > len(sample) else sample
-    k = int(min(most_centres, len(rest), max(2, np.ceil(np.sqrt(n / fill)))))
+    k = int(min(max(2, np.ceil(np.sqrt(n / fill))), max(256, len(rest) // 4), len(rest)))
     best = None
     while True:
         index = MultiIndex(rest, k)
@@ -149,6 +149,65 @@ def fitted(sample, n: int, least: float, recall: float, fill: int, most_centres:
         k = max(2, k // 2)
 
 
+def _needed(index: MultiIndex, queries, ids, least: float, most: int = 4000):
+    """Arrow batches of (id, times, v) to (visits, links): how many links of the queries need how many visits.
+
+    The queries meet all rows. Visits are rounded up by about a tenth, so that few different numbers come out.
+    Of more than `most` links in a batch that many are looked at, each standing for its share.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        home, draw = index.cells(queries, 1)[:, 0], np.random.default_rng(3)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = unit(_matrix(batch.column(2), batch.num_rows))
+            own = batch.column(0).to_numpy()
+            q, r = np.nonzero(queries @ x.T >= least)
+            other = ids[q] != own[r]
+            q, r = q[other], r[other]
+            if not len(q):
+                continue
+            weight = max(1.0, len(q) / most)
+            if weight > 1:
+                pick = draw.permutation(len(q))[:most]
+                q, r = q[pick], r[pick]
+            visits = 1 + np.minimum(index.ranks(queries[q], index.cells(x[r], 1)[:, 0]), index.ranks(x[r], home[q]))
+            visits = np.ceil(1.1 ** np.ceil(np.log(visits) / np.log(1.1) - 1e-9)).astype(np.int64)
+            names, count = np.unique(visits, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(count * weight)], ["visits", "links"])
+
+    return run
+
+
+def _calibrated(classes: DataFrame, index: MultiIndex, visits: int, least: float, recall: float, queries: int) -> tuple[int, float | None]:
+    """(visits, measured recall): visits raised until so many queries find `recall` of their links among all rows.
+
+    The queries are classes with an id divisible by 50, those of the least hashes; all their links are found by
+    comparing them with every row. A link that either end visits is found. Without links the recall is None.
+    """
+    import numpy as np
+
+    rows = classes.where(F.pmod("id", F.lit(50)) == 0).orderBy(F.xxhash64("id"), "id").limit(queries).collect()  # at most `queries` vectors
+    if not rows:
+        return visits, None
+    asked = unit(np.array([r["v"] for r in rows]))
+    found = classes.select("id", "times", "v").mapInArrow(_needed(index, asked, np.array([r["id"] for r in rows]), least), "visits bigint, links double")
+    steps = sorted(tuple(r) for r in found.groupBy("visits").agg(F.sum("links")).collect())  # a few hundred numbers, see _needed
+    total, upto = sum(n for _, n in steps), 0.0
+    if not total:
+        return visits, None
+    for need, n in steps:
+        if need > visits and upto >= recall * total:
+            break
+        upto += n
+        visits = max(visits, need)
+    return min(visits, index.k * index.k), upto / total
+
+
 def _matrix(column, n: int):
     """An Arrow list column as a 2-d array."""
     import numpy as np
@@ -237,17 +296,19 @@ def _linked(index: MultiIndex, visits: int, least: float):
     return run
 
 
-def _links(classes: DataFrame, n: int, least: float, recall: float, fill: int, most_centres: int, sample_rows: int, chunk: int) -> DataFrame:
+def _links(classes: DataFrame, n: int, least: float, recall: float, fill: int, sample_rows: int, chunk: int, queries: int, log: list) -> DataFrame:
     """(a, b, links) of n classes (id, times, v) of one length: what the blocks of their index find, see _linked."""
     import numpy as np
 
     sample = [r[0] for r in classes.orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("v").collect()]  # at most sample_rows
-    index, visits = fitted(unit(np.array(sample)), n, least, recall, fill, most_centres)
+    index, visits = fitted(unit(np.array(sample)), n, least, recall, fill)
+    visits, measured = _calibrated(classes, index, visits, least, recall, queries)
+    log.append({"length": len(sample[0]), "vectors": n, "centres": index.k, "visits": visits, "recall": measured})
     kind = dict(classes.dtypes)["v"]
     assigned = cut(classes.mapInArrow(_assigned(index, visits), f"id bigint, times bigint, v {kind}, cell int, cells array<int>"))
     asked = assigned.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("ys"))
     filled = assigned.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("xs"))
-    grid = F.broadcast(cut(filled.join(asked, "cell")))  # at most most_centres ** 2 rows
+    grid = cut(filled.join(asked, "cell"))  # grows with the table; Spark broadcasts it by its measured size
     all_of = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     one_of = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
     held = assigned.join(grid, "cell").select("cell", one_of("xs").alias("x"), all_of("ys").alias("y"), F.lit(0).alias("side"), "id", "times", F.col("cell").alias("own"), "v")
@@ -257,16 +318,19 @@ def _links(classes: DataFrame, n: int, least: float, recall: float, fill: int, m
     return cut(blocks.mapInArrow(_linked(index, visits, least), "a bigint, b bigint, links bigint"))
 
 
-def near(vectors: DataFrame, least: float = 0.9, recall: float = 0.995, fill: int = 128, most_centres: int = 256, sample_rows: int = 20_000, chunk: int = 1500) -> DataFrame:
+def near(vectors: DataFrame, least: float = 0.9, recall: float = 0.995, fill: int = 128, sample_rows: int = 20_000, chunk: int = 1500, queries: int = 200, log: list | None = None) -> DataFrame:
     """One row per row of vectors (vec_id, embedding): vec_id, n_links, component_id, kept.
 
     Two vectors link when their cosine in double precision is at least `least`. Equal vectors are one class,
     joined once and counted as often as they occur.
 
     Index of the vectors of a length: two codebooks are fitted by k-means on at most sample_rows classes (the least
-    hashes of their ids), each of sqrt(classes / fill) centres, most_centres at most, or a halving of that if it costs less (see fitted).
-    Every class lies in the cell of its nearest centres and visits the cells nearest to it; their number is the
-    least that finds `recall` of the sample's links and of pairs at cosine `least` exactly, all cells if need be.
+    hashes of their ids), each of sqrt(classes / fill) centres, which grow with the table up to a quarter of the sample, or
+    a halving of that if it costs less (see fitted). Every class lies in the cell of its nearest centres and
+    visits the cells nearest to it. Their number is the least that finds `recall` of the sample's links and of
+    pairs at cosine `least` exactly; it is raised until at most `queries` queries find that share of all their links, which
+    are known by comparing them with every row (_calibrated). There is no cap but all cells. log gets a line per length
+    with the recall that was measured.
     All pairs of a cell's vectors and visitors are verified. A cell is dealt to chunks of about `chunk`
     vectors and visitors, each pair of chunks one task's work, so cells may grow without bound.
 
@@ -285,7 +349,7 @@ def near(vectors: DataFrame, least: float = 0.9, recall: float = 0.995, fill: in
     links = spark.createDataFrame([], "a bigint, b bigint, links bigint")
     for length, n in sorted(tuple(r) for r in classes.groupBy(F.size("v")).count().collect()):
         if n > 1:
-            links = links.union(_links(classes.where(F.size("v") == length).select("id", "times", "v"), n, least, recall, fill, most_centres, sample_rows, chunk))
+            links = links.union(_links(classes.where(F.size("v") == length).select("id", "times", "v"), n, least, recall, fill, sample_rows, chunk, queries, [] if log is None else log))
     whole = connected_components(links.select("a", "b")).withColumnRenamed("node", "id")
     counts = links.groupBy(F.col("a").alias("id")).agg(F.sum("links").cast("long").alias("others"))
     found = classes.select("h", "g", "id", "times").join(counts, "id", "left").join(whole, "id", "left").where("times > 1 or component is not null")

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodeworks.llm import html_text, jaccard, licenses, lines, mixing, packing, quality, sharding, substrings, vectors
 
@@ -270,18 +271,44 @@ def test_vectors(spark):
     want = linked.sum(axis=1)
     assert all(have[i].n_links <= want[k] for k, i in enumerate(ids))
     assert sum(have[i].n_links for i in ids) >= 0.9 * want.sum()
+    # with every cell visited, links, components and kept are those of brute force
+    out = vectors.near(spark.createDataFrame(data, "vec_id bigint, embedding array<float>, label int"), fill=16, chunk=40, recall=1.1).collect()
+    low = np.arange(len(ids))
+    while (new := np.array([min(low[k], low[linked[k]].min(initial=len(ids))) for k in range(len(ids))])).tolist() != low.tolist():
+        low = new
+    component = {i: min(ids[j] for j in range(len(ids)) if low[j] == low[k]) for k, i in enumerate(ids)}
+    for r in out:
+        if r.vec_id < 1000:
+            assert (r.n_links, r.component_id, r.kept) == (want[ids.index(r.vec_id)], component[r.vec_id], component[r.vec_id] == r.vec_id)
 
 
-def test_vector_pairs(spark):
-    """Pairs just within the limit, in a table far larger than the sample, which holds hardly any of them."""
+@pytest.mark.parametrize("fill", [8, 2])
+def test_vector_pairs(spark, fill):
+    """Few pairs just within the limit in a table far larger than the sample, which holds none or one of them."""
     g = np.random.default_rng(4)
-    x = vectors.unit(g.normal(size=(3000, 64)))
-    x = np.concatenate([x, vectors.turned(x, 0.901, seed=12)]).astype(np.float32)
+    x = vectors.unit(g.normal(size=(12_000, 64)))
+    x = np.concatenate([x, vectors.turned(x[:300], 0.905, seed=12)]).astype(np.float32)
+    log = []
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
-    out = vectors.near(df, fill=4, sample_rows=300).where("n_links > 0").count()
-    assert out >= 0.99 * len(x)
+    out = vectors.near(df, fill=fill, sample_rows=600, log=log).where("n_links > 0").collect()
+    assert len(out) >= 0.95 * 600 and all(r.component_id == r.vec_id % 12_000 for r in out) and log[0]["vectors"] == len(x)
     index = vectors.MultiIndex(x[:500].astype(float), 9)
-    assert all((index.ranks(x.astype(float), index.cells(x.astype(float), v)[:, -1]) == v - 1).all() for v in (1, 20, 81))
+    some = x[:300].astype(float)
+    assert all((index.ranks(some, index.cells(some, v)[:, -1]) == v - 1).all() for v in (1, 20, 81))
+
+
+def test_vector_recall(spark):
+    """The queries' links in all rows raise the visits that the sample asks for."""
+    g = np.random.default_rng(5)
+    x = vectors.unit(g.normal(size=(3000, 16)))
+    x = np.concatenate([x, vectors.turned(x, 0.91, seed=2)]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, v array<float>").withColumn("times", F.lit(1))
+    index = vectors.MultiIndex(x[:600].astype(float), 12)
+    visits, measured = vectors._calibrated(df, index, 1, 0.9, 0.95, 200)
+    cells = index.cells(x.astype(float), visits)
+    found = [cells[i, 0] in cells[i + 3000] or cells[i + 3000, 0] in cells[i] for i in range(3000)]
+    assert 1 < visits < 144 and measured >= 0.95 and np.mean(found) >= 0.9
+    assert vectors._calibrated(df.where("id = 50"), index, 7, 0.9, 0.95, 200) == (7, None)
 
 
 def test_vectors_of_several_lengths(spark):
@@ -464,6 +491,17 @@ def test_near_lines(spark):
     assert all(out[i]["dropped"] == ",".join(map(str, sorted(want.get((i, x), ())))) for i, x in docs)
 
 
+def test_substrings_long_repeats(spark):
+    """A long text that repeats itself through and through is one span, whatever the order its ranges come in."""
+    r = random.Random(2)
+    piece = "".join(r.choice("abcdefgh ") for _ in range(700))
+    table = [(1, piece * 60), (2, "x" + piece + "y"), (None, piece[:300] + "other"), (None, "unique " * 20), (1, "again, another text of the same id")]
+    out = {(x.doc_id, x.n_bytes): x for x in substrings.remove_repeats(spark.createDataFrame(table, "doc_id bigint, text string"), heavy=3).collect()}
+    assert (out[1, 42000].n_removed, out[1, 42000].n_spans) == (42000, 1)
+    assert (out[2, 702].n_removed, out[2, 702].n_spans, bytes(out[2, 702].kept)) == (700, 1, b"xy")
+    assert bytes(out[None, 305].kept) == b"other" and out[None, 140].n_removed == 0 and len(out) == 5
+
+
 @pytest.mark.parametrize("heavy", [1000, 2])
 def test_substrings(docs, heavy):
     size = 200
