@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import heapq
 import html as entities
 import math
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -24,141 +26,274 @@ MARKS = frozenset(
 )
 OWN = frozenset("article entry post content story main body text page".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|</\s*([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-NAMED = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I | re.S)
+#: Marks of what readers or nobody sees as part of the page: these hold unless nothing else is left.
+FIRM = frozenset("comment comments disqus replies respond hidden".split())
+
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+ATTRIBUTE = re.compile(r"[\s/]*([^\s/>=][^\s/>=]*)(\s*=\s*)?")
+PLAIN = re.compile(r"[^\s>]*")
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 SPACE = re.compile(r"\s+")
 STOPS = re.compile(r"[.,;:!?、。，！？；]")
+#: Start tags that end an open element, unless one of the others stands between them.
+ENDS = {
+    **{t: (("p",), ("td", "th", "table", "button", "object")) for t in CLOSES_P}, "li": (("li",), ("ul", "ol", "menu")), "tr": (("tr",), ("table",)), "option": (("option",), ("select",)),
+    **{t: (("td", "th"), ("tr", "table")) for t in ("td", "th")}, **{t: (("dt", "dd"), ("dl",)) for t in ("dt", "dd")},
+}
+
+
+class Node:
+    """An element: its path (a number per path of tags and classes), what it lies in, and whether it counts."""
+
+    __slots__ = ("above", "article", "dropped", "header", "holder", "link", "marked", "number", "path", "tag", "words")
+
+    def __init__(self, tag, above, number, path):
+        self.tag, self.above, self.number, self.path, self.words = tag, above, number, path, frozenset()
+        self.article = self.link = self.header = self.dropped = False
+        self.marked = above.marked if above else None  # the nearest element around it, or it, that bears marks
+        self.holder = above.holder if tag in INLINE and above else self
 
 
 class Block:
-    __slots__ = ("path", "spine", "tags", "bits", "linked", "dropped", "heading", "text")
+    __slots__ = ("bits", "dropped", "heading", "linked", "node", "text")
+
+    def __init__(self, node):
+        self.node, self.bits, self.linked, self.text, self.heading = node, [], 0, "", node.tag in HEADINGS
+        self.dropped = node.dropped or (node.header and not self.heading)
 
-    def __init__(self, path, spine, tags, dropped, heading):
-        self.path, self.spine, self.tags, self.dropped, self.heading, self.bits, self.linked, self.text = path, spine, tags, dropped, heading, [], 0, ""
+    @property
+    def path(self) -> int:
+        return self.node.path
 
     def links(self) -> bool:
         """Whether most of the text stands in links."""
         return 2 * self.linked > len(self.text)
 
 
-def _marked(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element's names say that it is not part of the article."""
-    if not attributes or tag in ("html", "body"):
-        return False
-    for name, a, b, c in NAMED.findall(attributes):
-        name, value = name.lower(), a or b or c
-        if name == "hidden" and "=" not in value or name == "aria-hidden" and value.lower() == "true":
-            return True
-        if name == "style":
-            if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return True
-            continue
-        for word in value.split():
-            parts = [x.lower() for x in PARTS.findall(word)]
-            if not parts or parts[0] in ("no", "has", "with", "not", "without"):
-                continue
-            hit = MARKS.intersection(parts)
-            if hit and (tag in ("article", "main")) and not hit & {"comment", "comments", "replies", "ad", "ads", "advert", "related", "sponsored", "promo"}:
-                continue
-            if hit and hit <= {"header", "side", "search", "banner"} and (in_article or OWN.intersection(parts)):
+class Scanner:
+    """Tokens of a page in one pass: places of quotes and brackets are looked for once, however broken the page is."""
+
+    def __init__(self, page: str):
+        self.page, self.known = page, {}
+
+    def find(self, what: str, at: int) -> int:
+        """The first place of what from at on, -1 if there is none; at must not fall from call to call."""
+        known = self.known.get(what, -2)
+        if known == -2 or 0 <= known < at:
+            known = self.known[what] = self.page.find(what, at)
+        return known
+
+    def attributes(self, at: int) -> tuple[list[tuple[str, str]], int]:
+        """(name, value) pairs from the end of a tag's name, and where the tag ends; -1 if it never does.
+
+        A quoted value that isn't followed by white space, '/' or '>' took in text by a stray quote: the tag then
+        ends at the first '>'.
+        """
+        page, out = self.page, []
+        stop = self.find(">", at)
+        if stop < 0:
+            return out, -1
+        while m := ATTRIBUTE.match(page, at):
+            name, at = m[1].lower(), m.end()
+            value = ""
+            if m[2]:
+                quote = page[at : at + 1]
+                if quote and quote in "\"'":
+                    end = self.find(quote, at + 1)
+                    if end < 0 or not (page[end + 1 : end + 2] in ("", ">", "/") or page[end + 1].isspace()):
+                        return out, page.find(">", m.start()) + 1
+                    value, at = page[at + 1 : end], end + 1
+                else:
+                    v = PLAIN.match(page, at)
+                    value, at = v[0], v.end()
+            out.append((name, value))
+        end = page.find(">", at)
+        return out, end + 1 if end >= 0 else -1
+
+    def tokens(self) -> Iterator[tuple[str, str, list, int]]:
+        """(kind, name or text, attributes, where it ends): kind is 'text', 'end' or 'start'."""
+        page, at, n = self.page, 0, len(self.page)
+        raw = ""
+        while at < n:
+            if raw:
+                close = re.compile(rf"</{raw}\b", re.I).search(page, at)
+                end = close.start() if close else n
+                if end > at:
+                    yield "text", page[at:end], [], end
+                at, raw = end, ""
                 continue
-            if hit:
-                return True
-    return False
+            lt = self.find("<", at)
+            if lt < 0:
+                yield "text", page[at:], [], n
+                return
+            if lt > at:
+                yield "text", page[at:lt], [], lt
+            at, ahead = lt, page[lt + 1 : lt + 2]
+            if page.startswith("<!--", at):
+                end = page.find("-->", at + 4)
+                at = end + 3 if end >= 0 else n
+            elif page.startswith("<![CDATA[", at):
+                end = page.find("]]>", at)
+                at = end + 3 if end >= 0 else n
+            elif ahead in ("!", "?"):
+                end = self.find(">", at)
+                at = end + 1 if end >= 0 else n
+            elif ahead == "/" and (m := NAME.match(page, at + 2)):
+                end = self.find(">", at)
+                at = end + 1 if end >= 0 else n
+                yield "end", m[0].lower(), [], at
+            elif m := NAME.match(page, at + 1):
+                tag = m[0].lower()
+                found, end = self.attributes(m.end())
+                if end < 0:
+                    return  # a tag that never ends is no text
+                at = end
+                yield "start", tag, found, at
+                if tag in RAW:
+                    raw = tag
+            else:
+                yield "text", "<", [], at + 1
+                at += 1
+
+
+def _marks(tag: str, attributes: list[tuple[str, str]], in_article: bool) -> frozenset[str]:
+    """The words among an element's names that say that it is not part of the article."""
+    if tag in ("html", "body"):
+        return frozenset()
+    out = set()
+    for name, value in attributes:
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
+            out.add("hidden")
+        elif name == "style":
+            if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+                out.add("hidden")
+        elif name in ("class", "id", "role"):
+            for word in value.split():
+                parts = [x.lower() for x in PARTS.findall(word)]
+                if not parts or parts[0] in ("no", "has", "with", "not", "without"):
+                    continue
+                hit = MARKS.intersection(parts)
+                if hit and tag in ("article", "main") and not hit & {"comment", "comments", "replies", "ad", "ads", "advert", "related", "sponsored", "promo"}:
+                    continue
+                if hit and hit <= {"header", "side", "search", "banner"} and (in_article or OWN.intersection(parts)):
+                    continue
+                out |= hit
+    return frozenset(out)
 
 
 def blocks(page: str) -> list[Block]:
-    """Text blocks in page order: runs of text not broken by a block-level element. An open head ends where HTML ends it."""
-    # stack entries: tag, dropped, path, own number, inside an article, inside a link, inside a header of an article
-    stack = [("", False, "", 0, False, False, False)]
+    """Text blocks in page order: runs of text not broken by a block-level element. An open head ends where HTML ends it.
+
+    Linear in the page: the open elements are kept by tag, too, and paths are numbers.
+    """
+    root = Node("", None, 0, 0)
+    stack, where, paths = [root], defaultdict(list), {}
     out: list[Block] = []
     now: Block | None = None
-    number, at, raw = 0, 0, ""
+    number = 0
+
+    def push(node: Node) -> None:
+        where[node.tag].append(len(stack))
+        stack.append(node)
+
+    def cut_to(size: int) -> None:
+        while len(stack) > size:
+            where[stack.pop().tag].pop()
+
+    def last(tags: tuple) -> int:
+        return max((where[t][-1] for t in tags if where[t]), default=0)
 
     def text(piece: str) -> None:
         nonlocal now
-        if not piece:
-            return
-        if stack[-1][0] == "head" and not piece.isspace():
-            stack.pop()
+        if stack[-1].tag == "head" and not piece.isspace():
+            cut_to(len(stack) - 1)
             now = None
         top = stack[-1]
         if now is None:
             if piece.isspace():
                 return
-            at = next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] not in INLINE)
-            holder = stack[at]
-            now = Block(holder[2], [s[3] for s in stack[: at + 1]], [s[0] for s in stack[: at + 1]], holder[1] or (holder[6] and holder[0] not in HEADINGS), holder[0] in HEADINGS)
+            now = Block(top.holder)
             out.append(now)
-        if top[1] and not now.dropped:
-            return  # an inline element that is dropped
+        if (top.dropped and not now.dropped) or (top.marked is not now.node.marked and top.marked):
+            return  # an inline element that is dropped or marked
         piece = entities.unescape(piece)
         now.bits.append(piece)
-        if top[5]:
+        if top.link:
             now.linked += len(piece)
 
-    for m in TOKEN.finditer(page):
-        if m.start() < at:
-            continue
-        text(page[at : m.start()])
-        at = m.end()
-        end, tag = m[1], m[2]
-        if end:
-            end = end.lower()
-            if any(s[0] == end for s in stack[1:]):
-                while stack[-1][0] != end:
-                    if stack[-1][0] not in INLINE:
-                        now = None
-                    stack.pop()
-                stack.pop()
-            if end not in INLINE:
+    for kind, tag, attributes, _ in Scanner(page).tokens():
+        if kind == "text":
+            text(tag)
+        elif kind == "end":
+            if where[tag]:
+                size = where[tag][-1]
+                if any(x.tag not in INLINE for x in stack[size + 1 :]):
+                    now = None
+                cut_to(size)
+            if tag not in INLINE:
                 now = None
-        elif tag:
-            tag = tag.lower()
-            if stack[-1][0] == "head" and tag not in IN_HEAD or tag == "body" and any(s[0] == "head" for s in stack):
-                # the end tag of a head may be left out: what cannot stand in it closes it
-                del stack[next(k for k, s in enumerate(stack) if s[0] == "head") :]
+        else:
+            if where["head"] and (tag == "body" or stack[-1].tag == "head" and tag not in IN_HEAD):
+                cut_to(where["head"][-1])  # the end tag of a head may be left out: what cannot stand in it closes it
                 now = None
             if tag == "br":
                 text(" ")
                 continue
             if tag not in INLINE:
                 now = None
-                if tag in CLOSES_P and any(s[0] == "p" for s in stack):
-                    barrier = next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in ("p", "td", "th", "table", "button", "object"))
-                    if stack[barrier][0] == "p":
-                        del stack[barrier:]
-                for own, stop in (("li", ("ul", "ol", "menu")), ("tr", ("table",)), ("td", ("tr", "table")), ("th", ("tr", "table")), ("dt", ("dl",)), ("dd", ("dl",)), ("option", ("select",))):
-                    if tag == own or tag in ("td", "th") and own in ("td", "th") or tag in ("dt", "dd") and own in ("dt", "dd"):
-                        for k in range(len(stack) - 1, 0, -1):
-                            if stack[k][0] in stop:
-                                break
-                            if stack[k][0] == own:
-                                del stack[k:]
-                                break
+                if tag in ENDS:
+                    own, stop = (last(x) for x in ENDS[tag])
+                    if own > stop:
+                        cut_to(own)
             if tag in VOID:
                 continue
             top = stack[-1]
             number += 1
-            in_article = top[4] or tag in ("article", "main")
-            page_header = tag == "header" and not top[4]
-            dropped = top[1] or tag in DROPPED or page_header or _marked(tag, m[3], top[4])
-            names = "".join("." + (a or b or c) for n, a, b, c in NAMED.findall(m[3]) if n.lower() == "class") if m[3] and tag not in INLINE else ""
-            path = top[2] if tag in INLINE else f"{top[2]}/{tag}{names}"
-            if m[3].endswith("/") and tag not in INLINE and tag in ("svg", "path"):
-                continue
-            stack.append((tag, dropped, path, number, in_article, top[5] or tag == "a", top[6] or (tag == "header" and top[4])))
-            if tag in RAW:
-                close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-                at = close.start() if close else len(page)
-    text(page[at:])
-    kept = []
-    for b in out:
-        b.text = SPACE.sub(" ", "".join(b.bits)).strip()
-        if b.text and not b.dropped:
-            kept.append(b)
-    return kept
+            names = " ".join(v for k, v in attributes if k == "class") if tag not in INLINE else ""
+            node = Node(tag, top, number, top.path if tag in INLINE else paths.setdefault((top.path, tag, names), len(paths) + 1))
+            node.article = top.article or tag in ("article", "main")
+            node.link = top.link or tag == "a"
+            node.header = top.header or (tag == "header" and top.article)
+            node.dropped = top.dropped or tag in DROPPED or (tag == "header" and not top.article)
+            node.words = _marks(tag, attributes, top.article) if attributes else node.words
+            if node.words:
+                node.marked = node
+            push(node)
+    for x in out:
+        x.text = SPACE.sub(" ", "".join(x.bits)).strip()
+    return _unmarked([x for x in out if x.text and not x.dropped])
+
+
+def _unmarked(found: list[Block]) -> list[Block]:
+    """The blocks outside elements that bear marks, but for words that mark the article itself.
+
+    A word that stands on most of a page's text (three times as much as is left without it) is the name of something
+    else, such as a layout or a subject, and is passed over on that page. Readers' comments and what is hidden stay out
+    however long they are, unless nothing else is left.
+    """
+    passed: set[str] = set()
+    while True:
+        kept, held = [], Counter()
+        plain = 0
+        verdict: dict[int, str] = {}  # by marked element: a word that keeps it out
+        for x in found:
+            n, chain, word = x.node.marked, [], ""
+            while n is not None and n.number not in verdict:
+                chain.append(n)
+                n = n.above.marked
+            word = verdict[n.number] if n is not None else ""
+            for n in reversed(chain):  # outer elements first: the outermost word decides
+                word = word or min(n.words - passed, default="")
+                verdict[n.number] = word
+            if word:
+                held[word] += max(0, len(x.text) - x.linked)
+            else:
+                kept.append(x)
+                plain += max(0, len(x.text) - x.linked)
+        over = [w for w, n in held.items() if n and (not plain if w in FIRM else n >= 3 * plain)]
+        if not over:
+            return kept
+        passed.add(max(over, key=lambda w: (w not in FIRM, held[w], w)))
 
 
 def _smooth(x: list[float], radius: int = 1) -> list[float]:
@@ -171,45 +306,53 @@ def _smooth(x: list[float], radius: int = 1) -> list[float]:
     return out
 
 
-def _whole(found: list[Block], chosen: set[str], spine: list[int], tags: list[str], depth: int) -> list[Block]:
-    """The article around the element at this depth of a spine: what the narrowest element of the content leaves out.
+def _whole(found: list[Block], chosen: set[int], inside: Node) -> list[Block]:
+    """The article around an element: what the narrowest element of the content leaves out.
 
     The element widens to the article or main around it, then to its parents below body while they add no block
     of links. Beside it, elements that hold content come whole, and so does what follows the heading before it: an
-    h1, or any heading that stands beside one of the elements around the content.
+    h1, or any heading that stands beside one of the elements around the content. Within it blocks of links come
+    only as paragraphs: lists of them are menus.
     """
-    common = [next((k for k, (m, n) in enumerate(zip(b.spine, spine, strict=False)) if m != n), min(len(b.spine), len(spine))) for b in found]
-    linked = {c for b, c in zip(found, common, strict=True) if b.links()}  # a block with c elements in common joins at the element c - 1
-    depth = max((k for k in range(depth + 1) if tags[k] in ("article", "main")), default=depth)
-    while depth > 1 and tags[depth - 1] not in ("html", "body") and depth not in linked:
+    spine, n = [], inside
+    while n is not None:
+        spine.append(n)
+        n = n.above
+    spine.reverse()
+    place = {x.number: k for k, x in enumerate(spine)}
+    joins: dict[int, tuple[int, int]] = {x.number: (k, -1) for k, x in enumerate(spine)}  # last element in common, and the branch that leaves it
+
+    def join(node: Node) -> tuple[int, int]:
+        chain = []
+        while node.number not in joins:
+            chain.append(node)
+            node = node.above
+        for x in reversed(chain):
+            k, branch = joins[x.above.number]
+            joins[x.number] = (k, branch if x.above.number not in place else x.number)
+        return joins[chain[0].number] if chain else joins[node.number]
+
+    met = [join(b.node) for b in found]
+    linked = {k for b, (k, _) in zip(found, met, strict=True) if b.links()}
+    depth = max((k for k, x in enumerate(spine) if x.tag in ("article", "main")), default=len(spine) - 1)
+    while depth > 1 and spine[depth - 1].tag not in ("html", "body") and depth - 1 not in linked:
         depth -= 1
-    branches = [b.spine[c] if c <= depth and c < len(b.spine) else -1 for b, c in zip(found, common, strict=True)]
-    held = {n for b, n in zip(found, branches, strict=True) if b.path in chosen} - {-1}
-    taken = [b.path in chosen or not b.links() and (c > depth or n in held) for b, c, n in zip(found, common, branches, strict=True)]
-    around = set(spine[: depth + 1])
+    held = {n for b, (k, n) in zip(found, met, strict=True) if b.path in chosen and k < depth} - {-1}
+    taken = [b.path in chosen or (k >= depth or n in held) and (not b.links() or k >= depth and b.node.tag == "p") for b, (k, n) in zip(found, met, strict=True)]
     first = taken.index(True)
     for k in range(first - 1, -1, -1):
         if found[k].links():
             break
-        if found[k].heading and (found[k].tags[-1] == "h1" or found[k].spine[-2] in around):
+        beside = found[k].node.above
+        if found[k].heading and (found[k].node.tag == "h1" or beside is not None and place.get(beside.number, len(spine)) <= depth):
             taken[k:first] = [True] * (first - k)
             first = k
     return [b for b, t in zip(found, taken, strict=True) if t]
 
 
-def main_text(page: str | None, level: float = 0.5, share: float = 0.8) -> str:
-    """The article of a page, its blocks joined by two newlines; empty if there is none.
-
-    Blocks within menus, headers, footers and the like go first. Per root-to-leaf tag path, text outside links
-    and punctuation are summed and divided by the path's blocks; both ratios are smoothed over the page and
-    fused by product, and blocks of at least level times the fused series' standard deviation are content. All
-    of a content path's blocks are content, and so is what else stands in the innermost element that holds at
-    least the given share of the content's characters (headings, short paragraphs, lists), widened by _whole.
-    """
-    found = blocks(page or "")
-    if not found:
-        return ""
-    sums: dict[str, list[int]] = {}
+def content_paths(found: list[Block], level: float) -> set[int]:
+    """The paths of content: those with a block whose fused ratio is at least level standard deviations."""
+    sums: dict[int, list[int]] = {}
     for b in found:
         s = sums.setdefault(b.path, [0, 0, 0])
         s[0] += max(0, len(b.text) - b.linked)
@@ -223,21 +366,43 @@ def main_text(page: str | None, level: float = 0.5, share: float = 0.8) -> str:
     if not chosen:
         best = max(sums, key=lambda p: sums[p][0])
         chosen = {best} if sums[best][0] else set()
+    return chosen
+
+
+def main_text(page: str | None, level: float = 0.5, share: float = 0.8) -> str:
+    """The article of a page, its blocks joined by two newlines; empty if there is none.
+
+    Blocks within menus, headers, footers and the like go first, by tag and by marks in names (_unmarked). Per root-to-leaf tag path, text outside links
+    and punctuation are summed and divided by the path's blocks; both ratios are smoothed over the page and
+    fused by product, and blocks of at least level times the fused series' standard deviation are content. All
+    of a content path's blocks are content, and so is what else stands in the innermost element that holds at
+    least the given share of the content's characters (headings, short paragraphs, lists), widened by _whole.
+    """
+    found = blocks(page or "")
+    if not found:
+        return ""
+    chosen = content_paths(found, level)
     if not chosen:
         return ""
-    weight: dict[int, int] = {}
-    total = 0
+    # the characters of content by element, from the leaves up: inner elements have higher numbers
+    weight, nodes = Counter(), {}
     for b in found:
         if b.path in chosen:
-            total += len(b.text)
-            for n in b.spine:
-                weight[n] = weight.get(n, 0) + len(b.text)
-    holder = max((n for n, x in weight.items() if x >= share * total), default=0)  # inner elements have higher numbers
-    inside = next(b for b in found if b.path in chosen and holder in b.spine)
-    depth = inside.spine.index(holder)
-    if depth == len(inside.spine) - 1 and depth > 0:
-        depth -= 1  # one single block: what stands beside it may belong to it
-    return "\n\n".join(b.text for b in _whole(found, chosen, inside.spine, inside.tags, depth))
+            weight[b.node.number] += len(b.text)
+            nodes[b.node.number] = b.node
+    total, queue = sum(weight.values()), [-n for n in weight]
+    heapq.heapify(queue)
+    while queue:
+        node = nodes[-heapq.heappop(queue)]
+        if weight[node.number] >= share * total:
+            break
+        if node.above.number not in nodes:
+            nodes[node.above.number] = node.above
+            heapq.heappush(queue, -node.above.number)
+        weight[node.above.number] += weight[node.number]
+    if node.above is not None and any(b.node is node for b in found):
+        node = node.above  # one single block: what stands beside it may belong to it
+    return "\n\n".join(b.text for b in _whole(found, chosen, node))
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """Each operator against brute force on small tables with nulls, ties, repeats, odd and long texts."""
 
-import hashlib
+import math
 import random
 import re
 import zlib
@@ -577,6 +577,89 @@ def test_html_open_head():
     assert html_text.main_text(f"{head} {p}") == html_text.main_text(f"{head}<b>{p[:9]}</b>{p[9:]}") == p.strip()
 
 
+def test_html_marked_names():
+    """Names that happen to hold a marking word don't empty an article; real boilerplate and comments stay out."""
+    p = "This is a sentence of the article, with some words in it; and a few more. "
+    body, want = f"<h1>Title</h1><p>{p * 3}</p><p>{p * 2}</p>", "\n\n".join(["Title", (p * 3).strip(), (p * 2).strip()])
+    for name in ("layout-sidebar-left", "social-science", "news-alert-story", "side-by-side", "elementor-widget", "page-with-comments", "hidden"):
+        page = f"<body><nav><a href=x>Home</a></nav><div class='{name}'>{body}<div class='ad'>{p}</div></div><footer>f</footer></body>"
+        assert html_text.main_text(page) == want, name
+        assert html_text.main_text(f"<body><div id='{name}'><div>{body}</div></div></body>") == want, name
+    widgets = "".join(f"<div class='elementor-widget'><p>{p * 2}</p></div>" for _ in range(5))
+    assert html_text.main_text(f"<body><div>{widgets}</div><div class='comments'><p>{p * 30}</p></div></body>") == "\n\n".join([(p * 2).strip()] * 5)
+    assert html_text.main_text(f"<body><article>{body}</article><div class='sidebar'><p>{p * 9}</p></div><div hidden><p>{p * 30}</p></div></body>") == want
+
+
+def test_html_broken_tags():
+    p = "This is a sentence of the article, with some words in it; and a few more. "
+    text = [(p * 3).strip(), p * 2 + "a link"]
+    for tag in ('<p title="x>', "<p title='x>", '<p title="a &gt; b" data-x="<b>bold</b>">', '<p "title>', "<p title=x' y>", "<p <b>", "<p\nclass = 'a' >"):
+        page = f"<body><article>{tag}{p * 3}</p><p>{p * 2}<a href=\"y\" title='it'>a link</a></p></article></body>"
+        assert html_text.main_text(page) == "\n\n".join(text), tag
+    assert html_text.main_text(f"<p>{p}1 < 2 <3 & 4</p><a ") == f"{p}1 < 2 <3 & 4"
+
+
+def test_html_links_in_the_article():
+    """A paragraph that is one link belongs to the article, a list of links is a menu."""
+    p = "This is a sentence of the article, with some words in it; and a few more. "
+    page = f"<body><article><p>{p * 3}</p><p><a href=a>Read the paper</a></p><ul><li><a href=a>one</a></li><li><a href=b>two</a></li></ul><p>{p * 2}</p></article></body>"
+    assert html_text.main_text(page) == "\n\n".join([(p * 3).strip(), "Read the paper", (p * 2).strip()])
+
+
+@pytest.mark.parametrize("page", ["<div>" * 100_000 + "x. " + "</div>" * 100_000, "<div>a. " * 50_000, '<a "' * 250_000, '<a x="' * 170_000 + ">", "<a x='>" * 140_000, "<b>" * 30_000 + "<p>x. y</p>z" * 30_000, "<ul>" + "<div>" * 20_000 + "<li>a" * 20_000, "<p><button>" + "<div>" * 50_000, "<b>" * 20_000 + "</i>" * 100_000, "<div class=ad>" * 30_000 + "t. ", "<" * 500_000], ids=range(11))
+def test_html_is_linear(page):
+    import time
+
+    began = time.perf_counter()
+    html_text.main_text(page)
+    assert time.perf_counter() - began < 8
+
+
+def test_html_ratios():
+    """The paths of content on random pages are those of the ratios worked out anew from a page's tree."""
+    from html.parser import HTMLParser
+
+    class Tree(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.path, self.found, self.link = [], [], 0
+
+        def handle_starttag(self, tag, attrs):
+            if tag == "a":
+                self.link += 1
+            else:
+                self.path.append(tag + "".join(f".{v}" for _, v in attrs))
+
+        def handle_endtag(self, tag):
+            if tag == "a":
+                self.link -= 1
+            else:
+                self.path.pop()
+
+        def handle_data(self, data):
+            self.found.append(("/".join(self.path), data, bool(self.link)))
+
+    r = random.Random(9)
+    say = lambda n: " ".join(r.choice(["word", "other", "thing.", "more,", "x"]) for _ in range(n)).strip()
+    for _ in range(60):
+        page = "".join(f"<div class='{r.choice('abc')}'>" + "".join(r.choice([f"<p>{say(r.randint(1, 60))}</p>", f"<h2>{say(3)}</h2>", f"<ul><li><a>{say(2)}</a></li></ul>", f"<section><p>{say(9)}</p></section>"]) for _ in range(r.randint(1, 6))) + "</div>" for _ in range(r.randint(1, 6)))
+        tree = Tree()
+        tree.feed(page)
+        paths = [p for p, _, _ in tree.found]
+        ratios = []
+        for kind in (lambda x, link: 0 if link else len(x), lambda x, link: 0 if link else sum(c in ".,;:!?" for c in x)):
+            mean = {p: np.mean([kind(x, link) for q, x, link in tree.found if q == p]) for p in set(paths)}
+            raw, w = np.array([mean[p] for p in paths]), np.array([math.exp(-0.5), 1, math.exp(-0.5)])
+            ratios.append(np.convolve(raw, w, "same") / np.convolve(np.ones(len(raw)), w, "same"))
+        fused = ratios[0] * (ratios[1] + 0.01)
+        want = {p for (p, _, link), x in zip(tree.found, fused, strict=True) if x >= 0.5 * fused.std() - 1e-9 and x > 0 and not link and not p.endswith("h2")}
+        found = html_text.blocks(page)
+        assert [b.text for b in found] == [x for _, x, _ in tree.found]
+        names = {b.path: p for b, p in zip(found, paths, strict=True)}
+        if want:
+            assert {names[k] for k in html_text.content_paths(found, 0.5)} == want, page
+
+
 def test_queries_on_small_tables(spark, sf_dir):
     from lodeworks.llm import queries
 
