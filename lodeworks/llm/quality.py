@@ -20,7 +20,7 @@ COMMON = {
 #: Classes of characters; each character is in one. wide: beyond ASCII and Latin letters; other: the rest of ASCII.
 CHARACTERS = ["upper", "digit", "symbol", "stop", "space", "accent", "wide", "other"]
 #: The bins of the word histogram: one for each common word of any language, and one for all other words.
-BINS = sorted({w for words in COMMON.values() for w in words})
+BINS = list(dict.fromkeys(w for words in COMMON.values() for w in words))
 
 
 def _let(x: Column, f) -> Column:
@@ -28,32 +28,43 @@ def _let(x: Column, f) -> Column:
     return F.get(F.transform(F.array(x), f), F.lit(0))
 
 
-def _without(text: Column, kind: str) -> Column:
-    """Characters that are left when runs of a class are taken away."""
-    return F.length(F.regexp_replace(text, f"[{kind}]+", "")).cast("long")
+#: ASCII white space, letters, digits, symbols and stops.
+SPACES, LETTERS, DIGITS, SYMBOLS, STOPS = " \t\n\x0b\f\r", "abcdefghijklmnopqrstuvwxyz", "0123456789", "#*$%&|<>", ".,;:!?"
+ASCII, LATIN = ("".join(map(chr, range(*ends))) for ends in ((0, 0x80), (0xC0, 0x250)))
 
 
-def character_bins(text: Column, n_chars: Column, word_chars: Column, n_symbols: Column) -> Column:
-    """Counts of a text's characters by class, in the order of CHARACTERS; they add up to all its characters."""
-    upper, digit, stop = (_without(text, f"^{kind}") for kind in ("A-Z", "0-9", ".,;:!?"))
-    beyond = F.regexp_replace(text, r"[\x00-\x7F]+", "")
+def marks(text: Column) -> Column:
+    """word_chars and the counts of the classes of characters, from what is left when common characters are taken away.
+
+    Taking away by a table of characters costs the same for any class; patterns get slow where a query has many.
+    """
+    gone = lambda x, some: F.translate(x, some, "")
+    size = lambda x: F.length(x).cast("long")
 
-    def of(x: Column) -> Column:
-        known = x["upper"] + x["digit"] + x["stop"] + n_symbols + x["beyond"] + n_chars - word_chars
-        return F.array(x["upper"], x["digit"], n_symbols, x["stop"], n_chars - word_chars, x["beyond"] - x["wide"], x["wide"], n_chars - known)
+    def of_rare(rare: Column, word_chars: Column) -> Column:
+        beyond = gone(rare, ASCII)
+        known = {n: size(rare) - size(gone(rare, c)) for n, c in {"upper": LETTERS.upper(), "digit": DIGITS, "symbol": SYMBOLS, "stop": STOPS}.items()}
+        return F.struct(word_chars.alias("word_chars"), *(c.alias(n) for n, c in known.items()), size(beyond).alias("beyond"), size(gone(beyond, LATIN)).alias("wide"))
 
-    ends = _let(beyond, lambda b: F.struct(F.length(b).cast("long").alias("beyond"), _without(b, r"\u00C0-\u024F").alias("wide")))
-    return _let(F.struct(upper.alias("upper"), digit.alias("digit"), stop.alias("stop"), ends["beyond"].alias("beyond"), ends["wide"].alias("wide")), of)
+    return _let(gone(text, SPACES), lambda solid: _let(gone(solid, LETTERS), lambda rare: of_rare(rare, size(solid))))
+
+
+def character_bins(marks: Column, n_chars: Column) -> Column:
+    """Counts of a text's characters by class, in the order of CHARACTERS; they add up to all its characters."""
+    known = [marks["upper"], marks["digit"], marks["symbol"], marks["stop"]]
+    return F.array(*known, n_chars - marks["word_chars"], marks["beyond"] - marks["wide"], marks["wide"], marks["word_chars"] - sum(known[1:], known[0]) - marks["beyond"])
 
 
 def word_bins(words: Column, n_words: Column) -> Column:
     """Counts of an array of lower-case words by BINS, then of all others.
 
-    The common words are joined to one short string; how much shorter it gets without a word tells its count.
+    Each common word becomes a character, by its number; how much shorter the string of these gets without a
+    character is the word's count.
     """
-    said = F.concat(F.lit(" "), F.array_join(F.filter(words, lambda w: w.isin(BINS)), "  "), F.lit(" "))
-    own = lambda s: F.transform(F.array(*map(F.lit, BINS)), lambda w: F.floor((F.octet_length(s) - F.octet_length(F.replace(s, F.concat(F.lit(" "), w, F.lit(" ")), F.lit("")))) / (F.octet_length(w) + 2)))
-    return _let(_let(said, own), lambda a: F.concat(a, F.array(n_words - F.aggregate(a, F.lit(0).cast("long"), lambda t, x: t + x))))
+    signs = [chr(0x20 + k) for k in range(len(BINS))]  # one byte each
+    said = F.array_join(F.transform(F.filter(words, lambda w: w.isin(BINS)), lambda w: F.char(F.array_position(F.array(*map(F.lit, BINS)), w) + 0x1F)), "")
+    counts = lambda s: F.transform(F.array(*map(F.lit, signs)), lambda c: (F.octet_length(s) - F.octet_length(F.replace(s, c, F.lit("")))).cast("long"))
+    return _let(_let(said, counts), lambda a: F.concat(a, F.array(n_words - F.aggregate(a, F.lit(0).cast("long"), lambda t, x: t + x))))
 
 
 def window_hashes(words: Column, n: int) -> Column:
@@ -92,30 +103,34 @@ def counts(docs: DataFrame, carried: list[Column]) -> DataFrame:
     out = docs.select("doc_id", "lang", text.alias("text"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("words"), *(c.alias(n) for c, n in zip(carried, names, strict=True)))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     lower = F.transform("words", lambda w: F.lower(F.rtrim(w, F.lit(".,;:!?"))))
-    out = out.withColumn("windows", window_hashes(F.col("words"), 8))
-    out = out.select(
-        "doc_id", "lang", *names, "text",
+    out = out.withColumns({"windows": window_hashes(F.col("words"), 8), "marks": marks(F.col("text"))})
+    return out.select(
+        "doc_id", "lang", *names,
         F.size("words").cast("long").alias("n_words"),
-        F.length(F.translate("text", " \t\n\x0b\f\r", "")).cast("long").alias("word_chars"),
-        F.length("text").cast("long").alias("n_chars"),
-        _without(F.col("text"), r"^#*$%&|<>").alias("n_symbols"),
+        F.col("marks.word_chars").alias("word_chars"),
+        F.col("marks.symbol").alias("n_symbols"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("words"), F.col("windows"), 8).alias("n_repeat_words"),
         word_bins(lower, F.size("words").cast("long")).alias("w"),
+        character_bins(F.col("marks"), F.length("text").cast("long")).alias("c"),
     )
-    return out.withColumn("c", character_bins(F.col("text"), F.col("n_chars"), F.col("word_chars"), F.col("n_symbols"))).drop("text", "n_chars")
 
 
-def excess(own: Column, n: Column, reference: Column, m: Column) -> Column:
-    """Jensen-Shannon distance (0 to 1) of a histogram of n from a reference of m, without what chance accounts for.
+def excess(own: Column, n: Column, shares: Column) -> Column:
+    """Jensen-Shannon distance (0 to 1) of a histogram of n from a reference's shares, without what chance accounts for.
 
     A sample of n from the reference itself diverges by about (bins - 1) / (8 n ln 2) bits; only bins that the
-    reference has count. The distance is the root of the divergence in bits.
+    reference has count. The distance is the root of the divergence in bits. A bin that the histogram lacks adds
+    half its share.
     """
-    part = lambda a, b: F.when(a > 0, a * F.log2(2 * a / (a + b))).otherwise(0.0)
-    pairs = F.zip_with(own, reference, lambda a, b: F.struct((a / n).alias("p"), (b / m).alias("q")))
-    total = F.aggregate(pairs, F.lit(0.0), lambda t, x: t + part(x["p"], x["q"]) / 2 + part(x["q"], x["p"]) / 2)
-    chance = (F.size(F.filter(reference, lambda b: b > 0)) - 1) / (n * F.lit(8 * math.log(2)))
+
+    def part(count: Column, q: Column) -> Column:
+        p = count / n
+        both = F.when(q > 0, q * F.log2(2 * q / (p + q))).otherwise(0.0)
+        return F.when(count > 0, (p * F.log2(2 * p / (p + q)) + both - q) / 2).otherwise(0.0)
+
+    total = F.aggregate(F.zip_with(own, shares, part), F.lit(0.5), lambda t, x: t + x)
+    chance = (F.size(F.filter(shares, lambda q: q > 0)) - 1) / (n * F.lit(8 * math.log(2)))
     return F.sqrt(F.greatest(F.lit(0.0), total - chance))
 
 
@@ -137,16 +152,18 @@ def judge(docs: DataFrame, most_chars: float = 0.25, most_words: float = 0.2, le
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     slim = counts(docs, [F.struct(*(F.col(f"`{c}`") for c in docs.columns))] if full else [])
     slim = cut(slim.withColumn("base_failed", failed).withColumn("key", F.coalesce(F.concat(F.lit("="), "lang"), F.lit("null"))).drop("lang"))
-    # a row for each language and bin; languages are few, yet nothing bounds them: a plain join, which Spark broadcasts by measured size
     bins = slim.where(~F.col("base_failed")).select("key", F.posexplode(F.concat("c", "w")).alias("at", "n")).groupBy("key", "at").agg(F.sum("n").alias("n"))
-    whole = bins.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "n"))), lambda x: x["n"]).alias("r"))
+    whole = bins.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "n"))), lambda x: x["n"]).alias("r"))  # len(BINS) and a few numbers
     reference = whole.select("key", F.slice("r", 1, len(CHARACTERS)).alias("rc"), F.slice("r", len(CHARACTERS) + 1, len(BINS) + 1).alias("rw"))
-    both = slim.join(reference, "key", "left")
     total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda t, x: t + x)
-    both = both.withColumns({"mc": total("rc"), "mw": total("rw"), "nc": total("c")})
-
-    def distance(own: str, n: str, reference: str, m: str, least: int) -> Column:
-        return F.when((F.col(n) >= least) & (F.col(m) >= least), excess(F.col(own), F.col(n), F.col(reference), F.col(m))).otherwise(0.0)
+    share = lambda a: F.transform(a, lambda x: x / total(a))
+    # a row for each language: few, yet nothing bounds them; written out, so that Spark knows their size before it plans the join
+    reference = cut(reference.select("key", total("rc").alias("mc"), total("rw").alias("mw"), share("rc").alias("rc"), share("rw").alias("rw")))
+    both = slim.join(reference, "key", "left").withColumn("nc", total("c"))
+
+    def distance(own: str, n: str, shares: str, m: str, least: int) -> Column:
+        judged = ~F.col("base_failed") & (F.col(n) >= least) & (F.col(m) >= least)
+        return F.when(judged, excess(F.col(own), F.col(n), F.col(shares))).otherwise(0.0)
 
     both = both.withColumn("char_distance", distance("c", "nc", "rc", "mc", least_chars)).withColumn("word_distance", distance("w", "n_words", "rw", "mw", least_words))
     both = both.withColumn("kept", ~F.col("base_failed") & (F.col("char_distance") <= most_chars) & (F.col("word_distance") <= most_words))
