@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import platform
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +27,16 @@ def host_target(system: Column, machine: Column, strict: bool = True) -> Column:
     return out
 
 
+def host(system: str | None = None, machine: str | None = None) -> tuple[str, str]:
+    """System and machine of this computer; given ones come first, '' counts as not given."""
+    return system or platform.system(), machine or platform.machine()
+
+
+def venv_python(target: Column) -> Column:
+    """Where the interpreter stands in a virtual environment."""
+    return F.when(target.endswith("windows-msvc"), F.lit("Scripts/python.exe")).otherwise(F.lit("bin/python"))
+
+
 def layout(target: Column) -> Column:
     """struct(python, stdlib, site): paths by target; whatever is not Windows counts as macOS."""
     at = lambda *paths: F.struct(*(F.lit(p).alias(n) for p, n in zip(paths, ("python", "stdlib", "site"), strict=True)))

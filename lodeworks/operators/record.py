@@ -2,14 +2,50 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import normalized
+from ..sources.records import parse_record, record_text
 
 
 def prune(record: DataFrame, tree: DataFrame, site: str) -> DataFrame:
     """Rows of record whose path, seen from site, is in the tree (files and folders), in order, repeats kept."""
+    return still_there(record, tree, site).orderBy("line_no")
+
+
+def still_there(record: DataFrame, tree: DataFrame, site: str) -> DataFrame:
     full = normalized(F.concat(F.lit(site + "/"), F.col("path")))
     there = tree.select(F.col("path").alias("_there")).distinct()
-    return record.withColumn("_at", full).join(there, F.col("_at") == F.col("_there"), "left_semi").drop("_at").orderBy("line_no")
+    return record.withColumn("_at", full).join(there, F.col("_at") == F.col("_there"), "left_semi").drop("_at")
+
+
+def _parsed(batches: Iterator) -> Iterator:
+    """Arrow batches of (path, content) of records to their rows."""
+    import pyarrow as pa
+
+    for batch in batches:
+        rows = [(r, k, f[0], f) for r, c in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for k, f in parse_record((c.as_py() or b"").decode())]
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
+        kinds = (pa.string(), pa.int64(), pa.string(), pa.list_(pa.string()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["record", "line_no", "path", "fields"])
+
+
+def prune_records(tree: DataFrame, site: str) -> DataFrame:
+    """tree (path, content, ...) with every installer record below site rewritten to the rows whose files are in the tree."""
+    own = F.col("path").startswith(site + "/") & F.substr("path", F.lit(len(site) + 2)).rlike(r"^[^/]+\.dist-info/RECORD$")
+    rows = tree.where(own).select("path", "content").mapInArrow(_parsed, "record string, line_no bigint, path string, fields array<string>")
+    kept = still_there(rows, tree, site).groupBy("record").agg(F.array_sort(F.collect_list(F.struct("line_no", "fields"))).alias("rows"))  # one record's rows
+
+    def text(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            out = [record_text(x["fields"] for x in rows).encode() for rows in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["_record", "_text"])
+
+    new = kept.mapInArrow(text, "_record string, _text binary")
+    both = tree.join(new, tree["path"] == new["_record"], "left")
+    return both.withColumn("content", F.when(own, F.coalesce("_text", F.lit(b""))).otherwise(F.col("content"))).select(*tree.columns)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import glob_pattern
 from .pins import PYTHON
+from .record import prune_records
 
 # Parts of the standard library that are never imported.
 UNUSED = ["test", "tkinter", "idlelib", "ensurepip", "lib2to3", "turtledemo", "pydoc_data", "unittest/test", "ctypes/test", "sqlite3/test", "distutils/tests", "site-packages"]
@@ -31,11 +32,13 @@ class Rule:
     tree: bool = True
     keep: str = ""
 
-    def removes(self, path: Column) -> Column:
+    def removes(self, path: Column, is_dir: Column | None = None) -> Column:
         if self.keep:
             return path.startswith(self.keep + "/") & ~path.rlike(glob_pattern(f"{self.keep}/{self.glob}"))
         pattern = glob_pattern(self.glob)
-        return path.rlike(pattern[:-1] + "(?:/.*)?$" if self.tree else pattern)
+        if self.tree:
+            return path.rlike(pattern[:-1] + "(?:/.*)?$")
+        return path.rlike(pattern) if is_dir is None else path.rlike(pattern) & ~is_dir
 
 
 def trim_rules(target: str) -> list[Rule]:
@@ -53,8 +56,24 @@ def clean_rules(site: str) -> list[Rule]:
 
 
 def apply_rules(tree: DataFrame, rules: list[Rule], path: str = "path") -> DataFrame:
-    """tree without the rows that a rule removes: one filter of constant patterns, no join."""
+    """tree without the rows that a rule removes: one filter of constant patterns, no join.
+
+    Rules for files leave folders alone where the tree tells them apart (is_dir).
+    """
+    is_dir = F.col("is_dir") if "is_dir" in tree.columns else None
     gone = F.lit(False)
     for rule in rules:
-        gone = gone | rule.removes(F.col(path))
+        gone = gone | rule.removes(F.col(path), is_dir)
     return tree.where(~gone)
+
+
+def trim(tree: DataFrame, target: str, site: str) -> DataFrame:
+    """A runtime's tree (path, is_dir, ...) without what the target does not need, and with an empty folder for packages."""
+    left = apply_rules(tree, trim_rules(target))
+    folder = tree.sparkSession.range(1).select(*(F.lit(site).alias(c) if c == "path" else F.lit(True).alias(c) if c == "is_dir" else F.lit(0o755).cast(k).alias(c) if c == "mode" else F.lit(None).cast(k).alias(c) for c, k in tree.dtypes))
+    return left.unionByName(folder)
+
+
+def clean(tree: DataFrame, site: str) -> DataFrame:
+    """A runtime's tree (path, is_dir, content, ...) without what installing leaves, its records pruned; doing it twice changes nothing."""
+    return prune_records(apply_rules(tree, clean_rules(site)), site)

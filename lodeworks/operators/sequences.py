@@ -66,9 +66,17 @@ def block_comment(text: Column) -> Column:
 
 
 def comment_block(text: Column, first: str = "// Copyright", last: str = "SUCH DAMAGE.") -> Column:
-    """Lines from the first that starts with `first` to the next that holds `last`, without comment marks."""
+    """Lines from the first that starts with `first` to the next that holds `last`, without comment marks: '// ', else
+    the first two characters. A text without these lines is an error."""
     every = lines(text)
     numbered = F.transform(every, lambda x, i: F.struct(x.alias("x"), i.alias("i")))
-    start = F.filter(numbered, lambda r: r["x"].startswith(first))[0]["i"]
-    end = F.filter(numbered, lambda r: (r["i"] >= start) & F.contains(r["x"], F.lit(last)))[0]["i"]
-    return F.array_join(F.transform(F.slice(every, start + 1, end - start + 1), lambda x: F.regexp_replace(x, "^// ?", "")), "\n")
+    start = F.get(F.filter(numbered, lambda r: r["x"].startswith(first)), F.lit(0))["i"]
+    end = F.get(F.filter(numbered, lambda r: (r["i"] >= start) & F.contains(r["x"], F.lit(last))), F.lit(0))["i"]
+    bare = lambda x: F.when(x.startswith("// "), F.substr(x, F.lit(4))).otherwise(F.substr(x, F.lit(3)))
+    out = F.array_join(F.transform(F.slice(every, start + 1, end - start + 1), bare), "\n")
+    return F.when(end.isNull(), F.raise_error(F.lit("no passage of comments")).cast("string")).otherwise(out)
+
+
+def top(rows: DataFrame, k: int, *by: Column) -> DataFrame:
+    """The first k rows in an order, in that order: partial results by partition, then one merge."""
+    return rows.orderBy(*by).limit(k)

@@ -14,15 +14,25 @@ def not_covered(rows: DataFrame, group: str, item: str, allowed: list[str], pref
     return rows.where(bad).groupBy(group).agg(F.sort_array(F.collect_set(item)).alias("missing"))
 
 
-def first_range(rows: DataFrame, ranges: DataFrame, value: Column) -> DataFrame:
-    """rows with the first range (by index) that holds value: adds index, low.
+def first_range(value: Column, ranges: Column) -> Column:
+    """The first of an array of structs (low, high, ...) that holds value, null if none does: low <= value < high."""
+    return F.get(F.filter(ranges, lambda r: (value >= r["low"]) & (value < r["high"])), F.lit(0))
 
-    ranges: (index, low, high), a small table, joined by range and reduced to the least index by one aggregate.
-    """
-    keys = rows.columns
-    numbered = rows.withColumn("_v", value)
-    hit = numbered.join(F.broadcast(ranges), (F.col("_v") >= F.col("low")) & (F.col("_v") < F.col("high")), "inner")
-    return hit.groupBy(*keys, "_v").agg(F.min(F.struct("index", "low")).alias("r")).select(*keys, "_v", "r.index", "r.low")
+
+def file_offset(address: Column, sections: Column) -> Column:
+    """raw + address - low of the first section (low, high, raw) that holds the address; none is an error."""
+    found = first_range(address, sections)
+    missing = F.raise_error(F.concat(F.lit("address 0x"), F.lower(F.hex(address.cast("bigint"))), F.lit(" lies in no section"))).cast("bigint")
+    return F.when(found.isNull(), missing).otherwise((found["raw"] + address - found["low"]).cast("bigint"))
+
+
+def only(rows: DataFrame, order: str, what: str = "match") -> DataFrame:
+    """The one row of rows; none or several are an error that lists them in order. At most a handful are expected."""
+    held = rows.limit(100).agg(F.array_sort(F.collect_list(F.struct(order, *(c for c in rows.columns if c != order)))).alias("r"))
+    listed = F.array_join(F.transform("r", lambda x: x[order].cast("string")), ", ")
+    error = F.raise_error(F.concat(F.lit(f"one {what} expected, found "), F.size("r").cast("string"), F.lit(": "), listed))
+    one = held.select(F.when(F.size("r") == 1, F.get("r", F.lit(0))).otherwise(error.cast(held.schema["r"].dataType.elementType)).alias("x"))
+    return one.select(*(f"x.{c}" for c in rows.columns))
 
 
 def search_sets(files: DataFrame, root: str = "") -> DataFrame:

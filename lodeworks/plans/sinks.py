@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import csv
 import hashlib
-import io
 import json
 import os
 import stat
@@ -82,14 +80,17 @@ def manifest(pins: DataFrame, target: str, versions: dict[str, str]) -> str:
     return json.dumps(out, indent=2) + "\n"
 
 
+def notice_line(*cells: Column) -> Column:
+    """A row of a Markdown table; null cells are empty."""
+    return F.concat(F.lit("| "), F.concat_ws(" | ", *(F.coalesce(c.cast("string"), F.lit("")) for c in cells)), F.lit(" |"))
+
+
 def notice_table(components_: DataFrame) -> str:
     """A Markdown table of (component, version, licence, source) in row order of column rank."""
-    rows = components_.orderBy("rank").select(F.concat(F.lit("| "), F.concat_ws(" | ", "component", "version", "licence", "source"), F.lit(" |")).alias("line")).collect()  # a handful
+    rows = components_.orderBy("rank").select(notice_line(*map(F.col, ("component", "version", "licence", "source"))).alias("line")).collect()  # a handful
     return "\n".join(["| Component | Version | Licence | Source |", "|---|---|---|---|", *(r.line for r in rows)]) + "\n"
 
 
-def record_text(rows: Iterable[list[str]]) -> str:
-    """A record's text: quoting only where needed, one \\n after each row."""
-    out = io.StringIO()
-    csv.writer(out, lineterminator="\n").writerows(rows)
-    return out.getvalue()
+def notices(title: str, opening: str, components_: DataFrame, closing: str) -> str:
+    """The notices document: title, opening, table, closing; braces in the texts are not special."""
+    return f"# {title}\n\n{opening}\n\n{notice_table(components_)}\n{closing}\n"

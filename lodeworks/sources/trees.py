@@ -9,12 +9,14 @@ from __future__ import annotations
 import os
 import stat
 import tarfile
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 TREE = "path string, name string, suffix string, parent string, is_dir boolean, is_symlink boolean, inside boolean, mode int, length bigint"
-TAR = "path string, is_dir boolean, mode int, length bigint, content binary"
+TAR = "path string, is_dir boolean, mode int, length bigint, content binary, link string"
 
 
 def _suffix(name: str) -> str:
@@ -23,20 +25,38 @@ def _suffix(name: str) -> str:
 
 
 class TreeReader(DataSourceReader):
-    """One partition per so many folders; each lists its own entries only."""
+    """Partitions of so many subtrees: the driver lists the two upper levels, tasks what lies below."""
 
     def __init__(self, options: dict):
         self.root = os.path.abspath(options["path"])
         self.content = options.get("content", "false").lower() == "true"
+        self.follow = options.get("follow", "false").lower() == "true"
         self.batch = int(options.get("folders", "64"))
 
+    def folders(self, folder: str) -> list[str]:
+        """Folders in a folder; linked ones only if links are followed, and never back to a folder they lie in."""
+        out = []
+        for e in os.scandir(folder):
+            if e.is_dir(follow_symlinks=self.follow) and not (e.is_symlink() and (folder + os.sep).startswith(os.path.join(os.path.realpath(e.path), ""))):
+                out.append(e.path)
+        return sorted(out)
+
     def partitions(self):
-        folders = [d for d, _, _ in os.walk(self.root)]
-        return [InputPartition(folders[k : k + self.batch]) for k in range(0, len(folders), self.batch)]
+        upper = [self.root, *self.folders(self.root)]
+        work = [(f, False) for f in upper] + [(g, True) for f in upper[1:] for g in self.folders(f)]
+        return [InputPartition(work[k : k + self.batch]) for k in range(0, len(work), self.batch)]
+
+    def below(self, folder: str, seen: tuple = ()):
+        """The folder and all beneath it; a link to a folder that is being listed ends there."""
+        real = os.path.realpath(folder)
+        if real not in seen:
+            yield folder
+            for f in self.folders(folder):
+                yield from self.below(f, (*seen, real))
 
     def read(self, partition):
         real_root = os.path.realpath(self.root)
-        for folder in partition.value:
+        for folder in (f for top, deep in partition.value for f in (self.below(top) if deep else [top])):
             for entry in os.scandir(folder):
                 link, is_dir = entry.is_symlink(), entry.is_dir(follow_symlinks=False)
                 real = os.path.realpath(entry.path)
@@ -95,9 +115,9 @@ class TarReader(DataSourceReader):
             for member in archive:
                 if not safe_member(member):
                     raise ValueError(f"{member.name} would leave the folder it is unpacked to")
-                if member.isfile() or member.isdir():
-                    data = archive.extractfile(member).read() if member.isfile() else None
-                    yield member.name.rstrip("/"), member.isdir(), member.mode, member.size, data
+                # a hard link is another name of a member's bytes, a symbolic link names its target
+                data = archive.extractfile(member).read() if member.isfile() or member.islnk() else None
+                yield member.name.rstrip("/"), member.isdir(), member.mode, len(data or b""), data, member.linkname if member.issym() else None
 
 
 class Tar(DataSource):
@@ -114,9 +134,62 @@ class Tar(DataSource):
         return TarReader(self.options)
 
 
-def read_tree(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
+def read_tree(spark: SparkSession, root: str, content: bool = False, follow: bool = False) -> DataFrame:
+    """All entries under a root; follow also lists what lies behind links to folders, under the link's name."""
     spark.dataSource.register(Tree)
-    return spark.read.format("tree").option("content", str(content).lower()).load(root)
+    return spark.read.format("tree").option("content", str(content).lower()).option("follow", str(follow).lower()).load(root)
+
+
+def contents(files: DataFrame, root: str, head: int | None = None) -> DataFrame:
+    """(path, content) of listed files, read one at a time: filter the listing first. head takes just the first bytes."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                with open(os.path.join(root, path), "rb") as f:
+                    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([f.read(head)], pa.binary())], ["path", "content"])
+
+    return files.select("path").mapInArrow(run, "path string, content binary")
+
+
+def copied(tree: DataFrame, to: str, below: str = "") -> DataFrame:
+    """A tree's entries beneath a folder, moved under another one; links and modes stay as they are."""
+    from ..functions.paths import relative
+
+    rest = relative(F.col("path"), below) if below else F.col("path")
+    rows = tree.where(F.col("path").startswith(below.rstrip("/") + "/")) if below else tree
+    return rows.withColumn("path", F.concat(F.lit(to.rstrip("/") + "/"), rest) if to else rest)
+
+
+def write_tree(rows: DataFrame, root: str) -> int:
+    """Writes (path, is_dir, mode, content, link) under a root that all executors see; returns how many entries.
+
+    A repeated task writes the same files again: each is written beside its place and renamed.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            n = 0
+            for path, is_dir, mode, data, link in zip(*(batch.column(k) for k in range(5)), strict=True):
+                at = os.path.join(root, path.as_py())
+                os.makedirs(at if is_dir.as_py() else os.path.dirname(at), exist_ok=True)
+                if link.as_py() is not None:
+                    if not os.path.islink(at):
+                        os.symlink(link.as_py(), at)
+                elif not is_dir.as_py():
+                    part = f"{at}.{os.getpid()}.partial"
+                    with open(part, "wb") as f:
+                        f.write(data.as_py() or b"")
+                    os.chmod(part, (mode.as_py() or 0o644) & 0o777)
+                    os.replace(part, at)
+                n += 1
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    return rows.select("path", "is_dir", "mode", "content", "link").mapInArrow(run, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def read_tar(spark: SparkSession, path: str) -> DataFrame:

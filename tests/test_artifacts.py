@@ -6,6 +6,7 @@ import io
 import json
 import os
 import stat
+import struct
 import tarfile
 import zipfile
 
@@ -14,11 +15,11 @@ from pyspark.sql import functions as F
 
 from lodeworks import catalog
 from lodeworks.functions import paths
-from lodeworks.operators import native, pins, record, rules, sequences
-from lodeworks.plans import dependencies, sinks
+from lodeworks.operators import native, pins, record, rules, sequences, sets
+from lodeworks.plans import dependencies, package, sinks
 from lodeworks.sources.fetch import Failed, Fetcher, Mismatch
 from lodeworks.sources.pins import read_pins
-from lodeworks.sources.records import read_record
+from lodeworks.sources.records import read_record, record_text
 from lodeworks.sources.trees import read_tar, read_tree
 
 HEX = "0123456789abcdef" * 4
@@ -29,6 +30,33 @@ def column(spark, values, f, kind="string"):
     return [r[0] for r in df.select(f(F.col("x"))).collect()]
 
 
+def portable_executable(imports: list[str], delayed: list[str], wide: bool = True) -> bytes:
+    """A small portable executable with one section that imports the given names."""
+    header, optional, directories = 0x80, 240 if wide else 224, 112 if wide else 96
+    table = header + 24 + optional
+    raw, address = 0x400, 0x1000
+    body = bytearray()
+
+    def put(data: bytes) -> int:
+        at = len(body)
+        body.extend(data)
+        return address + at
+
+    names = {n: put(n.encode() + b"\0") for n in dict.fromkeys([*imports, *delayed])}
+    first = put(b"".join(struct.pack("<IIIII", 1, 0, 0, names[n], 1) for n in imports) + bytes(20)) if imports else 0
+    second = put(b"".join(struct.pack("<IIIIIIII", 1, names[n], 0, 0, 0, 0, 0, 0) for n in delayed) + bytes(32)) if delayed else 0
+    out = bytearray(raw)
+    out[:2] = b"MZ"
+    struct.pack_into("<I", out, 0x3C, header)
+    out[header : header + 4] = b"PE\0\0"
+    struct.pack_into("<HH12xHH", out, header + 4, 0x8664, 1, optional, 0)
+    struct.pack_into("<H", out, header + 24, 0x20B if wide else 0x10B)
+    for number, at in ((1, first), (13, second)):
+        struct.pack_into("<II", out, header + 24 + directories + 8 * number, at, 0)
+    struct.pack_into("<8sIIII", out, table, b".data", len(body), address, len(body), raw)
+    return bytes(out + body)
+
+
 # ------------------------------------------------------------------------------------------------ functions
 
 
@@ -161,7 +189,7 @@ def test_record(spark):
     text = 'pkg/a.py,sha256=1,3\n\n"pkg/b,c.py",sha256=2,4\n../../bin/tool,,\npkg/gone.py,,\n../../bin/left,,\na.dist-info/RECORD,,\n'
     tree = spark.createDataFrame([("site/x/pkg/a.py",), ("site/x/pkg/b,c.py",), ("bin/left",), ("site/x/a.dist-info/RECORD",)], "path string")
     rows = record.prune(read_record(spark, text), tree, "site/x").collect()
-    assert sinks.record_text(r.fields for r in rows) == 'pkg/a.py,sha256=1,3\n"pkg/b,c.py",sha256=2,4\n../../bin/left,,\na.dist-info/RECORD,,\n'
+    assert record_text(r.fields for r in rows) == 'pkg/a.py,sha256=1,3\n"pkg/b,c.py",sha256=2,4\n../../bin/left,,\na.dist-info/RECORD,,\n'
 
 
 def test_tar(spark, tmp_path):
@@ -228,7 +256,7 @@ def test_running_cap(spark):
 
 @pytest.mark.parametrize("wide", [True, False])
 def test_portable_executable(spark, wide):
-    good = catalog.portable_executable(["KERNEL32.dll", "My.DLL", "my.dll"], ["late.dll"], wide)
+    good = portable_executable(["KERNEL32.dll", "My.DLL", "my.dll"], ["late.dll"], wide)
     bad = bytearray(good)
     at = 0x80 + 24 + (112 if wide else 96) + 8
     bad[at : at + 4] = (0x99999).to_bytes(4, "little")
@@ -240,7 +268,7 @@ def test_portable_executable(spark, wide):
 
 
 def test_windows_gate(spark, tmp_path):
-    exe = catalog.portable_executable
+    exe = portable_executable
     place = {"python.exe": exe(["python.dll", "KERNEL32.dll"], []), "python.dll": exe(["api-ms-win-crt-x.dll"], []), "DLLs/_ssl.pyd": exe(["libssl.dll", "python.dll"], []), "DLLs/libssl.dll": exe([], []), "Lib/site/a.pyd": exe(["libssl.dll", "vendored.dll"], ["ext-ms-y.dll"]), "Lib/site/n.libs/Vendored.dll": exe([], []), "Lib/readme.txt": b"x"}
     for name, data in place.items():
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
@@ -381,3 +409,91 @@ def test_carry_stream(spark, tmp_path):
     query = carry_stream(rows, "k", "i", "v").writeStream.format("memory").queryName("carried").option("checkpointLocation", where).trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert {(r.k, r.i, r.carried) for r in spark.table("carried").collect()} == {("a", 1, "x"), ("a", 2, "x"), ("b", 1, None)}
+
+
+# ------------------------------------------------------------------------------------------- beyond the queries
+
+
+def test_ranges(spark):
+    """Equal rows and misses stay; an address in no section is an error that names it."""
+    sections = F.array(*(F.struct(F.lit(a).alias("low"), F.lit(b).alias("high"), F.lit(c).alias("raw")) for a, b, c in ((0, 10, 100), (5, 20, 200))))
+    rows = spark.createDataFrame([(3,), (3,), (7,), (12,), (30,)], "v long")
+    assert [r[0] for r in rows.select(sets.first_range(F.col("v"), sections)["raw"]).collect()] == [100, 100, 100, 200, None]
+    assert [r[0] for r in rows.where("v < 20").select(sets.file_offset(F.col("v"), sections)).collect()] == [103, 103, 107, 207]
+    with pytest.raises(Exception, match="0x1e lies in no section"):
+        rows.select(sets.file_offset(F.col("v"), sections)).collect()
+
+
+def test_only(spark):
+    rows = spark.createDataFrame([("b", 1), ("a", 2)], "n string, v int")
+    assert sets.only(rows.where("v = 2"), "n").collect() == [("a", 2)]
+    for some, listed in ((rows, "found 2: a, b"), (rows.where("v = 3"), "found 0")):
+        with pytest.raises(Exception, match=listed):
+            sets.only(some, "n", "wheel").collect()
+
+
+def test_markers_missing(spark):
+    with pytest.raises(Exception, match="no block comment"):
+        column(spark, ["none"], sequences.block_comment)
+    for text in ("// Copyright x\n", "SUCH DAMAGE.", ""):
+        with pytest.raises(Exception, match="no passage"):
+            column(spark, [text], sequences.comment_block)
+
+
+def test_hosts():
+    import platform
+
+    assert pins.host("Windows", "AMD64") == ("Windows", "AMD64") and pins.host("", "") == pins.host() == (platform.system(), platform.machine())
+
+
+def test_linked_folders(spark, tmp_path):
+    """Links to folders are followed under their own names, never round in circles; what lies outside is not inside."""
+    (tmp_path / "t/real/deep").mkdir(parents=True)
+    (tmp_path / "out").mkdir()
+    (tmp_path / "out/z").write_text("")
+    (tmp_path / "t/real/deep/x").write_text("x")
+    for at, to in (("t/link", "real"), ("t/real/deep/up", "../.."), ("t/away", "../out"), ("t/nothing", "gone")):
+        os.symlink(to, tmp_path / at)
+    plain = {r.path: r for r in read_tree(spark, str(tmp_path / "t")).collect()}
+    assert set(plain) == {"real", "real/deep", "real/deep/x", "real/deep/up", "link", "away", "nothing"} and plain["link"].is_symlink
+    seen = {r.path: r for r in read_tree(spark, str(tmp_path / "t"), follow=True).collect()}
+    assert {"link/deep/x", "real/deep/x", "away/z"} <= set(seen) and len(seen) < 30
+    assert seen["link/deep/x"].inside and not seen["away/z"].inside and not seen["nothing"].inside
+    needs = spark.createDataFrame([("bin/p", "dependency", "@executable_path/../link/deep/x"), ("bin/p", "dependency", "@executable_path/../away/z")], "path string, kind string, value string")
+    assert native.missing_mac(read_tree(spark, str(tmp_path / "t"), follow=True), needs).first().missing == ["@executable_path/../away/z"]
+
+
+def test_gate_reads_native_files_only(spark, tmp_path, monkeypatch):
+    """A file that is not native may be unreadable: its bytes are never asked for."""
+    (tmp_path / "a.exe").write_bytes(portable_executable(["other.dll"], []))
+    os.mkfifo(tmp_path / "pipe.txt")  # reading it would wait for ever
+    assert [(r.path, r.missing) for r in dependencies.windows_problems(spark, str(tmp_path)).collect()] == [("a.exe", ["other.dll"])]
+
+
+def test_unsafe_and_linked_members(spark, tmp_path):
+    rows = {r.path: r for r in read_tar(spark, catalog._tar(str(tmp_path), [("d/a", "file", b"1"), ("d/l", "link", "a"), ("h", "hard", "d/a")])).collect()}
+    assert rows["d/l"].link == "a" and rows["d/l"].content is None and bytes(rows["h"].content) == b"1"
+    for entry in (("../x", "file", b""), ("d/l", "link", "../../x"), ("d/m", "link", "/etc"), ("h", "hard", "../x")):
+        with pytest.raises(Exception, match="leave the folder"):
+            read_tar(spark, catalog._tar(str(tmp_path), [("d/a", "file", b"1"), entry])).collect()
+
+
+def test_package_arguments():
+    a = package.arguments(["--pins", "p.json", "--work", "w"])
+    assert (a.pins, a.output, a.work, a.system) == ("p.json", "artifacts", "w", "")
+
+
+def test_package_fails_at_the_gate(spark, sf_dir, tmp_path, monkeypatch):
+    """A native file with a library from nowhere stops the job before an archive is written."""
+    real = package.problems
+    monkeypatch.setattr(package, "problems", lambda *a: real(*a).union(spark.createDataFrame([("x.dll", ["gone.dll"])], "path string, missing array<string>")))
+    with pytest.raises(RuntimeError, match="x.dll: gone.dll"):
+        catalog.package_job(spark, sf_dir)
+
+
+def test_broken_executables(spark):
+    good = portable_executable(["a.dll"], [])
+    bad = good[:0x80 + 24 + 112 + 8] + struct.pack("<I", 0x9000) + good[0x80 + 24 + 112 + 12 :]
+    table = spark.createDataFrame([("good", good), ("address", bad), ("cut", good[:0x90]), ("none", b"MZ"), ("null", None)], "path string, content binary")
+    out = {r.path: (r.dll, r.error) for r in native.pe_imports(table).collect()}
+    assert out["good"] == ("a.dll", None) and "no section" in out["address"][1] and out["cut"][1] and not {"none", "null"} & set(out)
