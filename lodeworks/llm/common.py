@@ -97,7 +97,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) of an undirected graph given as long columns (a, b); component is the smallest node.
 
     Alternating large-star and small-star steps (Kiveris et al. 2014): each step is one aggregation and one
-    join by node, so a node with very many neighbours is pre-aggregated and its join partition can be split.
+    join by node, so a node with very many neighbours is pre-aggregated and its join partition can be split. After
+    a large-star step few edges lead down from a node, so the small-star join has no such nodes.
     Nulls and loops are ignored; nodes without edges do not occur in the result.
     """
 
@@ -106,7 +107,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     def large_star(df: DataFrame) -> DataFrame:
         both = df.union(df.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        # written out, so that the join has two plain shuffles: Spark can split a node with very many neighbours
+        low = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
         return tidy(both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")))
 
     def small_star(df: DataFrame) -> DataFrame:
