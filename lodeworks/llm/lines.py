@@ -35,6 +35,11 @@ def _cut_length(n: Column) -> Column:
     return F.when(3 * power <= n, power + F.shiftright(power, 1)).otherwise(power)
 
 
+def _hashes(line: str) -> list[Column]:
+    """h, g: 128 bits that name a plain line."""
+    return [F.xxhash64(line).alias("h"), F.xxhash64(F.lit(1), line).alias("g")]
+
+
 def _rows(docs: DataFrame) -> DataFrame:
     """docs with tie: 0, or a hash of the text where rows of one doc_id have different texts."""
     own = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
@@ -55,7 +60,7 @@ def _lines(rows: DataFrame, least: int) -> DataFrame:
     rows = rows.withColumns({"long": _cut_length(F.col("n")), "short": _cut_length(F.col("n") - 1)})
     ends = lambda k: [F.xxhash64(F.lit(0), F.call_function("substring_index", F.col("s"), F.lit(" "), k)), F.xxhash64(F.lit(1), F.call_function("substring_index", F.col("s"), F.lit(" "), -k))]
     keys = F.when(F.col("long") == F.col("short"), F.array(*ends(F.col("long")))).otherwise(F.array(*ends(F.col("long")), *ends(F.col("short"))))
-    return rows.select("doc_id", "tie", "at", F.xxhash64("s").alias("h"), F.xxhash64(F.lit(1), "s").alias("g"), F.when(F.col("n") >= least, keys).alias("keys"))
+    return rows.select("doc_id", "tie", "at", *_hashes("s"), F.when(F.col("n") >= least, keys).alias("keys"))
 
 
 def _but_one(s: Column, n: Column, segments: int = 8) -> Column:
@@ -96,16 +101,17 @@ def near_pairs(rows: DataFrame, lines: DataFrame, least: int) -> DataFrame:
     texts = rows.select("doc_id", "_lw_tie", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_lw_of")) & (F.col("_lw_tie") == F.col("tie")))
     cutout = texts.select("doc_id", "tie", F.explode("ats").alias("at"), F.split("text", "\n").alias("l"))
     # equal rows give equal lines
-    held = cut(cutout.select(_place().alias("place"), _plain(F.get("l", F.col("at"))).alias("s")).dropDuplicates(["place"]))
+    held = cutout.select(_place().alias("place"), _plain(F.get("l", F.col("at"))).alias("s")).dropDuplicates(["place"])
+    held = cut(held.select("place", "s", *_hashes("s")))
 
-    parts = held.select("place", F.explode(_but_one(F.col("s"), _size(F.col("s")))).alias("key"))
-    parts = cut(parts)
-    alike = parts.groupBy("key").agg(F.min("place").alias("low"), F.max("place").alias("high")).where("low <> high").select("key")
-    alike = parts.join(cut(alike), "key", "left_semi").select("place").distinct()
-    held = cut(held.join(alike, "place", "left_semi").select("place", F.split("s", " ").alias("w")))
+    # lines go by their first hash where many rows are shuffled; by both, or their place, where they are told apart
+    parts = cut(held.select("h", F.explode(_but_one(F.col("s"), _size(F.col("s")))).alias("key")))
+    alike = parts.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high").select("key")
+    alike = parts.join(cut(alike), "key", "left_semi").select("h").distinct()
+    held = cut(held.join(alike, "h", "left_semi").select("place", "h", "g", F.split("s", " ").alias("w")))
 
-    words = held.select("place", F.size("w").alias("n"), F.posexplode("w").alias("j", "word"))
-    part = W.partitionBy("place")
+    words = held.select("h", "g", F.size("w").alias("n"), F.posexplode("w").alias("j", "word"))
+    part = W.partitionBy("h", "g")
     upto = part.orderBy("j").rowsBetween(W.unboundedPreceding, W.currentRow)
     whole = part.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     sums = []
@@ -118,13 +124,16 @@ def near_pairs(rows: DataFrame, lines: DataFrame, least: int) -> DataFrame:
     gap = F.struct(F.xxhash64(F.lit("gap"), "n", "j", sums[0][1], sums[1][1]).alias("key"), F.lit(0).alias("role"))
     shorter = F.struct(F.xxhash64(F.lit("cut"), F.col("n") - 1, sums[0][2], sums[1][2]).alias("key"), F.lit(1).alias("role"))
     full = F.struct(F.xxhash64(F.lit("cut"), F.col("n"), sums[0][0], sums[1][0]).alias("key"), F.lit(2).alias("role"))
-    variants = words.select("place", F.explode(F.when(F.col("j") == 0, F.array(gap, shorter, full)).otherwise(F.array(gap, shorter))).alias("v")).select("place", "v.*")
-    variants = cut(variants)
+    variants = cut(words.select("h", F.explode(F.when(F.col("j") == 0, F.array(gap, shorter, full)).otherwise(F.array(gap, shorter))).alias("v")).select("h", "v.*"))
+    met = variants.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high").select("key")
+    # few variants are met; only these get their line's place
+    variants = cut(variants.join(cut(met), "key", "left_semi").join(held.select("h", "place"), "h").select("key", "role", "place"))
     first = lambda role: F.min(F.when(F.col("role") == role, F.col("place")))
-    groups = variants.groupBy("key").agg(first(0).alias("gap"), first(1).alias("shorter"), first(2).alias("full"), F.min("place").alias("low"), F.max("place").alias("high")).where("low <> high").drop("low", "high")
+    groups = variants.groupBy("key").agg(first(0).alias("gap"), first(1).alias("shorter"), first(2).alias("full"))
     other = F.when(F.col("role") == 0, F.col("gap")).when(F.col("role") == 1, F.col("full")).otherwise(F.col("shorter"))
     pairs = variants.join(cut(groups), "key").select("place", other.alias("earlier")).where("earlier < place").distinct()
 
+    held = held.select("place", "w")
     both = pairs.join(held, "place").withColumnRenamed("w", "a").join(held.select(F.col("place").alias("earlier"), F.col("w").alias("b")), "earlier")
     size = lambda c: F.size(c)
     # equal words from the front, then from the back
