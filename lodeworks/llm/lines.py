@@ -92,11 +92,11 @@ def near_pairs(rows: DataFrame, lines: DataFrame, least: int) -> DataFrame:
     group needs just its earliest line compared with the others, so no pairs within a group are listed. The
     pairs found are verified word by word.
     """
-    spread = lines.where("keys is not null").select("h", "g", F.explode("keys").alias("key"))
+    spread = lines.where("keys is not null").select("h", F.explode("keys").alias("key"))
     shared = spread.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high")
     # written out, so that the join below has two plain shuffles, whose hot keys Spark can split
-    some = spread.join(cut(shared.select("key")), "key", "left_semi").select("h", "g").distinct()
-    some = lines.join(some, ["h", "g"], "left_semi")
+    some = spread.join(cut(shared.select("key")), "key", "left_semi").select("h").distinct()
+    some = lines.join(some, "h", "left_semi")
     wanted = some.groupBy(F.col("first.doc_id").alias("_lw_of"), F.col("first.tie").alias("tie")).agg(F.collect_set("first.at").alias("ats"))  # at most the lines of one document
     texts = rows.select("doc_id", "_lw_tie", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_lw_of")) & (F.col("_lw_tie") == F.col("tie")))
     cutout = texts.select("doc_id", "tie", F.explode("ats").alias("at"), F.split("text", "\n").alias("l"))
