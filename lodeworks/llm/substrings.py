@@ -11,7 +11,7 @@ from .common import cut, shared_keys, with_shared
 
 ANCHOR = 48  # bytes of an anchor
 BITS = 24  # of a position within a chunk
-CHUNK = 1 << 20  # bytes handled at once
+CHUNK = 1 << 18  # bytes handled at once; the arrays over them fit into a core's cache
 CONTEXT = "g bigint, t bigint, times bigint, a bigint, inner int, least int, most int, data binary"
 OCCURRENCE = "h bigint, c bigint, t bigint, pos bigint"
 
