@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -665,3 +666,20 @@ def test_queries_on_small_tables(spark, sf_dir):
 
     for name, query in queries.QUERIES.items():
         assert query(spark, sf_dir).count() > 0, name
+
+
+def test_chunks_hold_every_start():
+    """Cutting a long text into chunks changes no start's anchor and loses none at the cuts."""
+    raw = np.random.default_rng(4).integers(97, 101, 2 * substrings.CHUNK + 777, dtype=np.uint8)
+    batch = pa.RecordBatch.from_arrays([pa.array([7, 8]), pa.array([raw.tobytes(), b"short"], pa.binary())], ["t", "data"])
+    found = np.full(len(raw) - 199, -1)
+    for out in substrings._occurrences(200)([batch]):
+        for t, pos in zip(out.column("t").to_pylist(), out.column("pos").to_pylist(), strict=True):
+            low, wide, inner = pos >> 16, pos >> 8 & 255, pos & 255
+            assert t == 7 and (found[low : low + wide + 1] == -1).all()
+            found[low : low + wide + 1] = low + inner
+    at, low, high, _ = substrings.anchor_runs(raw, [len(raw)], 200)
+    want = np.full(len(raw) - 199, -1)
+    for a, i, j in zip(at, low, high, strict=True):
+        want[i : j + 1] = a
+    assert (found == want).all()
