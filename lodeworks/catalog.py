@@ -14,6 +14,7 @@ import zipfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import table_queries
 from .functions import paths
 from .functions.paths import components, lines, normalized, present, suffix, uint_le
 from .operators import native, pins, record, rules, sequences, sets
@@ -612,7 +613,7 @@ _QUERIES = [
     manifest_json, notice_rows, group_names, bag_union, pe_decode, depcheck, zip_listing, gunzip_capped, trim_windows, trim_mac, clean_tree, tree_scan, tree_heads, tree_copy, tar_members, licence_texts, record_rows,
     text_sinks, load_commands, mac_libraries, windows_libraries, native_candidates, path_parts, pin_rows, pin_violations, fetch_outcomes, best_orders, package_job,
 ]
-QUERIES = {f.__name__: f for f in _QUERIES}
+QUERIES = {f.__name__: f for f in _QUERIES} | table_queries.QUERIES
 
 _TARGET = """case when c_custkey % 3 = 0 and c_mktsegment <> 'MACHINERY' then 'x86_64-pc-windows-msvc' when c_custkey % 3 = 1 and c_mktsegment = 'MACHINERY' then 'aarch64-apple-darwin'
  when c_custkey % 3 = 1 and c_mktsegment <> 'BUILDING' then 'x86_64-apple-darwin' end"""
@@ -740,3 +741,4 @@ Some.
 End.
 '), (7, 'python.exe', 'x')) v(ord, path, content)""",
 }
+ORACLES |= table_queries.ORACLES

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -18,15 +20,16 @@ def carry(rows: DataFrame, part: list[str], order: list[str], state: Column, out
     return rows.withColumn(out, F.last(state, ignorenulls=True).over(upto))
 
 
-def load_commands(text: DataFrame) -> DataFrame:
+def load_commands(text: DataFrame, scan: Callable = carry) -> DataFrame:
     """(path, line_no, kind, value) of libraries ('dependency') and search paths ('rpath') in load-command text.
 
     text: (path, line_no, line). A line 'cmd X' sets the command until the next; 'name' and 'path' lines count
     under the commands that have them, cut at the last ' (offset'. Order and repeats are kept by line_no.
+    scan carries the command along: scans.carry for listings too long for one task.
     """
     rows = text.withColumn("line", stripped(F.col("line")))
     command = F.when(F.col("line").startswith("cmd "), F.get(F.split("line", r"\s+"), F.lit(1)))
-    rows = carry(rows, ["path"], ["line_no"], command, "command")
+    rows = scan(rows, ["path"], ["line_no"], command, "command")
     kind = F.when(F.col("command").isin(LOADS) & F.col("line").startswith("name "), "dependency").when((F.col("command") == "LC_RPATH") & F.col("line").startswith("path "), "rpath")
     value = F.regexp_replace(F.substr("line", F.lit(6)), r"^(.*) \(offset.*$", "$1")
     # a line that begins with 'cmd ' is never a value
@@ -53,7 +56,8 @@ def first_outcome(attempts: DataFrame, key: str, tries: int) -> DataFrame:
 
 
 def running_cap(rows: DataFrame, part: list[str], order: list[str], amount: Column, cap: int) -> DataFrame:
-    """rows with running (the total so far) and within (whether it is at most cap)."""
+    """rows with running (the total so far) and within (whether it is at most cap). For groups too large for one task
+    see scans.running_total."""
     total = F.sum(amount).over(W.partitionBy(*part).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
     return rows.withColumn("running", total).withColumn("within", F.col("running") <= cap)
 
