@@ -28,14 +28,17 @@ def dealt(rows: DataFrame, keys: list[str], order: list[str | Column]) -> DataFr
     return cut(rows.repartitionByRange(n, *keys, *order).withColumn(PART, F.spark_partition_id()))
 
 
-def _with_before(parts: DataFrame, sums: DataFrame, keys: list[str]) -> DataFrame:
-    """parts joined with sums, one row for each part of a group; null keys meet."""
+def _with_before(parts: DataFrame, before: DataFrame, keys: list[str]) -> DataFrame:
+    """parts with the columns of before, which has a row for each part that continues a group; null keys meet.
+
+    At most one group goes on from a part to the next, so there are no more rows than parts. They are written, so
+    that Spark knows their size before it plans the join.
+    """
     names = {k: f"_lw_key{i}" for i, k in enumerate([*keys, PART])}
-    small = sums.select(*(F.col(k).alias(v) for k, v in names.items()), *(c for c in sums.columns if c not in names))
-    same = [parts[k].eqNullSafe(small[v]) for k, v in names.items()]
-    on = same[0]
-    for s in same[1:]:
-        on = on & s
+    small = cut(before.select(*(F.col(k).alias(v) for k, v in names.items()), *(c for c in before.columns if c not in names)))
+    on = F.lit(True)
+    for k, v in names.items():
+        on = on & parts[k].eqNullSafe(small[v])
     return parts.join(small, on, "left").drop(*names.values())
 
 
@@ -55,10 +58,10 @@ def running_total(rows: DataFrame, keys: list[str], order: list[str | Column], a
     """
     parts = dealt(rows.withColumn("_lw_amount", F.coalesce(amount, F.lit(0))), keys, order)
     sums = parts.groupBy(*keys, PART).agg(F.sum("_lw_amount").alias("_lw_sum"))
-    sums = sums.withColumn("_lw_before", F.coalesce(F.sum("_lw_sum").over(_earlier(keys)), F.lit(0))).drop("_lw_sum")
+    sums = sums.withColumn("_lw_before", F.sum("_lw_sum").over(_earlier(keys))).drop("_lw_sum").where("_lw_before is not null")
     within = parts.withColumn("_lw_within", F.sum("_lw_amount").over(_so_far(keys, order)))
     both = _with_before(within, sums, keys)
-    return both.withColumn(out, F.col("_lw_before") + F.col("_lw_within")).drop("_lw_before", "_lw_within", "_lw_amount", PART)
+    return both.withColumn(out, F.coalesce("_lw_before", F.lit(0)) + F.col("_lw_within")).drop("_lw_before", "_lw_within", "_lw_amount", PART)
 
 
 def rank(rows: DataFrame, keys: list[str], order: list[str | Column], out: str = "rank") -> DataFrame:
@@ -76,9 +79,8 @@ def carry(rows: DataFrame, keys: list[str], order: list[str], state: Column, out
     """
     parts = dealt(rows.withColumn("_lw_state", state), keys, order)
     numbered = parts.withColumn("_lw_within", F.last("_lw_state", ignorenulls=True).over(_so_far(keys, order)))
-    # the last state of a part is the one with the greatest place; places are compared within the part
-    last = parts.where("_lw_state is not null").groupBy(*keys, PART).agg(F.max_by("_lw_state", F.struct(*order)).alias("_lw_last"))
-    every = parts.select(*keys, PART).distinct()
-    sums = _with_before(every, last, keys).withColumn("_lw_before", F.last("_lw_last", ignorenulls=True).over(_earlier(keys))).drop("_lw_last")
-    both = _with_before(numbered, sums, keys)
+    # the last state of a part is the one with the greatest place
+    last = parts.groupBy(*keys, PART).agg(F.max_by("_lw_state", F.when(F.col("_lw_state").isNotNull(), F.struct(*order))).alias("_lw_last"))
+    last = last.withColumn("_lw_before", F.last("_lw_last", ignorenulls=True).over(_earlier(keys))).drop("_lw_last").where("_lw_before is not null")
+    both = _with_before(numbered, last, keys)
     return both.withColumn(out, F.coalesce("_lw_within", "_lw_before")).drop("_lw_before", "_lw_within", "_lw_state", PART)
