@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, jaccard, licenses, lines, mixing, packing, quality, sharding, substrings, vectors
-from .common import table
+from . import html_text, jaccard, licenses, lines, mixing, packing, quality, quantiles, sharding, substrings, vectors
+from .common import cut, table
 from .oracles import ORACLES
 
 
@@ -54,5 +54,15 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_licenses": op2_licenses, "op3_quality": op3_quality, "op4_jaccard": op4_jaccard, "op5_vectors": op5_vectors, "op6_packing": op6_packing, "op7_sharding": op7_sharding, "op8_html_text": op8_html_text, "op9_lines": op9_lines, "op10_substrings": op10_substrings}
+def op11_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys, part, parts = ["stream", "grp"], "batch", 10
+    rows = quantiles.streams(*(table(spark, sf_dir, t) for t in ("clicks", "sale_lines", "items")))
+    counts, made = quantiles.summaries(rows, keys, part, quantiles.BATCHES, F.col("c"), error=0.05, most=400)
+    found = cut(quantiles.answers(made.where("n >= 20"), parts))
+    out = quantiles.checked(counts, found, keys, part, parts)
+    out = out.withColumn("rank_error", F.greatest(F.lit(0).cast("long"), F.col("n_below") + 1 - F.col("target"), F.col("target") - F.col("n_upto")))
+    return out.withColumn("within", 1000 * F.col("rank_error") <= 50 * F.col("n"))
+
+
+QUERIES = {"op1_mixing": op1_mixing, "op2_licenses": op2_licenses, "op3_quality": op3_quality, "op4_jaccard": op4_jaccard, "op5_vectors": op5_vectors, "op6_packing": op6_packing, "op7_sharding": op7_sharding, "op8_html_text": op8_html_text, "op9_lines": op9_lines, "op10_substrings": op10_substrings, "op11_quantiles": op11_quantiles}
 __all__ = ["ORACLES", "QUERIES"]
