@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, jaccard, licenses, lines, mixing, packing, quality, quantiles, sharding, substrings, vectors
+from . import factors, html_text, jaccard, licenses, lines, mixing, packing, quality, quantiles, sharding, substrings, vectors, whitening
 from .common import cut, table
 from .oracles import ORACLES
 
@@ -64,5 +64,14 @@ def op11_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("within", 1000 * F.col("rank_error") <= 50 * F.col("n"))
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_licenses": op2_licenses, "op3_quality": op3_quality, "op4_jaccard": op4_jaccard, "op5_vectors": op5_vectors, "op6_packing": op6_packing, "op7_sharding": op7_sharding, "op8_html_text": op8_html_text, "op9_lines": op9_lines, "op10_substrings": op10_substrings, "op11_quantiles": op11_quantiles}
+def op12_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = factors.remove_repeats(table(spark, sf_dir, "documents"), length=35)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=16)
+
+
+QUERIES = {"op1_mixing": op1_mixing, "op2_licenses": op2_licenses, "op3_quality": op3_quality, "op4_jaccard": op4_jaccard, "op5_vectors": op5_vectors, "op6_packing": op6_packing, "op7_sharding": op7_sharding, "op8_html_text": op8_html_text, "op9_lines": op9_lines, "op10_substrings": op10_substrings, "op11_quantiles": op11_quantiles, "op12_factors": op12_factors, "op13_whitening": op13_whitening}
 __all__ = ["ORACLES", "QUERIES"]
