@@ -223,7 +223,7 @@ def checked(counts: DataFrame, found: DataFrame, keys: list[str], part: str, par
     own = [*keys, part]
     whole = counted(counts, keys, F.col("c")).withColumn(part, F.lit(-1).cast(dict(counts.dtypes)[part]))
     size = found.select(*own, "n")
-    rows = counts.unionByName(whole.select(*counts.columns)).join(size, own)
+    rows = cut(counts.unionByName(whole.select(*counts.columns)).join(size, own))  # ranging the values reads them twice
     ranked = cut(scans.running_total(rows, own, ["x"], F.col("c"), "n_upto").withColumn("n_below", F.col("n_upto") - F.col("c")).drop("c"))
     # rank ceil(i * n / parts) is above n_below and at most n_upto just if i * n / parts is
     low, high = (F.expr(f"({parts} * {c}) div n") for c in ("n_below", "n_upto"))
