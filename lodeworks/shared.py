@@ -6,7 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
@@ -73,5 +73,14 @@ def drop(spark: SparkSession, paths: list[str]) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def cut_only(spark: SparkSession, build: Callable[[], DataFrame]) -> DataFrame:
+    """cut of what build returns; the tables that build itself has cut are deleted once that is written."""
+    with noted() as made:
+        df = build()
+    out = cut(df)
+    drop(spark, made)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
