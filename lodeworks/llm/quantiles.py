@@ -174,7 +174,7 @@ def leaves(counts: DataFrame, keys: list[str], b: int, many: DataFrame) -> DataF
     space = lambda upto: F.expr(f"({b} * ({upto})) div n")
     kept = (F.col("size") <= b + 1) | (F.col("nth") <= FIRST) | (space("upto") > space("upto - c"))
     point = F.struct("x", F.col("upto").alias("low"), (F.col("upto") - F.col("c") + 1).alias("high"))
-    return of.where(kept).groupBy(*keys, "node").agg(F.max("n").alias("n"), F.max("n_leaves").alias("n_leaves"), F.array_sort(F.collect_list(point)).alias("points"))  # b + FIRST + 1 points at most
+    return of.where(kept).groupBy(*keys, "node").agg(F.max("n").alias("n"), F.max("n_leaves").alias("n_leaves"), F.sort_array(F.collect_list(point)).alias("points"))  # b + FIRST + 1 points at most
 
 
 def summaries(rows: DataFrame, keys: list[str], part: str, parts: int, c: Column | None = None, error: float = 0.05, most: int = 400, capacity: int = 4096) -> tuple[DataFrame, DataFrame]:
@@ -214,22 +214,34 @@ def summaries(rows: DataFrame, keys: list[str], part: str, parts: int, c: Column
     return counts, each.unionByName(whole)
 
 
-def checked(counts: DataFrame, found: DataFrame, keys: list[str], part: str, parts: int) -> DataFrame:
-    """One row for each answer of found (keys..., part, n, n_points, found): i, n, target, exact_x, points, answer, n_below, n_upto,
-    with the exact counts from all of counts (keys..., part, x, c).
+def ranked(counts: DataFrame, keys: list[str], least: int, capacity: int = 4096) -> DataFrame:
+    """(keys..., x, n, n_below, n_upto): exact ranks of all values of the groups of at least `least` rows. counts: (keys..., x, c), each x once.
+
+    Groups of up to `capacity` values are ranked by a window, larger ones by running totals over range parts: no group is sorted in one
+    task beyond that size.
+    """
+    sizes = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"), F.sum("c").alias("n")).where(F.col("size") > capacity)
+    large = cut(sizes.select(*keys, "n"))
+    group = W.partitionBy(*keys)
+    upto = F.sum("c").over(group.orderBy("x").rowsBetween(W.unboundedPreceding, 0))
+    few = counts.join(large, keys, "left_anti").withColumn("n_upto", upto).withColumn("n", F.sum("c").over(group))
+    many = scans.running_total(counts.join(large, keys), keys, ["x"], F.col("c"), "n_upto")
+    columns = [*keys, "x", "n", (F.col("n_upto") - F.col("c")).alias("n_below"), "n_upto"]
+    return few.select(*columns).union(many.select(*columns)).where(F.col("n") >= least)
 
-    All values are ranked exactly by running totals over range parts, so no group is sorted in one task.
+
+def checked(counts: DataFrame, found: DataFrame, keys: list[str], part: str, parts: int, least: int) -> DataFrame:
+    """One row for each answer of found (keys..., part, n, n_points, found): i, n, target, exact_x, points, answer, n_below, n_upto,
+    with the exact counts from all of counts (keys..., part, x, c). found has the groups of at least `least` rows.
     """
     own = [*keys, part]
     whole = counted(counts, keys, F.col("c")).withColumn(part, F.lit(-1).cast(dict(counts.dtypes)[part]))
-    size = found.select(*own, "n")
-    rows = cut(counts.unionByName(whole.select(*counts.columns)).join(size, own))  # ranging the values reads them twice
-    ranked = cut(scans.running_total(rows, own, ["x"], F.col("c"), "n_upto").withColumn("n_below", F.col("n_upto") - F.col("c")).drop("c"))
+    ranked_ = cut(ranked(cut(counts.unionByName(whole.select(*counts.columns))), own, least))
     # rank ceil(i * n / parts) is above n_below and at most n_upto just if i * n / parts is
     low, high = (F.expr(f"({parts} * {c}) div n") for c in ("n_below", "n_upto"))
-    exact = ranked.where((low < high) & (low < parts - 1)).select(*own, F.explode(F.sequence(low + 1, F.least(high, F.lit(parts - 1)))).alias("i"), F.col("x").alias("exact_x"))
+    exact = ranked_.where((low < high) & (low < parts - 1)).select(*own, F.explode(F.sequence(low + 1, F.least(high, F.lit(parts - 1)))).alias("i"), F.col("x").alias("exact_x"))
     given = found.select(*own, "n", F.col("n_points").alias("points"), F.posexplode("found").alias("at", "x"))
-    met = given.join(ranked.drop("n"), [*own, "x"]).withColumn("i", (F.col("at") + 1).cast("bigint"))
+    met = given.join(ranked_.drop("n"), [*own, "x"]).withColumn("i", (F.col("at") + 1).cast("bigint"))
     both = met.join(exact, [*own, "i"])
     target = F.expr(f"(i * n + {parts - 1}) div {parts}")
     return both.select(*own, F.col("i").cast("int").alias("i"), "n", target.alias("target"), "exact_x", "points", F.col("x").alias("answer"), "n_below", "n_upto")

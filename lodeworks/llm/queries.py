@@ -55,11 +55,11 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys, part, parts = ["stream", "grp"], "batch", 10
+    keys, part, parts, least = ["stream", "grp"], "batch", 10, 20
     rows = quantiles.streams(*(table(spark, sf_dir, t) for t in ("clicks", "sale_lines", "items")))
     counts, made = quantiles.summaries(rows, keys, part, quantiles.BATCHES, F.col("c"), error=0.05, most=400)
-    found = cut(quantiles.answers(made.where("n >= 20"), parts))
-    out = quantiles.checked(counts, found, keys, part, parts)
+    found = cut(quantiles.answers(made.where(F.col("n") >= least), parts))
+    out = quantiles.checked(counts, found, keys, part, parts, least)
     out = out.withColumn("rank_error", F.greatest(F.lit(0).cast("long"), F.col("n_below") + 1 - F.col("target"), F.col("target") - F.col("n_upto")))
     return out.withColumn("within", 1000 * F.col("rank_error") <= 50 * F.col("n"))
 
