@@ -23,10 +23,11 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import cut_only
 from .common import cut, shared_keys, with_shared
 
 #: Words of a seed.
-SEED = 16
+SEED = 12
 #: Words of a piece of a fragment; followers of over SALT words in a block are dealt to several copies of it.
 PIECE = 1024
 SALT = 500_000
@@ -38,7 +39,7 @@ BREAK_REFERENCE, BREAK_FOLLOWER = 0x5851F42D4C957F2D, 0x14057B7EF767814F
 class Words(dict):
     """64-bit hashes of words, remembered up to a number of words."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 200_000):
         super().__init__()
         self.most = most
 
@@ -95,7 +96,9 @@ def seeds(words, length: int, rolling: Rolling):
 
     h = rolling.of(words, SEED)
     width = length - SEED + 1
-    at = np.lib.stride_tricks.sliding_window_view(h, width).argmin(1) + np.arange(len(h) - width + 1)
+    views = np.lib.stride_tricks.sliding_window_view(h, width)
+    step = 20_000  # the search copies what it looks at
+    at = np.concatenate([views[k : k + step].argmin(1) for k in range(0, len(views), step)]) + np.arange(len(views))
     return at, h[at]
 
 
@@ -224,7 +227,7 @@ def _packed(batches: Iterator) -> Iterator:
     import pyarrow as pa
     import zstandard
 
-    pack = zstandard.ZstdCompressor(level=1).compress
+    pack = zstandard.ZstdCompressor(level=3).compress
     for batch in batches:
         packed = pa.array([pack(x.as_py()) for x in batch.column(batch.num_columns - 1)], pa.binary())
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], packed], [*batch.schema.names[:-1], "z"])
@@ -437,12 +440,17 @@ def repeated(texts: DataFrame, length: int = 35) -> DataFrame:
     """
     copied = texts.groupBy("t").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     copied = copied.select("t", F.lit(0).cast("bigint").alias("first"), F.lit(2**62).cast("bigint").alias("last"))
-    filed = cut(texts.select("t", "data").mapInArrow(_text_seeds(length), "h bigint, t bigint, twice boolean"))
-    ends = filed.groupBy("h").agg(F.min("t").alias("owner"), F.max("t").alias("other"), F.max("twice").alias("twice"))
-    shared = cut(ends.where("owner < other or twice").select("h", "owner"))
-    wanted = filed.select("h", "t").join(shared, "h").groupBy("t").agg(F.collect_set(F.struct("h", "owner")).alias("seeds"))
-    once = texts.select("t", "data").mapInArrow(_packed, "t bigint, z binary").dropDuplicates(["t"])
-    pieces = cut(once.join(wanted, "t").select("t", "z", "seeds").mapInArrow(_fragments(length), FRAGMENT))
+
+    def fragments() -> DataFrame:
+        filed = cut(texts.select("t", "data").mapInArrow(_text_seeds(length), "h bigint, t bigint, twice boolean"))
+        ends = filed.groupBy("h").agg(F.min("t").alias("owner"), F.max("t").alias("other"), F.max("twice").alias("twice"))
+        shared = cut(ends.where("owner < other or twice").select("h", "owner"))
+        wanted = filed.select("h", "t").join(shared, "h").groupBy("t").agg(F.collect_set(F.struct("h", "owner")).alias("seeds"))
+        once = texts.select("t", "data").mapInArrow(_packed, "t bigint, z binary").dropDuplicates(["t"])
+        return once.join(wanted, "t").select("t", "z", "seeds").mapInArrow(_fragments(length), FRAGMENT)
+
+    spark = texts.sparkSession
+    pieces = cut_only(spark, fragments)
     load = pieces.where("t <> owner").groupBy("owner").agg(F.sum("n").alias("n")).where(F.col("n") > 2 * SALT)
     copies = cut(load.select("owner", F.ceil(F.col("n") / SALT).cast("int").alias("copies")))
     dealt = pieces.join(copies, "owner", "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
@@ -508,8 +516,12 @@ def remove_repeats(docs: DataFrame, length: int = 35) -> DataFrame:
     one, two = F.xxhash64("data"), F.xxhash64(F.lit(1), "data")
     rows = with_shared(rows.withColumn("t", one), "t", shared_keys(rows, one, two), "_lw_many")
     rows = rows.select("doc_id", "data", F.when(F.col("_lw_many"), F.xxhash64("t", two)).otherwise(F.col("t")).alias("t"))
-    found = repeated(rows.where(F.length("data") >= 2 * length - 1).select("t", "data"), length).distinct()
-    spans = cut(found.repartition("t").sortWithinPartitions("t", "first").mapInArrow(_spans(length), "t bigint, spans array<struct<first: bigint, end: bigint>>"))
+
+    def merged() -> DataFrame:
+        found = repeated(rows.where(F.length("data") >= 2 * length - 1).select("t", "data"), length).distinct()
+        return found.repartition("t").sortWithinPartitions("t", "first").mapInArrow(_spans(length), "t bigint, spans array<struct<first: bigint, end: bigint>>")
+
+    spans = cut_only(docs.sparkSession, merged)
 
     def apply(batches: Iterator) -> Iterator:
         import pyarrow as pa
