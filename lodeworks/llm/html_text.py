@@ -26,14 +26,24 @@ MARKS = frozenset(
 )
 OWN = frozenset("article entry post content story main body text page".split())
 
-#: Marks of what readers or nobody sees as part of the page: these hold unless nothing else is left.
-FIRM = frozenset("comment comments disqus replies respond hidden".split())
+#: Marks of what readers or nobody sees as part of the page: these hold unless nothing else is left. An element of its own that is
+#: named for one comment may be an opinion piece: it holds while the rest of the page is longer.
+FIRM = frozenset("comments disqus replies respond hidden".split())
+OPINION = "comment"
+#: Compounds of one word that name readers' comments, and words that make other marks mean a subject.
+COMMENTS = re.compile(r"(?:user|reader)?comments?(?:list|thread|section|area|form|box|wrap|wrapper|container|feed|block)|(?:user|reader)comments|(?:user|reader|your)-?(?:responses|replies)|responses")
+SUBJECT = frozenset("work works research literature studies".split())
+#: Marks for which an inline element is left out of the text around it.
+INLINE_MARKS = frozenset("hidden ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo share sharing social".split())
+#: Headings over links to other pages than those that an article rests on.
+ELSEWHERE = re.compile(r"\b(?:related|more|next|popular|recommended|latest|trending|also like|share|follow|topics|tags|categories|archives?|newsletter|most read)\b", re.I)
 
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 ATTRIBUTE = re.compile(r"[\s/]*([^\s/>=][^\s/>=]*)(\s*=\s*)?")
 PLAIN = re.compile(r"[^\s>]*")
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 SPACE = re.compile(r"\s+")
+DIGITS = re.compile(r"\d+")
 STOPS = re.compile(r"[.,;:!?、。，！？；]")
 #: Start tags that end an open element, unless one of the others stands between them.
 ENDS = {
@@ -45,10 +55,11 @@ ENDS = {
 class Node:
     """An element: its path (a number per path of tags and classes), what it lies in, and whether it counts."""
 
-    __slots__ = ("above", "article", "dropped", "header", "holder", "link", "marked", "number", "path", "tag", "words")
+    __slots__ = ("above", "article", "code", "dropped", "header", "holder", "kind", "link", "marked", "number", "path", "tag", "words")
 
     def __init__(self, tag, above, number, path):
-        self.tag, self.above, self.number, self.path, self.words = tag, above, number, path, frozenset()
+        self.tag, self.above, self.number, self.path, self.words, self.kind = tag, above, number, path, frozenset(), None
+        self.code = tag in ("pre", "code") or bool(above and above.code)
         self.article = self.link = self.header = self.dropped = False
         self.marked = above.marked if above else None  # the nearest element around it, or it, that bears marks
         self.holder = above.holder if tag in INLINE and above else self
@@ -170,6 +181,10 @@ def _marks(tag: str, attributes: list[tuple[str, str]], in_article: bool) -> fro
         elif name in ("class", "id", "role"):
             for word in value.split():
                 parts = [x.lower() for x in PARTS.findall(word)]
+                if COMMENTS.fullmatch(word.lower()) or any(map(COMMENTS.fullmatch, parts)):
+                    out.add("comments")
+                if "related" in parts and SUBJECT.intersection(parts):
+                    continue
                 if not parts or parts[0] in ("no", "has", "with", "not", "without"):
                     continue
                 hit = MARKS.intersection(parts)
@@ -255,9 +270,12 @@ def blocks(page: str) -> list[Block]:
             node.link = top.link or tag == "a"
             node.header = top.header or (tag == "header" and top.article)
             node.dropped = top.dropped or tag in DROPPED or (tag == "header" and not top.article)
-            node.words = _marks(tag, attributes, top.article) if attributes else node.words
+            if attributes and not node.code:
+                words = _marks(tag, attributes, top.article)
+                node.words = words & INLINE_MARKS if tag in INLINE else words
             if node.words:
-                node.marked = node
+                # elements of one kind, such as the parts of a layout, are judged together; numbers in names don't tell kinds apart
+                node.marked, node.kind = node, (tag, DIGITS.sub("#", " ".join(v for k, v in attributes if k in ("class", "id", "role"))))
             push(node)
     for x in out:
         x.text = SPACE.sub(" ", "".join(x.bits)).strip()
@@ -265,35 +283,46 @@ def blocks(page: str) -> list[Block]:
 
 
 def _unmarked(found: list[Block]) -> list[Block]:
-    """The blocks outside elements that bear marks, but for words that mark the article itself.
+    """The blocks outside elements that bear marks, but for elements that are marked and hold the article itself.
 
-    A word that stands on most of a page's text (three times as much as is left without it) is the name of something
-    else, such as a layout or a subject, and is passed over on that page. Readers' comments and what is hidden stay out
+    Elements of one kind (same tag and names) are judged together, others of a like name are not touched by that. A kind
+    that holds most of a page's text, three times as much as is left without it, is a layout or a subject, and is passed over. So is one element
+    named for a comment that holds more than is left: several such are readers' comments. These and what is hidden stay out
     however long they are, unless nothing else is left.
     """
-    passed: set[str] = set()
+    passed: set = set()
+    members: dict = defaultdict(set)
+    words: dict = {}
+    for x in found:
+        n = x.node.marked
+        while n is not None and n.number not in members[n.kind]:
+            members[n.kind].add(n.number)
+            words[n.kind] = n.words
+            n = n.above.marked
+    firm = {k for k, w in words.items() if FIRM & w or (OPINION in w and len(members[k]) > 1)}
     while True:
         kept, held = [], Counter()
         plain = 0
-        verdict: dict[int, str] = {}  # by marked element: a word that keeps it out
+        verdict: dict[int, tuple | None] = {}  # by marked element: the kind that keeps it out
         for x in found:
-            n, chain, word = x.node.marked, [], ""
+            n, chain = x.node.marked, []
             while n is not None and n.number not in verdict:
                 chain.append(n)
                 n = n.above.marked
-            word = verdict[n.number] if n is not None else ""
-            for n in reversed(chain):  # outer elements first: the outermost word decides
-                word = word or min(n.words - passed, default="")
-                verdict[n.number] = word
-            if word:
-                held[word] += max(0, len(x.text) - x.linked)
+            kind = verdict[n.number] if n is not None else None
+            for n in reversed(chain):  # outer elements first: the outermost one decides
+                kind = kind or (n.kind if n.kind not in passed else None)
+                verdict[n.number] = kind
+            size = max(0, len(x.text) - x.linked)
+            if kind:
+                held[kind] += size
             else:
                 kept.append(x)
-                plain += max(0, len(x.text) - x.linked)
-        over = [w for w, n in held.items() if n and (not plain if w in FIRM else n >= 3 * plain)]
+                plain += size
+        over = [k for k, n in held.items() if n and (not plain if k in firm else n > plain if OPINION in words[k] else n >= 3 * plain)]
         if not over:
             return kept
-        passed.add(max(over, key=lambda w: (w not in FIRM, held[w], w)))
+        passed.add(max(over, key=lambda k: (k not in firm, held[k], str(k))))
 
 
 def _smooth(x: list[float], radius: int = 1) -> list[float]:
@@ -312,7 +341,7 @@ def _whole(found: list[Block], chosen: set[int], inside: Node) -> list[Block]:
     The element widens to the article or main around it, then to its parents below body while they add no block
     of links. Beside it, elements that hold content come whole, and so does what follows the heading before it: an
     h1, or any heading that stands beside one of the elements around the content. Within it blocks of links come
-    only as paragraphs: lists of them are menus.
+    as paragraphs, or as a list under a heading such as one for sources: other lists of them are menus.
     """
     spine, n = [], inside
     while n is not None:
@@ -339,6 +368,12 @@ def _whole(found: list[Block], chosen: set[int], inside: Node) -> list[Block]:
         depth -= 1
     held = {n for b, (k, n) in zip(found, met, strict=True) if b.path in chosen and k < depth} - {-1}
     taken = [b.path in chosen or (k >= depth or n in held) and (not b.links() or k >= depth and b.node.tag == "p") for b, (k, n) in zip(found, met, strict=True)]
+    under = False  # whether links here are listed under a heading of the article
+    for k, (b, (at, _)) in enumerate(zip(found, met, strict=True)):
+        if not b.links():
+            under = b.heading and at >= depth and not ELSEWHERE.search(b.text)
+        elif under and at >= depth:
+            taken[k] = True
     first = taken.index(True)
     for k in range(first - 1, -1, -1):
         if found[k].links():

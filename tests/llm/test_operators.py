@@ -591,6 +591,28 @@ def test_html_marked_names():
     assert html_text.main_text(f"<body><article>{body}</article><div class='sidebar'><p>{p * 9}</p></div><div hidden><p>{p * 30}</p></div></body>") == want
 
 
+def test_html_marks_by_element():
+    """An element is judged by what it holds, not by a word that others share."""
+    p = "This is a sentence of the article, with some words in it. Here is one more, of the same kind. A third one follows; a fourth ends it. "
+    body, want = f"<p>{p}</p>" * 5, "\n\n".join([p.strip()] * 5)
+    other = "<div>Some short other text of it.</div>"
+    for name in ("story-comment", "comment-piece", "opinion comment"):
+        assert html_text.main_text(f"<body>{other}<div class='{name}'>{body}</div></body>").endswith(want), name
+        assert html_text.main_text(f"<body><nav>{other}</nav><div class='{name}'>{body}</div></body>") == want, name
+    for name in ("content-sidebar-wrap", "layout-sidebar-left"):
+        side = f"<div class='sidebar'><p>{p}</p></div>"
+        assert html_text.main_text(f"<body><div class='{name}'><div class=x>{body}</div>{side}</div></body>") == want, name
+        assert html_text.main_text(f"<body><div class='{name}'>{body}</div>{side}</body>") == want, name
+    for comments in (f"<ol class='commentlist'><li><p>{p}</p></li><li><p>{p}</p></li></ol>", f"<div class='user-responses'><p>{p}</p></div>", f"<div class=comment><p>{p}</p></div>" * 3):
+        assert html_text.main_text(f"<body><div class='content'>{body}{comments}</div></body>") == want, comments
+    sources = "<h2>Sources</h2><ul><li><a href=a>A first source of it</a></li><li><a href=b>A second one</a></li></ul>"
+    assert html_text.main_text(f"<body><article>{body}{sources}</article></body>") == want + "\n\nSources\n\nA first source of it\n\nA second one"
+    assert html_text.main_text(f"<body><article>{body}<section class='related-work'><h2>Related work</h2><p>{p}</p></section></article></body>") == f"{want}\n\nRelated work\n\n{p.strip()}"
+    code = "<pre><code>x = 1 <span class='token comment'># one</span> y <span class='hljs-comment'># two</span></code></pre>"
+    assert html_text.main_text(f"<body><article>{body}{code}</article></body>") == f"{want}\n\nx = 1 # one y # two"
+    assert html_text.main_text(f"<body><article>{body}<p>{p}<span class='alert'>Mind this.</span> {p}</p></article></body>") == f"{want}\n\n{p}Mind this. {p}".strip()
+
+
 def test_html_broken_tags():
     p = "This is a sentence of the article, with some words in it; and a few more. "
     text = [(p * 3).strip(), p * 2 + "a link"]
