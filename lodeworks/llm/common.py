@@ -11,13 +11,20 @@ from ..shared import cut, drop, noted, shared_folder
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-__all__ = ["WORD", "connected_components", "cut", "drop", "noted", "shared_folder", "shared_keys", "table", "with_shared", "word_count"]
+__all__ = ["WORD", "connected_components", "cut", "drop", "noted", "shared_folder", "shared_keys", "small_batches", "table", "with_shared", "word_count"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession, size: str = "4m") -> None:
+    """Sets the session's bytes of an Arrow batch, unless it has been set: Spark's default of 64 MB of texts stands several times in memory."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == "67108864b":
+        spark.conf.set(name, size)
+
+
 def shared_keys(rows: DataFrame, key: Column, value: Column) -> DataFrame:
     """(_lw_key): the keys, null among them, that stand with more than one value."""
     ends = rows.select(key.alias("_lw_key"), value.alias("v")).groupBy("_lw_key").agg(F.min("v").alias("low"), F.max("v").alias("high"))

@@ -18,19 +18,23 @@ So a window is compared with one reference, not with all texts that share its se
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shared import cut_only
-from .common import cut, shared_keys, with_shared
+from .common import cut, shared_keys, small_batches, with_shared
 
 #: Words of a seed.
 SEED = 12
 #: Words of a piece of a fragment; followers of over SALT words in a block are dealt to several copies of it.
 PIECE = 1024
 SALT = 500_000
+#: Bytes of a text that are cut into words at once, and windows whose seeds are sought at once.
+STRETCH, STEP = 1 << 18, 10_000
+SPACE = re.compile(rb"[\x20\x09-\x0d]")
 #: Multipliers of the rolling hashes, odd; values that stand between fragments and are nobody's hash in practice.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 BREAK_REFERENCE, BREAK_FOLLOWER = 0x5851F42D4C957F2D, 0x14057B7EF767814F
@@ -39,7 +43,7 @@ BREAK_REFERENCE, BREAK_FOLLOWER = 0x5851F42D4C957F2D, 0x14057B7EF767814F
 class Words(dict):
     """64-bit hashes of words, remembered up to a number of words."""
 
-    def __init__(self, most: int = 200_000):
+    def __init__(self, most: int = 100_000):
         super().__init__()
         self.most = most
 
@@ -55,8 +59,15 @@ class Words(dict):
         """The hashes of a text's words; bytes.split cuts at just the six characters of ASCII white space."""
         import numpy as np
 
-        words = text.split()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+        parts, at = [], 0
+        while at < len(text):  # long texts piece by piece, or their words would all stand as objects at once
+            end = at + STRETCH
+            gap = SPACE.search(text, end) if end < len(text) else None
+            end = gap.start() if gap else len(text)
+            words = text[at:end].split()
+            parts.append(np.fromiter(map(self.__getitem__, words), np.uint64, len(words)))
+            at = end
+        return np.concatenate(parts) if parts else np.array([], np.uint64)
 
 
 class Rolling:
@@ -94,12 +105,15 @@ def seeds(words, length: int, rolling: Rolling):
     """For every window of words, the place of its seed and the seed's hash."""
     import numpy as np
 
-    h = rolling.of(words, SEED)
     width = length - SEED + 1
-    views = np.lib.stride_tricks.sliding_window_view(h, width)
-    step = 20_000  # the search copies what it looks at
-    at = np.concatenate([views[k : k + step].argmin(1) for k in range(0, len(views), step)]) + np.arange(len(views))
-    return at, h[at]
+    places, hashes = [], []
+    for k in range(0, len(words) - length + 1, STEP):  # the search copies what it looks at
+        h = rolling.of(words[k : k + STEP + length - 1], SEED)
+        views = np.lib.stride_tricks.sliding_window_view(h, width)
+        at = views.argmin(1) + np.arange(len(views))
+        places.append(at + k)
+        hashes.append(h[at])
+    return np.concatenate(places), np.concatenate(hashes)
 
 
 class Reference:
@@ -240,21 +254,27 @@ def _text_seeds(length: int):
         import numpy as np
         import pyarrow as pa
 
+        def told(held: list) -> pa.RecordBatch:
+            hs, ts, twice = ([x[k] for x in held] for k in range(3))
+            sizes = [len(h) for h in hs]
+            flat = lambda x, kind: np.concatenate(x) if x else np.array([], kind)
+            return pa.RecordBatch.from_arrays([pa.array(flat(hs, np.uint64).view(np.int64)), pa.array(np.repeat(np.array(ts, np.int64), sizes)), pa.array(flat(twice, bool))], ["h", "t", "twice"])
+
         names, rolling = Words(), Rolling()
         for batch in batches:
-            hs, ts, twice = [], [], []
+            held, size = [], 0
             for t, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 words = names.of(text.as_py())
                 if len(words) < length:
                     continue
                 at, h = seeds(words, length, rolling)
-                first = np.concatenate(([True], at[1:] != at[:-1]))
-                own, times = np.unique(h[first], return_counts=True)
-                hs.append(own)
-                twice.append(times > 1)
-                ts.append(np.full(len(own), t, np.int64))
-            flat = lambda x, kind: np.concatenate(x) if x else np.array([], kind)
-            yield pa.RecordBatch.from_arrays([pa.array(flat(hs, np.uint64).view(np.int64)), pa.array(flat(ts, np.int64)), pa.array(flat(twice, bool))], ["h", "t", "twice"])
+                own, times = np.unique(h[np.concatenate(([True], at[1:] != at[:-1]))], return_counts=True)
+                held.append((own, t, times > 1))
+                size += len(own)
+                if size >= 50_000:
+                    yield told(held)
+                    held, size = [], 0
+            yield told(held)
 
     return run
 
@@ -290,7 +310,7 @@ def _fragments(length: int):
                             e = min(s + PIECE, int(b))
                             held.append((int(owner[a]), t, s, e - s, words[s : e + length - 1].tobytes()))
                             size += e - s + length
-                if size >= 500_000:
+                if size >= 100_000:
                     yield _batch(held)
                     held, size = [], 0
             yield _batch(held)
@@ -342,7 +362,7 @@ def parsed(reference: Reference, words, starts, rolling: Rolling, length: int):
     return hit[starts], np.concatenate([places, *met]) if met else places
 
 
-def _blocks(length: int, batch_words: int = 60_000):
+def _blocks(length: int, batch_words: int = 30_000):
     """Arrow batches of (owner, salt, t, start, n, words), sorted by these with the owner's own rows first in each block, to
     (t, first, last, x, y): ranges of repeated starts, with null x and y, and fingerprints of what the reference does not hold."""
 
@@ -441,11 +461,14 @@ def repeated(texts: DataFrame, length: int = 35) -> DataFrame:
     copied = texts.groupBy("t").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     copied = copied.select("t", F.lit(0).cast("bigint").alias("first"), F.lit(2**62).cast("bigint").alias("last"))
 
-    def fragments() -> DataFrame:
+    def sought() -> DataFrame:
         filed = cut(texts.select("t", "data").mapInArrow(_text_seeds(length), "h bigint, t bigint, twice boolean"))
         ends = filed.groupBy("h").agg(F.min("t").alias("owner"), F.max("t").alias("other"), F.max("twice").alias("twice"))
         shared = cut(ends.where("owner < other or twice").select("h", "owner"))
-        wanted = filed.select("h", "t").join(shared, "h").groupBy("t").agg(F.collect_set(F.struct("h", "owner")).alias("seeds"))
+        return filed.select("h", "t").join(shared, "h").groupBy("t").agg(F.collect_set(F.struct("h", "owner")).alias("seeds"))  # a text's seeds
+
+    def fragments() -> DataFrame:
+        wanted = cut_only(spark, sought)  # before the texts are shuffled, so that the seeds' files are gone by then
         once = texts.select("t", "data").mapInArrow(_packed, "t bigint, z binary").dropDuplicates(["t"])
         return once.join(wanted, "t").select("t", "z", "seeds").mapInArrow(_fragments(length), FRAGMENT)
 
@@ -511,6 +534,7 @@ def remove_repeats(docs: DataFrame, length: int = 35) -> DataFrame:
     """
     if length < SEED:
         raise ValueError(f"windows have {SEED} words at least")
+    small_batches(docs.sparkSession)
     data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = docs.select("doc_id", data.alias("data"))
     one, two = F.xxhash64("data"), F.xxhash64(F.lit(1), "data")
