@@ -14,6 +14,10 @@ from ..functions.paths import lines, stripped
 LOADS = ["LC_LOAD_DYLIB", "LC_LOAD_WEAK_DYLIB", "LC_REEXPORT_DYLIB", "LC_LOAD_UPWARD_DYLIB", "LC_LAZY_LOAD_DYLIB"]
 
 
+#: What an attempt at a source comes to: its bytes, wrong bytes, or none for now.
+OK, MISMATCH, ERROR = "ok", "mismatch", "error"
+
+
 def carry(rows: DataFrame, part: list[str], order: list[str], state: Column, out: str) -> DataFrame:
     """rows with the last non-null state up to and with each row."""
     upto = W.partitionBy(*part).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
@@ -39,17 +43,17 @@ def load_commands(text: DataFrame, scan: Callable = carry) -> DataFrame:
 def first_outcome(attempts: DataFrame, key: str, tries: int) -> DataFrame:
     """One row per key: what ordered sources with bounded retries come to.
 
-    attempts: (key, source, attempt, outcome, message), outcome 'ok', 'mismatch' or 'error'. Of each source the
+    attempts: (key, source, attempt, outcome, message), outcome OK, MISMATCH or ERROR. Of each source the
     first `tries` attempts count, none after a mismatch or success; the first success over all sources wins.
     Returns (key, status, source, attempt, failures): failures before the end, in order.
     """
     within = W.partitionBy(key, "source").orderBy("attempt")
-    ended = F.max((F.col("outcome") != "error").cast("int")).over(within.rowsBetween(W.unboundedPreceding, -1))
+    ended = F.max((F.col("outcome") != ERROR).cast("int")).over(within.rowsBetween(W.unboundedPreceding, -1))
     seen = attempts.withColumn("nth", F.row_number().over(within)).withColumn("ended", F.coalesce(ended, F.lit(0))).where((F.col("nth") <= tries) & (F.col("ended") == 0))
     place = F.struct("source", "attempt")
-    won = F.min(F.when(F.col("outcome") == "ok", place)).over(W.partitionBy(key))
+    won = F.min(F.when(F.col("outcome") == OK, place)).over(W.partitionBy(key))
     made = seen.withColumn("won", won).where(F.col("won").isNull() | (place <= F.col("won")))
-    failed = F.array_sort(F.collect_list(F.when(F.col("outcome") != "ok", F.struct("source", "attempt", "message"))))
+    failed = F.array_sort(F.collect_list(F.when(F.col("outcome") != OK, F.struct("source", "attempt", "message"))))
     return made.groupBy(key).agg(F.max("won").alias("won"), failed.alias("f")).select(
         key, F.when(F.col("won").isNull(), "failed").otherwise("ok").alias("status"), "won.source", "won.attempt", F.transform("f", lambda x: x["message"]).alias("failures")
     )
