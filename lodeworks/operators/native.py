@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from itertools import takewhile
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import normalized
+from .links import resolved
 from .sets import search_sets
 
 # Libraries of every supported Windows, prefixes of its API sets, and Mach-O magics.
@@ -22,54 +24,53 @@ API_SETS = ("api-ms-win-", "ext-ms-")
 MAGICS = ["CFFAEDFE", "CEFAEDFE", "CAFEBABE", "CAFEBABF"]
 SYSTEM_PATHS = ("/usr/lib/", "/System/Library/")
 
-#: (data directory, bytes of an entry, where in it the name's address stands)
-IMPORT_TABLES = [(1, 20, 12), (13, 32, 4)]
+# Fixed values of the file format: the data directories of imports and of delay-loaded ones, and their entries, each
+# with the name's address in the middle.
+TABLES = {1: "<12sI4s", 13: "<4sI24s"}
+SECTION = [("name", "S8"), ("virtual", "<u4"), ("address", "<u4"), ("size", "<u4"), ("raw", "<u4"), ("rest", "S16")]
 
 
-class Image:
-    """A portable executable, read where needed."""
+def sections(data: bytes, header: int):
+    """The section table of a portable executable as an array, in table order."""
+    import numpy as np
 
-    def __init__(self, data: bytes):
-        self.data = data
-        self.header = self.u32(0x3C) if data[:2] == b"MZ" and len(data) >= 0x40 else None
-        self.valid = self.header is not None and data[self.header : self.header + 4] == b"PE\0\0"
+    n, optional = struct.unpack_from("<6xH12xH", data, header)
+    return np.frombuffer(data, SECTION, n, header + 24 + optional)
 
-    def u16(self, at: int) -> int:
-        return struct.unpack_from("<H", self.data, at)[0]
 
-    def u32(self, at: int) -> int:
-        return struct.unpack_from("<I", self.data, at)[0]
+def file_offsets(table, addresses):
+    """File offsets of addresses: each by the first section of the table that holds it; one in none is an error."""
+    import numpy as np
 
-    def sections(self) -> list[tuple[int, ...]]:
-        """(virtual size, address, raw size, raw offset) in table order."""
-        base = self.header + 24 + self.u16(self.header + 20)
-        return [struct.unpack_from("<IIII", self.data, base + 40 * k + 8) for k in range(self.u16(self.header + 6))]
+    low = table["address"].astype(np.int64)
+    high = low + np.maximum(table["virtual"], table["size"])
+    at = np.asarray(addresses, np.int64)[:, None]
+    holds = (low <= at) & (at < high)
+    if not holds.any(1).all():
+        raise ValueError(f"address {addresses[int(np.argmin(holds.any(1)))]:#x} lies in no section")
+    first = holds.argmax(1)
+    return at[:, 0] - low[first] + table["raw"][first]
 
-    def place(self, address: int) -> int:
-        """File offset of an address, by the first section that holds it."""
-        for virtual, start, raw_size, raw in self.sections():
-            if start <= address < start + max(virtual, raw_size):
-                return address - start + raw
-        raise ValueError(f"address {address:#x} lies in no section")
 
-    def text(self, address: int) -> str:
-        at = self.place(address)
-        return self.data[at : self.data.index(b"\0", at)].decode("ascii").lower()
+def imported(data: bytes) -> list[str]:
+    """Names of the libraries that a portable executable imports, delay-loaded ones last, in table order with repeats.
 
-    def imports(self) -> list[str]:
-        """Names of imported libraries, delay-loaded ones last, in table order with repeats."""
-        if not self.valid:
-            return []
-        optional = self.header + 24
-        tables = optional + (112 if self.u16(optional) == 0x20B else 96)
-        out = []
-        for number, size, name_at in IMPORT_TABLES:
-            address = self.u32(tables + 8 * number)
-            at = self.place(address) if address else len(self.data)
-            while len(entry := self.data[at : at + size]) == size and any(entry):
-                out.append(self.text(struct.unpack_from("<I", entry, name_at)[0]))
-                at += size
-        return out
+    Bytes of any other kind import nothing.
+    """
+    header = int.from_bytes(data[0x3C:0x40], "little")
+    if len(data) < 0x40 or data[:2] != b"MZ" or data[header : header + 4] != b"PE\0\0":
+        return []
+    table = sections(data, header)
+    wide = data[header + 24 : header + 26] == b"\x0b\x02"  # 64-bit files have 16 bytes more before the directories
+    directories = header + 24 + (112 if wide else 96)
+    names: list[int] = []
+    for number, entry in TABLES.items():
+        (address,) = struct.unpack_from("<I", data, directories + 8 * number)
+        if address:
+            rows = memoryview(data)[int(file_offsets(table, [address])[0]) :]
+            rows = rows[: len(rows) - len(rows) % struct.calcsize(entry)]  # a table that is cut off ends with its last whole entry
+            names += [name for _, name, _ in takewhile(lambda e: e[1] or any(e[0]) or any(e[2]), struct.iter_unpack(entry, rows))]
+    return [data[at : data.index(b"\0", at)].decode("ascii").lower() for at in file_offsets(table, names).tolist()] if names else []
 
 
 def pe_imports(files: DataFrame) -> DataFrame:
@@ -85,7 +86,7 @@ def pe_imports(files: DataFrame) -> DataFrame:
             rows = []
             for path, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):  # one content at a time
                 try:
-                    rows += [(path, k, dll, None) for k, dll in enumerate(Image(data.as_py() or b"").imports())]
+                    rows += [(path, k, dll, None) for k, dll in enumerate(imported(data.as_py() or b""))]
                 except (ValueError, struct.error) as e:
                     rows.append((path, None, None, str(e)))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
@@ -119,24 +120,32 @@ def missing_windows(files: DataFrame, imports: DataFrame) -> DataFrame:
     return left.groupBy("path").agg(F.sort_array(F.collect_set("dll")).alias("missing"))
 
 
-def missing_mac(files: DataFrame, commands: DataFrame, root: str = "/root") -> DataFrame:
+def missing_mac(files: DataFrame, commands: DataFrame, root: str = "/root", links: DataFrame | None = None) -> DataFrame:
     """(path, missing): per file the sorted dependencies that resolve to no file of the tree.
 
     files: (path, inside) with inside telling that the entry is a file whose real place is in the tree;
     commands: (path, kind, value). System paths pass unseen; paths from the loader or the executable's folder
     are expanded; one by '@rpath/' passes if any of the file's own search paths leads to a file of the tree.
-    root stands for the tree's place: absolute search paths count only beneath it.
+    root stands for the tree's place: absolute search paths count only beneath it. Where links (path, target) are given, they are
+    followed as a file system does, one that leads out of the tree to nothing; else files must list what lies behind links.
     """
     there = files.where("inside").select(F.concat(F.lit(root + "/"), "path").alias("_there")).distinct()
     folder = F.regexp_replace(F.concat(F.lit(root + "/"), F.col("path")), r"/[^/]*$", "")
-    expand = lambda value: normalized(F.replace(F.replace(value, F.lit("@loader_path"), folder), F.lit("@executable_path"), F.lit(root + "/bin")))
+    expand = lambda value: F.replace(F.replace(value, F.lit("@loader_path"), folder), F.lit("@executable_path"), F.lit(root + "/bin"))
     wanted = commands.where("kind = 'dependency'").select("path", F.col("value").alias("dependency")).distinct()
     for prefix in SYSTEM_PATHS:
         wanted = wanted.where(~F.col("dependency").startswith(prefix))
     direct = wanted.where(F.col("dependency").startswith("@loader_path/") | F.col("dependency").startswith("@executable_path/")).withColumn("_at", expand(F.col("dependency")))
     searched = wanted.where(F.col("dependency").startswith("@rpath/")).join(commands.where("kind = 'rpath'").select("path", F.col("value").alias("rpath")).distinct(), "path")
-    searched = searched.withColumn("_at", normalized(F.concat(expand(F.col("rpath")), F.lit("/"), F.substr("dependency", F.lit(8))))).drop("rpath")
-    found = direct.union(searched).join(there, F.col("_at") == F.col("_there"), "left_semi").select("path", "dependency").distinct()
+    searched = searched.withColumn("_at", F.concat(expand(F.col("rpath")), F.lit("/"), F.substr("dependency", F.lit(8)))).drop("rpath")
+    tried = direct.union(searched)
+    if links is None:
+        placed = tried.withColumn("_real", normalized(F.col("_at")))
+    else:
+        own = links.select(F.concat(F.lit(root + "/"), "path").alias("path"), "target")
+        real = resolved(tried.select(F.col("_at").alias("path")), own).select(F.col("path").alias("_at"), F.col("real").alias("_real"))
+        placed = tried.join(real, "_at")
+    found = placed.join(there, F.col("_real") == F.col("_there"), "left_semi").select("path", "dependency").distinct()
     left = wanted.join(found, ["path", "dependency"], "left_anti")
     return left.groupBy("path").agg(F.sort_array(F.collect_set("dependency")).alias("missing"))
 
