@@ -30,6 +30,10 @@ def relative(path: Column, root: str) -> Column:
     return F.when(path.startswith(root), F.substr(path, F.lit(len(root) + 1))).otherwise(path)
 
 
+#: Paths that normalizing leaves alone: no empty, '.' or '..' components.
+PLAIN = r"^/?(?!\.{1,2}(?:/|$))[^/]+(?:/(?!\.{1,2}(?:/|$))[^/]+)*$"
+
+
 def normalized(path: Column) -> Column:
     """os.path.normpath: empty and '.' components go, '..' takes one back, at the root it stays there."""
     rooted = path.startswith("/")
@@ -43,8 +47,10 @@ def normalized(path: Column) -> Column:
         stay = up & rooted & (F.size(done) == 0)
         return F.when(drop | stay, done).when(back, F.slice(done, 1, F.greatest(F.lit(0), F.size(done) - 1))).otherwise(F.concat(done, F.array(part)))
 
-    joined = F.array_join(F.aggregate(F.split(path, "/"), empty, step), "/")
-    return F.when(rooted, F.concat(F.lit("/"), joined)).when(joined == "", F.lit(".")).otherwise(joined)
+    # an array of one names the result, so that it is worked out once however often it is used
+    joined = F.array(F.array_join(F.aggregate(F.split(path, "/"), empty, step), "/"))
+    whole = F.transform(joined, lambda j: F.when(rooted, F.concat(F.lit("/"), j)).when(j == "", F.lit(".")).otherwise(j))
+    return F.when(path.rlike(PLAIN), path).otherwise(F.get(whole, F.lit(0)))
 
 
 #: What str.strip takes for white space, for Java's regular expressions.

@@ -17,9 +17,11 @@ def prune(record: DataFrame, tree: DataFrame, site: str) -> DataFrame:
 
 
 def still_there(record: DataFrame, tree: DataFrame, site: str) -> DataFrame:
-    full = normalized(F.concat(F.lit(site + "/"), F.col("path")))
+    """The rows of prune in any order; each distinct path is normalized once."""
+    full = F.coalesce(normalized(F.concat(F.lit(site + "/"), F.col("path"))), F.lit(""))  # never null, or the join would work it out again to test that
     there = tree.select(F.col("path").alias("_there")).distinct()
-    return record.withColumn("_at", full).join(there, F.col("_at") == F.col("_there"), "left_semi").drop("_at")
+    kept = record.select("path").where("path is not null").distinct().withColumn("_at", full).join(there, F.col("_at") == F.col("_there"), "left_semi")
+    return record.join(kept.select("path"), "path", "left_semi").select(*record.columns)
 
 
 def _parsed(batches: Iterator) -> Iterator:
