@@ -8,7 +8,6 @@ import json
 import os
 import tarfile
 import tempfile
-import uuid
 import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,7 +18,9 @@ from .functions import paths
 from .functions.paths import components, lines, normalized, present, suffix, uint_le
 from .operators import native, pins, record, rules, sequences, sets
 from .plans import dependencies, package, sinks
+from .shared import new_folder
 from .sources import fetch, records, trees
+from .sources.archives import local_path
 from .sources.pins import read_pins
 
 
@@ -28,9 +29,8 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder that all executors see: beneath spark.checkpoint.dir, a local one where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    at = os.path.join(base.removeprefix("file://"), f"lodeworks-{uuid.uuid4().hex}") if base else tempfile.mkdtemp(prefix="lodeworks-")
+    """A new folder that all executors see, in the shared one."""
+    at = local_path(new_folder(spark))
     os.makedirs(at, exist_ok=True)
     return at
 
@@ -155,7 +155,7 @@ def record_prune(spark, sf_dir):
     """Lines taken for a record's rows, kept where the part they name is in the tree."""
     rows = _t(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line_no"), F.concat(F.lit("../parts/./"), F.col("l_partkey").cast("string")).alias("path"))
     tree = _t(spark, sf_dir, "part").where("p_size < 25").select(F.concat(F.lit("lib/parts/"), F.col("p_partkey").cast("string")).alias("path"))
-    return record.prune(rows, tree, "lib/site").select("line_no", "path")
+    return record.still_there(rows, tree, "lib/site").select("line_no", "path")  # line_no carries the order to a sink
 
 
 def search_set_union(spark, sf_dir):
@@ -295,20 +295,6 @@ def depcheck(spark, sf_dir):
     return native.missing_windows(files, needs).select("path", F.array_join("missing", ",").alias("missing"))
 
 
-def zip_listing(spark, sf_dir):
-    """An archive of nation files, written twice to the same bytes and listed: order, modes, sizes, digests."""
-    tree = _nation_tree(spark, sf_dir)
-    folder = _folder(spark)
-    held = []
-    for k in range(2):
-        sinks.write_zip(tree, f"{folder}/{k}.zip")
-        with open(f"{folder}/{k}.zip", "rb") as f:
-            held.append(f.read())
-    with zipfile.ZipFile(io.BytesIO(held[0])) as z:
-        rows = [(k, i.filename, i.external_attr, i.file_size, i.date_time == sinks.STAMP and held[0] == held[1]) for k, i in enumerate(z.infolist())]
-    return spark.createDataFrame(rows, "ord long, path string, attributes long, length long, same boolean")
-
-
 def gunzip_capped(spark, sf_dir):
     """Texts packed and unpacked again under a cap: the length, or null beyond the cap."""
 
@@ -327,26 +313,6 @@ def gunzip_capped(spark, sf_dir):
 
 # ------------------------------------------------------------------------------------------- trees and rules
 
-#: Paths of made-up runtimes; the SQL has the same ones.
-WINDOWS_TREE = (
-    "python.exe pythonw.exe python312.dll vcruntime140.dll sub/pythonw.exe include/Python.h libs/x.lib Scripts/pip.exe tcl/init.tcl tcl8/keep DLLs/_ctypes.pyd DLLs/_ctypes_test.pyd DLLs/_tkinter.pyd DLLs/_testcapi.pyd"
-    " DLLs/tcl86t.dll DLLs/tk86t.dll DLLs/libssl.dll DLLs/sub/tk1.dll a.pdb Lib/b.pdb Lib/os.py Lib/test/x.py Lib/tests/x.py Lib/unittest/test/y.py Lib/unittest/case.py Lib/ctypes/test/z.py Lib/sqlite3/test/q.py"
-    " Lib/distutils/tests/t.py Lib/tkinter/a.py Lib/idlelib/b.py Lib/ensurepip/c.py Lib/lib2to3/d.py Lib/turtledemo/e.py Lib/pydoc_data/f.py Lib/site-packages/old/g.py Lib/testing.py other/test/h.py"
-).split()
-MAC_TREE = (
-    "bin/python3.12 bin/python3 bin/pip bin/sub/python3.12 include/x.h share/man/y lib/pkgconfig/z.pc lib/libpython3.12.dylib lib/libpython3.dylib lib/tcl8.6/init.tcl lib/tcl9.0/a lib/tcl7/keep lib/tk8/b lib/itcl4/c"
-    " lib/thread2/d lib/libtcl8.dylib lib/libtk8.dylib lib/libz.dylib lib/python3.12/os.py lib/python3.12/test/t.py lib/python3.12/config-3.12-darwin/Makefile lib/python3.12/lib-dynload/_ctypes.so"
-    " lib/python3.12/lib-dynload/_testcapi.so lib/python3.12/lib-dynload/_ctypes_test.so lib/python3.12/lib-dynload/_tkinter.so lib/python3.12/site-packages/old.py lib/python3.12/idlelib/i.py"
-).split()
-#: Files of a folder of packages after installing, and what stands in them.
-SITE = "lib/site"
-SITE_TREE = {
-    "a.exp": "", "b.whl": "", ".lock": "", "x.lock": "", "sub/c.exp": "", "sub/d.lib": "", "e.lib": "", "numpy/tests/t.py": "", "numpy/core/tests/u.py": "", "numpy/core/v.py": "", "other/tests/w.py": "", "kenlm.dll": "", "libkenlm.dylib": "",
-    "sub/kenlm.dll": "", "bin/tool": "", "sub/bin/tool": "", "p.dist-info/direct_url.json": "", "p.dist-info/uv_cache.json": "", "p.dist-info/REQUESTED": "", "p.dist-info/METADATA": "", "sub/__pycache__/m.pyc": "", "sub/m.py": "", "q,r.py": "",
-    "p.dist-info/RECORD": 'sub/m.py,sha256=1,2\nsub/__pycache__/m.pyc,,\n"q,r.py",sha256=3,4\n\n../../bin/run,,\n../../bin/gone,,\nnumpy/core,,\nsub/m.py,again,\np.dist-info/RECORD,,\n',
-}
-
-
 def _files(spark: SparkSession, names: dict[str, str]) -> DataFrame:
     """Files and the folders above them as a tree."""
     folders = {p[:k] for p in names for k, c in enumerate(p) if c == "/"}
@@ -354,22 +320,6 @@ def _files(spark: SparkSession, names: dict[str, str]) -> DataFrame:
     return spark.createDataFrame(rows, "path string, is_dir boolean, mode int, content binary")
 
 
-def trim_windows(spark, sf_dir):
-    """What is left of a Windows runtime."""
-    return rules.trim(_files(spark, dict.fromkeys(WINDOWS_TREE, "")), pins.WINDOWS, "Lib/site-packages").where("not is_dir or path = 'Lib/site-packages'").select("path")
-
-
-def trim_mac(spark, sf_dir):
-    """What is left of a macOS runtime."""
-    return rules.trim(_files(spark, dict.fromkeys(MAC_TREE, "")), pins.MAC_ARM, "lib/python3.12/site-packages").where("not is_dir or path like '%site-packages'").select("path")
-
-
-def clean_tree(spark, sf_dir):
-    """What is left of a folder of packages, and its records; cleaned twice."""
-    tree = _files(spark, {f"{SITE}/{p}": x for p, x in SITE_TREE.items()} | {"bin/run": "", "lib/__pycache__/n.pyc": ""})
-    return rules.clean(rules.clean(tree, SITE), SITE).where("not is_dir").select("path", F.col("content").cast("string").alias("content"))
-
-
 def tree_scan(spark, sf_dir):
     """Nation files written to a folder and listed, hidden and underscored names and folders included."""
     folder = _folder(spark)
@@ -395,45 +345,6 @@ def tree_copy(spark, sf_dir):
     return trees.read_tree(spark, folder, follow=True).where("not is_dir and inside").select("path", "is_symlink")
 
 
-def _tar(folder: str, entries: list) -> str:
-    """A tar of (name, bytes, or the target of a symbolic or hard link) in a folder."""
-    at = os.path.join(folder, "archive.tar.gz")
-    with tarfile.open(at, "w:gz") as archive:
-        for name, kind, data in entries:
-            info = tarfile.TarInfo(name)
-            info.mode, info.type = 0o755, {"file": tarfile.REGTYPE, "link": tarfile.SYMTYPE, "hard": tarfile.LNKTYPE, "dir": tarfile.DIRTYPE}[kind]
-            if kind == "file":
-                info.size = len(data)
-                archive.addfile(info, io.BytesIO(data))
-            else:
-                info.linkname = data
-                archive.addfile(info)
-    return at
-
-
-def tar_members(spark, sf_dir):
-    """Members of an archive: folders, files, links by target, hard links with the bytes they name."""
-    entries = [("top", "dir", ""), ("top/a.txt", "file", b"alpha"), ("top/_b", "file", b""), ("top/l", "link", "a.txt"), ("h", "hard", "top/a.txt")]
-    rows = trees.read_tar(spark, _tar(_folder(spark), entries))
-    return rows.select("path", "is_dir", "mode", "length", F.col("content").cast("string").alias("content"), "link")
-
-
-def licence_texts(spark, sf_dir):
-    """Licence texts of a source archive: whole members, a block comment, a passage of line comments."""
-    entries = [("k-1/LICENSE", "file", b"whole\r\n"), ("k-1/util/c.cc", "file", b"int a; /* \n one\n two */ /* no */"), ("k-1/util/p.hh", "file", b"x\n// Copyright me\n//\n// SUCH DAMAGE.\ny"), ("k-1/util/LICENSE", "file", b"no")]
-    out = package.licence_files(trees.read_tar(spark, _tar(_folder(spark), entries)), "k-1", {"LICENSE": "LICENSE"}, {"comment": "util/c.cc"}, {"passage": "util/p.hh"})
-    return out.select("name", F.col("content").cast("string").alias("content"))
-
-
-def record_rows(spark, sf_dir):
-    """A record's rows, quoting undone and done again."""
-    names = [r.n_name for r in _t(spark, sf_dir, "nation").orderBy("n_nationkey").collect()]
-    text = "".join(f'"{n},x",sha256="{k}",\n' + "\n" * (k % 2) for k, n in enumerate(names))
-    rows = records.read_record(spark, text)
-    again = records.record_text(r.fields for r in rows.orderBy("line_no").collect()).splitlines()
-    return rows.select("line_no", "path", F.size("fields").cast("long").alias("n")).join(spark.createDataFrame([(f"{n},x", x) for n, x in zip(names, again, strict=True)], "path string, line string"), "path")
-
-
 def text_sinks(spark, sf_dir):
     """A lines file and its checksum file, read back."""
     folder = _folder(spark)
@@ -454,15 +365,17 @@ def load_commands(spark, sf_dir):
     return sequences.load_commands(rows)
 
 
-def mac_libraries(spark, sf_dir):
-    """Files whose libraries lie neither in the tree nor in the system; report lines in order of paths."""
-    files = [(p, p != "lib/out.dylib") for p in ("bin/python3.12", "lib/a.dylib", "lib/b.dylib", "lib/deep/c.dylib", "lib/out.dylib")]
-    found = [
-        ("lib/a.dylib", "dependency", x) for x in ("/usr/lib/libc.dylib", "/System/Library/F", "@loader_path/b.dylib", "@loader_path/../lib/deep/c.dylib", "@executable_path/../lib/a.dylib", "@rpath/c.dylib", "@rpath/none.dylib", "/opt/x.dylib", "plain.dylib")
-    ] + [("lib/a.dylib", "rpath", x) for x in ("@loader_path/nowhere", "@executable_path/../lib/deep")]
-    found += [("lib/b.dylib", "dependency", "@loader_path/out.dylib"), ("lib/b.dylib", "dependency", "@rpath/a.dylib"), ("lib/b.dylib", "rpath", "/root/lib"), ("bin/python3.12", "dependency", "@executable_path/../lib/b.dylib")]
-    out = native.missing_mac(spark.createDataFrame(files, "path string, inside boolean"), spark.createDataFrame(found, "path string, kind string, value string"))
-    return native.report(out)
+def gate_tree(spark, sf_dir):
+    """The gate over a tree on disk: an executable for each supplier, with imports that its folder, the root, shared folders or Windows
+    provide, or nobody."""
+    s = _supplier_tree(spark, sf_dir)
+    number = F.regexp_extract("name", r"(\d+)$", 1).cast("long")
+    other = F.concat(F.lit("Supplier#"), F.lpad((number * 7 % 90 + 1).cast("string"), 9, "0"), F.lit(".dll"))
+    content = _executable(other, F.when(number % 11 == 0, "GONE.dll").otherwise("api-ms-win-x.dll"))
+    rows = s.select(F.concat("path", F.lit(".dll")).alias("path"), F.lit(False).alias("is_dir"), F.lit(0o644).alias("mode"), content.alias("content"), F.lit(None).cast("string").alias("link"))
+    folder = _folder(spark)
+    trees.write_tree(rows, folder)
+    return native.report(dependencies.windows_problems(spark, folder))
 
 
 def windows_libraries(spark, sf_dir):
@@ -571,6 +484,22 @@ def best_orders(spark, sf_dir):
     return sequences.top(_t(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), 5, F.desc("o_totalprice"), F.col("o_orderkey"))
 
 
+def _tar(folder: str, entries: list) -> str:
+    """A tar of (name, bytes, or the target of a symbolic or hard link) in a folder."""
+    at = os.path.join(folder, "archive.tar.gz")
+    with tarfile.open(at, "w:gz") as archive:
+        for name, kind, data in entries:
+            info = tarfile.TarInfo(name)
+            info.mode, info.type = 0o755, {"file": tarfile.REGTYPE, "link": tarfile.SYMTYPE, "hard": tarfile.LNKTYPE, "dir": tarfile.DIRTYPE}[kind]
+            if kind == "file":
+                info.size = len(data)
+                archive.addfile(info, io.BytesIO(data))
+            else:
+                info.linkname = data
+                archive.addfile(info)
+    return at
+
+
 def package_job(spark, sf_dir):
     """The whole job from pins to archive on a made-up Windows runtime: entries, modes, and the checksum file."""
     import hashlib
@@ -610,8 +539,8 @@ def package_job(spark, sf_dir):
 _QUERIES = [
     lookup_fallback, host_case, map_lookup, requirement_lines, mode_bits, suffix_parts, normalized_paths, uint_decode, digest_format, alphabet_check, one_match, disallowed_sorted, problem_report,
     unlabelled_docs, record_prune, search_set_union, range_first_match, trim_rules, state_carry, retry_outcome, running_cap, marker_slice, line_explode, path_component_order, checksum_sidecar,
-    manifest_json, notice_rows, group_names, bag_union, pe_decode, depcheck, zip_listing, gunzip_capped, trim_windows, trim_mac, clean_tree, tree_scan, tree_heads, tree_copy, tar_members, licence_texts, record_rows,
-    text_sinks, load_commands, mac_libraries, windows_libraries, native_candidates, path_parts, pin_rows, pin_violations, fetch_outcomes, best_orders, package_job,
+    manifest_json, notice_rows, group_names, bag_union, pe_decode, depcheck, gunzip_capped, tree_scan, tree_heads, tree_copy,
+    text_sinks, load_commands, windows_libraries, gate_tree, native_candidates, path_parts, pin_rows, pin_violations, fetch_outcomes, best_orders, package_job,
 ]
 QUERIES = {f.__name__: f for f in _QUERIES} | table_queries.QUERIES
 
@@ -683,33 +612,18 @@ ORACLES = {
     "depcheck": r"""with f as (select case when s_nationkey <> 0 then s_nationkey || '/' else '' end || s_name as path, case when s_nationkey <> 0 then s_nationkey::varchar else '' end parent, lower(s_name) name,
           lower('Supplier#' || lpad((regexp_extract(s_name, '(\d+)$', 1)::bigint * 7 % 90)::varchar, 9, '0')) dll from supplier)
         select path, string_agg(distinct dll, ',' order by dll) as missing from f where not exists (select 1 from f o where o.name = f.dll and (o.parent = f.parent or o.parent = '')) group by 1""",
-    "zip_listing": f"""with f as ({_NATIONS}) select row_number() over (order by string_split(path, '/')) - 1 as ord, path, (32768 | case when n_nationkey % 2 = 0 then 493 else 420 end)::bigint << 16 as attributes, strlen(n_name)::bigint as length, true as same from f""",
     "gunzip_capped": "select doc_id, case when strlen(text) <= 5000 then strlen(text)::bigint end as n from documents",
-    "trim_windows": rf"""with t(path) as (values {", ".join(f"('{p}')" for p in WINDOWS_TREE)})
-        select path from t where not regexp_matches(path, '^Lib/(test|tkinter|idlelib|ensurepip|lib2to3|turtledemo|pydoc_data|unittest/test|ctypes/test|sqlite3/test|distutils/tests|site-packages)/') and not regexp_matches(path, '^(include|libs|Scripts|tcl)/')
-          and path <> 'pythonw.exe' and path not like '%.pdb' and not regexp_matches(path, '^DLLs/(_tkinter\.pyd|tcl[^/]*\.dll|tk[^/]*\.dll|_test[^/]*\.pyd|_ctypes_test\.pyd)$') union all select 'Lib/site-packages'""",
-    "trim_mac": rf"""with t(path) as (values {", ".join(f"('{p}')" for p in MAC_TREE)})
-        select path from t where not regexp_matches(path, '^lib/python3\.12/(test|tkinter|idlelib|site-packages|config-3\.12-darwin)/') and not regexp_matches(path, '^(include|share|lib/pkgconfig)/') and path <> 'lib/libpython3.12.dylib'
-          and not regexp_matches(path, '^lib/(tcl[89]|tk[89]|itcl|thread|libtcl|libtk)') and not regexp_matches(path, '/lib-dynload/_(test|ctypes_test|tkinter)') and (path not like 'bin/%' or path = 'bin/python3.12') union all select 'lib/python3.12/site-packages'""",
-    "clean_tree": """select 'lib/site/' || p as path, '' as content from (values ('x.lock'), ('sub/c.exp'), ('sub/kenlm.dll'), ('other/tests/w.py'), ('numpy/core/v.py'), ('sub/bin/tool'), ('p.dist-info/METADATA'), ('sub/m.py'), ('q,r.py')) v(p)
-        union all select 'bin/run', '' union all select 'lib/site/p.dist-info/RECORD', 'sub/m.py,sha256=1,2
-"q,r.py",sha256=3,4
-../../bin/run,,
-numpy/core,,
-sub/m.py,again,
-p.dist-info/RECORD,,
-'""",
     "tree_scan": f"""with f as ({_NATIONS}) select path, n_name as name, regexp_replace(path, '/[^/]*$', '') as parent, false as is_dir, case when n_nationkey % 2 = 0 then 448 else 416 end::int as mode, strlen(n_name)::bigint as length from f
         union all select * from (values ('a', 'a', '', true, null::int, null::bigint), ('a-b', 'a-b', '', true, null, null), ('.hidden', '.hidden', '', true, null, null), ('_under', '_under', '', true, null, null), ('_under/a', 'a', '_under', true, null, null)) v""",
     "tree_heads": f"""with f as ({_NATIONS}) select path, n_name[1:4] as head, n_name as whole from f where n_regionkey = 1""",
     "tree_copy": "select p || n_name as path, false as is_symlink from nation, (values ('new/place/a/'), ('new/link/a/')) v(p) where n_regionkey > 2",
-    "tar_members": """select * from (values ('top', true, 493, 0::bigint, null::varchar, null::varchar), ('top/a.txt', false, 493, 5, 'alpha', null), ('top/_b', false, 493, 0, '', null), ('top/l', false, 493, 0, null, 'a.txt'), ('h', false, 493, 5, 'alpha', null)) v(path, is_dir, mode, length, content, link)""",
-    "licence_texts": """select * from (values ('LICENSE', 'whole' || chr(13) || chr(10)), ('comment', 'one' || chr(10) || ' two' || chr(10)), ('passage', 'Copyright me' || chr(10) || chr(10) || 'SUCH DAMAGE.' || chr(10))) v(name, content)""",
-    "record_rows": """select (n_nationkey + n_nationkey // 2)::bigint as line_no, n_name || ',x' as path, 3::bigint as n, '"' || n_name || ',x","sha256=""' || n_nationkey || '""' || '",' as line from nation""",
     "text_sinks": "with t as (select string_agg(n_name || chr(10), '' order by n_nationkey) as x from nation) select 'names.txt' as name, x as text from t union all select 'names.txt.sha256', sha256(x) || '  names.txt' || chr(10) from t",
     "load_commands": """select n_nationkey::varchar as path, k::int as line_no, case k when 7 then 'rpath' else 'dependency' end as kind, case k when 4 then n_name || '.dylib (offset 24)' when 7 then '@loader_path/../' || n_name else '/opt/' || n_name end as value
         from nation, (values (4), (7), (10)) v(k)""",
-    "mac_libraries": """select * from (values ('lib/a.dylib', 'lib/a.dylib: /opt/x.dylib, @rpath/none.dylib, plain.dylib'), ('lib/b.dylib', 'lib/b.dylib: @loader_path/out.dylib')) v(path, line)""",
+    "gate_tree": f"""with f as ({_FOLDERS}), n as (select *, substr(name, 10)::bigint as k from f),
+        m as (select path || '.dll' as path, parent, unnest(['supplier#' || lpad((k * 7 % 90 + 1)::varchar, 9, '0') || '.dll', case when k % 11 = 0 then 'gone.dll' end]) as dll from n)
+        select path, path || ': ' || string_agg(distinct dll, ', ' order by dll) as line from m
+        where dll is not null and not exists (select 1 from f where lower(f.name) || '.dll' = m.dll and (f.parent = m.parent or f.parent = '' or f.parent like '%.libs')) group by path""",
     "windows_libraries": f"""with f as ({_FOLDERS}), n as (select path, parent, unnest([lower(name), 'supplier#000000001', 'supplier#000000002', 'msvcp140.dll']) as dll from f)
         select path, string_agg(distinct dll, ',' order by dll) as missing from n where not exists (select 1 from f where lower(f.name) = n.dll and (f.parent = n.parent or f.parent = '' or f.parent like '%.libs')) group by 1""",
     "native_candidates": "select n_nationkey, n_nationkey % 5 in (0, 1, 3) as windows, n_regionkey <> 2 as mac from nation",

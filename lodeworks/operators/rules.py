@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import glob_pattern
+from ..shared import cut
 from .pins import PYTHON
 from .record import prune_records
+from .rule_tables import apply_table, as_table
 
 # Parts of the standard library that are never imported.
 UNUSED = ["test", "tkinter", "idlelib", "ensurepip", "lib2to3", "turtledemo", "pydoc_data", "unittest/test", "ctypes/test", "sqlite3/test", "distutils/tests", "site-packages"]
@@ -56,7 +58,8 @@ def clean_rules(site: str) -> list[Rule]:
 
 
 def apply_rules(tree: DataFrame, rules: list[Rule], path: str = "path") -> DataFrame:
-    """tree without the rows that a rule removes: one filter of constant patterns, no join.
+    """tree without the rows that a rule removes: one filter of constant patterns, no join; for a handful of rules.
+    Larger sets are tables, see rule_tables.
 
     Rules for files leave folders alone where the tree tells them apart (is_dir).
     """
@@ -69,11 +72,12 @@ def apply_rules(tree: DataFrame, rules: list[Rule], path: str = "path") -> DataF
 
 def trim(tree: DataFrame, target: str, site: str) -> DataFrame:
     """A runtime's tree (path, is_dir, ...) without what the target does not need, and with an empty folder for packages."""
-    left = apply_rules(tree, trim_rules(target))
+    left = apply_table(tree, as_table(tree.sparkSession, trim_rules(target)))
     folder = tree.sparkSession.range(1).select(*(F.lit(site).alias(c) if c == "path" else F.lit(True).alias(c) if c == "is_dir" else F.lit(0o755).cast(k).alias(c) if c == "mode" else F.lit(None).cast(k).alias(c) for c, k in tree.dtypes))
     return left.unionByName(folder)
 
 
 def clean(tree: DataFrame, site: str) -> DataFrame:
     """A runtime's tree (path, is_dir, content, ...) without what installing leaves, its records pruned; doing it twice changes nothing."""
-    return prune_records(apply_rules(tree, clean_rules(site)), site)
+    left = cut(apply_table(tree, as_table(tree.sparkSession, clean_rules(site))))  # read three times below
+    return prune_records(left, site)

@@ -51,16 +51,15 @@ class Job:
 def licence_files(source: DataFrame, root: str, verbatim: dict[str, str], comment: dict[str, str], passage: dict[str, str]) -> DataFrame:
     """(name, content) of licence texts in a source archive: members as they are, the first block comment of a member,
     and the passage of line comments of another; the latter two end in one newline. Keys are names, values members."""
-    member = lambda at: source.where(F.col("path") == f"{root}/{at}")
+    names = [(title, f"{root}/{at}", kind) for kind, held in (("whole", verbatim), ("comment", comment), ("passage", passage)) for title, at in held.items()]
+    wanted = source.sparkSession.createDataFrame(names, "name string, at string, kind string")
+    found = source.where(F.col("path").isin(sorted({at for _, at, _ in names}))).select("path", "content")  # one scan for all
+    held = wanted.join(found, F.col("at") == F.col("path"), "left").groupBy("name", "at", "kind").agg(F.count("path").alias("n"), F.min("content").alias("content"))
     text = F.col("content").cast("string")
     made = lambda body: F.concat(body, F.lit("\n")).cast("binary")
-    parts = [(verbatim, F.col("content")), (comment, made(sequences.block_comment(text))), (passage, made(sequences.comment_block(text)))]
-    out = None
-    for names, content in parts:
-        for title, at in names.items():
-            found = sets.only(member(at).select("path", content.alias("content")), "path", at).select(F.lit(title).alias("name"), "content")
-            out = found if out is None else out.unionAll(found)
-    return out
+    body = F.when(F.col("kind") == "comment", made(sequences.block_comment(text))).when(F.col("kind") == "passage", made(sequences.comment_block(text))).otherwise(F.col("content"))
+    error = F.raise_error(F.concat(F.lit("one "), F.col("at"), F.lit(" expected, found "), F.col("n").cast("string")))
+    return held.select("name", F.when(F.col("n") == 1, body).otherwise(error.cast("binary")).alias("content"))
 
 
 def built(tree: DataFrame, pattern: Column) -> DataFrame:

@@ -6,13 +6,13 @@ import hashlib
 import json
 import os
 import stat
-import zipfile
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import components
+from ..sources.archives import write_entries
 
 #: Fixed value: the time stamped on every archive entry.
 STAMP = (2026, 1, 1, 0, 0, 0)
@@ -24,33 +24,33 @@ def entry_mode(mode: Column) -> Column:
     return F.shiftleft(bits.cast("bigint").bitwiseOR(F.lit(stat.S_IFREG).cast("bigint")), 16)
 
 
-def entries(tree: DataFrame) -> DataFrame:
-    """(path, attributes, content) of a tree's files in the order of an archive: by path components."""
-    return tree.where(~F.col("is_dir") & F.col("content").isNotNull()).orderBy(components(F.col("path"))).select("path", entry_mode(F.col("mode")).alias("attributes"), "content")
+def write_zip(tree: DataFrame, path: str, tasks: int | None = None) -> None:
+    """One archive of a tree's files in the order of path components, the same bytes each time, however many tasks deflate it.
 
+    Files are dealt to tasks by ranges of that order; a path that stands twice is two entries, in the order of their contents.
+    """
+    rows = tree.where(~F.col("is_dir") & F.col("content").isNotNull()).select("path", entry_mode(F.col("mode")).alias("attributes"), "content")
+    rows = rows.withColumn("at", components(F.col("path")))
+    order = ["at", "attributes", "content"]
+    dealt = rows.repartitionByRange(tasks, "at") if tasks else rows.repartitionByRange("at")
+    write_entries(dealt.sortWithinPartitions(*order), path)
 
-def publish(path: str, write) -> None:
-    """Writes beside path and renames, so that path is whole or absent."""
-    part = f"{path}.partial"
-    try:
-        write(part)
-        os.replace(part, path)
-    finally:
-        if os.path.exists(part):
-            os.unlink(part)
 
+def digests(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, digest) of files, read piece by piece in tasks."""
 
-def write_zip(tree: DataFrame, path: str) -> None:
-    """One archive, the same bytes each time. It is one stream, so rows come to the writer partition by partition."""
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-    def write(part: str) -> None:
-        with zipfile.ZipFile(part, "w", zipfile.ZIP_DEFLATED, compresslevel=9) as archive:
-            for row in entries(tree).toLocalIterator():
-                info = zipfile.ZipInfo(row.path, STAMP)
-                info.compress_type, info.external_attr = zipfile.ZIP_DEFLATED, row.attributes
-                archive.writestr(info, bytes(row.content))
+        for batch in batches:
+            names = batch.column(0).to_pylist()
+            found = []
+            for at in names:
+                with open(at, "rb") as f:
+                    found.append(hashlib.file_digest(f, "sha256").hexdigest())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(found, pa.string())], ["path", "digest"])
 
-    publish(path, write)
+    return spark.createDataFrame([(p,) for p in paths], "path string").mapInArrow(run, "path string, digest string")
 
 
 def checksum_line(content: Column, name: Column) -> Column:

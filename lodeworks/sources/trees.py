@@ -10,11 +10,15 @@ import os
 import stat
 import tarfile
 from collections.abc import Iterator
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from .pushed import Pushed, register
+
+COLUMNS = ("path", "name", "suffix", "parent", "is_dir", "is_symlink", "inside", "mode", "length")
 TREE = "path string, name string, suffix string, parent string, is_dir boolean, is_symlink boolean, inside boolean, mode int, length bigint"
 TAR = "path string, is_dir boolean, mode int, length bigint, content binary, link string"
 
@@ -25,13 +29,20 @@ def _suffix(name: str) -> str:
 
 
 class TreeReader(DataSourceReader):
-    """Partitions of so many subtrees: the driver lists the two upper levels, tasks what lies below."""
+    """Partitions of so many subtrees: the driver lists the two upper levels, tasks what lies below.
+
+    Entries that a filter rules out are left out before their contents are read.
+    """
 
     def __init__(self, options: dict):
         self.root = os.path.abspath(options["path"])
         self.content = options.get("content", "false").lower() == "true"
         self.follow = options.get("follow", "false").lower() == "true"
         self.batch = int(options.get("folders", "64"))
+        self.pushed = Pushed(COLUMNS, options)
+
+    def pushFilters(self, filters):
+        return self.pushed.take(filters)
 
     def folders(self, folder: str) -> list[str]:
         """Folders in a folder; linked ones only if links are followed, and never back to a folder they lie in."""
@@ -55,7 +66,7 @@ class TreeReader(DataSourceReader):
                 yield from self.below(f, (*seen, real))
 
     def read(self, partition):
-        real_root = os.path.realpath(self.root)
+        real_root, wanted = os.path.realpath(self.root), self.pushed.compiled()
         for folder in (f for top, deep in partition.value for f in (self.below(top) if deep else [top])):
             for entry in os.scandir(folder):
                 link, is_dir = entry.is_symlink(), entry.is_dir(follow_symlinks=False)
@@ -66,6 +77,8 @@ class TreeReader(DataSourceReader):
                     info = entry.stat(follow_symlinks=False)
                 path = os.path.relpath(entry.path, self.root).replace(os.sep, "/")
                 row = (path, entry.name, _suffix(entry.name), path.rpartition("/")[0], is_dir, link, os.path.isfile(real) and real.startswith(real_root + os.sep), stat.S_IMODE(info.st_mode), info.st_size)
+                if not wanted(dict(zip(COLUMNS, row, strict=True))):
+                    continue
                 if self.content:
                     data = None
                     if os.path.isfile(entry.path):
@@ -101,23 +114,84 @@ def safe_member(member: tarfile.TarInfo) -> bool:
     return True
 
 
+class Member(NamedTuple):
+    """A member as its header tells it: where its bytes stand, and for a hard link those of the member that it names."""
+
+    path: str
+    is_dir: bool
+    mode: int
+    length: int
+    link: str | None
+    offset: int | None
+
+
 class TarReader(DataSourceReader):
-    """An archive is one stream, so one partition each."""
+    """Members of tar archives.
+
+    A plain archive is indexed first: its headers are read one after another, contents passed over. Then neighbouring members make up
+    partitions of some bytes each, and tasks read just the ranges of members that the filters leave. A compressed
+    archive has no ranges; it is one partition.
+    """
 
     def __init__(self, options: dict):
         self.paths = options["path"].split(",")
+        self.bytes = int(options.get("bytes", str(64 << 20)))
+        self.pushed = Pushed(("path", "is_dir", "mode", "length", "link"), options)
+
+    def pushFilters(self, filters):
+        return self.pushed.take(filters)
+
+    @staticmethod
+    def members(archive: tarfile.TarFile) -> Iterator[tuple[Member, tarfile.TarInfo]]:
+        places: dict[str, tuple[int | None, int]] = {}
+        for m in archive:
+            if not safe_member(m):
+                raise ValueError(f"{m.name} would leave the folder it is unpacked to")
+            at, size = (m.offset_data, m.size) if m.isfile() else (None, 0)
+            if m.islnk():
+                at, size = places[m.linkname]
+            places[m.name] = (at, size)
+            yield Member(m.name.rstrip("/"), m.isdir(), m.mode, size, m.linkname if m.issym() else None, at), m
 
     def partitions(self):
-        return [InputPartition(p) for p in self.paths]
+        wanted = self.pushed.compiled()
+        out = []
+        for path in self.paths:
+            try:
+                archive = tarfile.open(path, "r:")
+            except tarfile.ReadError:
+                out.append(InputPartition((path, None)))
+                continue
+            held, size = [], 0
+            with archive:
+                for m, _ in self.members(archive):
+                    if wanted(m._asdict()):
+                        held.append(m)
+                        size += m.length + 512
+                    if size >= self.bytes:
+                        out.append(InputPartition((path, held)))
+                        held, size = [], 0
+                    archive.members = []  # tarfile keeps every header it has seen
+            if held:
+                out.append(InputPartition((path, held)))
+        return out or [InputPartition((None, []))]
 
     def read(self, partition):
-        with tarfile.open(partition.value) as archive:
-            for member in archive:
-                if not safe_member(member):
-                    raise ValueError(f"{member.name} would leave the folder it is unpacked to")
-                # a hard link is another name of a member's bytes, a symbolic link names its target
-                data = archive.extractfile(member).read() if member.isfile() or member.islnk() else None
-                yield member.name.rstrip("/"), member.isdir(), member.mode, len(data or b""), data, member.linkname if member.issym() else None
+        path, held = partition.value
+        if held is None:
+            wanted = self.pushed.compiled()
+            with tarfile.open(path) as archive:
+                for m, info in self.members(archive):
+                    if wanted(m._asdict()):
+                        yield m.path, m.is_dir, m.mode, m.length, None if m.offset is None else archive.extractfile(info).read(), m.link
+        elif held:
+            with open(path, "rb") as f:
+                for m in held:
+                    data = None
+                    if m.offset is not None:
+                        f.seek(m.offset)
+                        data = f.read(m.length)
+                    yield m.path, m.is_dir, m.mode, m.length, data, m.link
 
 
 class Tar(DataSource):
@@ -134,10 +208,13 @@ class Tar(DataSource):
         return TarReader(self.options)
 
 
-def read_tree(spark: SparkSession, root: str, content: bool = False, follow: bool = False) -> DataFrame:
-    """All entries under a root; follow also lists what lies behind links to folders, under the link's name."""
-    spark.dataSource.register(Tree)
-    return spark.read.format("tree").option("content", str(content).lower()).option("follow", str(follow).lower()).load(root)
+def read_tree(spark: SparkSession, root: str, content: bool = False, follow: bool = False, filtered: bool = False) -> DataFrame:
+    """All entries under a root; follow also lists what lies behind links to folders, under the link's name.
+
+    With filtered, entries that the query's filters rule out are not read; see Pushed for when that holds.
+    """
+    register(spark, Tree)
+    return spark.read.format("tree").option("content", str(content).lower()).option("follow", str(follow).lower()).option("filtered", str(filtered).lower()).load(root)
 
 
 def contents(files: DataFrame, root: str, head: int | None = None) -> DataFrame:
@@ -175,7 +252,9 @@ def write_tree(rows: DataFrame, root: str) -> int:
         for batch in batches:
             n = 0
             for path, is_dir, mode, data, link in zip(*(batch.column(k) for k in range(5)), strict=True):
-                at = os.path.join(root, path.as_py())
+                at = os.path.normpath(os.path.join(root, path.as_py()))
+                if not at.startswith(os.path.join(os.path.normpath(root), "")):
+                    raise ValueError(f"{path.as_py()} would leave the folder it is written to")
                 os.makedirs(at if is_dir.as_py() else os.path.dirname(at), exist_ok=True)
                 if link.as_py() is not None:
                     if not os.path.islink(at):
@@ -192,6 +271,7 @@ def write_tree(rows: DataFrame, root: str) -> int:
     return rows.select("path", "is_dir", "mode", "content", "link").mapInArrow(run, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
-def read_tar(spark: SparkSession, path: str) -> DataFrame:
-    spark.dataSource.register(Tar)
-    return spark.read.format("tar").load(path)
+def read_tar(spark: SparkSession, path: str, filtered: bool = False) -> DataFrame:
+    """The members of archives, comma-separated; filtered as in read_tree."""
+    register(spark, Tar)
+    return spark.read.format("tar").option("filtered", str(filtered).lower()).load(path)
