@@ -10,15 +10,21 @@ from __future__ import annotations
 import functools
 import uuid
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import jaccard, lines, mixing, packing, quality
 from .common import WORD, drop, noted, shared_folder, table
 
-#: The file of the tokenizer that packing counts tokens with.
-TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+def __getattr__(name: str) -> str:
+    """TOKENIZER, the file of the tokenizer that packing counts tokens with; looked for when it is asked for."""
+    if name != "TOKENIZER":
+        raise AttributeError(name)
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
 
 #: What the stage called last has cut; its result is written by the time the next one is called.
 _LEFT: list[str] = []
@@ -101,7 +107,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @_stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of 4096 tokens (packing.pack); a null text counts as empty, an empty table gives none."""
-    return packing.pack(docs, TOKENIZER)
+    return packing.pack(docs, __getattr__("TOKENIZER"))
 
 
 STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("near duplicates", near_duplicates), ("mixing", mix), ("packing", pack)]
