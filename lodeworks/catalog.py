@@ -78,15 +78,6 @@ def map_lookup(spark, sf_dir):
     return _t(spark, sf_dir, "events").select("event_id", F.coalesce(present(F.try_element_at(m, F.lit("any"))), present(F.try_element_at(m, F.lit("k")))).alias("v"))
 
 
-def requirement_lines(spark, sf_dir):
-    """Pinned lines of suppliers taken for packages, with the target's digest or that for any target."""
-    row = _t(spark, sf_dir, "supplier")
-    own = F.when(F.col("s_suppkey") % 2 == 0, F.sha2("s_name", 256)).otherwise("")
-    digests = F.create_map(F.lit(pins.WINDOWS), own, F.lit("any"), F.sha2(F.col("s_nationkey").cast("string"), 256))
-    package = F.struct("s_name", F.struct(F.col("s_nationkey").cast("string").alias("version"), digests.alias("sha256")))
-    return pins.requirements(row.agg(F.map_from_entries(F.collect_list(package)).alias("packages")), pins.WINDOWS)
-
-
 def mode_bits(spark, sf_dir):
     """Archive attributes of modes made of quantities."""
     line = _t(spark, sf_dir, "lineitem")
@@ -295,22 +286,6 @@ def depcheck(spark, sf_dir):
     return native.missing_windows(files, needs).select("path", F.array_join("missing", ",").alias("missing"))
 
 
-def gunzip_capped(spark, sf_dir):
-    """Texts packed and unpacked again under a cap: the length, or null beyond the cap."""
-
-    @F.pandas_udf("long")
-    def unpacked(text):
-        def one(x):
-            try:
-                return fetch.unpack_capped(io.BytesIO(gzip.compress(x.encode(), 1)), io.BytesIO(), 5000, "text")
-            except fetch.Mismatch:
-                return None
-
-        return text.map(one).astype("Int64")
-
-    return _t(spark, sf_dir, "documents").select("doc_id", unpacked(F.coalesce("text", F.lit(""))).alias("n"))
-
-
 # ------------------------------------------------------------------------------------------- trees and rules
 
 def _files(spark: SparkSession, names: dict[str, str]) -> DataFrame:
@@ -345,15 +320,6 @@ def tree_copy(spark, sf_dir):
     return trees.read_tree(spark, folder, follow=True).where("not is_dir and inside").select("path", "is_symlink")
 
 
-def text_sinks(spark, sf_dir):
-    """A lines file and its checksum file, read back."""
-    folder = _folder(spark)
-    sinks.write_lines((r.n_name for r in _t(spark, sf_dir, "nation").orderBy("n_nationkey").collect()), f"{folder}/names.txt")
-    sinks.write_checksum(f"{folder}/names.txt")
-    read = lambda n: spark.read.text(f"{folder}/{n}", wholetext=True).select(F.lit(n).alias("name"), F.col("value").alias("text"))
-    return read("names.txt").union(read("names.txt.sha256"))
-
-
 # -------------------------------------------------------------------------------------------- more operators
 
 
@@ -537,10 +503,10 @@ def package_job(spark, sf_dir):
 
 
 _QUERIES = [
-    lookup_fallback, host_case, map_lookup, requirement_lines, mode_bits, suffix_parts, normalized_paths, uint_decode, digest_format, alphabet_check, one_match, disallowed_sorted, problem_report,
+    lookup_fallback, host_case, map_lookup, mode_bits, suffix_parts, normalized_paths, uint_decode, digest_format, alphabet_check, one_match, disallowed_sorted, problem_report,
     unlabelled_docs, record_prune, search_set_union, range_first_match, trim_rules, state_carry, retry_outcome, running_cap, marker_slice, line_explode, path_component_order, checksum_sidecar,
-    manifest_json, notice_rows, group_names, bag_union, pe_decode, depcheck, gunzip_capped, tree_scan, tree_heads, tree_copy,
-    text_sinks, load_commands, windows_libraries, gate_tree, native_candidates, path_parts, pin_rows, pin_violations, fetch_outcomes, best_orders, package_job,
+    manifest_json, notice_rows, group_names, bag_union, pe_decode, depcheck, tree_scan, tree_heads, tree_copy,
+    load_commands, windows_libraries, gate_tree, native_candidates, path_parts, pin_rows, pin_violations, fetch_outcomes, best_orders, package_job,
 ]
 QUERIES = {f.__name__: f for f in _QUERIES} | table_queries.QUERIES
 
@@ -557,7 +523,6 @@ ORACLES = {
         select d.doc_id, coalesce(nullif(a.v, ''), nullif(o.v, '')) as quality from documents d left join k a on a.source = d.source and a.key = d.lang left join k o on o.source = d.source and o.key = 'any'""",
     "host_case": f"""select c_custkey, {_TARGET} as target, case when {_TARGET} like '%msvc' then 'Lib/site-packages' when {_TARGET} is not null then 'lib/python3.12/site-packages' end as site from customer""",
     "map_lookup": "select event_id, coalesce(nullif(json_extract_string(props, '$.any'), ''), nullif(json_extract_string(props, '$.k'), '')) as v from events",
-    "requirement_lines": "select s_name as name, s_name || '==' || s_nationkey || ' --hash=sha256:' || sha256(case when s_suppkey % 2 = 0 then s_name else s_nationkey::varchar end) as line from supplier",
     "mode_bits": "select l_orderkey, l_linenumber, ((32768 | case when l_quantity::int & 73 <> 0 then 493 else 420 end)::bigint << 16) as attributes from lineitem",
     "suffix_parts": r"select regexp_extract(regexp_extract(url, '[^/]*$'), '^.+(\.[^.]+)$', 1) as suffix, count(*) as n from pages group by 1",
     "normalized_paths": "select n_nationkey, 'a/' || n_regionkey as path from nation",
@@ -612,12 +577,10 @@ ORACLES = {
     "depcheck": r"""with f as (select case when s_nationkey <> 0 then s_nationkey || '/' else '' end || s_name as path, case when s_nationkey <> 0 then s_nationkey::varchar else '' end parent, lower(s_name) name,
           lower('Supplier#' || lpad((regexp_extract(s_name, '(\d+)$', 1)::bigint * 7 % 90)::varchar, 9, '0')) dll from supplier)
         select path, string_agg(distinct dll, ',' order by dll) as missing from f where not exists (select 1 from f o where o.name = f.dll and (o.parent = f.parent or o.parent = '')) group by 1""",
-    "gunzip_capped": "select doc_id, case when strlen(text) <= 5000 then strlen(text)::bigint end as n from documents",
     "tree_scan": f"""with f as ({_NATIONS}) select path, n_name as name, regexp_replace(path, '/[^/]*$', '') as parent, false as is_dir, case when n_nationkey % 2 = 0 then 448 else 416 end::int as mode, strlen(n_name)::bigint as length from f
         union all select * from (values ('a', 'a', '', true, null::int, null::bigint), ('a-b', 'a-b', '', true, null, null), ('.hidden', '.hidden', '', true, null, null), ('_under', '_under', '', true, null, null), ('_under/a', 'a', '_under', true, null, null)) v""",
     "tree_heads": f"""with f as ({_NATIONS}) select path, n_name[1:4] as head, n_name as whole from f where n_regionkey = 1""",
     "tree_copy": "select p || n_name as path, false as is_symlink from nation, (values ('new/place/a/'), ('new/link/a/')) v(p) where n_regionkey > 2",
-    "text_sinks": "with t as (select string_agg(n_name || chr(10), '' order by n_nationkey) as x from nation) select 'names.txt' as name, x as text from t union all select 'names.txt.sha256', sha256(x) || '  names.txt' || chr(10) from t",
     "load_commands": """select n_nationkey::varchar as path, k::int as line_no, case k when 7 then 'rpath' else 'dependency' end as kind, case k when 4 then n_name || '.dylib (offset 24)' when 7 then '@loader_path/../' || n_name else '/opt/' || n_name end as value
         from nation, (values (4), (7), (10)) v(k)""",
     "gate_tree": f"""with f as ({_FOLDERS}), n as (select *, substr(name, 10)::bigint as k from f),

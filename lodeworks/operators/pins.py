@@ -55,12 +55,19 @@ def lookup(rows: DataFrame, keyed: DataFrame, on: str, key: Column, fallback: Co
     return both.withColumn(out, F.coalesce("_v1", "_v2")).drop("_on1", "_key1", "_v1", "_on2", "_key2", "_v2")
 
 
+def requirement_rows(digests: DataFrame, target: str) -> DataFrame:
+    """(name, line) of every package of a table (name, version, key, digest), a row for each digest, in any order: the
+    target's digest or that for any target, '' counting as missing; a package without either is an error. One partial aggregation."""
+    of = lambda key: F.max(F.when(F.col("key") == key, present(F.col("digest"))))
+    held = digests.groupBy("name", "version").agg(F.coalesce(of(target), of("any")).alias("digest"))
+    sure = F.coalesce("digest", F.raise_error(F.concat(F.lit("No pinned "), "name", F.lit(f" for {target}"))).cast("string"))
+    return held.select("name", F.concat("name", F.lit("=="), "version", F.lit(" --hash=sha256:"), sure).alias("line"))
+
+
 def requirements(pins: DataFrame, target: str) -> DataFrame:
-    """(name, line) of every package pinned for a target, sorted by name; a package without digest is an error."""
-    packages = pins.select(F.explode("packages").alias("name", "p")).select("name", "p.version", "p.sha256")
-    at = lambda key: present(F.try_element_at("sha256", F.lit(key)))
-    digest = F.coalesce(at(target), at("any"), F.raise_error(F.concat(F.lit("No pinned "), "name", F.lit(f" for {target}"))).cast("string"))
-    return packages.select("name", F.concat("name", F.lit("=="), "version", F.lit(" --hash=sha256:"), digest).alias("line")).orderBy("name")
+    """(name, line) of every package of a pins document for a target, sorted by name."""
+    packages = pins.select(F.explode("packages").alias("name", "p")).select("name", "p.version", F.explode_outer("p.sha256").alias("key", "digest"))
+    return requirement_rows(packages, target).orderBy("name")
 
 
 def python_pin(pins: DataFrame, target: str) -> DataFrame:

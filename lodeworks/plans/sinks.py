@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import components
 from ..sources.archives import write_entries
+from ..sources.archives import write_lines as lines_file
 
 #: Fixed value: the time stamped on every archive entry.
 STAMP = (2026, 1, 1, 0, 0, 0)
@@ -66,10 +67,17 @@ def write_checksum(path: str) -> str:
 
 
 def write_lines(lines: Iterable[str], path: str) -> None:
+    """A handful of lines from the driver; a table's lines are written by archives.write_lines."""
     with open(path, "w", newline="\n") as f:
         f.writelines(f"{x}\n" for x in lines)
 
 
+def write_checksums(files: DataFrame, path: str, order: str = "name") -> None:
+    """A checksum file of all files (name, content) in order of their names, digested and written by tasks."""
+    rows = files.select("name", F.concat(F.sha2("content", 256), F.lit("  "), "name").alias("line"))
+    lines_file(rows.repartitionByRange(order).sortWithinPartitions(order, "line"), path)
+
+
 def manifest(pins: DataFrame, target: str, versions: dict[str, str]) -> str:
     """The manifest's text; versions names, in order, where in the pins each version stands."""
     row = pins.select(F.col("model.name").alias("model"), F.col("model.alphabet").alias("alphabet"), *(F.col(at).alias(f"v_{n}") for n, at in versions.items())).first()

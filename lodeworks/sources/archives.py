@@ -6,6 +6,7 @@ The archive and its folder must lie where driver and executors see them under on
 from __future__ import annotations
 
 import os
+import shutil
 import struct
 import uuid
 import zlib
@@ -77,7 +78,7 @@ def end_record(entries: int, size: int, at: int) -> bytes:
 
 @dataclass
 class Segment(WriterCommitMessage):
-    """One task's run of entries: its place in the order, its file of entries and that of directory records."""
+    """One task's run of rows: its place in the order, its file (with notes beside it), and its size."""
 
     number: int
     file: str
@@ -97,40 +98,36 @@ def append(target: int, source: str) -> None:
             left -= n
 
 
-class ZipWriter(DataSourceWriter):
-    """Rows (path, attributes, content) in the order of the archive. Tasks deflate their rows to segments; the commit puts these
-    end to end, corrects the directory by each segment's place and renames, so the archive is whole or absent.
+class SegmentWriter(DataSourceWriter):
+    """One file of rows in order, written by all tasks: each writes a segment, and the commit puts these end to end and renames, so
+    the file is whole or absent. Which rows make up a segment leaves no trace in the bytes. A repeated task writes files of its own.
 
-    Which rows make up a segment leaves no trace in the bytes. A repeated task writes files of its own.
+    Kinds of files say what stands for a row (piece) and what comes after all rows (tail).
     """
 
     def __init__(self, path: str):
         self.path = local_path(path)
         self.folder = f"{self.path}.{uuid.uuid4().hex}.segments"
 
+    def piece(self, row, at: int) -> tuple[bytes, bytes]:
+        """A row's bytes at a place in its segment, and what the tail has to know of it."""
+        raise NotImplementedError
+
+    def tail(self, out, segments: list[Segment], bases: list[int], at: int) -> None:
+        """Writes what comes after the segments, which start at bases and end at `at`."""
+
     def write(self, iterator: Iterator) -> Segment:
         os.makedirs(self.folder, exist_ok=True)
         number = TaskContext.get().partitionId()
         file = os.path.join(self.folder, f"{number}-{uuid.uuid4().hex}")
-        at = entries = 0
-        with open(file, "wb") as data, open(f"{file}.directory", "wb") as directory:
+        at = rows = 0
+        with open(file, "wb") as data, open(f"{file}.notes", "wb") as notes:
             for row in iterator:
-                body, name = bytes(row.content), row.path.encode()
-                packed = deflated(body)
-                entry = Entry(name, row.attributes, len(body), len(packed), zlib.crc32(body), at)
-                data.write(entry.local())
-                data.write(packed)
-                directory.write(struct.pack("<H5Q", len(name), entry.attributes, entry.length, entry.packed, entry.crc, at) + name)
-                at, entries = data.tell(), entries + 1
-        return Segment(number, file, at, entries)
-
-    @staticmethod
-    def directory(file: str) -> Iterator[Entry]:
-        """The entries of a segment, one at a time."""
-        with open(file, "rb") as f:
-            while head := f.read(42):
-                size, *numbers = struct.unpack("<H5Q", head)
-                yield Entry(f.read(size), *numbers)
+                body, note = self.piece(row, at)
+                at += data.write(body)
+                notes.write(note)
+                rows += 1
+        return Segment(number, file, at, rows)
 
     def commit(self, messages: list) -> None:
         segments = sorted((m for m in messages if m is not None), key=lambda s: s.number)
@@ -142,29 +139,71 @@ class ZipWriter(DataSourceWriter):
                     append(out.fileno(), s.file)
                     bases.append(at)
                     at += s.size
-                start = at
-                for s, base in zip(segments, bases, strict=True):
-                    held = []
-                    for k, entry in enumerate(self.directory(f"{s.file}.directory"), 1):
-                        held.append(entry.central(base))
-                        if k % 10_000 == 0 or k == s.entries:
-                            out.write(block := b"".join(held))
-                            at += len(block)
-                            held = []
-                out.write(end_record(sum(s.entries for s in segments), at - start, start))
+                self.tail(out, segments, bases, at)
             os.replace(part, self.path)
         finally:
             if os.path.exists(part):
                 os.unlink(part)
-            self._clean()
+            self.abort(messages)
 
     def abort(self, messages: list) -> None:
-        self._clean()
+        shutil.rmtree(self.folder, ignore_errors=True)
 
-    def _clean(self) -> None:
-        import shutil
 
-        shutil.rmtree(self.folder, ignore_errors=True)
+class ZipWriter(SegmentWriter):
+    """Rows (path, attributes, content) as entries, deflated by tasks; the directory is corrected by each segment's place."""
+
+    def piece(self, row, at: int) -> tuple[bytes, bytes]:
+        body, name = bytes(row.content), row.path.encode()
+        packed = deflated(body)
+        entry = Entry(name, row.attributes, len(body), len(packed), zlib.crc32(body), at)
+        return entry.local() + packed, struct.pack("<H5Q", len(name), entry.attributes, entry.length, entry.packed, entry.crc, at) + name
+
+    @staticmethod
+    def directory(file: str) -> Iterator[Entry]:
+        """The entries of a segment, one at a time."""
+        with open(file, "rb") as f:
+            while head := f.read(42):
+                size, *numbers = struct.unpack("<H5Q", head)
+                yield Entry(f.read(size), *numbers)
+
+    def tail(self, out, segments: list[Segment], bases: list[int], at: int) -> None:
+        start = at
+        for s, base in zip(segments, bases, strict=True):
+            held = []
+            for k, entry in enumerate(self.directory(f"{s.file}.notes"), 1):
+                held.append(entry.central(base))
+                if k % 10_000 == 0 or k == s.entries:
+                    at += out.write(b"".join(held))
+                    held = []
+        out.write(end_record(sum(s.entries for s in segments), at - start, start))
+
+
+class LinesWriter(SegmentWriter):
+    """Rows (line) as a text file, each with a line end."""
+
+    def piece(self, row, at: int) -> tuple[bytes, bytes]:
+        return f"{row.line}\n".encode(), b""
+
+
+class Lines(DataSource):
+    """format('lines'): writes rows (line) as one text file."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "lines"
+
+    def schema(self) -> str:
+        return "line string"
+
+    def writer(self, schema, overwrite):
+        return LinesWriter(self.options["path"])
+
+
+def write_lines(lines: DataFrame, path: str) -> None:
+    """One text file of (line) in the given order, the same bytes however the rows are dealt."""
+    register(lines.sparkSession, Lines)
+    lines.select("line").write.format("lines").mode("append").save(path)
 
 
 def find_end(f) -> tuple[int, int, int]:

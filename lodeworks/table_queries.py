@@ -13,7 +13,7 @@ from .operators import intervals, links, native, pins, rule_tables, rules, scans
 from .plans import package, sinks
 from .shared import new_folder
 from .shared import table as _t
-from .sources import records, trees
+from .sources import fetch, records, trees
 from .sources.archives import local_path, read_zip
 
 
@@ -267,7 +267,44 @@ def tree_filtered(spark, sf_dir):
     return rows.select("path", F.sha2("content", 256).alias("digest"))
 
 
+def requirement_lines(spark, sf_dir):
+    """Pinned lines of suppliers taken for packages, with the target's digest or that for any target."""
+    row = _t(spark, sf_dir, "supplier")
+    own = F.struct(F.lit(pins.WINDOWS).alias("key"), F.when(F.col("s_suppkey") % 2 == 0, F.sha2("s_name", 256)).otherwise("").alias("digest"))
+    other = F.struct(F.lit("any").alias("key"), F.sha2(F.col("s_nationkey").cast("string"), 256).alias("digest"))
+    packages = row.select(F.col("s_name").alias("name"), F.col("s_nationkey").cast("string").alias("version"), F.explode(F.array(own, other)).alias("d"))
+    return pins.requirement_rows(packages.select("name", "version", "d.*"), pins.WINDOWS)
+
+
+def gunzip_capped(spark, sf_dir):
+    """Documents packed by tasks and unpacked again under a cap: the length and digest, or that it was too much; some files are damaged."""
+
+    def packed(batches: Iterator) -> Iterator:
+        import gzip
+
+        import pyarrow as pa
+
+        for batch in batches:
+            z = [gzip.compress(x.as_py(), 1, mtime=0) for x in batch.column(1)]
+            z = [x[:9] if p.endswith("7") else x for p, x in zip(batch.column(0).to_pylist(), z, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(z, pa.binary())], ["path", "content"])
+
+    d = _t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
+    out = fetch.unpacked(d.mapInArrow(packed, "path string, content binary"), 5000)
+    return out.select("path", "length", F.sha2("content", 256).alias("digest"), F.coalesce(F.contains("error", F.lit("more than pinned")), F.lit(False)).alias("too_much"))
+
+
+def text_sinks(spark, sf_dir):
+    """A checksum file of all documents, written by several tasks: its lines as they stand in it, and its own digest."""
+    path = f"{_folder(spark)}/all.sha256"
+    d = _t(spark, sf_dir, "documents").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("name"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
+    sinks.write_checksums(d, path)
+    own = sinks.digests(spark, [path]).select("digest")
+    return spark.read.text(path).select(F.col("value").alias("line")).join(own, F.lit(True))  # one row
+
+
 _QUERIES = [
+    requirement_lines, gunzip_capped, text_sinks,
     running_cap_all, load_commands_one, state_carry_all, path_rank, record_rows, rule_table, trim_windows, trim_mac, clean_tree, event_ranges, link_targets, mac_libraries, zip_listing, tar_members, licence_texts,
     tree_filtered,
 ]
@@ -282,6 +319,11 @@ def _runtime_sql(folders: list[str]) -> str:
 
 
 ORACLES = {
+    "requirement_lines": "select s_name as name, s_name || '==' || s_nationkey || ' --hash=sha256:' || sha256(case when s_suppkey % 2 = 0 then s_name else s_nationkey::varchar end) as line from supplier",
+    "gunzip_capped": """with t as (select doc_id::varchar as path, coalesce(text, '') as text, doc_id % 10 = 7 as broken from documents)
+        select path, case when not broken and strlen(text) <= 5000 then strlen(text)::bigint end as length, case when not broken and strlen(text) <= 5000 then sha256(text) end as digest, not broken and strlen(text) > 5000 as too_much from t""",
+    "text_sinks": """with t as (select sha256(coalesce(text, '')) || '  doc-' || doc_id as line, 'doc-' || doc_id as name from documents)
+        select line, (select sha256(string_agg(line || chr(10), '' order by name, line)) from t) as digest from t""",
     "running_cap_all": """with r as (select *, sum(l_quantity::bigint) over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity rows unbounded preceding)::bigint as running from lineitem)
         select l_orderkey, l_linenumber, l_partkey, l_suppkey, running, running <= 100000 as within from r""",
     "load_commands_one": """with t as (select l_orderkey * 10 + l_linenumber as line_no, max(l_partkey) as part, l_orderkey % 50 = 0 or l_linenumber = 7 as is_cmd from lineitem group by l_orderkey, l_linenumber),
