@@ -28,11 +28,12 @@ def file_offset(address: Column, sections: Column) -> Column:
 
 def only(rows: DataFrame, order: str, what: str = "match") -> DataFrame:
     """The one row of rows; none or several are an error that lists them in order. At most a handful are expected."""
-    held = rows.limit(100).agg(F.array_sort(F.collect_list(F.struct(order, *(c for c in rows.columns if c != order)))).alias("r"))
-    listed = F.array_join(F.transform("r", lambda x: x[order].cast("string")), ", ")
-    error = F.raise_error(F.concat(F.lit(f"one {what} expected, found "), F.size("r").cast("string"), F.lit(": "), listed))
-    one = held.select(F.when(F.size("r") == 1, F.get("r", F.lit(0))).otherwise(error.cast(held.schema["r"].dataType.elementType)).alias("x"))
-    return one.select(*(f"x.{c}" for c in rows.columns))
+    names = rows.select(F.col(order).alias("_lw_name")).limit(100).agg(F.array_sort(F.collect_list("_lw_name")).alias("_lw_names"))
+    n = F.size("_lw_names")
+    listed = F.array_join(F.transform("_lw_names", lambda x: x.cast("string")), ", ")
+    error = F.raise_error(F.concat(F.lit(f"one {what} expected, found "), n.cast("string"), F.lit(": "), listed))
+    held = names.join(rows.limit(1), F.lit(True), "left")  # one row with one or none
+    return held.select(*(F.when(n == 1, F.col(c)).otherwise(error.cast(k)).alias(c) if c == order else F.col(c) for c, k in rows.dtypes))
 
 
 def search_sets(files: DataFrame, root: str = "") -> DataFrame:
