@@ -613,6 +613,53 @@ def test_html_marks_by_element():
     assert html_text.main_text(f"<body><article>{body}<p>{p}<span class='alert'>Mind this.</span> {p}</p></article></body>") == f"{want}\n\n{p}Mind this. {p}".strip()
 
 
+def test_html_marks_on_random_pages(monkeypatch):
+    """Which elements stand for boilerplate, worked out anew from every block's chain of marked elements."""
+    judge = html_text._unmarked
+    monkeypatch.setattr(html_text, "_unmarked", lambda found: found)
+
+    def brute(found):
+        def chain(b):
+            out, n = [], b.node.marked
+            while n is not None:
+                out.insert(0, n)
+                n = n.above.marked
+            return out
+
+        size = lambda b: max(0, len(b.text) - b.linked)
+        every = {n.number: n for b in found for n in chain(b)}.values()
+        firm = {n.kind for n in every if {"comments", "disqus", "replies", "respond", "hidden"} & n.words or "comment" in n.words and sum(m.kind == n.kind for m in every) > 1}
+        opinion = {n.kind for n in every if "comment" in n.words}
+        passed = set()
+        while True:
+            kept = [b for b in found if all(n.kind in passed for n in chain(b))]
+            plain = sum(map(size, kept))
+            held = Counter()
+            for b in found:
+                left = [n.kind for n in chain(b) if n.kind not in passed]
+                if left:
+                    held[left[0]] += size(b)
+            over = [k for k, n in held.items() if n > 0 and (plain == 0 if k in firm else n > plain if k in opinion else n >= 3 * plain)]
+            if not over:
+                return kept
+            passed.add(max(over, key=lambda k: (k not in firm, held[k], str(k))))
+
+    r = random.Random(9)
+    names = ["sidebar", "layout-sidebar-left", "story-comment", "comment", "comments", "widget 3", "widget 4", "commentlist", "x", "y z", "related-work", "related", "hidden"]
+
+    def part(depth):
+        inner = "".join(part(depth - 1) for _ in range(r.randint(1, 3))) if depth else f"<p>{'Some words of it. ' * r.choice([1, 1, 5, 40])}</p>"
+        return f"<div class='{r.choice(names)}'>{inner}</div>" if r.random() < 0.7 else f"<section>{inner}</section>"
+
+    differ = 0
+    for _ in range(300):
+        found = html_text.blocks(f"<body>{''.join(part(r.randint(0, 3)) for _ in range(r.randint(1, 4)))}</body>")
+        got = judge(found)
+        assert [id(b) for b in got] == [id(b) for b in brute(found)]
+        differ += 0 < len(got) < len(found)
+    assert differ > 100
+
+
 def test_html_broken_tags():
     p = "This is a sentence of the article, with some words in it; and a few more. "
     text = [(p * 3).strip(), p * 2 + "a link"]
