@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import batched
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import normalized
-from ..sources.records import parse_record, record_text
+from ..sources.records import iter_record, record_text
+
+#: Rows of a record that a task hands on at once.
+ROWS = 10_000
 
 
 def prune(record: DataFrame, tree: DataFrame, site: str) -> DataFrame:
@@ -17,37 +21,34 @@ def prune(record: DataFrame, tree: DataFrame, site: str) -> DataFrame:
 
 
 def still_there(record: DataFrame, tree: DataFrame, site: str) -> DataFrame:
-    """The rows of prune in any order; each distinct path is normalized once."""
+    """The rows of prune in any order; each distinct path is normalized once. Both sides grow with the tree, and a tree read from
+    Parquet is far larger than its files: nothing is broadcast."""
     full = F.coalesce(normalized(F.concat(F.lit(site + "/"), F.col("path"))), F.lit(""))  # never null, or the join would work it out again to test that
     there = tree.select(F.col("path").alias("_there")).distinct()
-    kept = record.select("path").where("path is not null").distinct().withColumn("_at", full).join(there, F.col("_at") == F.col("_there"), "left_semi")
-    return record.join(kept.select("path"), "path", "left_semi").select(*record.columns)
+    kept = record.select("path").where("path is not null").distinct().withColumn("_at", full).join(there.hint("merge"), F.col("_at") == F.col("_there"), "left_semi")
+    return record.join(kept.select("path").hint("merge"), "path", "left_semi").select(*record.columns)
 
 
 def _parsed(batches: Iterator) -> Iterator:
-    """Arrow batches of (path, content) of records to their rows."""
+    """Arrow batches of (path, content) of records to their rows, each with its text."""
     import pyarrow as pa
 
     for batch in batches:
-        rows = [(r, k, f[0], f) for r, c in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for k, f in parse_record((c.as_py() or b"").decode())]
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
-        kinds = (pa.string(), pa.int64(), pa.string(), pa.list_(pa.string()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["record", "line_no", "path", "fields"])
+        for record, content in zip(batch.column(0), batch.column(1), strict=True):
+            for rows in batched(iter_record((content.as_py() or b"").decode()), ROWS):
+                columns = [record.as_py()] * len(rows), [k for k, _ in rows], [f[0] for _, f in rows], [record_text([f]) for _, f in rows]
+                kinds = (pa.string(), pa.int64(), pa.string(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["record", "line_no", "path", "text"])
 
 
 def prune_records(tree: DataFrame, site: str) -> DataFrame:
-    """tree (path, content, ...) with every installer record below site rewritten to the rows whose files are in the tree."""
-    own = F.col("path").startswith(site + "/") & F.substr("path", F.lit(len(site) + 2)).rlike(r"^[^/]+\.dist-info/RECORD$")
-    rows = tree.where(own).select("path", "content").mapInArrow(_parsed, "record string, line_no bigint, path string, fields array<string>")
-    kept = still_there(rows, tree, site).groupBy("record").agg(F.array_sort(F.collect_list(F.struct("line_no", "fields"))).alias("rows"))  # one record's rows
-
-    def text(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            out = [record_text(x["fields"] for x in rows).encode() for rows in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["_record", "_text"])
-
-    new = kept.mapInArrow(text, "_record string, _text binary")
-    both = tree.join(new, tree["path"] == new["_record"], "left")
-    return both.withColumn("content", F.when(own, F.coalesce("_text", F.lit(b""))).otherwise(F.col("content"))).select(*tree.columns)
+    """tree (path, content, ...) with every installer record below site rewritten to the rows whose files are in the tree.
+
+    Only records meet their new texts in a join, other files pass by; the texts grow with the tree and are not broadcast.
+    """
+    own = F.coalesce(F.col("path").startswith(site + "/") & F.substr("path", F.lit(len(site) + 2)).rlike(r"^[^/]+\.dist-info/RECORD$"), F.lit(False))
+    rows = tree.where(own).select("path", "content").mapInArrow(_parsed, "record string, line_no bigint, path string, text string")
+    kept = still_there(rows, tree, site).groupBy("record").agg(F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("rows"))  # one record's rows
+    new = kept.select(F.col("record").alias("_record"), F.encode(F.array_join(F.transform("rows", lambda r: r["text"]), ""), "UTF-8").alias("_text"))
+    records = tree.where(own).drop("content").join(new.hint("merge"), F.col("path") == F.col("_record"), "left")
+    return tree.where(~own).union(records.withColumn("content", F.coalesce("_text", F.lit(b""))).select(*tree.columns))

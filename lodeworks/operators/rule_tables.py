@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 EXACT, NAME, SCOPE = "exact", "name", "scope"
 _WILD = r"[*?\[]"
+#: Bytes of compiled rules that may go to every task; larger tables are shuffled.
+SMALL = 16 << 20
 
 
 def _pattern(glob: Column) -> Column:
@@ -61,6 +63,14 @@ def _keys(path: Column) -> Column:
     return F.concat(exact, names, scopes)
 
 
+def _met(keyed: DataFrame, rules: DataFrame) -> DataFrame:
+    """keyed with the rules of its keys. Spark takes exploded rows for no larger than their paths and a list of rules for
+    endless, and would broadcast the former; so the rules are measured, and the paths' keys never leave their tasks for the driver.
+    """
+    size = rules.agg(F.sum(F.octet_length("glob") * 6 + 100)).first()[0] or 0  # key, folder and pattern, the latter with escapes
+    return keyed.join(compiled(rules).hint("broadcast" if size <= SMALL else "merge"), ["kind", "key"])
+
+
 def matches(paths: DataFrame, rules: DataFrame) -> DataFrame:
     """(path, is_dir, rule_id, within, keep, hit): which rules a path meets by key, and whether they match it.
 
@@ -68,7 +78,7 @@ def matches(paths: DataFrame, rules: DataFrame) -> DataFrame:
     is listed for all that lies in its folder, with hit where it allows the path.
     """
     keyed = paths.select("path", "is_dir", F.explode(_keys(F.col("path"))).alias("k")).select("path", "is_dir", "k.*")
-    met = keyed.join(compiled(rules), ["kind", "key"])
+    met = _met(keyed, rules)
     itself = F.col("at") == F.col("path")
     beneath = (F.col("within") == "") | F.col("at").startswith(F.concat("within", F.lit("/")))
     own = F.when(F.col("tree"), True).otherwise(itself & ~F.coalesce("is_dir", F.lit(False)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,9 +12,14 @@ from pyspark.sql import functions as F
 from ..operators import scans
 
 
-def parse_record(text: str) -> list[tuple[int, list[str]]]:
+def iter_record(text: str) -> Iterator[tuple[int, list[str]]]:
     """(line number, fields) of every row that is not blank; quoting is undone, empty fields stay empty."""
-    return [(k, row) for k, row in enumerate(csv.reader(io.StringIO(text))) if row]
+    return ((k, row) for k, row in enumerate(csv.reader(io.StringIO(text))) if row)
+
+
+def parse_record(text: str) -> list[tuple[int, list[str]]]:
+    """The rows of iter_record at once."""
+    return list(iter_record(text))
 
 
 def read_record(spark: SparkSession, text: str) -> DataFrame:

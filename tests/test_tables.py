@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import datasource as ds
 from pyspark.sql import functions as F
 
-from lodeworks.operators import intervals, links, rule_tables, rules, scans, sequences
+from lodeworks.operators import intervals, links, record, rule_tables, rules, scans, sequences
 from lodeworks.plans import sinks
 from lodeworks.sources import archives, fetch, records, trees
 
@@ -75,6 +75,37 @@ def test_rule_tables_have_one_plan_size(spark):
     assert operators(plan(3)) == operators(plan(1000))
 
 
+def physical(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_keys_of_paths_are_never_broadcast(spark, tmp_path, monkeypatch):
+    """Whether there are few rules or many, and however small the tree's files are."""
+    spark.range(3000).select(F.concat(F.lit("a/"), (F.col("id") % 7).cast("string"), F.lit("/f"), F.col("id").cast("string")).alias("path"), F.lit(False).alias("is_dir")).write.parquet(str(tmp_path / "t"))
+    tree, table = spark.read.parquet(str(tmp_path / "t")), rule_tables.as_table(spark, [rules.Rule("a/3"), rules.Rule("**/f8", tree=False), rules.Rule("a/*/f1*")])
+    want = sorted(r.path for r in tree.collect() if not (r.path.startswith(("a/3/",)) or r.path.split("/")[2].startswith("f1") or r.path.endswith("/f8")))
+    for small in (rule_tables.SMALL, -1):
+        monkeypatch.setattr(rule_tables, "SMALL", small)
+        out = rule_tables.apply_table(tree, table)
+        assert "BuildLeft" not in physical(out) and ("BuildRight" in physical(out)) == (small > 0)
+        assert sorted(r.path for r in out.collect()) == want
+
+
+def test_records_in_pieces_without_broadcasts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(record, "ROWS", 3)
+    r = random.Random(9)
+    files = [f"d{r.randrange(9)}/" + r.choice(["x", "x,y", 'q"q', "é", "two\nlines"]) + str(k) for k in range(200)]
+    held = {f"s/p{k}.dist-info/RECORD": [[f if r.random() < 0.7 else f + "-gone", "h", ""] for f in r.sample(files, 40)] + [[""], ["../up", "a\rb"]] for k in range(4)}
+    text = {p: records.record_text(x for f in rows for x in (f, [])).encode() for p, rows in held.items()}  # with blank rows
+    rows = [(p, False, c) for p, c in text.items()] + [("s/" + f, False, b"own") for f in files] + [("s", True, None), ("up", False, b"u"), (None, False, b"n"), ("s/empty.dist-info/RECORD", False, None), ("x/s/p.dist-info/RECORD", False, b"else,,\n")]
+    spark.createDataFrame(rows, "path string, is_dir boolean, content binary").repartition(3).write.parquet(str(tmp_path / "t"))
+    out = record.prune_records(spark.read.parquet(str(tmp_path / "t")), "s")
+    there = {p for p, *_ in rows}
+    want = {p: records.record_text(f for f in held[p] if os.path.normpath("s/" + f[0]) in there).encode() if p in held else b"" if p == "s/empty.dist-info/RECORD" else c for p, _, c in rows}
+    assert {x.path: x.content and bytes(x.content) for x in out.collect()} == want and out.count() == len(rows)
+    assert "Broadcast" not in physical(out)
+
+
 # --------------------------------------------------------------------------------------------------- ranges
 
 
