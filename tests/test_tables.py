@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import datasource as ds
 from pyspark.sql import functions as F
 
+from lodeworks import table_queries
 from lodeworks.operators import intervals, links, record, rule_tables, rules, scans, sequences
 from lodeworks.plans import sinks
 from lodeworks.sources import archives, fetch, records, trees
@@ -91,6 +92,11 @@ def test_keys_of_paths_are_never_broadcast(spark, tmp_path, monkeypatch):
         assert sorted(r.path for r in out.collect()) == want
 
 
+def test_a_trimmed_mac_runtime_broadcasts_its_rules(spark):
+    plan = physical(table_queries.trim_mac(spark, "/root/testdata/sf0.01"))
+    assert "BuildRight" in plan and "BuildLeft" not in plan
+
+
 def test_records_in_pieces_without_broadcasts(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(record, "ROWS", 3)
     r = random.Random(9)
