@@ -92,8 +92,9 @@ def test_keys_of_paths_are_never_broadcast(spark, tmp_path, monkeypatch):
         assert sorted(r.path for r in out.collect()) == want
 
 
-def test_a_trimmed_mac_runtime_broadcasts_its_rules(spark):
-    plan = physical(table_queries.trim_mac(spark, "/root/testdata/sf0.01"))
+@pytest.mark.parametrize("query", [table_queries.trim_mac, table_queries.trim_windows])
+def test_a_trimmed_runtime_broadcasts_its_rules(spark, query):
+    plan = physical(query(spark, "/root/testdata/sf0.01"))
     assert "BuildRight" in plan and "BuildLeft" not in plan
 
 
