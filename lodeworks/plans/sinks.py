@@ -17,6 +17,8 @@ from ..sources.archives import write_lines as lines_file
 
 #: Fixed value: the time stamped on every archive entry.
 STAMP = (2026, 1, 1, 0, 0, 0)
+#: Bytes of contents for a task that writes an archive, on average, and of a piece of a file that is compared.
+SHARE, PIECE = 32 << 20, 8 << 20
 
 
 def entry_mode(mode: Column) -> Column:
@@ -25,16 +27,43 @@ def entry_mode(mode: Column) -> Column:
     return F.shiftleft(bits.cast("bigint").bitwiseOR(F.lit(stat.S_IFREG).cast("bigint")), 16)
 
 
+def _files(tree: DataFrame) -> DataFrame:
+    return tree.where(~F.col("is_dir") & F.col("content").isNotNull())
+
+
+def shares(tree: DataFrame) -> int:
+    """How many tasks write a tree's archive: one for each core at least, and more as the contents grow."""
+    size = _files(tree).agg(F.sum(F.octet_length("content") + 100)).first()[0] or 0
+    return max(tree.sparkSession.sparkContext.defaultParallelism, size // SHARE + 1)
+
+
 def write_zip(tree: DataFrame, path: str, tasks: int | None = None) -> None:
     """One archive of a tree's files in the order of path components, the same bytes each time, however many tasks deflate it.
 
-    Files are dealt to tasks by ranges of that order; a path that stands twice is two entries, in the order of their contents.
+    Files are dealt to tasks (shares, unless given) by ranges of that order; a path that stands twice is two entries, in the order of their contents.
     """
-    rows = tree.where(~F.col("is_dir") & F.col("content").isNotNull()).select("path", entry_mode(F.col("mode")).alias("attributes"), "content")
-    rows = rows.withColumn("at", components(F.col("path")))
-    order = ["at", "attributes", "content"]
-    dealt = rows.repartitionByRange(tasks, "at") if tasks else rows.repartitionByRange("at")
-    write_entries(dealt.sortWithinPartitions(*order), path)
+    rows = _files(tree).select("path", entry_mode(F.col("mode")).alias("attributes"), "content")
+    dealt = rows.withColumn("at", components(F.col("path"))).repartitionByRange(tasks or shares(tree), "at")
+    write_entries(dealt.sortWithinPartitions("at", "attributes", "content"), path)
+
+
+def same_bytes(spark: SparkSession, one: str, other: str, piece: int = PIECE) -> DataFrame:
+    """(same), one row: whether two files hold the same bytes, compared piece by piece by all tasks."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            found = []
+            with open(one, "rb") as a, open(other, "rb") as b:
+                for k in batch.column(0).to_pylist():
+                    a.seek(k * piece)
+                    b.seek(k * piece)
+                    found.append(a.read(piece) == b.read(piece))
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.bool_())], ["same"])
+
+    pieces = spark.range(max(map(os.path.getsize, (one, other))) // piece + 1)
+    return pieces.mapInArrow(run, "same boolean").agg(F.bool_and("same").alias("same"))
 
 
 def digests(spark: SparkSession, paths: list[str]) -> DataFrame:

@@ -246,8 +246,8 @@ def central_entries(f, start: int, size: int) -> Iterator[tuple]:
 
 
 class ZipReader(DataSourceReader):
-    """Partitions of neighbouring entries. Their directory is read by the driver, contents by tasks; entries that a filter
-    rules out are left out before any of their bytes are read."""
+    """Partitions of neighbouring entries, each a slice of the directory: the driver goes through it for the slices' ends and keeps
+    nothing else, tasks read their slices again and the contents. Entries that a filter rules out are left out before any of their bytes are read."""
 
     def __init__(self, options: dict):
         self.path = local_path(options["path"])
@@ -258,23 +258,35 @@ class ZipReader(DataSourceReader):
     def pushFilters(self, filters):
         return self.pushed.take(filters)
 
+    @staticmethod
+    def known(k: int, entry: tuple) -> dict:
+        """An entry's values for filters."""
+        attributes, packed, length, crc, at, *_, name = entry
+        return {"ord": k, "path": name.decode(), "attributes": attributes, "length": length, "packed": packed, "crc": crc, "at": at}
+
     def partitions(self):
-        out, held, size, wanted = [], [], 0, self.pushed.compiled()
+        out, wanted = [], self.pushed.compiled()
         with open(self.path, "rb") as f:
             _, length, start = find_end(f)
+            first, held, size, end = 0, 0, 0, start
             for k, entry in enumerate(central_entries(f, start, length)):
-                attributes, packed, size_, crc, at, *_, name = entry
-                if wanted({"ord": k, "path": name.decode(), "attributes": attributes, "length": size_, "packed": packed, "crc": crc, "at": at}):
-                    held.append((k, entry))
+                end = f.tell()
+                if wanted(self.known(k, entry)):
+                    held += 1
                     size += entry[1] + 100
-                    if size >= self.batch or len(held) >= 20_000:
-                        out.append(InputPartition(held))
-                        held, size = [], 0
-        return [*out, InputPartition(held)] if held or not out else out
+                    if size >= self.batch or held >= 20_000:
+                        out.append(InputPartition((first, start, end - start)))
+                        first, start, held, size = k + 1, end, 0, 0
+        return [*out, InputPartition((first, start, end - start))] if held or not out else out
 
     def read(self, partition):
-        with open(self.path, "rb") as f:
-            for k, (attributes, packed, length, crc, at, d, t, name) in partition.value:
+        first, start, size = partition.value
+        wanted = self.pushed.compiled()
+        with open(self.path, "rb") as directory, open(self.path, "rb") as f:
+            for k, entry in enumerate(central_entries(directory, start, size), first):
+                if not wanted(self.known(k, entry)):
+                    continue
+                attributes, packed, length, crc, at, d, t, name = entry
                 data = None
                 if self.content:
                     f.seek(at + 26)

@@ -196,12 +196,13 @@ def _document_tree(spark, sf_dir: str) -> DataFrame:
 
 
 def zip_listing(spark, sf_dir):
-    """An archive of all documents, written by several tasks and by one to the same bytes, and listed: order, modes, sizes, digests."""
+    """An archive of all documents, written twice to the same bytes though dealt to tasks unlike, and listed: order, modes, sizes, digests."""
     folder = _folder(spark)
     tree = _document_tree(spark, sf_dir)
-    for name, tasks in (("many.zip", 8), ("one.zip", 1)):
-        sinks.write_zip(tree, f"{folder}/{name}", tasks)
-    same = sinks.digests(spark, [f"{folder}/many.zip", f"{folder}/one.zip"]).agg((F.count_distinct("digest") == 1).alias("same"))
+    tasks = sinks.shares(tree)
+    for name, n in (("many.zip", tasks), ("more.zip", 2 * tasks + 1)):
+        sinks.write_zip(tree, f"{folder}/{name}", n)
+    same = sinks.same_bytes(spark, f"{folder}/many.zip", f"{folder}/more.zip")
     rows = read_zip(spark, f"{folder}/many.zip", content=True)
     out = rows.select("ord", "path", "attributes", "length", F.sha2("content", 256).alias("digest"), (F.col("stamp") == "2026-01-01 00:00:00").alias("stamped"))
     return out.join(same, F.lit(True))  # one row

@@ -225,6 +225,42 @@ def test_archive_has_the_same_bytes_for_any_tasks(spark, tmp_path):
     assert [bytes(r.content) for r in one.collect()] == [rows[5][3]]
 
 
+def test_an_archive_s_tasks_grow_with_its_contents(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "SHARE", 10_000)
+    tree = tree_of(spark)[1]
+    size = sum(len(x.content or b"") for x in tree.collect())
+    assert sinks.shares(tree) > size // 10_000 > 8 and sinks.shares(tree.limit(0)) == 8
+    asked = []
+    write, dealt = sinks.write_entries, spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(sinks, "write_entries", lambda rows, path: (asked.append(rows.rdd.getNumPartitions()), write(rows, path)))
+    monkeypatch.setattr(table_queries.sinks, "SHARE", 200_000)
+    out = table_queries.zip_listing(spark, "/root/testdata/sf0.01")
+    size = sum(x.length for x in out.select("length").collect())
+    assert asked[0] > max(dealt, size // 200_000) and asked[1] > asked[0] and [x.same for x in out.select("same").distinct().collect()] == [True]
+
+
+def test_files_are_compared_by_pieces(spark, tmp_path):
+    held = {"a": b"x" * 1000, "b": b"x" * 1000, "c": b"x" * 999 + b"y", "d": b"x" * 1001, "e": b"", "f": b"x" * 900}
+    for name, data in held.items():
+        (tmp_path / name).write_bytes(data)
+    for one, other in (("a", "b"), ("a", "c"), ("a", "d"), ("d", "a"), ("a", "e"), ("e", "e"), ("f", "a")):
+        assert sinks.same_bytes(spark, str(tmp_path / one), str(tmp_path / other), 100).collect() == [(held[one] == held[other],)]
+
+
+def test_an_archive_s_partitions_are_slices(spark, tmp_path):
+    """However many entries, a partition is three numbers; together they give each entry once, filtered or not."""
+    rows, tree = tree_of(spark)
+    sinks.write_zip(tree, str(tmp_path / "a.zip"))
+    whole = archives.ZipReader({"path": str(tmp_path / "a.zip"), "bytes": "20000"})
+    parts = whole.partitions()
+    assert len(parts) > 5 and all(len(p.value) == 3 and all(isinstance(x, int) for x in p.value) for p in parts)
+    found = [x for p in parts for x in whole.read(p)]
+    assert [x[0] for x in found] == list(range(len(rows))) and sorted(x[1] for x in found) == sorted(p for p, *_ in rows)
+    some = archives.ZipReader({"path": str(tmp_path / "a.zip"), "bytes": "20000", "filtered": "true"})
+    some.pushFilters([ds.GreaterThan(("ord",), 57), ds.StringStartsWith(("path",), "a")])
+    assert [x for p in some.partitions() for x in some.read(p)] == [x for x in found if x[0] > 57 and x[1].startswith("a")]
+
+
 def test_archive_of_nothing_and_failed_writes(spark, tmp_path):
     tree = spark.createDataFrame([], "path string, is_dir boolean, mode int, content binary")
     sinks.write_zip(tree, str(tmp_path / "e.zip"))
