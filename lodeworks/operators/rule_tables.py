@@ -95,10 +95,14 @@ def removed(paths: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def apply_table(tree: DataFrame, rules: DataFrame) -> DataFrame:
-    """tree (path, is_dir if it has it, ...) without the rows that the table of rules removes; null paths stay."""
+    """tree (path, is_dir if it has it, ...) without the rows that the table of rules removes; null paths stay.
+
+    The removed paths grow with the tree, and Spark's guess of their size is that of the rules times that of the tree's files:
+    they are never broadcast, whatever the guess and the threshold.
+    """
     is_dir = F.col("is_dir") if "is_dir" in tree.columns else F.lit(None).cast("boolean")
     paths = tree.where("path is not null").groupBy("path").agg(F.max(is_dir).alias("is_dir"))
-    return tree.join(removed(paths, rules), "path", "left_anti").select(*tree.columns)
+    return tree.join(removed(paths, rules).hint("merge"), "path", "left_anti").select(*tree.columns)
 
 
 def as_table(spark, rules: list) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import datasource as ds
 from pyspark.sql import functions as F
 
 from lodeworks import table_queries
-from lodeworks.operators import intervals, links, record, rule_tables, rules, scans, sequences
+from lodeworks.operators import intervals, links, pins, record, rule_tables, rules, scans, sequences
 from lodeworks.plans import sinks
 from lodeworks.sources import archives, fetch, records, trees
 
@@ -92,6 +92,50 @@ def test_keys_of_paths_are_never_broadcast(spark, tmp_path, monkeypatch):
         assert sorted(r.path for r in out.collect()) == want
 
 
+def broadcasts(df):
+    """Rows of every broadcast of a run, by the plan that ran in the end."""
+    df.collect()
+    found, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        if (name := node.nodeName()) == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+        elif name.endswith("QueryStage"):
+            todo.append(node.plan())
+        else:
+            if name == "BroadcastExchange":
+                found.append(node.metrics().apply("numOutputRows").value())
+            todo += [node.children().apply(k) for k in range(node.children().size())]
+    return sorted(found)
+
+
+@pytest.mark.parametrize("kind", ["list", "file"])
+def test_removed_paths_are_never_broadcast(spark, tmp_path, monkeypatch, kind):
+    """Nor where rules and tree lie in small files, whose sizes Spark multiplies to guess what is removed."""
+    spark.range(3000).select(F.concat(F.lit("a/"), (F.col("id") % 7).cast("string"), F.lit("/f"), F.col("id").cast("string")).alias("path")).write.parquet(str(tmp_path / "t"))
+    table = rule_tables.as_table(spark, [rules.Rule("a/3"), rules.Rule("a/*/f1*")])
+    if kind == "file":
+        table.coalesce(1).write.parquet(str(tmp_path / "r"))
+        table = spark.read.parquet(str(tmp_path / "r"))
+    tree = spark.read.parquet(str(tmp_path / "t"))
+    want = sorted(r.path for r in tree.collect() if not (r.path.startswith("a/3/") or r.path.split("/")[2].startswith("f1")))
+    for small in (rule_tables.SMALL, -1):
+        monkeypatch.setattr(rule_tables, "SMALL", small)
+        out = rule_tables.apply_table(tree, table)
+        assert sorted(r.path for r in out.collect()) == want
+        assert broadcasts(out) == ([2] if small > 0 else [])
+
+
+def test_a_trimmed_mac_runtime_broadcasts_no_row_but_rules(spark):
+    """At any threshold, as run."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        out = table_queries.trim_mac(spark, "/root/testdata/sf0.01")
+        assert broadcasts(out) == [len(rules.trim_rules(pins.MAC_ARM))]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 @pytest.mark.parametrize("query", [table_queries.trim_mac, table_queries.trim_windows])
 def test_a_trimmed_runtime_broadcasts_its_rules(spark, query):
     plan = physical(query(spark, "/root/testdata/sf0.01"))
