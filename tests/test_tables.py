@@ -126,12 +126,13 @@ def test_removed_paths_are_never_broadcast(spark, tmp_path, monkeypatch, kind):
         assert broadcasts(out) == ([2] if small > 0 else [])
 
 
-def test_a_trimmed_mac_runtime_broadcasts_no_row_but_rules(spark):
+@pytest.mark.parametrize(("query", "target"), [(table_queries.trim_mac, pins.MAC_ARM), (table_queries.trim_windows, pins.WINDOWS)])
+def test_a_trimmed_runtime_broadcasts_no_row_but_rules(spark, query, target):
     """At any threshold, as run."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
     try:
-        out = table_queries.trim_mac(spark, "/root/testdata/sf0.01")
-        assert broadcasts(out) == [len(rules.trim_rules(pins.MAC_ARM))]
+        out = query(spark, "/root/testdata/sf0.01")
+        assert broadcasts(out) == [len(rules.trim_rules(target))]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
