@@ -67,13 +67,15 @@ class Sizes:
     one of two linked sets; its elements are dealt by hash to D + spare(D) parts, so at least spare(D) parts
     agree. Each set has an entry in the inverted list of every non-empty part. Of a set with f non-empty parts
     and any set it links with, at least f - D non-empty parts agree: that many of a set's lists must hold
-    another set, or it has no link in the band. If f - D < 1 in both sets, the agreeing parts may all be empty: such sets add
-    the elements of their prefix (the least hashes, of which linked sets share one).
+    another set, or it has no link in the band. If f - D < 1 in both sets, the agreeing parts may all be empty: such sets want
+    nothing of their parts' lists and add the elements of their prefix (the least hashes; linked sets share at least `least` of these,
+    as the prefix is longer by as many as it takes).
 
     Any boundary gives the same links; which one costs least depends on the sets, see cheapest.
     """
 
     GROWTH = 1.5
+    LEAST = 8
 
     def __init__(self, num: int, den: int, boundary: int = 0):
         self.num, self.den, self.boundary = num, den, boundary
@@ -86,6 +88,10 @@ class Sizes:
     def need(self, a: int, b: int) -> int:
         return -(-self.num * (a + b) // (self.num + self.den))
 
+    def overlap(self, n: int) -> int:
+        """Elements that a set of n elements shares with any it links with, at least."""
+        return self.need(-(-self.num * n // self.den), n)
+
     def odd(self, both: int) -> int:
         """Elements in just one of two linked sets with this sum of sizes, at most."""
         return (self.den - self.num) * both // (self.den + self.num)
@@ -114,7 +120,7 @@ class Sizes:
         return tuple(out)
 
     def large(self, n: int) -> tuple:
-        """((band, D, prefix), ...) of a set of n elements: none if all its partners and it are small."""
+        """((band, D, prefix, least), ...) of a set of n elements: none if all its partners and it are small."""
         top = self.den * n // self.num
         if top <= self.boundary:
             return ()
@@ -124,7 +130,8 @@ class Sizes:
             reach = self.den * (high - 1) // self.num  # the largest partner of the band's sets
             # a set is filed where it or a smaller partner is
             if n >= low and n <= reach:
-                out.append((band, self.odd(2 * reach), n - self.need(-(-self.num * n // self.den), n) + 1))
+                least = min(self.LEAST, self.overlap(low))  # one number for all sets of the band
+                out.append((band, self.odd(2 * reach), n - self.overlap(n) + least, least))
             low, band = high, band + 1
         return tuple(out)
 
@@ -132,8 +139,8 @@ class Sizes:
 def keys(s, sizes: Sizes) -> list[tuple]:
     """(want, int64 keys), ...: the lists in which a set (sorted uint64 array) is filed, by pair sizes or band.
 
-    The set can only have links there if `want` of the lists, at least, hold another set; want also names the
-    band, in its upper bits.
+    The set can only have links there if `want` of the lists, at least, hold another set, and two linked sets share as many as the
+    larger of their wants under some name, where that is not 0; want also names the band, in its upper bits.
     """
     import numpy as np
 
@@ -149,7 +156,7 @@ def keys(s, sizes: Sizes) -> list[tuple]:
             # subsets as what is left out of the whole
             sums = [(tag - sum(mixed[i] for i in gone)) & MASK for gone in combinations(range(n), n - c)]
             out.append((((a * 1000 + b) << 32) + 1, _mix(np.array(sums, np.uint64)).view(np.int64)))
-    for band, odd, prefix in large:
+    for band, odd, prefix, least in large:
         parts = sizes.parts(odd)
         spread = _mix(s + np.uint64(band + 1))
         part = ((spread >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
@@ -158,9 +165,9 @@ def keys(s, sizes: Sizes) -> list[tuple]:
         np.add.at(sums, part, spread)
         full = np.flatnonzero(np.bincount(part, minlength=parts))
         tag, name = 1_000_003 * (band + 1), (1 << 24) + 2 * band
-        out.append(((name << 32) + max(1, len(full) - odd), _mix(sums[full] + full.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(tag)).view(np.int64)))
+        out.append(((name << 32) + max(0, len(full) - odd), _mix(sums[full] + full.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(tag)).view(np.int64)))
         if len(full) - odd < 1:
-            out.append((((name + 1) << 32) + 1, _mix(s[:prefix] + np.uint64((tag * 0xA24BAED4963EE407) & MASK)).view(np.int64)))
+            out.append((((name + 1) << 32) + least, _mix(s[:prefix] + np.uint64((tag * 0xA24BAED4963EE407) & MASK)).view(np.int64)))
     return out
 
 
@@ -345,6 +352,35 @@ def filed(docs: DataFrame, n: int, num: int, den: int, sample_rows: int = 500) -
     return with_shared(out, "doc_id", several, "_lw_many").withColumn("node", F.when(named, F.col("doc_id")).otherwise(F.xxhash64("s1", "s2"))).drop("_lw_many")
 
 
+def closer(live: DataFrame, passes: int = 1, most: int = 64) -> DataFrame:
+    """(a, b), written out: edges that connect whatever links among the nodes of live (node, want, key), and few strangers.
+
+    Two linked nodes share, under one name, as many lists as the larger of their wants (see keys), strangers mostly one or two. Pairs are
+    counted in the lists of `most` nodes at most. A node that is in fewer longer lists than it wants shows all its links there, as pairs
+    that share max(wants) less min(longer lists) of the lists counted. Of the other nodes, large groups of near copies, each long list
+    connects all with its least node; two of these that share no long list share max(wants) of those counted. So no
+    link is lost at any `most`, and a list makes most / 2 pairs a node at most. Lists of the same nodes are counted as one.
+    """
+    rows = live.join(live.groupBy("key").agg(F.count(F.lit(1)).alias("m")), "key").withColumn("long", F.col("m") > most).drop("m")
+    far = rows.groupBy("node", "want").agg(F.sum(F.col("long").cast("long")).alias("far"))
+    rows = cut(rows.join(cut(far), ["node", "want"]))
+    need = lambda want: want.bitwiseAND(0xFFFFFFFF)
+    deep = rows.where(F.col("long") & (F.col("far") >= need(F.col("want")))).select("key", "node", "want")
+    heads = deep.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("tail"), F.max(need(F.col("want"))).alias("needed")).where("head <> tail and needed > 0").select("key", "head")
+    edges = deep.join(cut(heads), "key").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
+    lists = rows.where(~F.col("long")).groupBy("key").agg(F.array_sort(F.collect_set(F.struct("node", "want", "far"))).alias("l")).where("size(l) > 1")
+    lists = cut(lists.groupBy("l").agg(F.count(F.lit(1)).alias("times")))
+    pairs = lists.select("l", "times", F.explode("l").alias("x")).select("times", "x", F.explode(F.filter("l", lambda y: (y["node"] > F.col("x.node")) & (F.shiftright(y["want"], 32) == F.shiftright(F.col("x.want"), 32)))).alias("y"))
+    both = (F.col("x.far") >= need(F.col("x.want"))) & (F.col("y.far") >= need(F.col("y.want")))
+    least = F.greatest(need(F.col("x.want")), need(F.col("y.want"))) - F.when(both, 0).otherwise(F.least("x.far", "y.far"))
+    pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.shiftright("x.want", 32).alias("name"), least.alias("least"), "times").where("least > 0")
+    for k in range(passes):
+        part = pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(passes)) == k) if passes > 1 else pairs
+        near = part.groupBy("a", "b", "name").agg(F.sum("times").alias("met"), F.max("least").alias("least")).where("met >= least")
+        edges = edges.union(cut(near.select("a", "b").distinct()))
+    return cut(edges)
+
+
 def joined(docs: DataFrame, n: int, num: int, den: int, chunk: int = 3000, chunk_shingles: int = 4_000_000, passes: int = 1) -> DataFrame:
     """One row per row of docs: doc_id, k1, k2 (see row_keys), n_shingles, group, component_id, n_links; see components.
 
@@ -370,11 +406,19 @@ def joined(docs: DataFrame, n: int, num: int, den: int, chunk: int = 3000, chunk
     edges = live.select(F.col("node").alias("a"), F.col("head").alias("b")).where("a <> b").distinct()
     # copies of a class share all keys; one of each is enough to fetch
     reps = classes.select(F.col("rep").alias("node"), "k1", "k2", "n", "times")
-    groups = cut(connected_components(edges).withColumnRenamed("component", "g").join(reps, "node"))
     # a chunk holds about `chunk` sets and chunk_shingles shingles at most, whichever are reached first
     share = F.ceil(F.greatest(F.count(F.lit(1)) / chunk, F.sum("n") / chunk_shingles))
-    sizes = groups.groupBy("g").agg(F.count(F.lit(1)).alias("held"), share.alias("chunks")).where("held > 1").select("g", "chunks")
-    groups = cut(groups.join(cut(sizes), "g").select("g", "node", "k1", "k2", "times", "chunks"))
+
+    def grouped(edges: DataFrame) -> DataFrame:
+        held = cut(connected_components(edges).withColumnRenamed("component", "g").join(reps, "node"))
+        sizes = held.groupBy("g").agg(F.count(F.lit(1)).alias("held"), share.alias("chunks")).where("held > 1").select("g", "chunks")
+        return cut(held.join(cut(sizes), "g").select("g", "node", "k1", "k2", "times", "chunks"))
+
+    groups = grouped(edges)
+    # a group of several chunks is mostly strangers that meet here and there, the more of them the larger the corpus; its texts would go to each pair of chunks
+    if not groups.where("chunks > 1").isEmpty():
+        inside = live.select("node", "want", "key").join(groups.where("chunks > 1").select("node"), "node", "left_semi")
+        groups = groups.where("chunks = 1").union(grouped(closer(inside, passes)))
     # candidates grow with the corpus, so this join shuffles at every size
     texts = docs.select(*row_keys(F.col("text")), _text().alias("data"))
     fetched = texts.join(groups.hint("merge"), ["k1", "k2"]).dropDuplicates(["k1", "k2"])

@@ -241,6 +241,50 @@ def test_jaccard_keys(num, den, boundary):
             met = [(len(set(k.tolist()) & {z for v, h in y if v >> 32 == w >> 32 for z in h.tolist()}), max(w & 0xFFFFFFFF, wants[w >> 32])) for w, k in x if w >> 32 in wants]
             assert any(n >= need for n, need in met), (len(a), len(b), met)
 
+@pytest.mark.parametrize("most", [2, 64])
+def test_jaccard_strangers_in_one_group(spark, monkeypatch, most):
+    """Strangers of few words meet here and there, so all are one candidate group; their texts go to few chunks, and no link is lost, long lists or not."""
+    r = random.Random(4)
+    weights = [1 / (k + 1) for k in range(60)]
+    say = lambda k: r.choices(range(60), weights, k=k)
+    texts = [say(r.randint(30, 90)) for _ in range(300)]
+    for _ in range(12):  # families of near copies, some linked and some not
+        base = say(60)
+        texts += [[w if r.random() > odd else r.randrange(60) for w in base] for odd in (0, 0.005, 0.02, 0.02, 0.05, 0.2)]
+    table = [(i, " ".join(f"w{w}" for w in t)) for i, t in enumerate(texts)]
+    dealt, cut, closer = [], jaccard.cut, getattr(jaccard, "closer", None)
+
+    def noting(df):
+        out = cut(df)
+        if {"g", "node", "chunks"} <= set(out.columns):
+            dealt.append(Counter(row.chunks for row in out.collect()))
+        return out
+
+    monkeypatch.setattr(jaccard, "cut", noting)
+    if closer:
+        monkeypatch.setattr(jaccard, "closer", lambda live, passes=1: closer(live, passes, most))
+    out = Counter(tuple(row) for row in jaccard.components(spark.createDataFrame(table, "doc_id bigint, text string"), 5, 8, 10, chunk=20).collect())
+    assert out == Counter((i, *x) for (i, _), x in zip(table, jaccard_brute(table, 5, 8, 10), strict=True))
+    assert sum(x[2] > 0 for x in out) > 30
+    sent = dealt[0][1] + sum(k * n for k, n in dealt[-1].items()) if len(dealt) > 1 else sum(k * n for k, n in dealt[0].items())
+    assert most < 64 or sent < 2 * len(table)
+
+
+def test_jaccard_prefix_wants(spark):
+    """Sets of one band that file their prefix share as many of its lists as they want there."""
+    r, sizes = random.Random(3), jaccard.Sizes(8, 10, 0)
+    met = 0
+    for _ in range(3000):
+        n = r.choice([*range(1, 60), 150])
+        a = {r.getrandbits(64) for _ in range(n)}
+        b = {*r.sample(sorted(a), max(1, n - r.randint(0, n // 8 + 1))), *(r.getrandbits(64) for _ in range(r.randint(0, n // 8)))}
+        if 10 * len(a & b) >= 8 * len(a | b):
+            x, y = ({w >> 32: (w & 0xFFFFFFFF, set(h.tolist())) for w, h in jaccard.keys(np.array(sorted(s), np.uint64), sizes)} for s in (a, b))
+            full = [k for k in x if k in y and len(x[k][1] & y[k][1]) >= max(x[k][0], y[k][0]) > 0]
+            assert full, (len(a), len(b))
+            met += sum(k % 2 and x[k][0] > 1 for k in full)
+    assert met > 20
+
 
 def test_jaccard_boundary():
     """Few strangers in the lists of small parts make large sets cheap; many make subsets worth their rows."""
