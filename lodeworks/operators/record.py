@@ -22,11 +22,12 @@ def prune(record: DataFrame, tree: DataFrame, site: str) -> DataFrame:
 
 def still_there(record: DataFrame, tree: DataFrame, site: str) -> DataFrame:
     """The rows of prune in any order; each distinct path is normalized once. Both sides grow with the tree, and a tree read from
-    Parquet is far larger than its files: nothing is broadcast."""
+    Parquet is far larger than its files: nothing is broadcast. The joins are inner ones with distinct keys: Spark moves a semi join below the
+    normalizing and the distinct, and then normalizes every row again for each comparison of its sort."""
     full = F.coalesce(normalized(F.concat(F.lit(site + "/"), F.col("path"))), F.lit(""))  # never null, or the join would work it out again to test that
     there = tree.select(F.col("path").alias("_there")).distinct()
-    kept = record.select("path").where("path is not null").distinct().withColumn("_at", full).join(there.hint("merge"), F.col("_at") == F.col("_there"), "left_semi")
-    return record.join(kept.select("path").hint("merge"), "path", "left_semi").select(*record.columns)
+    kept = record.select("path").where("path is not null").distinct().withColumn("_at", full).join(there.hint("merge"), F.col("_at") == F.col("_there"))
+    return record.join(kept.select("path").hint("merge"), "path").select(*record.columns)
 
 
 def _parsed(batches: Iterator) -> Iterator:

@@ -192,6 +192,20 @@ def test_record(spark):
     assert record_text(r.fields for r in rows) == 'pkg/a.py,sha256=1,3\n"pkg/b,c.py",sha256=2,4\n../../bin/left,,\na.dist-info/RECORD,,\n'
 
 
+def test_record_normalizes_once(spark, sf_dir):
+    """Sorts and joins compare paths that are worked out already; repeated rows and files in the tree change nothing."""
+    rows = spark.range(40).select(F.col("id").alias("line_no"), F.concat(F.lit("../parts/./"), (F.col("id") % 7).cast("string")).alias("path"))
+    rows = rows.union(spark.createDataFrame([(90, None), (91, "../parts/x/../2"), (91, "../parts/x/../2"), (92, "../../../y")], "line_no bigint, path string"))
+    tree = spark.createDataFrame([("lib/parts/2",), ("lib/parts/2",), ("lib/parts/5",), (None,)], "path string")
+    out = record.still_there(rows, tree, "lib/site")
+    want = [(k, f"../parts/./{k % 7}") for k in range(40) if k % 7 in (2, 5)] + [(91, "../parts/x/../2")] * 2
+    assert sorted(map(tuple, out.collect())) == sorted(want)
+    plan = catalog.QUERIES["record_prune"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString().split("\n")
+    steps = [x for x in plan if "Sort [" in x or "Join [" in x or "Exchange " in x]
+    assert len(steps) > 6 and not [x for x in steps if "aggregate(" in x or "split(" in x]
+
+
+
 def test_tar(spark, tmp_path):
     def archive(name, member):
         with tarfile.open(tmp_path / name, "w:gz") as t:
