@@ -10,7 +10,7 @@ from math import comb
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, shared_keys, with_shared
+from .common import connected_components, cut, drop, noted, shared_keys, with_shared
 
 MASK = (1 << 64) - 1
 
@@ -386,7 +386,8 @@ def joined(docs: DataFrame, n: int, num: int, den: int, chunk: int = 3000, chunk
 
     group names the component, and is null for a row whose set is empty.
     """
-    rows = filed(docs, n, num, den)
+    with noted() as listed:
+        rows = filed(docs, n, num, den)
     known = rows.where("n > 0")
     classes = known.groupBy("s1", "s2").agg(F.min(F.struct("node", "k1", "k2")).alias("one"), F.min("doc_id").alias("least"), F.first("n").alias("n"), F.count(F.lit(1)).alias("times"))
     classes = cut(classes.select("s1", "s2", F.col("one.node").alias("rep"), "one.k1", "one.k2", "least", "n", "times"))
@@ -398,6 +399,8 @@ def joined(docs: DataFrame, n: int, num: int, den: int, chunk: int = 3000, chunk
         shared = cut(spread.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("tail")).where("head <> tail").select("key"))
         met = cut(spread.join(shared, "key"))
         live = met if live is None else live.union(met)
+    rows = cut(rows.drop("bands"))  # the lists take about as much as the texts and are of no more use
+    drop(docs.sparkSession, listed)
     for _ in range(2):  # what goes takes others with it; two rounds catch most
         enough = live.groupBy("node", "want").agg(F.count(F.lit(1)).alias("lists")).where("lists >= want & 4294967295").select("node", "want")
         live = live.join(cut(enough), ["node", "want"])
